@@ -14,20 +14,47 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilgrain.operators.prefix import running_totals
+from veilgrain.operators.transforms import ladder
 
 
-def cell_counts(df: DataFrame, keys: Sequence[str], outcome: Column | None = None) -> DataFrame:
+def ladder_cells(df: DataFrame, keys: Sequence[str], item: Column, cluster: Column, outcome: Column | None = None) -> DataFrame:
+    """Rows and outcome sums per cell at every granularity.
+
+    Counts and sums add up along the ladder, so events are counted once per item and only the item cells are
+    repeated for the coarser levels.
+    """
     y = outcome if outcome is not None else F.lit(0.0)
-    return df.groupBy(*keys, "cell").agg(F.count("*").alias("cnt"), F.sum(y).alias("y"))
+    items = df.groupBy(*keys, item.alias("_item"), cluster.alias("_cluster")).agg(
+        F.count("*").alias("cnt"), F.sum(y).alias("y"), F.sum(y * y).alias("yy")
+    )
+    return ladder(items, F.col("_item"), F.col("_cluster")).groupBy(*keys, "level", "lvl", "cell").agg(
+        F.sum("cnt").alias("cnt"), F.sum("y").alias("y"), F.sum("yy").alias("yy")
+    )
+
+
+def ladder_contributors(
+    df: DataFrame, keys: Sequence[str], item: Column, cluster: Column, contributor: str = "contributor"
+) -> DataFrame:
+    """Rows per contributor and cell at every granularity, built up from one row per contributor and item."""
+    items = df.groupBy(*keys, item.alias("_item"), cluster.alias("_cluster"), contributor).agg(F.count("*").alias("n"))
+    return ladder(items, F.col("_item"), F.col("_cluster")).groupBy(*keys, "level", "lvl", "cell", contributor).agg(
+        F.sum("n").alias("n")
+    )
+
+
+def cell_supports(per_contributor: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct contributors and rows per cell. Contributors are recounted per level; they do not add up."""
+    return per_contributor.groupBy(*keys, "level", "lvl", "cell").agg(
+        F.count("*").alias("support"), F.sum("n").alias("n_rows")
+    )
 
 
-def feature_stats(df: DataFrame, keys: Sequence[str], outcome: Column, tail_share: float) -> DataFrame:
+def feature_stats(cells: DataFrame, keys: Sequence[str], tail_share: float) -> DataFrame:
     """n_obs, n_distinct, min support, tail mass, mean rows per cell and sampling variance per key group.
 
-    ``keys`` holds feature, window and level; ``outcome`` is a 0/1 rate. Tail mass is the share of rows in cells
-    whose own share is below ``tail_share``.
+    ``keys`` holds feature, window and level; the outcome summed in ``y`` is a 0/1 rate. Tail mass is the share of
+    rows in cells whose own share is below ``tail_share``.
     """
-    cells = cell_counts(df, keys, outcome)
     hist = cells.groupBy(*keys, "cnt").agg(F.count("*").alias("n_cells"), F.sum("y").alias("y"))
     rows = F.col("cnt") * F.col("n_cells")
     totals = hist.groupBy(*keys).agg(
@@ -39,23 +66,24 @@ def feature_stats(df: DataFrame, keys: Sequence[str], outcome: Column, tail_shar
     small = F.when(F.col("cnt") < tail_share * F.col("n_obs"), rows).otherwise(0)
     tails = hist.join(totals.select(*keys, "n_obs"), list(keys)).groupBy(*keys).agg(F.sum(small).alias("_tail"))
     rate = F.col("_y") / F.col("n_obs")
+    n_eff = F.col("n_obs") / F.col("n_distinct_est")
     return totals.join(tails, list(keys)).select(
         *keys,
         "n_obs",
         "n_distinct_est",
         "min_support_est",
         (F.col("_tail") / F.col("n_obs")).alias("tail_mass_est"),
-        (F.col("n_obs") / F.col("n_distinct_est")).alias("n_eff"),
-        (rate * (1 - rate) / (F.col("n_obs") / F.col("n_distinct_est"))).alias("approx_variance"),
+        n_eff.alias("n_eff"),
+        (rate * (1 - rate) / n_eff).alias("approx_variance"),
     )
 
 
-def bottom_mass(df: DataFrame, keys: Sequence[str], q: float) -> DataFrame:
+def bottom_mass(cells: DataFrame, keys: Sequence[str], q: float) -> DataFrame:
     """Share of rows in cells whose percent rank by count is at most ``q``.
 
     Cells of equal count share a rank, so ranks come from the histogram of counts.
     """
-    hist = cell_counts(df, keys).groupBy(*keys, "cnt").agg(F.count("*").alias("n_cells"))
+    hist = cells.groupBy(*keys, "cnt").agg(F.count("*").alias("n_cells"))
     ranked = running_totals(hist, keys, "cnt", ["n_cells"])
     totals = hist.groupBy(*keys).agg(
         F.sum("n_cells").alias("_all"), F.sum(F.col("cnt") * F.col("n_cells")).alias("_rows")
@@ -68,16 +96,6 @@ def bottom_mass(df: DataFrame, keys: Sequence[str], q: float) -> DataFrame:
     )
 
 
-def contributors_per_cell(df: DataFrame, keys: Sequence[str], contributor: str = "contributor") -> DataFrame:
-    """Distinct contributors per cell, exact, in two aggregations so that no single task sees a whole cell."""
-    return (
-        df.groupBy(*keys, "cell", contributor)
-        .agg(F.count("*").alias("n"))
-        .groupBy(*keys, "cell")
-        .agg(F.count("*").alias("support"), F.sum("n").alias("n_rows"))
-    )
-
-
 def expected_inverse_support(supports: DataFrame, keys: Sequence[str]) -> DataFrame:
     """E[1/support]: averaged over cells, and over rows."""
     inv = 1.0 / F.col("support")
@@ -145,18 +163,13 @@ def lag1_autocorrelation(df: DataFrame, keys: Sequence[str], day: str) -> DataFr
     return lagged.groupBy(*keys).agg(F.corr("x", "prev").alias("autocorrelation"))
 
 
-def within_cell_loss(df: DataFrame, keys: Sequence[str], outcome: Column) -> DataFrame:
-    """Mean squared error of predicting the outcome by its cell mean, from one pass of sums per cell."""
-    cells = df.groupBy(*keys, "cell").agg(
-        F.count("*").alias("n"), F.sum(outcome).alias("y"), F.sum(outcome * outcome).alias("yy")
-    )
-    return cells.groupBy(*keys).agg(
-        (F.sum(F.col("yy") - F.col("y") * F.col("y") / F.col("n")) / F.sum("n")).alias("loss")
-    )
+def within_cell_loss(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean squared error of predicting the outcome by its cell mean, from the sums per cell."""
+    spread = F.col("yy") - F.col("y") * F.col("y") / F.col("cnt")
+    return cells.groupBy(*keys).agg((F.sum(spread) / F.sum("cnt")).alias("loss"))
 
 
-def heavy_hitters(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+def heavy_hitters(cells: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     """The ``k`` most frequent cells per key group, exact; ties by cell name."""
-    cells = cell_counts(df, keys).drop("y")
     w = W.partitionBy(*keys).orderBy(F.col("cnt").desc(), "cell")
-    return cells.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return cells.select(*keys, "cell", "cnt", F.row_number().over(w).alias("rank")).filter(F.col("rank") <= k)

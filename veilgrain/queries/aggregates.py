@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilgrain.operators import bounding, probes, stats
+from veilgrain.operators import bounding, gates, probes, stats
 from veilgrain.operators import shuffle_dp as sh
-from veilgrain.operators import transforms as tr
 from veilgrain.queries import common as cm
 from veilgrain.queries.registry import R, query, r
 from veilgrain.sources import tables
@@ -21,14 +20,6 @@ CELLS = (
 )
 
 
-def _events(spark, sf):
-    return cm.laddered_events(spark, sf).withColumnRenamed("event_type", "feature_id")
-
-
-def _high_value():
-    return (F.col("value") > 50).cast("double")
-
-
 @query(
     "feature_stats",
     f"""WITH {CELLS}, tail AS (SELECT feature_id, window_id, level, sum(CASE WHEN cnt < 0.05 * n_obs THEN cnt ELSE 0 END) AS t
@@ -38,7 +29,7 @@ SELECT feature_id, window_id, level, n_obs, n_distinct_est, min_support_est, {R(
 FROM tot JOIN tail USING (feature_id, window_id, level)""",
 )
 def feature_stats(spark, sf):
-    st = stats.feature_stats(_events(spark, sf), KEYS, _high_value(), 0.05)
+    st = stats.feature_stats(cm.feature_cells(spark, sf), KEYS, 0.05)
     for c in ("tail_mass_est", "n_eff", "approx_variance"):
         st = st.withColumn(c, r(F.col(c)))
     return st
@@ -59,8 +50,7 @@ def n_distinct_hll(spark, sf):
 
 @query("min_support", f"WITH {CELLS} SELECT feature_id, window_id, level, min_support_est AS min_support FROM tot")
 def min_support(spark, sf):
-    cells = stats.cell_counts(_events(spark, sf), KEYS)
-    return cells.groupBy(*KEYS).agg(F.min("cnt").alias("min_support"))
+    return cm.feature_cells(spark, sf).groupBy(*KEYS).agg(F.min("cnt").alias("min_support"))
 
 
 @query(
@@ -71,9 +61,9 @@ SELECT feature_id, window_id, level, {R('sum(CASE WHEN cnt < 0.05 * n_obs THEN c
 FROM rk JOIN tot USING (feature_id, window_id, level) GROUP BY ALL""",
 )
 def tail_mass(spark, sf):
-    ev = _events(spark, sf)
-    below = stats.feature_stats(ev, KEYS, F.lit(0.0), 0.05).select(*KEYS, r(F.col("tail_mass_est")).alias("tail_mass"))
-    bottom = stats.bottom_mass(ev, KEYS, 0.25).withColumn("bottom_mass", r(F.col("bottom_mass")))
+    cells = cm.feature_cells(spark, sf)
+    below = stats.feature_stats(cells, KEYS, 0.05).select(*KEYS, r(F.col("tail_mass_est")).alias("tail_mass"))
+    bottom = stats.bottom_mass(cells, KEYS, 0.25).withColumn("bottom_mass", r(F.col("bottom_mass")))
     return below.join(bottom, KEYS)
 
 
@@ -83,7 +73,7 @@ def tail_mass(spark, sf):
   SELECT *, row_number() OVER (PARTITION BY feature_id, window_id, level ORDER BY cnt DESC, cell) AS rank FROM cells) WHERE rank <= 3""",
 )
 def heavy_hitters_sketch(spark, sf):
-    return stats.heavy_hitters(_events(spark, sf), KEYS, 3).withColumn("rank", F.col("rank").cast("bigint"))
+    return stats.heavy_hitters(cm.feature_cells(spark, sf), KEYS, 3).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(
@@ -91,7 +81,12 @@ def heavy_hitters_sketch(spark, sf):
     f"""WITH {cm.LADDER} SELECT window_id, level, cell, count(DISTINCT contributor) AS support, count(*) AS n_rows FROM lad GROUP BY ALL""",
 )
 def support_by_granularity(spark, sf):
-    return stats.contributors_per_cell(cm.laddered_events(spark, sf), ["window_id", "level"])
+    return weekly_supports(spark, sf).drop("lvl")
+
+
+def weekly_supports(spark, sf):
+    per_person = stats.ladder_contributors(cm.weekly_events(spark, sf), ["window_id"], cm.ITEM, cm.CLUSTER)
+    return stats.cell_supports(per_person, ["window_id"])
 
 
 @query(
@@ -100,8 +95,7 @@ def support_by_granularity(spark, sf):
 SELECT window_id, level, {R('avg(1.0 / support)')} AS u_cells, {R('sum(n * (1.0 / support)) / sum(n)')} AS u_rows FROM s GROUP BY ALL""",
 )
 def expected_inverse_support(spark, sf):
-    sup = stats.contributors_per_cell(cm.laddered_events(spark, sf), ["window_id", "level"])
-    u = stats.expected_inverse_support(sup, ["window_id", "level"])
+    u = stats.expected_inverse_support(weekly_supports(spark, sf), ["window_id", "level"])
     return u.withColumn("u_cells", r(F.col("u_cells"))).withColumn("u_rows", r(F.col("u_rows")))
 
 
@@ -115,7 +109,7 @@ MI = """attrs AS (SELECT level, 'segment' AS attr, c_mktsegment AS a, cell FROM
 
 @query(
     "mutual_information",
-    f"""WITH {cm.LADDER}, {MI} SELECT level, {R('max(mi)')} AS max_mi, max_by(attr, mi) AS worst_attr FROM mi GROUP BY level""",
+    f"""WITH {cm.LADDER}, {MI} SELECT level, {R('max(mi)')} AS max_mi, max_by(attr, (round(mi, 9), attr)) AS worst_attr FROM mi GROUP BY level""",
 )
 def mutual_information(spark, sf):
     return worst_mutual_information(spark, sf).withColumn("max_mi", r(F.col("max_mi")))
@@ -133,10 +127,10 @@ def worst_mutual_information(spark, sf):
         ).alias("p"),
     )
     # one row per contributor and cell before the attributes multiply it
-    pairs = cm.laddered_events(spark, sf).groupBy("level", "cell", "contributor").agg(F.count("*").alias("n"))
+    pairs = stats.ladder_contributors(tables.events(spark, sf), [], cm.ITEM, cm.CLUSTER)
     joined = pairs.join(who, "contributor").select("level", "p.attr", "p.a", "cell", "n")
     mi = stats.mutual_information_counts(joined, ["level", "attr"], "a", "cell", "n")
-    return mi.groupBy("level").agg(F.max("mi").alias("max_mi"), F.max_by("attr", "mi").alias("worst_attr"))
+    return mi.groupBy("level").agg(F.max("mi").alias("max_mi"), F.max_by("attr", F.struct(F.round("mi", 9), F.col("attr"))).alias("worst_attr"))
 
 
 AUC_ATTRS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -289,8 +283,6 @@ def ladder_grouping_sets(spark, sf):
 SELECT window_id, cell, format, CAST(srow AS INT) AS "row", CAST(pos AS INT) AS "pos", count(*) AS n, sum(y)::BIGINT AS y FROM v GROUP BY ALL""",
 )
 def shuffle_aggregate(spark, sf):
-    from veilgrain.operators import gates
-
     gated = gates.payload_gate(cm.messages(spark, sf), cap=2, categories=4, width=24, depth=8, max_update=4)
     msgs = gates.passed(gated).withColumnRenamed("event_type", "cell")
     return sh.aggregate_messages(msgs, ["window_id", "cell"])
@@ -302,7 +294,7 @@ def shuffle_aggregate(spark, sf):
 SELECT level, {R('var_pop(mu)')} AS signal_power FROM m GROUP BY level""",
 )
 def empirical_signal_power(spark, sf):
-    cells = stats.cell_counts(cm.laddered_events(spark, sf), ["level"], _high_value())
+    cells = stats.ladder_cells(tables.events(spark, sf), [], cm.ITEM, cm.CLUSTER, cm.high_value())
     return cells.groupBy("level").agg(r(F.var_pop(F.col("y") / F.col("cnt"))).alias("signal_power"))
 
 
@@ -339,7 +331,8 @@ def item_effect_dispersion(spark, sf):
 SELECT level, {R('loss')} AS loss, {R('loss - (SELECT loss FROM l WHERE level = $$ITEM$$)')} AS agg_loss FROM l""",
 )
 def oracle_ablation_loss(spark, sf):
-    loss = stats.within_cell_loss(cm.laddered_events(spark, sf), ["level"], _high_value())
+    cells = stats.ladder_cells(tables.events(spark, sf), [], cm.ITEM, cm.CLUSTER, cm.high_value())
+    loss = stats.within_cell_loss(cells, ["level"])
     item = loss.filter("level = 'ITEM'").select(F.col("loss").alias("base"), F.lit(1).alias("_one"))
     return loss.withColumn("_one", F.lit(1)).join(item, "_one").select(
         "level", r(F.col("loss")).alias("loss"), r(F.col("loss") - F.col("base")).alias("agg_loss")

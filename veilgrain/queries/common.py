@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilgrain.operators import stats
 from veilgrain.operators import transforms as tr
 from veilgrain.schema import ReleaseContract
 from veilgrain.sources import tables
@@ -34,11 +35,23 @@ def weekly_events(spark: SparkSession, sf: str) -> DataFrame:
     return ev.withColumn("window_id", tr.week_id(F.col("ts"))).withColumn("day_id", tr.day_id(F.col("ts")))
 
 
+ITEM = F.concat_ws("|", F.col("event_type"), F.col("k").cast("string"))
+CLUSTER = F.concat_ws("|", F.col("event_type"), F.floor(F.col("k") / 10).cast("string"))
+
+
 def laddered_events(spark: SparkSession, sf: str) -> DataFrame:
-    ev = weekly_events(spark, sf)
-    item = F.concat_ws("|", "event_type", F.col("k").cast("string"))
-    cluster = F.concat_ws("|", "event_type", F.floor(F.col("k") / 10).cast("string"))
-    return tr.ladder(ev, item, cluster)
+    return tr.ladder(weekly_events(spark, sf), ITEM, CLUSTER)
+
+
+def high_value() -> Column:
+    """The 0/1 outcome of an event."""
+    return (F.col("value") > 50).cast("double")
+
+
+def feature_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of each event type (as feature), week and level."""
+    ev = weekly_events(spark, sf).withColumn("feature_id", F.col("event_type"))
+    return stats.ladder_cells(ev, ["feature_id", "window_id"], ITEM, CLUSTER, high_value())
 
 
 # ---- monthly shipments per part, brand and in total -------------------------------------------------------------

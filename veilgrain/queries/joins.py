@@ -32,11 +32,9 @@ FROM st JOIN sc USING (feature_id) JOIN pol USING (policy_version)
 WHERE list_contains(admissible, level) AND min_support >= threshold""",
 )
 def scorecard_stats_policy_join(spark, sf):
-    lad = cm.laddered_events(spark, sf)
     stats = (
-        lad.groupBy(F.col("event_type").alias("feature_id"), "window_id", F.col("level").alias("granularity"), "cell")
-        .agg(F.count("*").alias("cnt"))
-        .groupBy("feature_id", "window_id", "granularity")
+        cm.feature_cells(spark, sf)
+        .groupBy("feature_id", "window_id", F.col("level").alias("granularity"))
         .agg(F.sum("cnt").alias("n_obs"), F.count("*").alias("n_distinct"), F.min("cnt").alias("min_support"))
     )
     fine = F.array(F.lit("ITEM"), F.lit("CLUSTER"), F.lit("AGGREGATE"))
