@@ -105,13 +105,13 @@ def join_degree(datasets: DataFrame, id_col: str, keys: str) -> DataFrame:
     return tagged.join(degree, "_keys", "left").select(id_col, F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def key_persistence(df: DataFrame, key: str, day: str) -> DataFrame:
+def key_persistence(df: DataFrame, key: str, day: str, keys: Sequence[str] = ()) -> DataFrame:
     """Share of a day's key values that are seen again the next day."""
-    seen = df.select(F.col(key).alias("_k"), F.col(day).cast("date").alias("_d")).distinct()
-    back = seen.select("_k", F.date_sub("_d", 1).alias("_d"), F.lit(1).alias("_again"))
+    seen = df.select(*keys, F.col(key).alias("_k"), F.col(day).cast("date").alias("_d")).distinct()
+    back = seen.select(*keys, "_k", F.date_sub("_d", 1).alias("_d"), F.lit(1).alias("_again"))
     return (
-        seen.join(back, ["_k", "_d"], "left")
-        .groupBy(F.col("_d").alias("day"))
+        seen.join(back, [*keys, "_k", "_d"], "left")
+        .groupBy(*keys, F.col("_d").alias("day"))
         .agg(F.count("*").alias("n_keys"), F.count("_again").alias("n_again"))
         .withColumn("persistence", F.col("n_again") / F.col("n_keys"))
     )

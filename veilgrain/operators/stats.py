@@ -32,6 +32,40 @@ def ladder_cells(df: DataFrame, keys: Sequence[str], item: Column, cluster: Colu
     )
 
 
+def two_window_cells(
+    df: DataFrame, keys: Sequence[str], item: Column, cluster: Column, age_days: Column, windows: dict[str, int],
+    outcome: Column | None = None,
+) -> DataFrame:
+    """Cells of overlapping look-back windows, e.g. {"W1": 7, "W0": 28}, in one pass.
+
+    A row of age ``a`` days belongs to every window longer than ``a``. Each item cell is counted once per window by
+    conditional sums, then laid out as one row per window and level.
+    """
+    y = outcome if outcome is not None else F.lit(0.0)
+    inside = {w: (age_days >= 0) & (age_days < days) for w, days in windows.items()}
+    sums = []
+    for w, ok in inside.items():
+        sums += [F.count_if(ok).alias(f"cnt_{w}"), F.sum(F.when(ok, y)).alias(f"y_{w}"),
+                 F.sum(F.when(ok, y * y)).alias(f"yy_{w}")]
+    longest = max(windows.values())
+    items = df.filter((age_days >= 0) & (age_days < longest)).groupBy(
+        *keys, item.alias("_item"), cluster.alias("_cluster")
+    ).agg(*sums)
+    per_window = F.array(
+        *[
+            F.struct(F.lit(w).alias("window_id"), F.col(f"cnt_{w}").alias("cnt"), F.col(f"y_{w}").alias("y"),
+                     F.col(f"yy_{w}").alias("yy"))
+            for w in windows
+        ]
+    )
+    rows = items.select(*keys, "_item", "_cluster", F.explode(per_window).alias("_w")).select(
+        *keys, "_item", "_cluster", "_w.*"
+    )
+    return ladder(rows.filter("cnt > 0"), F.col("_item"), F.col("_cluster")).groupBy(
+        *keys, "window_id", "level", "lvl", "cell"
+    ).agg(F.sum("cnt").alias("cnt"), F.sum("y").alias("y"), F.sum("yy").alias("yy"))
+
+
 def ladder_contributors(
     df: DataFrame, keys: Sequence[str], item: Column, cluster: Column, contributor: str = "contributor"
 ) -> DataFrame:

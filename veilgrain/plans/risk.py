@@ -231,10 +231,9 @@ def query_request_gate(requests: DataFrame, constraints: DataFrame) -> DataFrame
 
 
 def counterfactuals(features: DataFrame, th: Thresholds, target: str) -> DataFrame:
-    """Edits that could lower a feature's risk, rescored at ``target``, ranked feasible first, then by risk.
+    """Edits that could lower a feature's risk, rescored at ``target``.
 
-    Edits: halve the buckets of a sensitive field (down to 2), or drop an identifier or sensitive field. Ties keep
-    the order of the edits.
+    Edits: halve the buckets of a sensitive field (down to 2), or drop an identifier or sensitive field.
     """
     fields, buckets = F.col("fields"), F.col("bucketizations")
 
@@ -270,16 +269,16 @@ def counterfactuals(features: DataFrame, th: Thresholds, target: str) -> DataFra
     scored = scorecard(edited, th)
     risk = F.col(f"risk_{target}")
     ok = F.round(risk, RISK_DIGITS) <= th.tau_granularity[target]
-    ranked = scored.select(
+    return scored.select(
         "feature_id", "edit", "position", F.lit(target).alias("target_granularity"), ok.alias("feasible_at_target"),
         "L", F.col(f"U_{target}").alias("U"), "I", "R", risk.alias("risk"),
         *[c.alias(n) for n, c in constraint_columns(F.lit(target), th.k_min).items()],
     )
-    return _rank_edits(ranked)
 
 
-def _rank_edits(df: DataFrame) -> DataFrame:
+def rank_edits(df: DataFrame, top: int) -> DataFrame:
+    """The ``top`` best edits per feature: feasible first, then lowest risk; ties keep the order of the edits."""
     w = W.partitionBy("feature_id").orderBy(
         (~F.col("feasible_at_target")).cast("int"), F.round("risk", RISK_DIGITS), "position"
     )
-    return df.withColumn("rank", F.row_number().over(w))
+    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)

@@ -112,11 +112,14 @@ MI = """attrs AS (SELECT level, 'segment' AS attr, c_mktsegment AS a, cell FROM
     f"""WITH {cm.LADDER}, {MI} SELECT level, {R('max(mi)')} AS max_mi, max_by(attr, (round(mi, 9), attr)) AS worst_attr FROM mi GROUP BY level""",
 )
 def mutual_information(spark, sf):
-    return worst_mutual_information(spark, sf).withColumn("max_mi", r(F.col("max_mi")))
+    return worst_mutual_information(spark, sf).drop("penalty").withColumn("max_mi", r(F.col("max_mi")))
 
 
-def worst_mutual_information(spark, sf):
-    """Largest mutual information per level between the cell and the contributor's segment or nation."""
+def worst_mutual_information(spark, sf, penalty_above: float = 0.0, penalty: float = 0.0):
+    """Largest mutual information per level between the cell and the contributor's segment or nation.
+
+    ``penalty`` is added up for every attribute above ``penalty_above``.
+    """
     who = tables.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("contributor"),
         F.explode(
@@ -130,7 +133,12 @@ def worst_mutual_information(spark, sf):
     pairs = stats.ladder_contributors(tables.events(spark, sf), [], cm.ITEM, cm.CLUSTER)
     joined = pairs.join(who, "contributor").select("level", "p.attr", "p.a", "cell", "n")
     mi = stats.mutual_information_counts(joined, ["level", "attr"], "a", "cell", "n")
-    return mi.groupBy("level").agg(F.max("mi").alias("max_mi"), F.max_by("attr", F.struct(F.round("mi", 9), F.col("attr"))).alias("worst_attr"))
+    rounded = F.round("mi", 9)
+    return mi.groupBy("level").agg(
+        F.max("mi").alias("max_mi"),
+        F.max_by("attr", F.struct(rounded, F.col("attr"))).alias("worst_attr"),
+        F.sum(F.when(rounded > penalty_above, penalty).otherwise(0.0)).alias("penalty"),
+    )
 
 
 AUC_ATTRS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")

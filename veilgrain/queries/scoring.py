@@ -115,9 +115,8 @@ def decisions(spark, sf):
     return risk.decide(supported_catalog(spark, sf), TH)
 
 
-@query(
-    "counterfactuals",
-    f"""WITH {BASE},
+def _edits(support: str, factor: str, cap: str) -> str:
+    return f"""{BASE},
  ed AS (SELECT feature_id, 'bucketize:' || name || ':' || buckets || '->' || greatest(2, buckets // 2) AS edit, 0 AS kind, pos, name AS field, greatest(2, buckets // 2) AS nb
         FROM fld WHERE is_sensitive AND buckets IS NOT NULL AND greatest(2, buckets // 2) <> buckets
         UNION ALL SELECT feature_id, 'drop_field:' || name, 1, pos, name, NULL FROM fld WHERE is_identifier OR is_sensitive),
@@ -127,36 +126,39 @@ def decisions(spark, sf):
  ep AS (SELECT feature_id, edit, kind, pos, sum({PRESSURE}) / count(*) AS p, count(*) FILTER (is_sensitive) AS ns,
         sum({SENS}) FILTER (is_sensitive) AS sc FROM ef GROUP BY ALL),
  es AS (SELECT ep.feature_id, edit, kind, pos, lir.L, lir.R,
-        CASE WHEN s_cluster > 0 THEN least(1.0, 1.0 / greatest(1.0, s_cluster / 100.0)) ELSE least(1.0, ep.p * 0.6) END AS U,
+        CASE WHEN {support} > 0 THEN least(1.0, 1.0 / greatest(1.0, {support} / 100.0)) ELSE least(1.0, ep.p * {factor}) END AS U,
         CASE WHEN ep.ns = 0 THEN 0.05 ELSE least(1.0, 0.15 + 0.12 * least(5, ep.ns) + 0.05 * ep.sc + CASE WHEN stab IS NULL THEN 0.0 ELSE 0.15 * least(1.0, stab) END) END AS I
         FROM ep JOIN lir USING (feature_id) LEFT JOIN lnk USING (feature_id)),
  er AS (SELECT *, least(1.0, 0.30 * L + 0.35 * U + 0.25 * I + 0.10 * R) AS risk FROM es),
- rk AS (SELECT *, round(risk, 12) <= 0.6 AS ok, row_number() OVER (PARTITION BY feature_id
-        ORDER BY CASE WHEN round(risk, 12) <= 0.6 THEN 0 ELSE 1 END, round(risk, 12), kind, pos) AS rank FROM er)
-SELECT feature_id, edit, ok AS feasible_at_target, {R('U')} AS U, {R('I')} AS I, {R('risk')} AS risk, rank FROM rk""",
+ rk AS (SELECT *, round(risk, 12) <= {cap} AS ok, row_number() OVER (PARTITION BY feature_id
+        ORDER BY CASE WHEN round(risk, 12) <= {cap} THEN 0 ELSE 1 END, round(risk, 12), kind, pos) AS rank FROM er)"""
+
+
+@query(
+    "counterfactuals",
+    f"""WITH {_edits('s_cluster', '0.6', '0.6')}
+SELECT feature_id, edit, ok AS feasible_at_target, {R('U')} AS U, {R('I')} AS I, {R('risk')} AS risk FROM rk""",
 )
 def counterfactuals(spark, sf):
     cf = risk.counterfactuals(supported_catalog(spark, sf), TH, "CLUSTER")
     return cf.select(
         "feature_id", "edit", "feasible_at_target", r(F.col("U")).alias("U"), r(F.col("I")).alias("I"),
-        r(F.col("risk")).alias("risk"), F.col("rank").cast("bigint").alias("rank"),
+        r(F.col("risk")).alias("risk"),
     )
 
 
 @query(
     "counterfactual_rank",
-    f"""WITH {BASE},
- ed AS (SELECT feature_id, name AS field, pos, 'drop_field:' || name AS edit FROM fld WHERE is_identifier OR is_sensitive),
- ep AS (SELECT ed.feature_id, edit, ed.pos, count(*) FILTER (is_sensitive) AS ns, sum({SENS}) FILTER (is_sensitive) AS sc
-        FROM ed JOIN fld ON ed.feature_id = fld.feature_id AND fld.name <> field GROUP BY ALL),
- best AS (SELECT feature_id, min(CASE WHEN ns = 0 THEN 0.05 ELSE 0.15 + 0.12 * ns + 0.05 * sc END) AS i FROM ep GROUP BY 1)
-SELECT feature_id, {R('i')} AS lowest_inferability_without_keys FROM best""",
+    f"""WITH {_edits('s_item', '1.0', '0.45')}
+SELECT feature_id, edit, ok AS feasible_at_target, {R('risk')} AS risk, rank FROM rk WHERE rank <= 5""",
 )
 def counterfactual_rank(spark, sf):
-    """The best drop edit of each feature, by the inferability that remains when no join key amplifies it."""
-    bare = supported_catalog(spark, sf).withColumn("join_keys", F.slice("join_keys", 1, 0))
-    cf = risk.counterfactuals(bare, TH, "ITEM").filter("edit LIKE 'drop_field:%'")
-    return cf.groupBy("feature_id").agg(r(F.min("I")).alias("lowest_inferability_without_keys"))
+    """The five best edits of each feature for a release per item."""
+    ranked = risk.rank_edits(risk.counterfactuals(supported_catalog(spark, sf), TH, "ITEM"), top=5)
+    return ranked.select(
+        "feature_id", "edit", "feasible_at_target", r(F.col("risk")).alias("risk"),
+        F.col("rank").cast("bigint").alias("rank"),
+    )
 
 
 CONSTRAINTS = f"""{DECIDE}, con AS (SELECT dec.*, granularity = 'AGGREGATE' AS all_keys, granularity <> 'ITEM' AS pre,
