@@ -96,20 +96,32 @@ def best_stats(stats: DataFrame) -> DataFrame:
     return stats.groupBy("feature_id", "window_id").agg(F.min_by(snapshot, order).alias("snapshot"))
 
 
-def score_features(defs: DataFrame, best: DataFrame, probes: DataFrame, p: ScorePolicy, current: str = "W1",
+def snapshot_map(stats: DataFrame) -> DataFrame:
+    """All snapshots of a feature in one row: map "window/level" -> snapshot, a handful of entries per feature.
+
+    Scoring and selection then read it without joining the statistics again.
+    """
+    snapshot = F.struct("n_obs", "n_distinct_est", "min_support_est", "tail_mass_est", "n_eff", "approx_variance")
+    entry = F.struct(F.concat_ws("/", "window_id", "level").alias("key"), snapshot.alias("value"))
+    return stats.groupBy("feature_id").agg(F.map_from_entries(F.collect_list(entry)).alias("snapshots"))
+
+
+def preferred_snapshot(window: str) -> Column:
+    order = sorted(STATS_PREFERENCE, key=STATS_PREFERENCE.get)
+    return F.coalesce(*[F.try_element_at("snapshots", F.lit(f"{window}/{g}")) for g in order])
+
+
+def score_features(defs: DataFrame, stats: DataFrame, probes: DataFrame, p: ScorePolicy, current: str = "W1",
                    previous: str = "W0") -> DataFrame:
     """Sub-scores, total and reason codes per feature.
 
     ``defs`` has feature_id, join_keys, degree, retention_days, sensitivity_tags. Missing statistics, metadata or
     probes score upward, each with its own reason code.
     """
-    def window(w: str, name: str) -> DataFrame:
-        return best.filter(F.col("window_id") == w).select("feature_id", F.col("snapshot").alias(name))
-
     joined = (
-        defs.join(window(current, "w1"), "feature_id", "left")
-        .join(window(previous, "w0"), "feature_id", "left")
+        defs.join(snapshot_map(stats), "feature_id", "left")
         .join(infer_by_feature(probes, p).withColumnRenamed("s_infer", "_infer"), "feature_id", "left")
+        .withColumns({"w1": preferred_snapshot(current), "w0": preferred_snapshot(previous)})
     )
     s_link, why_link = link_score(F.col("join_keys"), F.col("degree"), F.col("retention_days"), p)
     s_uniq, why_uniq = uniq_score(F.col("w1"), F.col("w0"), p)
@@ -130,7 +142,7 @@ def score_features(defs: DataFrame, best: DataFrame, probes: DataFrame, p: Score
         p.w_link * F.col("s_link") + p.w_uniq * F.col("s_uniq") + p.w_infer * F.col("s_infer")
         + p.w_policy * F.col("s_policy")
     )
-    return scored.withColumn("lps_total", total).drop("_infer", "infer_reasons")
+    return scored.withColumn("lps_total", total).drop("_infer", "infer_reasons", "w1", "w0")
 
 
 def band_granularity(total: Column, p: ScorePolicy) -> Column:

@@ -19,31 +19,19 @@ def effective_variance(query_type: Column, n: Column, variance: Column, sigma: f
     return F.when(query_type == "MEAN_BOUNDED_0_1", mean).otherwise((sigma * sigma) / n)
 
 
-def stats_by_level(stats: DataFrame, n_col: str) -> DataFrame:
-    """Snapshots of one window as map level -> (n, min_support, variance); at most three entries per feature."""
-    snap = F.struct(
-        F.col("level").alias("key"),
-        F.struct(
-            F.col(n_col).cast("double").alias("n"), F.col("min_support_est").alias("min_support"),
-            F.col("approx_variance").alias("variance"),
-        ).alias("value"),
-    )
-    return stats.groupBy("feature_id").agg(F.map_from_entries(F.collect_list(snap)).alias("by_level"))
-
-
-def select_min_effvar(scored: DataFrame, stats: DataFrame, p: ScorePolicy, n_col: str = "n_obs") -> DataFrame:
+def select_min_effvar(scored: DataFrame, p: ScorePolicy, n_col: str = "n_obs", window: str = "W1") -> DataFrame:
     """Admissible pair of least effective variance; ties go to the finest level, then the safest boundary.
 
-    Pairs without statistics or below the support threshold do not compete. If none is left, the coarsest
-    admissible level at its safest boundary is taken; an empty admissible set gives nulls.
+    ``scored`` carries the admissible set and the snapshot map, so this is a projection. Pairs without statistics or
+    below the support threshold do not compete. If none is left, the coarsest admissible level at its safest boundary
+    is taken; an empty admissible set gives nulls.
     """
-    joined = scored.join(stats_by_level(stats, n_col), "feature_id", "left")
 
     def candidate(x: Column) -> Column:
-        s = F.try_element_at("by_level", x["granularity"])
-        var = effective_variance(F.col("query_type"), s["n"], s["variance"], p.central_sigma)
+        s = F.try_element_at("snapshots", F.concat(F.lit(f"{window}/"), x["granularity"]))
+        var = effective_variance(F.col("query_type"), s[n_col], s["approx_variance"], p.central_sigma)
         return F.when(
-            s["min_support"] >= p.min_support_threshold,
+            s["min_support_est"] >= p.min_support_threshold,
             F.struct(
                 F.round(var, EFFVAR_DIGITS).alias("effvar"), granularity_rank(x["granularity"]).alias("g"),
                 boundary_rank(x["boundary"]).alias("b"), x["boundary"].alias("boundary"),
@@ -61,7 +49,7 @@ def select_min_effvar(scored: DataFrame, stats: DataFrame, p: ScorePolicy, n_col
             ),
         )
     )
-    chosen = joined.withColumn("_best", best).withColumn("_fall", fallback)
+    chosen = scored.withColumn("_best", best).withColumn("_fall", fallback)
     found = F.col("_best").isNotNull()
     return chosen.withColumns(
         {
@@ -72,7 +60,7 @@ def select_min_effvar(scored: DataFrame, stats: DataFrame, p: ScorePolicy, n_col
                 found, F.array(F.lit("MIN_EFFVAR_SELECTED"), F.lit("TIEBREAK_FINEST_THEN_SAFEST"))
             ).otherwise(F.array(F.lit("NO_FEASIBLE_STATS_FALLBACK_COARSE"))),
         }
-    ).drop("_best", "_fall", "by_level")
+    ).drop("_best", "_fall")
 
 
 def std_total(rate: Column, n: Column, sigma: float) -> Column:

@@ -130,7 +130,7 @@ def probes(spark, sf):
 
 
 def scored(spark, sf):
-    return ms.score_features(feature_defs(spark, sf), ms.best_stats(snapshots(spark, sf)), probes(spark, sf), POLICY)
+    return ms.score_features(feature_defs(spark, sf), snapshots(spark, sf), probes(spark, sf), POLICY)
 
 
 # ---- sub-scores -------------------------------------------------------------------------------------------------
@@ -274,8 +274,7 @@ EFFVAR = f"""{ADMISSIBLE}, ev1 AS (SELECT a.*, s.minsup, round(CASE WHEN query_t
 
 
 def selected(spark, sf):
-    w1 = snapshots(spark, sf).filter("window_id = 'W1'")
-    return routing.select_min_effvar(admissible(spark, sf), w1, POLICY, n_col="n_eff")
+    return routing.select_min_effvar(admissible(spark, sf), POLICY, n_col="n_eff")
 
 
 @query("select_min_effvar", f"WITH {EFFVAR} SELECT feature_id, selected_boundary, selected_granularity, {R('eff_var')} AS eff_var, why AS reasons FROM sel")
