@@ -47,9 +47,9 @@ def with_spec_defaults(specs: DataFrame) -> DataFrame:
     )
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Feature specs from JSON files (one object or an array per file)."""
-    return with_spec_defaults(spark.read.schema(FEATURE_SPEC).json(path, multiLine=True))
+def read_features(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Feature specs from JSON. Large catalogs should be JSON lines (``multi_line=False``), which can be split."""
+    return with_spec_defaults(spark.read.schema(FEATURE_SPEC).json(path, multiLine=multi_line))
 
 
 def overlay(defaults: Mapping[str, float], given: Column) -> Column:
@@ -70,6 +70,6 @@ def with_policy_defaults(policies: DataFrame) -> DataFrame:
     )
 
 
-def read_policy(spark: SparkSession, path: str) -> DataFrame:
+def read_policy(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Thresholds from JSON policy files, laid over the default caps; k_min defaults to 1."""
-    return with_policy_defaults(spark.read.schema(POLICY_SPEC).json(path, multiLine=True))
+    return with_policy_defaults(spark.read.schema(POLICY_SPEC).json(path, multiLine=multi_line))
