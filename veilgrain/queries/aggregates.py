@@ -85,7 +85,7 @@ def support_by_granularity(spark, sf):
 
 
 def weekly_supports(spark, sf):
-    per_person = stats.ladder_contributors(cm.weekly_events(spark, sf), ["window_id"], cm.ITEM, cm.CLUSTER)
+    per_person = stats.ladder_contributors(cm.weekly_events(spark, sf), ["window_id"], cm.item_cell(), cm.cluster_cell())
     return stats.cell_supports(per_person, ["window_id"])
 
 
@@ -130,7 +130,7 @@ def worst_mutual_information(spark, sf, penalty_above: float = 0.0, penalty: flo
         ).alias("p"),
     )
     # one row per contributor and cell before the attributes multiply it
-    pairs = stats.ladder_contributors(tables.events(spark, sf), [], cm.ITEM, cm.CLUSTER)
+    pairs = stats.ladder_contributors(tables.events(spark, sf), [], cm.item_cell(), cm.cluster_cell())
     joined = pairs.join(who, "contributor").select("level", "p.attr", "p.a", "cell", "n")
     mi = stats.mutual_information_counts(joined, ["level", "attr"], "a", "cell", "n")
     rounded = F.round("mi", 9)
@@ -302,7 +302,7 @@ def shuffle_aggregate(spark, sf):
 SELECT level, {R('var_pop(mu)')} AS signal_power FROM m GROUP BY level""",
 )
 def empirical_signal_power(spark, sf):
-    cells = stats.ladder_cells(tables.events(spark, sf), [], cm.ITEM, cm.CLUSTER, cm.high_value())
+    cells = stats.ladder_cells(tables.events(spark, sf), [], cm.item_cell(), cm.cluster_cell(), cm.high_value())
     return cells.groupBy("level").agg(r(F.var_pop(F.col("y") / F.col("cnt"))).alias("signal_power"))
 
 
@@ -339,7 +339,7 @@ def item_effect_dispersion(spark, sf):
 SELECT level, {R('loss')} AS loss, {R('loss - (SELECT loss FROM l WHERE level = $$ITEM$$)')} AS agg_loss FROM l""",
 )
 def oracle_ablation_loss(spark, sf):
-    cells = stats.ladder_cells(tables.events(spark, sf), [], cm.ITEM, cm.CLUSTER, cm.high_value())
+    cells = stats.ladder_cells(tables.events(spark, sf), [], cm.item_cell(), cm.cluster_cell(), cm.high_value())
     loss = stats.within_cell_loss(cells, ["level"])
     item = loss.filter("level = 'ITEM'").select(F.col("loss").alias("base"), F.lit(1).alias("_one"))
     return loss.withColumn("_one", F.lit(1)).join(item, "_one").select(

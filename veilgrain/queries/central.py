@@ -284,7 +284,7 @@ def materialize_active(spark, sf):
     ev = cm.weekly_events(spark, sf).withColumn("feature_id", F.col("event_type"))
     keys = ["feature_id", "window_id"]
     per_person = (
-        ev.groupBy(*keys, cm.ITEM.alias("_i"), cm.CLUSTER.alias("_c"), "contributor")
+        ev.groupBy(*keys, cm.item_cell().alias("_i"), cm.cluster_cell().alias("_c"), "contributor")
         .agg(F.count("*").alias("n"), F.sum(cm.high_value()).alias("y"))
     )
     cells = (

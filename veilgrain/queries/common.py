@@ -35,12 +35,16 @@ def weekly_events(spark: SparkSession, sf: str) -> DataFrame:
     return ev.withColumn("window_id", tr.week_id(F.col("ts"))).withColumn("day_id", tr.day_id(F.col("ts")))
 
 
-ITEM = F.concat_ws("|", F.col("event_type"), F.col("k").cast("string"))
-CLUSTER = F.concat_ws("|", F.col("event_type"), F.floor(F.col("k") / 10).cast("string"))
+def item_cell() -> Column:
+    return F.concat_ws("|", "event_type", F.col("k").cast("string"))
+
+
+def cluster_cell() -> Column:
+    return F.concat_ws("|", "event_type", F.floor(F.col("k") / 10).cast("string"))
 
 
 def laddered_events(spark: SparkSession, sf: str) -> DataFrame:
-    return tr.ladder(weekly_events(spark, sf), ITEM, CLUSTER)
+    return tr.ladder(weekly_events(spark, sf), item_cell(), cluster_cell())
 
 
 def high_value() -> Column:
@@ -51,7 +55,7 @@ def high_value() -> Column:
 def feature_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of each event type (as feature), week and level."""
     ev = weekly_events(spark, sf).withColumn("feature_id", F.col("event_type"))
-    return stats.ladder_cells(ev, ["feature_id", "window_id"], ITEM, CLUSTER, high_value())
+    return stats.ladder_cells(ev, ["feature_id", "window_id"], item_cell(), cluster_cell(), high_value())
 
 
 # ---- monthly shipments per part, brand and in total -------------------------------------------------------------

@@ -105,7 +105,7 @@ TWO = (
 def two_windows(spark, sf):
     ev = tables.events(spark, sf).withColumn("feature_id", F.col("event_type"))
     cells = stats.two_window_cells(
-        ev, ["feature_id"], cm.ITEM, cm.CLUSTER, F.date_diff(F.lit(ASOF).cast("date"), F.to_date("ts")),
+        ev, ["feature_id"], cm.item_cell(), cm.cluster_cell(), F.date_diff(F.lit(ASOF).cast("date"), F.to_date("ts")),
         {"W1": 7, "W0": 28}, cm.high_value(),
     )
     per_window = cells.groupBy("feature_id", "level", "window_id").agg(

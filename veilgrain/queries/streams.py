@@ -116,7 +116,7 @@ SELECT window_id, level, cell, event_id FROM c WHERE rn <= 2""",
 )
 def stream_contribution_cap(spark, sf):
     ev = stream(spark, sf).withColumn("window_id", tr.week_id(F.col("ts")))
-    path = ingest.capped_ingest(tr.ladder(ev, cm.ITEM, cm.CLUSTER), 2)
+    path = ingest.capped_ingest(tr.ladder(ev, cm.item_cell(), cm.cluster_cell()), 2)
     return ingest.read_capped(spark, path, 2).select("window_id", "level", "cell", "event_id")
 
 
