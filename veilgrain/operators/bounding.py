@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veilgrain.functions.noise import keyed_uniform
 from veilgrain.functions.scalar import clamp
+from veilgrain.operators.transforms import ladder
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int = 1) -> DataFrame:
@@ -47,20 +49,33 @@ def contributor_partials(df: DataFrame, lo: float, hi: float, extra: Sequence[st
     )
 
 
+def count_partials(df: DataFrame, item: Column, cluster: Column, cap: int, keys: Sequence[str] = ("window_id",)) -> DataFrame:
+    """Capped row counts per contributor and cell at every level, without ranking rows.
+
+    Keeping at most ``cap`` rows of a contributor in a cell leaves min(cap, n) of them. Counts add up along the ladder,
+    so events are counted once per contributor and item, map-side first, and only those counts are repeated per level.
+    """
+    items = df.groupBy(*keys, "contributor", item.alias("_item"), cluster.alias("_cluster")).agg(F.count("*").alias("n"))
+    return (
+        ladder(items, F.col("_item"), F.col("_cluster"))
+        .groupBy(*keys, "contributor", "level", "lvl", "cell")
+        .agg(F.sum("n").alias("n"))
+        .withColumn("n", F.least(F.lit(cap), F.col("n")))
+    )
+
+
 def l0_cell_cap(partials: DataFrame, max_cells: int, secret: str, extra: Sequence[str] = ()) -> DataFrame:
     """At most ``max_cells`` cells per contributor, window and level, chosen by a keyed hash."""
-    order = F.md5(F.concat_ws("|", F.lit(secret), F.col("contributor").cast("string"), "window_id", "level", "cell"))
+    order = keyed_uniform(secret, F.col("contributor"), F.col("window_id"), F.col("level"), F.col("cell"))
     return keep_first(partials, [*extra, "contributor", "window_id", "level"], [order, F.col("cell")], max_cells)
 
 
 def stage(partials: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Staging rows per window and cell. The contributor leaves the data here."""
-    return partials.groupBy(*extra, "window_id", "level", "lvl", "cell").agg(
-        F.sum("n").alias("event_count"),
-        F.sum("s").alias("value_sum"),
-        F.sum("ss").alias("value_sumsq"),
-        F.count("*").alias("contributors_count"),
-    )
+    sums = [F.sum("n").alias("event_count"), F.count("*").alias("contributors_count")]
+    if "s" in partials.columns:
+        sums += [F.sum("s").alias("value_sum"), F.sum("ss").alias("value_sumsq")]
+    return partials.groupBy(*extra, "window_id", "level", "lvl", "cell").agg(*sums)
 
 
 def frequency_cap(df: DataFrame, per_window: int, per_cell: int, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from veilgrain.functions.noise import gaussian, laplace, two_sided_geometric
 from veilgrain.operators import bounding
+from veilgrain.operators.transforms import ladder
 from veilgrain.schema import ReleaseContract
+from veilgrain.session import store
 
 Z95 = 1.959964
 
@@ -43,7 +45,10 @@ def choose_level(staged: DataFrame, keys: Sequence[str], k_min: int, finest: int
 
 
 def downgrade_feature(staged: DataFrame, keys: Sequence[str], k_min: int, finest: int = 0, coarsest: int = 2) -> DataFrame:
-    """Cells of the chosen level. ``staged`` holds all levels, each aggregated from bounded rows of its own."""
+    """Cells of the chosen level. ``staged`` holds all levels, each aggregated from bounded rows of its own.
+
+    It is read twice, for the choice and for the cells, so it should be a stored staging table.
+    """
     return staged.join(choose_level(staged, keys, k_min, finest, coarsest), [*keys, "lvl"], "left_semi")
 
 
@@ -64,13 +69,13 @@ def downgrade_cells(df: DataFrame, levels: Sequence[str], k_min: int, keys: Sequ
     base = df.groupBy(*keys, *levels, contributor).agg(
         F.count("*").alias("n"), F.sum(value).alias("v")
     )
-    out, rest = None, base
+    out, rest = None, store(base, "downgrade-base")
     for depth, cell in enumerate(levels):
         cells = rest.groupBy(*keys, cell, contributor).agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
         cells = cells.groupBy(*keys, cell).agg(
             F.count("*").alias("contributors_count"), F.sum("n").alias("event_count"), F.sum("v").alias("value_sum")
         )
-        passing = cells.filter(F.col("contributors_count") >= k_min)
+        passing = store(cells.filter(F.col("contributors_count") >= k_min), "downgrade-cells")
         released = passing.select(
             *keys, F.lit(depth).alias("lvl"), F.lit(depth > 0).alias("residual"),
             F.col(cell).cast("string").alias("cell"), "contributors_count", "event_count", "value_sum",
@@ -122,11 +127,12 @@ def dp_metrics(cells: DataFrame, c: ReleaseContract, key: Sequence[str] = ("wind
     """Noised count, sum and mean of each cell. Only noised values stay in the result."""
     k = [F.col(x) for x in key]
     count = F.greatest(F.lit(0.0), add_noise(F.col("event_count"), c.mechanism, "COUNT", c, k))
-    total = add_noise(F.col("value_sum"), c.mechanism, "SUM", c, k)
-    out = cells.withColumn("dp_event_count", count).withColumn("dp_value_sum", total)
-    return out.withColumn(
-        "dp_value_mean", F.col("dp_value_sum") / F.greatest(F.lit(1.0), F.col("dp_event_count"))
-    ).drop("event_count", "value_sum", "value_sumsq", "contributors_count", "passes")
+    out = cells.withColumn("dp_event_count", count)
+    if "SUM" in c.metrics:
+        out = out.withColumn("dp_value_sum", add_noise(F.col("value_sum"), c.mechanism, "SUM", c, k)).withColumn(
+            "dp_value_mean", F.col("dp_value_sum") / F.greatest(F.lit(1.0), F.col("dp_event_count"))
+        )
+    return out.drop("event_count", "value_sum", "value_sumsq", "contributors_count", "passes")
 
 
 def dp_mean_bounded01(mean: Column, n: Column, sigma: float, *key) -> Column:
@@ -172,12 +178,20 @@ def with_provenance(df: DataFrame, c: ReleaseContract, release_ts_ms: Column | i
 
 
 # ---- whole path -------------------------------------------------------------------------------------------------
-def bounded_staging(laddered: DataFrame, c: ReleaseContract, cap_cells: bool = True) -> DataFrame:
-    """Laddered events to staging: cap rows per cell, clip, optionally cap cells per contributor, aggregate."""
-    partials = bounding.contributor_partials(bounding.contribution_cap(laddered, c.cap), c.lo, c.hi)
+def bounded_staging(events: DataFrame, item: Column, cluster: Column, c: ReleaseContract,
+                    order: Sequence[str] = ("ts", "event_id"), cap_cells: bool = True) -> DataFrame:
+    """Events to a stored staging table: cap rows per cell, clip, cap cells per contributor, aggregate.
+
+    A contract that releases only counts needs no ranking of rows; its capped counts come from plain aggregation.
+    """
+    if "SUM" in c.metrics:
+        capped = bounding.contribution_cap(ladder(events, item, cluster), c.cap, order=order)
+        partials = bounding.contributor_partials(capped, c.lo, c.hi)
+    else:
+        partials = bounding.count_partials(events, item, cluster, c.cap)
     if cap_cells:
         partials = bounding.l0_cell_cap(partials, c.max_cells, c.secret)
-    return bounding.stage(partials)
+    return store(bounding.stage(partials), "staging")
 
 
 def release(staged: DataFrame, c: ReleaseContract, release_ts_ms: Column | int) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from veilgrain.operators.prefix import running_totals
 from veilgrain.operators.transforms import ladder
+from veilgrain.session import store
 
 
 def ladder_cells(df: DataFrame, keys: Sequence[str], item: Column, cluster: Column, outcome: Column | None = None) -> DataFrame:
@@ -83,25 +84,34 @@ def cell_supports(per_contributor: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _count_histogram(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Number of cells (and outcome sum) per cell count.
+
+    A group of N rows has at most sqrt(2N) different cell counts, since they add up to N. That bounds the windows
+    below: about 1.4 million rows for a group of 10^12.
+    """
+    return cells.groupBy(*keys, "cnt").agg(F.count("*").alias("n_cells"), F.sum("y").alias("y"))
+
+
 def feature_stats(cells: DataFrame, keys: Sequence[str], tail_share: float) -> DataFrame:
     """n_obs, n_distinct, min support, tail mass, mean rows per cell and sampling variance per key group.
 
     ``keys`` holds feature, window and level; the outcome summed in ``y`` is a 0/1 rate. Tail mass is the share of
     rows in cells whose own share is below ``tail_share``.
     """
-    hist = cells.groupBy(*keys, "cnt").agg(F.count("*").alias("n_cells"), F.sum("y").alias("y"))
     rows = F.col("cnt") * F.col("n_cells")
+    hist = _count_histogram(cells, keys).withColumn("_all", F.sum(rows).over(W.partitionBy(*keys)))
+    small = F.when(F.col("cnt") < tail_share * F.col("_all"), rows).otherwise(0)
     totals = hist.groupBy(*keys).agg(
         F.sum(rows).alias("n_obs"),
         F.sum("n_cells").alias("n_distinct_est"),
         F.min("cnt").alias("min_support_est"),
         F.sum("y").alias("_y"),
+        F.sum(small).alias("_tail"),
     )
-    small = F.when(F.col("cnt") < tail_share * F.col("n_obs"), rows).otherwise(0)
-    tails = hist.join(totals.select(*keys, "n_obs"), list(keys)).groupBy(*keys).agg(F.sum(small).alias("_tail"))
     rate = F.col("_y") / F.col("n_obs")
     n_eff = F.col("n_obs") / F.col("n_distinct_est")
-    return totals.join(tails, list(keys)).select(
+    return totals.select(
         *keys,
         "n_obs",
         "n_distinct_est",
@@ -117,16 +127,15 @@ def bottom_mass(cells: DataFrame, keys: Sequence[str], q: float) -> DataFrame:
 
     Cells of equal count share a rank, so ranks come from the histogram of counts.
     """
-    hist = cells.groupBy(*keys, "cnt").agg(F.count("*").alias("n_cells"))
-    ranked = running_totals(hist, keys, "cnt", ["n_cells"])
-    totals = hist.groupBy(*keys).agg(
-        F.sum("n_cells").alias("_all"), F.sum(F.col("cnt") * F.col("n_cells")).alias("_rows")
+    rows = F.col("cnt") * F.col("n_cells")
+    group = W.partitionBy(*keys)
+    before = F.coalesce(F.sum("n_cells").over(group.orderBy("cnt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = _count_histogram(cells, keys).select(
+        *keys, rows.alias("_rows"), before.alias("_before"), F.sum("n_cells").over(group).alias("_cells")
     )
-    pct = F.when(F.col("_all") > 1, F.col("before_n_cells") / (F.col("_all") - 1)).otherwise(F.lit(0.0))
-    return (
-        ranked.join(totals, list(keys))
-        .groupBy(*keys)
-        .agg((F.sum(F.when(pct <= q, F.col("cnt") * F.col("n_cells")).otherwise(0)) / F.max("_rows")).alias("bottom_mass"))
+    pct = F.when(F.col("_cells") > 1, F.col("_before") / (F.col("_cells") - 1)).otherwise(F.lit(0.0))
+    return ranked.groupBy(*keys).agg(
+        (F.sum(F.when(pct <= q, F.col("_rows")).otherwise(0)) / F.sum("_rows")).alias("bottom_mass")
     )
 
 
@@ -160,7 +169,7 @@ def binary_auc(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     ``value`` is a bigint; ``pos`` and ``neg`` count the rows of each label.
     """
     hist = df.groupBy(*keys, value).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    ranked = running_totals(hist, keys, value, ["neg"])
+    ranked = running_totals(store(hist, "auc-histogram"), keys, value, ["neg"])
     wins = F.col("pos").cast("double") * (F.col("before_neg") + 0.5 * F.col("neg"))
     p, n = F.sum("pos").cast("double"), F.sum("neg").cast("double")
     return ranked.groupBy(*keys).agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilgrain.operators import bounding, gates, probes, stats
+from veilgrain.operators import central, gates, probes, stats
 from veilgrain.operators import shuffle_dp as sh
 from veilgrain.queries import common as cm
 from veilgrain.queries.registry import R, query, r
@@ -233,9 +233,9 @@ def preaggregate_staging(spark, sf):
 
 
 def staged_events(spark, sf):
-    c = cm.CONTRACT
-    capped = bounding.contribution_cap(cm.laddered_events(spark, sf), c.cap)
-    return bounding.stage(bounding.contributor_partials(capped, c.lo, c.hi))
+    return central.bounded_staging(
+        cm.weekly_events(spark, sf), cm.item_cell(), cm.cluster_cell(), cm.CONTRACT, cap_cells=False
+    )
 
 
 CLICKS = """sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END)::BIGINT"""

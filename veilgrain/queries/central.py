@@ -12,7 +12,7 @@ from veilgrain.operators import ledger as lg
 from veilgrain.operators import transforms as tr
 from veilgrain.queries import common as cm
 from veilgrain.queries.aggregates import STAGED, click_cells, staged_events
-from veilgrain.queries.registry import GAUSS, GEOM, LAPLACE, R, query, r
+from veilgrain.queries.registry import GAUSS, GEOM, LAPLACE, R, U, query, r
 from veilgrain.schema import ReleaseContract
 
 C = cm.CONTRACT
@@ -28,7 +28,7 @@ BOUNDED = (
     PARTITION BY contributor, window_id, level, cell ORDER BY ts, event_id) AS rn FROM lad) WHERE rn <= 2),
  per AS (SELECT contributor, window_id, level, lvl, cell, count(*) AS n, sum(v) AS s FROM capped GROUP BY ALL),
  l0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contributor, window_id, level
-    ORDER BY md5({SECRET} || '|' || contributor || '|' || window_id || '|' || level || '|' || cell), cell) AS c0 FROM per) WHERE c0 <= 8),
+    ORDER BY {U(SECRET, 'contributor', 'window_id', 'level', 'cell')}, cell) AS c0 FROM per) WHERE c0 <= 8),
  staged AS (SELECT window_id, level, lvl, cell, sum(n)::BIGINT AS event_count, sum(s) AS value_sum, count(*) AS contributors_count FROM l0 GROUP BY ALL),
  pick AS (SELECT window_id, min(lvl) AS lvl FROM (SELECT window_id, lvl, min(contributors_count) AS m FROM staged GROUP BY ALL) WHERE m >= 20 GROUP BY 1),
  chosen AS (SELECT staged.* FROM staged JOIN pick USING (window_id, lvl))"""
@@ -37,7 +37,7 @@ L1, L2 = "16.0", "(2*sqrt(8))"
 
 
 def bounded(spark, sf):
-    return central.bounded_staging(cm.laddered_events(spark, sf), C)
+    return central.bounded_staging(cm.weekly_events(spark, sf), cm.item_cell(), cm.cluster_cell(), C)
 
 
 def chosen(spark, sf):
@@ -325,30 +325,45 @@ def commit_spend(spark, sf):
 SHIP_C = ReleaseContract(
     contract_id="c_shipments", feature_id="shipments_monthly", cap=2, max_cells=8, lo=0.0, hi=50000.0, k_min=25
 )
-
-
-@query(
-    "release_shipments",
-    f"""WITH {cm.SHIP}, lad AS (SELECT ship.*, level, lvl, CASE lvl WHEN 0 THEN l_partkey::VARCHAR WHEN 1 THEN p_brand ELSE 'all' END AS cell
+SHIP_STAGED = f"""{cm.SHIP}, lad AS (SELECT ship.*, level, lvl, CASE lvl WHEN 0 THEN l_partkey::VARCHAR WHEN 1 THEN p_brand ELSE 'all' END AS cell
    FROM ship, (VALUES ('ITEM', 0), ('CLUSTER', 1), ('AGGREGATE', 2)) l(level, lvl)),
  capped AS (SELECT * FROM (SELECT *, greatest(0.0, least(50000.0, value)) AS v, row_number() OVER (PARTITION BY contributor, window_id, level, cell
    ORDER BY l_shipdate, l_orderkey, l_linenumber, value, l_partkey) AS rn FROM lad) WHERE rn <= 2),
  per AS (SELECT contributor, window_id, level, lvl, cell, count(*) AS n, sum(v) AS s FROM capped GROUP BY ALL),
  l0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contributor, window_id, level
-    ORDER BY md5({SECRET} || '|' || contributor || '|' || window_id || '|' || level || '|' || cell), cell) AS c0 FROM per) WHERE c0 <= 8),
+    ORDER BY {U(SECRET, 'contributor', 'window_id', 'level', 'cell')}, cell) AS c0 FROM per) WHERE c0 <= 8),
  staged AS (SELECT window_id, level, lvl, cell, sum(n)::BIGINT AS event_count, sum(s) AS value_sum, count(*) AS contributors_count FROM l0 GROUP BY ALL),
- pick AS (SELECT window_id, min(lvl) AS lvl FROM (SELECT window_id, lvl, min(contributors_count) AS m FROM staged GROUP BY ALL) WHERE m >= 25 GROUP BY 1)
-SELECT window_id, level, cell, {R(f"greatest(0.0, event_count + 4.0 * {L2} * {GAUSS(*KEY, repr('COUNT'))})")} AS dp_event_count FROM staged JOIN pick USING (window_id, lvl)""",
+ pick AS (SELECT window_id, min(lvl) AS lvl FROM (SELECT window_id, lvl, min(contributors_count) AS m FROM staged GROUP BY ALL) WHERE m >= 25 GROUP BY 1)"""
+SHIP_COUNT = R(f"greatest(0.0, event_count + 4.0 * {L2} * {GAUSS(*KEY, repr('COUNT'))})")
+SHIP_SUM = R(f"value_sum + 4.0 * {L2} * 50000.0 * {GAUSS(*KEY, repr('SUM'))}", 2)
+
+
+def _ship_cells():
+    return F.col("l_partkey").cast("string"), F.col("p_brand")
+
+
+@query(
+    "release_shipments",
+    f"WITH {SHIP_STAGED} SELECT window_id, level, cell, {SHIP_COUNT} AS dp_event_count FROM staged JOIN pick USING (window_id, lvl)",
 )
 def release_shipments(spark, sf):
-    return shipments_release(spark, sf).select("window_id", "level", "cell", r(F.col("dp_event_count")).alias("dp_event_count"))
+    """Monthly shipment counts. Only counts are released, so nothing is ranked."""
+    counts_only = dataclasses.replace(SHIP_C, metrics=("COUNT",))
+    staged = central.bounded_staging(cm.monthly_shipments(spark, sf), *_ship_cells(), counts_only)
+    out = central.release(staged, counts_only, 1706745600000)
+    return out.select("window_id", "level", "cell", r(F.col("dp_event_count")).alias("dp_event_count"))
 
 
-def shipments_release(spark, sf):
-    rows = tr.ladder(cm.monthly_shipments(spark, sf), F.col("l_partkey"), F.col("p_brand"))
-    capped = bounding.contribution_cap(
-        rows, SHIP_C.cap, order=("l_shipdate", "l_orderkey", "l_linenumber", "value", "l_partkey")
+@query(
+    "release_shipment_value",
+    f"WITH {SHIP_STAGED} SELECT window_id, level, cell, {SHIP_COUNT} AS dp_event_count, {SHIP_SUM} AS dp_value_sum FROM staged JOIN pick USING (window_id, lvl)",
+)
+def release_shipment_value(spark, sf):
+    """Counts and clipped values: the first two rows of a customer per cell decide, so rows are ranked."""
+    order = ("l_shipdate", "l_orderkey", "l_linenumber", "value", "l_partkey")
+    staged = central.bounded_staging(cm.monthly_shipments(spark, sf), *_ship_cells(), SHIP_C, order)
+    out = central.release(staged, SHIP_C, 1706745600000)
+    return out.select(
+        "window_id", "level", "cell", r(F.col("dp_event_count")).alias("dp_event_count"),
+        r(F.col("dp_value_sum"), 2).alias("dp_value_sum"),
     )
-    partials = bounding.contributor_partials(capped, SHIP_C.lo, SHIP_C.hi)
-    staged = bounding.stage(bounding.l0_cell_cap(partials, SHIP_C.max_cells, SHIP_C.secret))
-    return central.release(staged, SHIP_C, 1706745600000)

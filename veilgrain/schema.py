@@ -182,4 +182,5 @@ class ReleaseContract:
     epsilon: float = 1.0
     delta: float = 1e-6
     mechanism: str = "GAUSSIAN"
+    metrics: tuple[str, ...] = ("COUNT", "SUM")
     secret: str = "rotate-me"
