@@ -28,6 +28,20 @@ def keyed_uniform(*parts, digest: str = "md5") -> Column:
     return (head + F.lit(0.5)) / F.lit(float(2**HASH_BITS))
 
 
+WORDS_PER_DIGEST = 8
+
+
+def digest_words(n: int, *parts) -> list[Column]:
+    """The SHA-256 digests needed for ``n`` 32-bit words; put them in columns, then read them with ``word_uniform``."""
+    return [F.sha2(_key([*parts, f"w{i}"]), 256) for i in range(-(-n // WORDS_PER_DIGEST))]
+
+
+def word_uniform(digest: Column, word: int) -> Column:
+    """Uniform on (0, 1) from one 32-bit word of a digest: many coins for one hash."""
+    head = F.conv(F.substring(digest, 1 + 8 * word, 8), 16, 10).cast("bigint")
+    return (head + F.lit(0.5)) / F.lit(float(2**32))
+
+
 def gaussian(*parts, digest: str = "md5") -> Column:
     """Standard normal by Box-Muller from two keyed uniforms."""
     u1 = keyed_uniform(*parts, "g1", digest=digest)

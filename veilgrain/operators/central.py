@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgrain.functions.noise import gaussian, laplace, two_sided_geometric
+from veilgrain.functions.noise import classic_sigma, gaussian, laplace, two_sided_geometric
 from veilgrain.operators import bounding
 from veilgrain.operators.transforms import ladder
 from veilgrain.schema import ReleaseContract
@@ -100,12 +100,20 @@ def sensitivity(metric: str, cap: int, max_cells: int, lo: float, hi: float) ->
     return cap * max_cells * unit, cap * math.sqrt(max_cells) * unit
 
 
+def multiplier(c: ReleaseContract) -> float:
+    """Gaussian noise multiplier: calibrated, or the contract's own if it supports the stated epsilon and delta."""
+    needed = classic_sigma(c.epsilon, c.delta)
+    if c.sigma is not None and c.sigma < needed:
+        raise ValueError(f"sigma {c.sigma} is below {needed:.4f}, which epsilon {c.epsilon} and delta {c.delta} need")
+    return needed if c.sigma is None else c.sigma
+
+
 def add_noise(value: Column, mechanism: str, metric: str, c: ReleaseContract, key: Sequence[Column]) -> Column:
     """Noised value under the contract; the key fixes the draw for this release."""
     l1, l2 = sensitivity(metric, c.cap, c.max_cells, c.lo, c.hi)
     parts = [c.secret, c.contract_version, *key, metric]
     if mechanism == "GAUSSIAN":
-        return value + F.lit(c.sigma * l2) * gaussian(*parts)
+        return value + F.lit(multiplier(c) * l2) * gaussian(*parts)
     if mechanism == "LAPLACE":
         return value + laplace(F.lit(l1 / c.epsilon), *parts)
     if mechanism == "DISCRETE":
@@ -116,7 +124,7 @@ def add_noise(value: Column, mechanism: str, metric: str, c: ReleaseContract, ke
 def noise_sd(mechanism: str, metric: str, c: ReleaseContract) -> float:
     l1, l2 = sensitivity(metric, c.cap, c.max_cells, c.lo, c.hi)
     if mechanism == "GAUSSIAN":
-        return c.sigma * l2
+        return multiplier(c) * l2
     if mechanism == "LAPLACE":
         return math.sqrt(2.0) * l1 / c.epsilon
     alpha = math.exp(-c.epsilon / l1)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgrain.functions.noise import keyed_uniform
+from veilgrain.functions.noise import WORDS_PER_DIGEST, digest_words, keyed_uniform, word_uniform
 from veilgrain.operators.transforms import hash_bucket
 
 
@@ -44,20 +44,25 @@ def unary_probabilities(epsilon: float, optimized: bool = True) -> tuple[float,
     return half / (half + 1.0), 1.0 / (half + 1.0)
 
 
-def unary_bits(index: Column, domain: int, epsilon: float, *key, optimized: bool = True) -> list[Column]:
-    """One randomized bit per domain value. Kept as columns: reports are summed without being exploded."""
-    p, q = unary_probabilities(epsilon, optimized)
-    bits = []
-    for v in range(domain):
-        u = keyed_uniform(*key, f"ue{v}")
-        bits.append(F.when(index == v, u < p).otherwise(u < q).cast("int"))
-    return bits
+def _with_coins(df: DataFrame, n: int, *key) -> tuple[DataFrame, list[Column]]:
+    """``n`` keyed uniforms per row at one hash for every eight of them."""
+    digests = digest_words(n, *key)
+    names = [f"_digest{i}" for i in range(len(digests))]
+    df = df.withColumns(dict(zip(names, digests)))
+    return df, [word_uniform(F.col(names[i // WORDS_PER_DIGEST]), i % WORDS_PER_DIGEST) for i in range(n)]
+
 
+def unary_sums(df: DataFrame, keys: Sequence[str], index: Column, domain: int, epsilon: float, *key,
+               optimized: bool = True) -> DataFrame:
+    """Randomized unary reports summed per cell: n reports and, per domain value v, the ones y.
 
-def unary_sums(df: DataFrame, keys: Sequence[str], bits: Sequence[Column]) -> DataFrame:
-    """Per cell and domain value v: n reports and the sum of bit v. For domains of a few dozen values."""
-    sums = F.array(*[F.sum(b) for b in bits])
-    wide = df.groupBy(*keys).agg(F.count("*").alias("n"), sums.alias("_y"))
+    Bits stay columns of one aggregate, so reports are never exploded. For domains of a few dozen values; larger ones
+    are better served by the Hadamard response.
+    """
+    p, q = unary_probabilities(epsilon, optimized)
+    df, coins = _with_coins(df.withColumn("_v", index), domain, *key)
+    bits = [F.when(F.col("_v") == v, u < p).otherwise(u < q).cast("int") for v, u in enumerate(coins)]
+    wide = df.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.sum(b) for b in bits]).alias("_y"))
     return wide.select(*keys, "n", F.posexplode("_y").alias("v", "y"))
 
 
@@ -98,23 +103,24 @@ def hadamard_estimate(df: DataFrame, keys: Sequence[str], row: str, bit: str, do
 
 
 # ---- open domains: count-mean sketch ------------------------------------------------------------------------------
-def sketch_bits(value: Column, depth: int, width: int, epsilon: float, *key) -> tuple[Column, list[Column]]:
-    """(row, bits): a uniform sketch row and its one-hot vector with every bit flipped independently."""
+def _sketch_column(row: Column, value: Column, width: int) -> Column:
+    return hash_bucket(F.concat_ws("|", row.cast("string"), value.cast("string")), "sketch", width)
+
+
+def sketch_sums(df: DataFrame, keys: Sequence[str], value: Column, depth: int, width: int, epsilon: float, *key) -> DataFrame:
+    """Randomized sketch reports summed per cell, sketch row and column.
+
+    A report is a uniform row and the one-hot vector of the value's column in it, every bit flipped independently.
+    """
     p = keep_probability(epsilon / 2)
     row = F.floor(keyed_uniform(*key, "srow") * depth).cast("int")
-    col = hash_bucket(F.concat_ws("|", row.cast("string"), value.cast("string")), "sketch", width)
+    df = df.withColumn("row", row).withColumn("_col", _sketch_column(F.col("row"), value, width))
+    df, coins = _with_coins(df, width, *key)
     bits = []
-    for w in range(width):
-        one = (col == w).cast("int")
-        bits.append(F.when(keyed_uniform(*key, f"sw{w}") < p, one).otherwise(1 - one).cast("int"))
-    return row, bits
-
-
-def sketch_sums(df: DataFrame, keys: Sequence[str], row: Column, bits: Sequence[Column]) -> DataFrame:
-    """Per cell, sketch row and column: reports in the row and sum of bits."""
-    wide = df.groupBy(*keys, row.alias("row")).agg(
-        F.count("*").alias("nj"), F.array(*[F.sum(b) for b in bits]).alias("_y")
-    )
+    for w, u in enumerate(coins):
+        one = (F.col("_col") == w).cast("int")
+        bits.append(F.when(u < p, one).otherwise(1 - one))
+    wide = df.groupBy(*keys, "row").agg(F.count("*").alias("nj"), F.array(*[F.sum(b) for b in bits]).alias("_y"))
     return wide.select(*keys, "row", "nj", F.posexplode("_y").alias("col", "y"))
 
 
@@ -126,7 +132,7 @@ def sketch_estimate(sums: DataFrame, keys: Sequence[str], domain: DataFrame, val
     rows = F.explode(F.sequence(F.lit(0), F.lit(depth - 1)))
     probes = domain.select(value).distinct().withColumn("row", rows)
     probes = probes.withColumn(
-        "col", hash_bucket(F.concat_ws("|", F.col("row").cast("string"), F.col(value).cast("string")), "sketch", width)
+        "col", _sketch_column(F.col("row"), F.col(value), width)
     )
     totals = sums.filter("col = 0").groupBy(*keys).agg(F.sum("nj").alias("n"))
     hits = debiased.join(probes, ["row", "col"]).groupBy(*keys, value).agg(F.sum("c").alias("t"))

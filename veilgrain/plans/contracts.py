@@ -111,7 +111,7 @@ def contract_bundles(contracts: DataFrame, specs: DataFrame, policy: ReleaseCont
     )
     dp = F.struct(
         F.col("selected_boundary").alias("boundary"), F.lit(policy.mechanism).alias("mechanism"),
-        F.lit(policy.epsilon).alias("epsilon"), F.lit(policy.delta).alias("delta"), F.lit(policy.sigma).alias("sigma"),
+        F.lit(policy.epsilon).alias("epsilon"), F.lit(policy.delta).alias("delta"), F.lit(policy.sigma).cast("double").alias("sigma"),
     )
     return contracts.join(specs, "feature_id").select(
         "feature_id", "contract_version", rfc.alias("rfc"), transform_plan.alias("transform_plan"),

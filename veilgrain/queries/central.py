@@ -33,7 +33,9 @@ BOUNDED = (
  pick AS (SELECT window_id, min(lvl) AS lvl FROM (SELECT window_id, lvl, min(contributors_count) AS m FROM staged GROUP BY ALL) WHERE m >= 20 GROUP BY 1),
  chosen AS (SELECT staged.* FROM staged JOIN pick USING (window_id, lvl))"""
 )
-L1, L2 = "16.0", "(2*sqrt(8))"
+L2 = "(2*sqrt(8))"
+SIG = "sqrt(2 * ln(1.25 / 1e-6))"  # classic multiplier at epsilon 1, delta 1e-6
+CTR_SIGMA = 4.0
 
 
 def bounded(spark, sf):
@@ -132,8 +134,8 @@ def sensitivity(spark, sf):
 
 
 # ---- mechanisms -------------------------------------------------------------------------------------------------
-G_COUNT = f"greatest(0.0, event_count + 4.0 * {L2} * {GAUSS(*KEY, repr('COUNT'))})"
-G_SUM = f"(value_sum + 4.0 * {L2} * 200.0 * {GAUSS(*KEY, repr('SUM'))})"
+G_COUNT = f"greatest(0.0, event_count + {SIG} * {L2} * {GAUSS(*KEY, repr('COUNT'))})"
+G_SUM = f"(value_sum + {SIG} * {L2} * 200.0 * {GAUSS(*KEY, repr('SUM'))})"
 
 
 @query("dp_count", f"WITH {BOUNDED} SELECT window_id, level, cell, {R(G_COUNT)} AS dp_event_count FROM chosen")
@@ -169,7 +171,7 @@ def dp_mean_bounded01(spark, sf):
     cells = click_cells(cm.weekly_events(spark, sf), ["window_id", F.col("k").alias("cell")])
     mean = F.col("clicks") / F.greatest(F.lit(1), F.col("impressions"))
     value = central.dp_mean_bounded01(
-        mean, F.col("impressions"), C.sigma, C.secret, C.contract_version, F.col("window_id"), F.col("cell"), "ctr"
+        mean, F.col("impressions"), CTR_SIGMA, C.secret, C.contract_version, F.col("window_id"), F.col("cell"), "ctr"
     )
     return cells.select("window_id", "cell", r(value).alias("dp_ctr"))
 
@@ -223,15 +225,14 @@ def mech_discrete(spark, sf):
 FROM chosen GROUP BY ALL""",
 )
 def calibrate_sigma(spark, sf):
-    multiplier = noise.classic_sigma(C.epsilon, C.delta)
-    calibrated = dataclasses.replace(C, sigma=multiplier)
-    sd = central.noise_sd("GAUSSIAN", "COUNT", calibrated)
+    multiplier = central.multiplier(C)
+    sd = central.noise_sd("GAUSSIAN", "COUNT", C)
     return chosen(spark, sf).groupBy("window_id", "level").agg(F.count("*").alias("n_cells")).withColumns(
         {"multiplier": r(F.lit(multiplier)), "sd": r(F.lit(sd))}
     )
 
 
-SD = f"(4.0 * {L2})"
+SD = f"({SIG} * {L2})"
 
 
 @query(
@@ -300,7 +301,7 @@ def materialize_active(spark, sf):
     contracts = latest.withColumns(
         {
             "active": F.lit(True),
-            "sigma": F.lit(C.sigma),
+            "sigma": F.lit(CTR_SIGMA),
             "lvl_preferred": F.when(F.col("granularity") == "ITEM", 0).when(F.col("granularity") == "CLUSTER", 1).otherwise(2),
         }
     )
@@ -311,14 +312,14 @@ def materialize_active(spark, sf):
 @query(
     "commit_spend",
     f"""WITH {BOUNDED} SELECT DISTINCT 'events_weekly' AS feature_id, 'v1' AS contract_version, 'CENTRAL' AS boundary, level AS granularity, 'user' AS privacy_unit,
-  CAST(window_id AS DATE) AS window_day, 'BASIC' AS accountant, 1.0::DOUBLE AS epsilon_spend, 1e-6::DOUBLE AS delta_spend, 'COMMITTED' AS status FROM chosen""",
+  CAST(window_id AS DATE) AS window_day, 'BASIC' AS accountant, 2.0::DOUBLE AS epsilon_spend, 2e-6::DOUBLE AS delta_spend, 'COMMITTED' AS status FROM chosen""",
 )
 def commit_spend(spark, sf):
-    """Ledger rows of the released weeks."""
+    """Ledger rows of the released weeks; count and sum each spend the contract's epsilon and delta."""
     rel = released(spark, sf).select(
         "feature_id", F.col("level").alias("granularity"), F.col("window_id").cast("date").alias("window_day")
     )
-    return lg.commit_spend(rel, C.epsilon, C.delta, "CENTRAL", C.contract_version).drop("created_at")
+    return lg.commit_spend(rel, C.epsilon * len(C.metrics), C.delta * len(C.metrics), "CENTRAL", C.contract_version).drop("created_at")
 
 
 # ---- the same release over shipments, the larger table ----------------------------------------------------------
@@ -334,8 +335,8 @@ SHIP_STAGED = f"""{cm.SHIP}, lad AS (SELECT ship.*, level, lvl, CASE lvl WHEN 0
     ORDER BY {U(SECRET, 'contributor', 'window_id', 'level', 'cell')}, cell) AS c0 FROM per) WHERE c0 <= 8),
  staged AS (SELECT window_id, level, lvl, cell, sum(n)::BIGINT AS event_count, sum(s) AS value_sum, count(*) AS contributors_count FROM l0 GROUP BY ALL),
  pick AS (SELECT window_id, min(lvl) AS lvl FROM (SELECT window_id, lvl, min(contributors_count) AS m FROM staged GROUP BY ALL) WHERE m >= 25 GROUP BY 1)"""
-SHIP_COUNT = R(f"greatest(0.0, event_count + 4.0 * {L2} * {GAUSS(*KEY, repr('COUNT'))})")
-SHIP_SUM = R(f"value_sum + 4.0 * {L2} * 50000.0 * {GAUSS(*KEY, repr('SUM'))}", 2)
+SHIP_COUNT = R(f"greatest(0.0, event_count + {SIG} * {L2} * {GAUSS(*KEY, repr('COUNT'))})")
+SHIP_SUM = R(f"value_sum + {SIG} * {L2} * 50000.0 * {GAUSS(*KEY, repr('SUM'))}", 2)
 
 
 def _ship_cells():

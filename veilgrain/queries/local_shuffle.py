@@ -9,7 +9,7 @@ from veilgrain.operators import local_dp as ld
 from veilgrain.operators import shuffle_dp as sh
 from veilgrain.operators import transforms as tr
 from veilgrain.queries import common as cm
-from veilgrain.queries.registry import GAUSS, R, U, query, r
+from veilgrain.queries.registry import GAUSS, R, U, W, query, r
 from veilgrain.schema import RANDOMIZED_REPORT
 from veilgrain.sources import sinks
 
@@ -47,15 +47,14 @@ def rr_binary_estimate(spark, sf):
 
 
 PU, QU = ld.unary_probabilities(EPS)
-UE = f"""{cm.EV}, ue AS (SELECT window_id, v, CASE WHEN list_position({EVENTS_IN}, event_type) - 1 = v THEN ({U(SECRET, 'event_id', "('ue' || v)")} < {PU!r})::INT
-   ELSE ({U(SECRET, 'event_id', "('ue' || v)")} < {QU!r})::INT END AS bit FROM ev, range(0, 5) t(v)),
+UE = f"""{cm.EV}, ue AS (SELECT window_id, v, CASE WHEN list_position({EVENTS_IN}, event_type) - 1 = v THEN ({W('v', SECRET, 'event_id')} < {PU!r})::INT
+   ELSE ({W('v', SECRET, 'event_id')} < {QU!r})::INT END AS bit FROM ev, range(0, 5) t(v)),
  us AS (SELECT window_id, v, count(*) AS n, sum(bit)::BIGINT AS y FROM ue GROUP BY ALL)"""
 
 
 def unary_sums(spark, sf):
     index = tr.category_index(F.col("event_type"), cm.EVENT_TYPES)
-    bits = ld.unary_bits(index, 5, EPS, *_key())
-    return ld.unary_sums(cm.weekly_events(spark, sf), ["window_id"], bits)
+    return ld.unary_sums(cm.weekly_events(spark, sf), ["window_id"], index, 5, EPS, *_key())
 
 
 @query("ue_k", f"WITH {UE} SELECT window_id, CAST(v AS INT) AS v, n, y FROM us")
@@ -106,13 +105,12 @@ def _col(row: str, value: str) -> str:
 
 SK = f"""{cm.EV}, k0 AS (SELECT window_id, event_id, k, CAST(floor({U(SECRET, 'event_id', "'srow'")} * {D}) AS BIGINT) AS rw FROM ev),
  k1 AS (SELECT *, {_col('rw', 'k')} AS cl FROM k0),
- kb AS (SELECT window_id, rw, w, CASE WHEN {U(SECRET, 'event_id', "('sw' || w)")} < {PS!r} THEN (cl = w)::INT ELSE 1 - (cl = w)::INT END AS bit FROM k1, range(0, {WID}) t(w)),
+ kb AS (SELECT window_id, rw, w, CASE WHEN {W('w', SECRET, 'event_id')} < {PS!r} THEN (cl = w)::INT ELSE 1 - (cl = w)::INT END AS bit FROM k1, range(0, {WID}) t(w)),
  ks AS (SELECT window_id, rw, w, count(*) AS nj, sum(bit)::BIGINT AS y FROM kb GROUP BY ALL)"""
 
 
 def sketch_sums(spark, sf):
-    row, bits = ld.sketch_bits(F.col("k"), D, WID, EPS, *_key())
-    return ld.sketch_sums(cm.weekly_events(spark, sf), ["window_id"], row, bits)
+    return ld.sketch_sums(cm.weekly_events(spark, sf), ["window_id"], F.col("k"), D, WID, EPS, *_key())
 
 
 @query("sketch_wxd", f'WITH {SK} SELECT window_id, CAST(rw AS INT) AS "row", CAST(w AS INT) AS col, nj, y FROM ks')

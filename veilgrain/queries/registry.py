@@ -40,6 +40,13 @@ def U(*parts: str) -> str:
     return f"((('0x'||substr(md5({key}),1,12))::BIGINT+0.5)/281474976710656.0)"
 
 
+def W(word: str, *parts: str) -> str:
+    """SQL counterpart of ``word_uniform``: uniform number ``word`` (a SQL integer) of a key."""
+    key = "||'|'||".join(parts)
+    hashed = f"sha256({key}||'|w'||(({word}) // 8))"
+    return f"((('0x'||substr({hashed}, CAST(1 + 8 * (({word}) % 8) AS BIGINT), 8))::BIGINT+0.5)/4294967296.0)"
+
+
 def GAUSS(*parts: str) -> str:
     return f"(sqrt(-2.0*ln({U(*parts, repr('g1'))}))*cos(6.283185307179586*{U(*parts, repr('g2'))}))"
 

@@ -178,7 +178,7 @@ class ReleaseContract:
     lo: float = 0.0
     hi: float = 200.0
     k_min: int = 20
-    sigma: float = 4.0
+    sigma: float | None = None  # noise multiplier; None calibrates it from epsilon and delta
     epsilon: float = 1.0
     delta: float = 1e-6
     mechanism: str = "GAUSSIAN"
