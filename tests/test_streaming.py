@@ -37,8 +37,8 @@ def folder(spark, tmp_path):
 def test_late_rows_are_dropped_and_counted(spark, folder):
     stream = ingest.with_watermark(ingest.event_stream(spark, folder, files_per_trigger=1), "1 day")
     daily = stream.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
-    path, query = ingest.run_to_table(daily, "late")
-    got = {r.d.isoformat(): r.n for r in spark.read.parquet(path).select(F.to_date("window.start").alias("d"), "n").collect()}
+    table, query = ingest.run_to_table(daily, "late")
+    got = {r.d.isoformat(): r.n for r in table.select(F.to_date("window.start").alias("d"), "n").collect()}
     assert ingest.late_rows(query) == 1
     assert got["2024-01-01"] == 40 and got["2024-01-02"] == 40
 
@@ -46,9 +46,9 @@ def test_late_rows_are_dropped_and_counted(spark, folder):
 def test_cap_over_batches_equals_batch_cap(spark, folder):
     stream = ingest.event_stream(spark, folder, files_per_trigger=1).withColumn("window_id", tr.week_id(F.col("ts")))
     item, cluster = F.col("k").cast("string"), F.col("event_type")
-    path = ingest.capped_ingest(tr.ladder(stream, item, cluster), 2)
+    parts = ingest.capped_ingest(tr.ladder(stream, item, cluster), 2)
     key = ("event_id", "level", "cell")
-    got = sorted(map(tuple, ingest.read_capped(spark, path, 2).select(*key).collect()))
+    got = sorted(map(tuple, ingest.merge_capped(parts, 2).select(*key).collect()))
     batch = spark.read.parquet(folder)
     shaped = tr.ladder(
         batch.select("event_id", F.col("user_id").alias("contributor"), "ts", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
@@ -57,13 +57,12 @@ def test_cap_over_batches_equals_batch_cap(spark, folder):
     )
     want = sorted(map(tuple, bounding.contribution_cap(shaped, 2).select(*key).collect()))
     assert got == want
-    stored = spark.read.parquet(path)
-    assert stored.select("batch_id").distinct().count() == 5
+    assert parts.select("batch_id").distinct().count() == 5
 
 
 def test_dedupe_across_batches(spark, folder):
     write_day(spark, folder, "again", [(1, START + dt.timedelta(days=4), 1, "click", 1.0, '{"k": 1}')])
     stream = ingest.event_stream(spark, folder, files_per_trigger=1)
-    path, _ = ingest.run_to_table(ingest.dedupe_stream(stream, "event_id", "5 days"), "dedupe")
-    ids = [r.event_id for r in spark.read.parquet(path).select("event_id").collect()]
+    table, _ = ingest.run_to_table(ingest.dedupe_stream(stream, "event_id", "5 days"), "dedupe")
+    ids = [r.event_id for r in table.select("event_id").collect()]
     assert len(ids) == len(set(ids)) == 202

@@ -253,7 +253,7 @@ def released(spark, sf):
     return central.release(bounded(spark, sf), C, 1706745600000)
 
 
-def _published(df):
+def published(df):
     return df.select(
         "window_id", "level", "cell", r(F.col("dp_event_count")).alias("dp_event_count"),
         r(F.col("dp_value_sum"), 4).alias("dp_value_sum"), "contract_id", "contract_version", "feature_id",
@@ -263,7 +263,7 @@ def _published(df):
 
 @query("release_provenance", f"WITH {BOUNDED} {RELEASE}")
 def release_provenance(spark, sf):
-    return _published(released(spark, sf))
+    return published(released(spark, sf))
 
 
 @query(

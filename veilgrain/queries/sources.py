@@ -91,26 +91,26 @@ def list_and_lookup(spark, sf):
 
 
 # ---- staging ----------------------------------------------------------------------------------------------------
-def _write_staging(spark, sf):
+def _staging_table(spark, sf):
+    """(path, table) of the staged cells, partitioned by window."""
     staged = staged_events(spark, sf).select(
         F.lit("c_events").alias("contract_id"), F.lit("v1").alias("contract_version"),
         F.lit("events_weekly").alias("feature_id"), "window_id", "level", "lvl", "cell", "event_count", "value_sum",
         "value_sumsq", "contributors_count",
     )
-    return sinks.write_partitioned(staged, run_folder(spark, "staging"), ["window_id"])
+    path = sinks.write_partitioned(staged, run_folder(spark, "staging"), ["window_id"])
+    return path, sinks.read_partitioned(staged, path)
 
 
 @query("sink_staging", f"WITH {STAGED} SELECT window_id, level, cell, event_count, {R('value_sum', 2)} AS value_sum, contributors_count FROM staged")
 def sink_staging(spark, sf):
     """Written twice, as a retried job would; the partitions are replaced, not duplicated."""
-    path = _write_staging(spark, sf)
+    path, table = _staging_table(spark, sf)
     ensure_checkpoint_dir(spark)
-    again = spark.read.parquet(path).filter("window_id = '2024-01-29'").withColumn("window_id", F.col("window_id").cast("string"))
-    sinks.write_partitioned(again.checkpoint(), path, ["window_id"])
-    back = spark.read.parquet(path)
-    return back.select(
-        F.col("window_id").cast("string").alias("window_id"), "level", "cell", "event_count",
-        r(F.col("value_sum"), 2).alias("value_sum"), "contributors_count",
+    last_week = table.filter("window_id = '2024-01-29'").checkpoint()
+    sinks.write_partitioned(last_week, path, ["window_id"])
+    return sinks.read_partitioned(table, path).select(
+        "window_id", "level", "cell", "event_count", r(F.col("value_sum"), 2).alias("value_sum"), "contributors_count"
     )
 
 
@@ -120,16 +120,16 @@ def sink_staging(spark, sf):
 )
 def read_staged(spark, sf):
     """Staged rows of one feature, level and window; only that window's partition is read."""
-    staged = spark.read.parquet(_write_staging(spark, sf))
+    _, staged = _staging_table(spark, sf)
     rows = staged.filter("feature_id = 'events_weekly' AND level = 'CLUSTER' AND window_id = '2024-01-15'")
     return rows.select("cell", "event_count", r(F.col("value_sum"), 2).alias("value_sum"))
 
 
 @query("sink_release", f"WITH {qc.BOUNDED} {qc.RELEASE}")
 def sink_release(spark, sf):
-    path = sinks.write_partitioned(qc.released(spark, sf), run_folder(spark, "release"), ["window_id"])
-    back = spark.read.parquet(path).withColumn("window_id", F.col("window_id").cast("string"))
-    return qc._published(back)
+    released = qc.released(spark, sf)
+    path = sinks.write_partitioned(released, run_folder(spark, "release"), ["window_id"])
+    return qc.published(sinks.read_partitioned(released, path))
 
 
 @query(

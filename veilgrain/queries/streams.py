@@ -27,8 +27,8 @@ def marked(spark, sf):
 
 @query("stream_events", f"WITH {cm.EV} SELECT event_id, contributor, event_type, k, value FROM ev")
 def stream_events(spark, sf):
-    path, _ = ingest.run_to_table(stream(spark, sf), "events")
-    return spark.read.parquet(path).drop("ts")
+    table, _ = ingest.run_to_table(stream(spark, sf), "events")
+    return table.drop("ts")
 
 
 @query(
@@ -38,8 +38,8 @@ def stream_events(spark, sf):
 def stream_watermark_lateness(spark, sf):
     """Daily counts with one day of allowed lateness; windows still open at the end are not emitted."""
     daily = marked(spark, sf).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
-    path, _ = ingest.run_to_table(daily, "lateness")
-    return spark.read.parquet(path).select(
+    table, _ = ingest.run_to_table(daily, "lateness")
+    return table.select(
         F.to_date("window.start").cast("string").alias("window_id"), "event_type", "n"
     )
 
@@ -50,8 +50,8 @@ def stream_watermark_lateness(spark, sf):
 )
 def stream_tumbling_staging(spark, sf):
     staged = windows.tumbling_staging(marked(spark, sf), "1 day", ["event_type"], tr.clip_numeric(F.col("value"), 0, 200))
-    path, _ = ingest.run_to_table(staged, "staging-stream")
-    return spark.read.parquet(path).withColumn("value_sum", r(F.col("value_sum"), 2))
+    table, _ = ingest.run_to_table(staged, "staging-stream")
+    return table.withColumn("value_sum", r(F.col("value_sum"), 2))
 
 
 @query(
@@ -61,8 +61,8 @@ def stream_tumbling_staging(spark, sf):
 def stream_distinct_contributors(spark, sf):
     decade = marked(spark, sf).withColumn("decade", F.floor(F.col("k") / 10))
     staged = windows.tumbling_staging(decade, "1 day", ["decade"], F.lit(0.0))
-    path, _ = ingest.run_to_table(staged, "contributors-stream")
-    return spark.read.parquet(path).select(
+    table, _ = ingest.run_to_table(staged, "contributors-stream")
+    return table.select(
         "window_id", "decade", "contributors_count", (F.col("contributors_count") >= 55).alias("passes")
     )
 
@@ -77,8 +77,8 @@ def stream_sliding_w1_w0(spark, sf):
     out = None
     for length in ("7 days", "28 days"):
         stats = windows.sliding_stats(marked(spark, sf), length, ["event_type"], cm.high_value())
-        path, _ = ingest.run_to_table(stats, "sliding")
-        part = spark.read.parquet(path).withColumn("rate", r(F.col("rate")))
+        table, _ = ingest.run_to_table(stats, "sliding")
+        part = table.withColumn("rate", r(F.col("rate")))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -92,9 +92,9 @@ def stream_sliding_w1_w0(spark, sf):
 SELECT strftime(a, '%Y-%m-%d') AS day, n AS session_rows, count(*) AS sessions FROM ses, lim WHERE b <= wm GROUP BY ALL""",
 )
 def stream_session_counts(spark, sf):
-    path, _ = ingest.run_to_table(windows.session_counts(marked(spark, sf), "4 hours"), "sessions")
+    table, _ = ingest.run_to_table(windows.session_counts(marked(spark, sf), "4 hours"), "sessions")
     return (
-        spark.read.parquet(path)
+        table
         .groupBy(F.to_date("started").cast("string").alias("day"), F.col("n").alias("session_rows"))
         .agg(F.count("*").alias("sessions"))
     )
@@ -105,8 +105,8 @@ def stream_dedupe(spark, sf):
     """Every event arrives twice; one delivery of each id is kept."""
     ev = stream(spark, sf)
     twice = ev.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
-    path, _ = ingest.run_to_table(ingest.dedupe_stream(twice, "event_id", "1 day"), "dedupe")
-    return spark.read.parquet(path).select("event_id", "event_type", "contributor")
+    table, _ = ingest.run_to_table(ingest.dedupe_stream(twice, "event_id", "1 day"), "dedupe")
+    return table.select("event_id", "event_type", "contributor")
 
 
 @query(
@@ -116,8 +116,8 @@ SELECT window_id, level, cell, event_id FROM c WHERE rn <= 2""",
 )
 def stream_contribution_cap(spark, sf):
     ev = stream(spark, sf).withColumn("window_id", tr.week_id(F.col("ts")))
-    path = ingest.capped_ingest(tr.ladder(ev, cm.item_cell(), cm.cluster_cell()), 2)
-    return ingest.read_capped(spark, path, 2).select("window_id", "level", "cell", "event_id")
+    parts = ingest.capped_ingest(tr.ladder(ev, cm.item_cell(), cm.cluster_cell()), 2)
+    return ingest.merge_capped(parts, 2).select("window_id", "level", "cell", "event_id")
 
 
 @query(
@@ -131,9 +131,9 @@ def stream_gate_ingest(spark, sf):
     ev = stream(spark, sf).select(
         "event_id", "ts", F.col("event_type").alias("feature_id"), tr.week_id(F.col("ts")).alias("contract_version")
     )
-    path = ingest.gated_ingest(ev, gates.allowed_contracts(cm.contracts(spark, sf), 3), "CENTRAL")
-    good = spark.read.parquet(f"{path}/passed").select("event_id", F.lit("PASSED").alias("outcome"))
-    bad = spark.read.parquet(f"{path}/rejected").select("event_id", F.col("reject_reason").alias("outcome"))
+    passed, rejected = ingest.gated_ingest(ev, gates.allowed_contracts(cm.contracts(spark, sf), 3), "CENTRAL")
+    good = passed.select("event_id", F.lit("PASSED").alias("outcome"))
+    bad = rejected.select("event_id", F.col("reject_reason").alias("outcome"))
     return good.unionByName(bad)
 
 
@@ -151,9 +151,8 @@ def stream_release(spark, sf):
         "window_id", F.lit("CLUSTER").alias("level"), F.col("event_type").alias("cell"), "event_count", "value_sum",
         "contributors_count",
     )
-    path = windows.release_stream(cells, STREAM_C, 1706745600000)
-    return spark.read.parquet(path).select(
-        F.col("window_id").cast("string").alias("window_id"), "cell",
+    return windows.release_stream(cells, STREAM_C, 1706745600000).select(
+        "window_id", "cell",
         r(F.col("dp_event_count")).alias("dp_event_count"), "contract_version",
     )
 
@@ -162,8 +161,8 @@ def stream_release(spark, sf):
 def stream_sketch_stats(spark, sf):
     """Daily sketches from the stream, merged afterwards into estimates over the whole period."""
     sketches = windows.sketch_stats(marked(spark, sf), "1 day", ["event_type"], "contributor", "value")
-    path, _ = ingest.run_to_table(sketches, "sketches")
-    return spark.read.parquet(path).groupBy("event_type").agg(
+    table, _ = ingest.run_to_table(sketches, "sketches")
+    return table.groupBy("event_type").agg(
         F.sum("n_obs").alias("n_obs"),
         F.hll_sketch_estimate(F.hll_union_agg("contributors_sketch")).alias("contributors_est"),
         F.count("value_sketch").alias("n_value_sketches"),

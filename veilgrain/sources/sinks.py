@@ -24,6 +24,11 @@ def write_partitioned(df: DataFrame, path: str, partition: Sequence[str], forbid
     return path
 
 
+def read_partitioned(df: DataFrame, path: str) -> DataFrame:
+    """The table written from ``df``, with its schema: partition values keep their type, an empty table stays readable."""
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_partitioned(df: DataFrame, path: str, partition: Sequence[str]) -> str:
     df.write.mode("append").partitionBy(*partition).parquet(path)
     return path

@@ -39,18 +39,18 @@ def _use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def run_to_table(stream: DataFrame, name: str, partition: list[str] | None = None, path: str | None = None) -> tuple[str, StreamingQuery]:
-    """Process everything available and append it to a parquet table; (path, finished query)."""
+def run_to_table(stream: DataFrame, name: str, partition: list[str] | None = None) -> tuple[DataFrame, StreamingQuery]:
+    """Process everything available and append it to a parquet table; (table, finished query)."""
     spark = stream.sparkSession
     _use_rocksdb(spark)
     folder = run_folder(spark, name)
-    path = path or f"{folder}/data"
+    path = f"{folder}/data"
     writer = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
     if partition:
         writer = writer.partitionBy(*partition)
     query = writer.trigger(availableNow=True).start(path)
     query.awaitTermination()
-    return path, query
+    return spark.read.schema(stream.schema).parquet(path), query
 
 
 def run_batches(stream: DataFrame, name: str, handle: Callable[[DataFrame, int, str], None], mode: str = "append") -> str:
@@ -78,8 +78,8 @@ def _overwrite(df: DataFrame, path: str, partition: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
 
 
-def gated_ingest(stream: DataFrame, allowed: DataFrame, boundary: str) -> str:
-    """Contract gate on a stream: passed rows and audit rows go to two tables.
+def gated_ingest(stream: DataFrame, allowed: DataFrame, boundary: str) -> tuple[DataFrame, DataFrame]:
+    """Contract gate on a stream: (passed, rejected) rows, each in a table of its own.
 
     Partitions carry the batch id, so a replayed batch replaces what it wrote before.
     """
@@ -91,24 +91,30 @@ def gated_ingest(stream: DataFrame, allowed: DataFrame, boundary: str) -> str:
         _overwrite(gates.rejected(df), f"{path}/rejected", ["batch_id"])
         df.unpersist()
 
-    return run_batches(gated, "gated-ingest", split)
+    path = run_batches(gated, "gated-ingest", split)
+    reader = stream.sparkSession.read
+    return (
+        reader.schema(gates.passed(gated).schema).parquet(f"{path}/passed"),
+        reader.schema(gates.rejected(gated).schema).parquet(f"{path}/rejected"),
+    )
 
 
-def capped_ingest(stream: DataFrame, cap: int) -> str:
-    """Contribution cap at ingest.
+def capped_ingest(stream: DataFrame, cap: int) -> DataFrame:
+    """Contribution cap at ingest: the stored parts of all batches, to be merged by ``merge_capped``.
 
     Each batch keeps at most ``cap`` rows per contributor, window and cell and writes them under its batch id. The cap
-    of a union of capped parts is the cap of all rows, so ``read_capped`` gives the exact result, and no state ever
-    holds more than ``cap`` rows per group and batch.
+    of a union of capped parts is the cap of all rows, so the merged result is exact, and nothing ever holds more than
+    ``cap`` rows per group and batch.
     """
 
     def write(df: DataFrame, batch_id: int, path: str) -> None:
-        capped = bounding.contribution_cap(df, cap).withColumn("batch_id", F.lit(batch_id))
+        capped = bounding.contribution_cap(df, cap).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         _overwrite(capped, path, ["window_id", "batch_id"])
 
-    return run_batches(stream, "capped-ingest", write)
+    path = run_batches(stream, "capped-ingest", write)
+    schema = stream.withColumn("batch_id", F.lit(0).cast("bigint")).schema
+    return stream.sparkSession.read.schema(schema).parquet(path)
 
 
-def read_capped(spark: SparkSession, path: str, cap: int) -> DataFrame:
-    rows = spark.read.parquet(path).withColumn("window_id", F.col("window_id").cast("string"))
-    return bounding.contribution_cap(rows.drop("batch_id"), cap)
+def merge_capped(parts: DataFrame, cap: int) -> DataFrame:
+    return bounding.contribution_cap(parts.drop("batch_id"), cap)

@@ -64,15 +64,15 @@ def sketch_stats(stream: DataFrame, length: str, dims: Sequence[str], contributo
     )
 
 
-def release_stream(staging: DataFrame, c: ReleaseContract, release_ts_ms: int) -> str:
+def release_stream(staging: DataFrame, c: ReleaseContract, release_ts_ms: int) -> DataFrame:
     """Closed windows through k gate and noise into the released table, one partition per window.
 
     A replayed batch overwrites its windows with the same rows: the noise is keyed, not drawn anew.
     """
 
-    def publish(df: DataFrame, batch_id: int, path: str) -> None:
+    def released(df: DataFrame) -> DataFrame:
         kept = central.k_gate(df, c.k_min).filter("passes")
-        out = central.with_provenance(central.dp_metrics(kept, c), c, release_ts_ms)
-        _overwrite(out, path, ["window_id"])
+        return central.with_provenance(central.dp_metrics(kept, c), c, release_ts_ms)
 
-    return run_batches(staging, "stream-release", publish)
+    path = run_batches(staging, "stream-release", lambda df, _, out: _overwrite(released(df), out, ["window_id"]))
+    return staging.sparkSession.read.schema(released(staging).schema).parquet(path)
