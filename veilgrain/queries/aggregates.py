@@ -325,8 +325,8 @@ def item_effect_dispersion(spark, sf):
     )
     parts = tables.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     per_brand = items.join(parts, "l_partkey").groupBy("p_brand").agg(F.sum("n").alias("n"), F.var_pop("b").alias("v"))
-    overall = per_brand.agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("o"), F.lit(1).alias("_one"))
-    return per_brand.withColumn("_one", F.lit(1)).join(overall, "_one").select(
+    overall = per_brand.agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("o"))
+    return per_brand.withColumn("o", overall.scalar()).select(
         "p_brand", "n", r(F.col("v")).alias("dispersion"), r(F.col("o")).alias("overall")
     )
 
@@ -341,7 +341,7 @@ SELECT level, {R('loss')} AS loss, {R('loss - (SELECT loss FROM l WHERE level =
 def oracle_ablation_loss(spark, sf):
     cells = stats.ladder_cells(tables.events(spark, sf), [], cm.item_cell(), cm.cluster_cell(), cm.high_value())
     loss = stats.within_cell_loss(cells, ["level"])
-    item = loss.filter("level = 'ITEM'").select(F.col("loss").alias("base"), F.lit(1).alias("_one"))
-    return loss.withColumn("_one", F.lit(1)).join(item, "_one").select(
+    item = loss.filter("level = 'ITEM'").select("loss")
+    return loss.withColumn("base", item.scalar()).select(
         "level", r(F.col("loss")).alias("loss"), r(F.col("loss") - F.col("base")).alias("agg_loss")
     )

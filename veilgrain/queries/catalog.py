@@ -119,13 +119,12 @@ def with_support(spark: SparkSession, sf: str, specs: DataFrame) -> DataFrame:
         .groupBy("p_brand")
         .agg(F.count("*").alias("s_cluster"))
     )
-    overall = pairs.select("l_orderkey").distinct().agg(F.count("*").alias("s_agg")).withColumn("_one", F.lit(1))
+    overall = pairs.select("l_orderkey").distinct().agg(F.count("*").alias("s_agg"))
     known = F.col("p_size") >= 5
     return (
         specs.join(by_part, "p_partkey", "left")
         .join(by_brand, "p_brand", "left")
-        .withColumn("_one", F.lit(1))
-        .join(overall, "_one")
+        .withColumn("s_agg", overall.scalar())
         .withColumn(
             "support_hint",
             F.create_map(
@@ -134,7 +133,7 @@ def with_support(spark: SparkSession, sf: str, specs: DataFrame) -> DataFrame:
                 F.lit("AGGREGATE"), F.when(known, F.col("s_agg")),
             ),
         )
-        .drop("s_item", "s_cluster", "s_agg", "_one")
+        .drop("s_item", "s_cluster", "s_agg")
     )
 
 

@@ -485,13 +485,13 @@ def formal_lps(spark, sf):
     """Linkability from measured key stability, uniqueness as E[1/support], inferability as the worst mutual information."""
     ev = cm.weekly_events(spark, sf)
     stab = joins.key_persistence(ev, "contributor", "day_id").agg(
-        (0.6 * F.avg("persistence")).alias("L"), F.lit(1).alias("_one")
+        (0.6 * F.avg("persistence")).alias("L")
     )
     u = weekly_supports(spark, sf).groupBy("level").agg(F.avg(1.0 / F.col("support")).alias("U"))
     i = worst_mutual_information(spark, sf, penalty_above=0.01, penalty=0.2).select(
         "level", F.col("max_mi").alias("I"), F.least(F.lit(1.0), F.col("penalty")).alias("R")
     )
-    x = u.join(i, "level").withColumn("_one", F.lit(1)).join(stab, "_one")
+    x = u.join(i, "level").withColumn("L", stab.scalar())
     total = risk.total_risk(F.col("L"), F.col("U"), F.least(F.lit(1.0), F.col("I")), F.col("R"), TH)
     return x.select("level", *[r(F.col(c)).alias(c) for c in ("L", "U", "I", "R")], r(total).alias("risk"))
 
