@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from veilgrain.functions.noise import keyed_uniform
 from veilgrain.functions.scalar import clamp
-from veilgrain.operators.transforms import ladder
+from veilgrain.operators.transforms import roll_up
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int = 1) -> DataFrame:
@@ -56,12 +56,7 @@ def count_partials(df: DataFrame, item: Column, cluster: Column, cap: int, keys:
     so events are counted once per contributor and item, map-side first, and only those counts are repeated per level.
     """
     items = df.groupBy(*keys, "contributor", item.alias("_item"), cluster.alias("_cluster")).agg(F.count("*").alias("n"))
-    return (
-        ladder(items, F.col("_item"), F.col("_cluster"))
-        .groupBy(*keys, "contributor", "level", "lvl", "cell")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("n", F.least(F.lit(cap), F.col("n")))
-    )
+    return roll_up(items, [*keys, "contributor"], ["n"]).withColumn("n", F.least(F.lit(cap), F.col("n")))
 
 
 def l0_cell_cap(partials: DataFrame, max_cells: int, secret: str, extra: Sequence[str] = ()) -> DataFrame:

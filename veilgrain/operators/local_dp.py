@@ -134,9 +134,9 @@ def sketch_estimate(sums: DataFrame, keys: Sequence[str], domain: DataFrame, val
     probes = probes.withColumn(
         "col", _sketch_column(F.col("row"), F.col(value), width)
     )
-    totals = sums.filter("col = 0").groupBy(*keys).agg(F.sum("nj").alias("n"))
-    hits = debiased.join(probes, ["row", "col"]).groupBy(*keys, value).agg(F.sum("c").alias("t"))
-    return hits.join(totals, list(keys)).select(
+    # a value meets every sketch row once, so the reports of its rows add up to those of the cell
+    hits = debiased.join(probes, ["row", "col"]).groupBy(*keys, value).agg(F.sum("c").alias("t"), F.sum("nj").alias("n"))
+    return hits.select(
         *keys, value, "n", ((F.col("t") - F.col("n") / width) * (width / (width - 1.0))).alias("estimate")
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilgrain.operators.prefix import running_totals
-from veilgrain.operators.transforms import ladder
+from veilgrain.operators.transforms import roll_up
 from veilgrain.session import store
 
 
@@ -28,9 +28,7 @@ def ladder_cells(df: DataFrame, keys: Sequence[str], item: Column, cluster: Colu
     items = df.groupBy(*keys, item.alias("_item"), cluster.alias("_cluster")).agg(
         F.count("*").alias("cnt"), F.sum(y).alias("y"), F.sum(y * y).alias("yy")
     )
-    return ladder(items, F.col("_item"), F.col("_cluster")).groupBy(*keys, "level", "lvl", "cell").agg(
-        F.sum("cnt").alias("cnt"), F.sum("y").alias("y"), F.sum("yy").alias("yy")
-    )
+    return roll_up(items, keys, ["cnt", "y", "yy"])
 
 
 def two_window_cells(
@@ -62,9 +60,7 @@ def two_window_cells(
     rows = items.select(*keys, "_item", "_cluster", F.explode(per_window).alias("_w")).select(
         *keys, "_item", "_cluster", "_w.*"
     )
-    return ladder(rows.filter("cnt > 0"), F.col("_item"), F.col("_cluster")).groupBy(
-        *keys, "window_id", "level", "lvl", "cell"
-    ).agg(F.sum("cnt").alias("cnt"), F.sum("y").alias("y"), F.sum("yy").alias("yy"))
+    return roll_up(rows.filter("cnt > 0"), [*keys, "window_id"], ["cnt", "y", "yy"])
 
 
 def ladder_contributors(
@@ -72,9 +68,7 @@ def ladder_contributors(
 ) -> DataFrame:
     """Rows per contributor and cell at every granularity, built up from one row per contributor and item."""
     items = df.groupBy(*keys, item.alias("_item"), cluster.alias("_cluster"), contributor).agg(F.count("*").alias("n"))
-    return ladder(items, F.col("_item"), F.col("_cluster")).groupBy(*keys, "level", "lvl", "cell", contributor).agg(
-        F.sum("n").alias("n")
-    )
+    return roll_up(items, [*keys, contributor], ["n"])
 
 
 def cell_supports(per_contributor: DataFrame, keys: Sequence[str]) -> DataFrame:

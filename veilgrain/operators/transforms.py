@@ -75,6 +75,28 @@ def ladder(df: DataFrame, item: Column, cluster: Column) -> DataFrame:
     return df.withColumn("_step", F.explode(steps)).select("*", "_step.*").drop("_step")
 
 
+def roll_up(items: DataFrame, by: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """Additive columns at every granularity, from one row per ``by``, ``_item`` and ``_cluster``.
+
+    A cluster is a function of the item, so the rows already are the ITEM level and stay where they are; only the
+    coarser levels are aggregated again. Both branches read the same exchange.
+    """
+    fine = items.select(
+        *by, F.lit("ITEM").alias("level"), F.lit(0).alias("lvl"), F.col("_item").cast("string").alias("cell"), *sums
+    )
+    steps = F.array(
+        F.struct(F.lit("CLUSTER").alias("level"), F.lit(1).alias("lvl"), F.col("_cluster").cast("string").alias("cell")),
+        F.struct(F.lit("AGGREGATE").alias("level"), F.lit(2).alias("lvl"), F.lit("all").alias("cell")),
+    )
+    coarse = (
+        items.select(*by, *sums, F.explode(steps).alias("_step"))
+        .select(*by, "_step.*", *sums)
+        .groupBy(*by, "level", "lvl", "cell")
+        .agg(*[F.sum(c).alias(c) for c in sums])
+    )
+    return fine.unionByName(coarse)
+
+
 def category_index(c: Column, domain: Sequence[str]) -> Column:
     """Index 0..K-1 within a fixed public domain; null outside it."""
     pos = F.array_position(F.array(*[F.lit(v) for v in domain]), c)

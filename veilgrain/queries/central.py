@@ -284,16 +284,11 @@ def materialize_active(spark, sf):
     """High-value rate of every event type under its own contract, all in one job."""
     ev = cm.weekly_events(spark, sf).withColumn("feature_id", F.col("event_type"))
     keys = ["feature_id", "window_id"]
-    per_person = (
-        ev.groupBy(*keys, cm.item_cell().alias("_i"), cm.cluster_cell().alias("_c"), "contributor")
-        .agg(F.count("*").alias("n"), F.sum(cm.high_value()).alias("y"))
+    items = ev.groupBy(*keys, cm.item_cell().alias("_item"), cm.cluster_cell().alias("_cluster"), "contributor").agg(
+        F.count("*").alias("n"), F.sum(cm.high_value()).alias("y")
     )
-    cells = (
-        tr.ladder(per_person, F.col("_i"), F.col("_c"))
-        .groupBy(*keys, "level", "lvl", "cell", "contributor")
-        .agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
-        .groupBy(*keys, "level", "lvl", "cell")
-        .agg(F.sum("y").alias("clicks"), F.sum("n").alias("impressions"), F.count("*").alias("contributors"))
+    cells = tr.roll_up(items, [*keys, "contributor"], ["n", "y"]).groupBy(*keys, "level", "lvl", "cell").agg(
+        F.sum("y").alias("clicks"), F.sum("n").alias("impressions"), F.count("*").alias("contributors")
     )
     latest = cm.contracts(spark, sf).groupBy("feature_id").agg(
         F.max_by(F.struct("boundary", "granularity", "contract_version"), "contract_version").alias("c")
