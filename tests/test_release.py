@@ -223,6 +223,22 @@ def test_mixing_keeps_messages_and_drops_keys(spark, events):
     assert few.groupBy("window_id", "batch_id").count().agg(F.min("count")).first()[0] >= 50
 
 
+@pytest.mark.parametrize("k,slices", [(7, 4), (50, 16), (1000, 16), (300, 1)])
+def test_balanced_sample_is_exact(spark, k, slices):
+    df = spark.range(900).withColumn("label", (F.col("id") % 3 == 0).cast("int"))
+    got = bounding.balanced_sample(df, "label", "id", k, "s", slices).collect()
+    u = {r.id: r.u for r in df.select("id", noise.keyed_uniform("s", F.col("id")).alias("u")).collect()}
+    for label in (0, 1):
+        members = sorted((u[r], r) for r in range(900) if int(r % 3 == 0) == label)
+        assert sorted(r.id for r in got if r.label == label) == sorted(i for _, i in members[:k])
+
+
+def test_empty_bins_are_part_of_the_domain(spark):
+    counts = spark.createDataFrame([("a", "x", 3), ("b", "y", 5), ("b", "elsewhere", 9), ("c", "elsewhere", 1)], "g string, bin string, event_count bigint")
+    got = {(r.g, r.bin): r.event_count for r in central.full_domain(counts, ["g"], "bin", ["x", "y"]).collect()}
+    assert got == {("a", "x"): 3, ("a", "y"): 0, ("b", "x"): 0, ("b", "y"): 5, ("c", "x"): 0, ("c", "y"): 0}
+
+
 # ---- building blocks --------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("radix,levels", [(2, 3), (1024, 2), (5, 1)])
 def test_running_totals_equal_a_plain_window(spark, radix, levels):

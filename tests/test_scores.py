@@ -181,6 +181,12 @@ def test_fingerprint_ignores_column_order_and_matches_plain_json(spark):
     assert one == two == hashlib.sha256(plain.encode()).hexdigest()
 
 
+def test_fingerprint_ignores_map_order(spark):
+    df = spark.sql("SELECT 1 AS n, map('a', 1, 'b', 2) AS m UNION ALL SELECT 1, map('b', 2, 'a', 1) UNION ALL SELECT 1, map('b', 2)")
+    got = [r.f for r in pc.with_fingerprint(df, ["m", "n"], "f").collect()]
+    assert got[0] == got[1] != got[2]
+
+
 def test_plan_fingerprint_leaves_out_the_time(spark):
     decided = risk.decide(frame(spark, spec(fields=[AGE])), Thresholds()).withColumn("policy_hash", F.lit("h"))
     plans = [pc.plan_records(decided, ["feature_id"], Thresholds(), F.lit(t)).first() for t in ("t1", "t2")]

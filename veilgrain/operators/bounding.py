@@ -19,7 +19,11 @@ from veilgrain.operators.transforms import roll_up
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int = 1) -> DataFrame:
-    """At most ``n`` rows per key group, in a deterministic order."""
+    """At most ``n`` rows per key group, in a deterministic order.
+
+    Spark infers the group limit for ``n`` up to ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000); raise that
+    setting for larger caps.
+    """
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
@@ -79,7 +83,24 @@ def frequency_cap(df: DataFrame, per_window: int, per_cell: int, order: Sequence
     return keep_first(capped, ["contributor", "window_id"], list(order), per_window)
 
 
-def balanced_sample(df: DataFrame, label: str, id_col: str, k: int, seed: str) -> DataFrame:
-    """Up to ``k`` rows per class in keyed-hash order; the seed names feature, version and window."""
-    order = F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string")))
-    return keep_first(df, [label], [order, F.col(id_col)], k)
+def balanced_sample(df: DataFrame, label: str, id_col: str, k: int, seed: str, slices: int = 65536) -> DataFrame:
+    """Exactly the first ``k`` rows per class (or all of a smaller one) in keyed-hash order.
+
+    The seed names feature, version and window. The hash range is cut into slices, so a class of any size is ranked
+    only inside the one slice in which its k-th row falls; slices before it are taken whole.
+    """
+    u = keyed_uniform(seed, F.col(id_col))
+    tagged = df.withColumn("_u", u).withColumn("_slice", F.floor(F.col("_u") * slices).cast("int"))
+    before = F.sum("_n").over(W.partitionBy(label).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))
+    edges = (
+        tagged.groupBy(label, "_slice")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_before", F.coalesce(before, F.lit(0)))
+        .filter(F.col("_before") < k)
+    )
+    near = tagged.join(edges, [label, "_slice"])
+    whole = near.filter(F.col("_before") + F.col("_n") <= k)
+    cut = near.filter(F.col("_before") + F.col("_n") > k)
+    rank = F.row_number().over(W.partitionBy(label, "_slice").orderBy("_u", id_col))
+    last = cut.withColumn("_rn", rank).filter(F.col("_before") + F.col("_rn") <= k).drop("_rn")
+    return whole.unionByName(last).select(*df.columns)

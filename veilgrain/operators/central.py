@@ -149,15 +149,18 @@ def dp_mean_bounded01(mean: Column, n: Column, sigma: float, *key) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean + (F.lit(float(sigma)) / n) * gaussian(*key)))
 
 
-def full_domain(counts: DataFrame, keys: DataFrame, key_cols: Sequence[str], bin_col: str, bins: Sequence[str]) -> DataFrame:
+def full_domain(counts: DataFrame, keys: Sequence[str], bin_col: str, bins: Sequence[str]) -> DataFrame:
     """Counts over every public bin of every key, zero where nothing was seen.
 
-    Empty bins get noise too; leaving them out would reveal which bins are empty. The domain is a literal list.
+    Empty bins get noise too; leaving them out would reveal which bins are empty. The domain is a literal list, so a
+    key's counts fit one small map and the missing bins need no second pass over the data.
     """
-    grid = keys.withColumn(bin_col, F.explode(F.array(*[F.lit(b) for b in bins])))
-    return grid.join(counts, [*key_cols, bin_col], "left").withColumn(
-        "event_count", F.coalesce("event_count", F.lit(0))
-    )
+    entry = F.struct(F.col(bin_col).alias("key"), F.col("event_count").alias("value"))
+    public = F.when(F.col(bin_col).isin(*bins), entry)
+    seen = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(public)).alias("_seen"))
+    grid = seen.withColumn(bin_col, F.explode(F.array(*[F.lit(b) for b in bins])))
+    found = F.try_element_at("_seen", F.col(bin_col))
+    return grid.select(*keys, bin_col, F.coalesce(found, F.lit(0)).alias("event_count"))
 
 
 def with_uncertainty(df: DataFrame, value: str, sd: Column | float, z: float = Z95) -> DataFrame:
@@ -219,7 +222,7 @@ def materialize_active(cells: DataFrame, contracts: DataFrame, boundary: str, k_
     active = contracts.filter((F.col("boundary") == boundary) & F.col("active")).select(
         "feature_id", "contract_version", "sigma", "lvl_preferred"
     )
-    joined = cells.join(active, "feature_id").filter(F.col("lvl") >= F.col("lvl_preferred"))
+    joined = store(cells.join(active, "feature_id").filter(F.col("lvl") >= F.col("lvl_preferred")), "active-cells")
     ok = joined.groupBy("feature_id", "window_id", "lvl").agg(F.min("contributors").alias("m")).filter(F.col("m") >= k_min)
     pick = ok.groupBy("feature_id", "window_id").agg(F.min("lvl").alias("lvl"))
     chosen = joined.join(pick, ["feature_id", "window_id", "lvl"], "left_semi")

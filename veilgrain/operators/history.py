@@ -28,9 +28,9 @@ def with_active_flag(contracts: DataFrame, keys: Sequence[str] = ("feature_id",)
 
 
 def qualify_min(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows that reach their group's minimum; ties stay."""
-    low = df.groupBy(*keys).agg(F.min(value).alias("_low"))
-    return df.join(low, list(keys)).filter(F.col(value) == F.col("_low")).drop("_low")
+    """Rows that reach their group's minimum; ties stay. Meant for option rows, of which a group has at most nine."""
+    low = F.min(value).over(W.partitionBy(*keys))
+    return df.withColumn("_low", low).filter(F.col(value) == F.col("_low")).drop("_low")
 
 
 def with_previous(history: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:

@@ -116,20 +116,26 @@ def feature_stats(cells: DataFrame, keys: Sequence[str], tail_share: float) -> D
     )
 
 
-def bottom_mass(cells: DataFrame, keys: Sequence[str], q: float) -> DataFrame:
-    """Share of rows in cells whose percent rank by count is at most ``q``.
+def tail_masses(cells: DataFrame, keys: Sequence[str], tail_share: float, q: float) -> DataFrame:
+    """Share of rows in rare cells, by two definitions of rare.
 
-    Cells of equal count share a rank, so ranks come from the histogram of counts.
+    ``tail_mass``: the cell's own share is below ``tail_share``. ``bottom_mass``: its percent rank by count is at most
+    ``q``; cells of equal count share a rank, so ranks come from the histogram of counts.
     """
     rows = F.col("cnt") * F.col("n_cells")
     group = W.partitionBy(*keys)
     before = F.coalesce(F.sum("n_cells").over(group.orderBy("cnt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranked = _count_histogram(cells, keys).select(
-        *keys, rows.alias("_rows"), before.alias("_before"), F.sum("n_cells").over(group).alias("_cells")
+        *keys, "cnt", rows.alias("_rows"), before.alias("_before"),
+        F.sum("n_cells").over(group).alias("_cells"), F.sum(rows).over(group).alias("_all"),
     )
     pct = F.when(F.col("_cells") > 1, F.col("_before") / (F.col("_cells") - 1)).otherwise(F.lit(0.0))
+
+    def share(rare: Column) -> Column:
+        return F.sum(F.when(rare, F.col("_rows")).otherwise(0)) / F.sum("_rows")
+
     return ranked.groupBy(*keys).agg(
-        (F.sum(F.when(pct <= q, F.col("_rows")).otherwise(0)) / F.sum("_rows")).alias("bottom_mass")
+        share(F.col("cnt") < tail_share * F.col("_all")).alias("tail_mass"), share(pct <= q).alias("bottom_mass")
     )
 
 

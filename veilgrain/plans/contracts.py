@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from veilgrain.functions.scalar import fingerprint, lookup
+from veilgrain.functions.scalar import fingerprint, lookup, sorted_map
 from veilgrain.schema import GRANULARITIES, ReleaseContract, Thresholds
 
 PLAN_SCHEMA_VERSION = "plan/1"
@@ -18,6 +19,14 @@ def fingerprint_of(*columns: str) -> Column:
     return fingerprint({c: F.col(c) for c in columns})
 
 
+def with_fingerprint(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+    """Add the fingerprint of ``columns``; maps enter in key order, so neither they nor the columns depend on order."""
+    canonical = {
+        c: sorted_map(F.col(c)) if isinstance(df.schema[c].dataType, MapType) else F.col(c) for c in columns
+    }
+    return df.withColumn(name, fingerprint(canonical))
+
+
 def rejection_reasons(th: Thresholds) -> Column:
     """Why a decision was rejected, with the cap it missed."""
     reason = F.struct(
@@ -33,11 +42,10 @@ def rejection_reasons(th: Thresholds) -> Column:
 
 def plan_records(decided: DataFrame, input_columns: Sequence[str], th: Thresholds, created_at: Column) -> DataFrame:
     """One plan row per decided feature. The plan hash leaves out ``created_at`` and itself."""
-    plan = decided.withColumns(
+    plan = with_fingerprint(decided, input_columns, "input_fingerprint").withColumns(
         {
             "schema_version": F.lit(PLAN_SCHEMA_VERSION),
             "created_at": created_at,
-            "input_fingerprint": fingerprint_of(*input_columns),
             "status": F.when(F.col("feasible"), "accepted").otherwise("rejected"),
             "rejection_reasons": rejection_reasons(th),
         }

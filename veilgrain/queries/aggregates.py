@@ -61,10 +61,8 @@ SELECT feature_id, window_id, level, {R('sum(CASE WHEN cnt < 0.05 * n_obs THEN c
 FROM rk JOIN tot USING (feature_id, window_id, level) GROUP BY ALL""",
 )
 def tail_mass(spark, sf):
-    cells = cm.feature_cells(spark, sf)
-    below = stats.feature_stats(cells, KEYS, 0.05).select(*KEYS, r(F.col("tail_mass_est")).alias("tail_mass"))
-    bottom = stats.bottom_mass(cells, KEYS, 0.25).withColumn("bottom_mass", r(F.col("bottom_mass")))
-    return below.join(bottom, KEYS)
+    masses = stats.tail_masses(cm.feature_cells(spark, sf), KEYS, 0.05, 0.25)
+    return masses.withColumn("tail_mass", r(F.col("tail_mass"))).withColumn("bottom_mass", r(F.col("bottom_mass")))
 
 
 @query(

@@ -192,7 +192,7 @@ def dp_hist(spark, sf):
         .agg(F.count("*").alias("event_count"))
     )
     keys = ["window_id", "event_type"]
-    grid = central.full_domain(counts, counts.select(*keys).distinct(), keys, "cell", [str(i) for i in range(8)])
+    grid = central.full_domain(counts, keys, "cell", [str(i) for i in range(8)])
     noised = central.add_noise(F.col("event_count"), "LAPLACE", "HIST", C, [F.col(c) for c in (*keys, "cell")])
     return grid.select(*keys, "cell", r(F.greatest(F.lit(0.0), noised)).alias("dp_event_count"))
 

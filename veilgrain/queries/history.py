@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veilgrain.operators import bounding, gates, history, stats
 from veilgrain.operators import transforms as tr
 from veilgrain.queries import common as cm
-from veilgrain.queries.registry import R, query, r
+from veilgrain.queries.registry import R, U, query, r
 from veilgrain.sources import tables
 
 HIST = """items AS (SELECT p_brand, strftime(l_shipdate, '%Y-%m') AS m, l_partkey, count(*) AS cnt, sum(l_discount) AS d,
@@ -239,8 +239,9 @@ def audit_tail(spark, sf):
 @query(
     "balanced_sample",
     """SELECT o_orderkey, label FROM (SELECT o_orderkey, c_mktsegment = 'BUILDING' AS label, row_number() OVER (
-   PARTITION BY c_mktsegment = 'BUILDING' ORDER BY md5('order_total|lps_v1|W1' || '|' || o_orderkey), o_orderkey) AS rn
- FROM orders JOIN customer ON o_custkey = c_custkey) WHERE rn <= 1000""",
+   PARTITION BY c_mktsegment = 'BUILDING' ORDER BY """
+    + U("'order_total|lps_v1|W1'", "o_orderkey")
+    + """, o_orderkey) AS rn FROM orders JOIN customer ON o_custkey = c_custkey) WHERE rn <= 1000""",
 )
 def balanced_sample(spark, sf):
     customer = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
