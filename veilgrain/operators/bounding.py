@@ -86,8 +86,8 @@ def frequency_cap(df: DataFrame, per_window: int, per_cell: int, order: Sequence
 def balanced_sample(df: DataFrame, label: str, id_col: str, k: int, seed: str, slices: int = 65536) -> DataFrame:
     """Exactly the first ``k`` rows per class (or all of a smaller one) in keyed-hash order.
 
-    The seed names feature, version and window. The hash range is cut into slices, so a class of any size is ranked
-    only inside the one slice in which its k-th row falls; slices before it are taken whole.
+    The seed names feature, version and window. The hash range is cut into slices; only slices up to the one in which
+    the k-th row falls are kept, and rows are ranked inside their slice, so a class of any size is never ranked as one.
     """
     u = keyed_uniform(seed, F.col(id_col))
     tagged = df.withColumn("_u", u).withColumn("_slice", F.floor(F.col("_u") * slices).cast("int"))
@@ -98,9 +98,6 @@ def balanced_sample(df: DataFrame, label: str, id_col: str, k: int, seed: str, s
         .withColumn("_before", F.coalesce(before, F.lit(0)))
         .filter(F.col("_before") < k)
     )
-    near = tagged.join(edges, [label, "_slice"])
-    whole = near.filter(F.col("_before") + F.col("_n") <= k)
-    cut = near.filter(F.col("_before") + F.col("_n") > k)
     rank = F.row_number().over(W.partitionBy(label, "_slice").orderBy("_u", id_col))
-    last = cut.withColumn("_rn", rank).filter(F.col("_before") + F.col("_rn") <= k).drop("_rn")
-    return whole.unionByName(last).select(*df.columns)
+    near = tagged.join(edges, [label, "_slice"]).withColumn("_rn", rank)
+    return near.filter(F.col("_before") + F.col("_rn") <= k).select(*df.columns)

@@ -106,13 +106,17 @@ def join_degree(datasets: DataFrame, id_col: str, keys: str) -> DataFrame:
 
 
 def key_persistence(df: DataFrame, key: str, day: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Share of a day's key values that are seen again the next day."""
+    """Share of a day's key values that are seen again the next day.
+
+    The self join on the next day is taken as a look-ahead over distinct (key, day) rows: one scan, and a key has at
+    most one row per day however often it occurs.
+    """
     seen = df.select(*keys, F.col(key).alias("_k"), F.col(day).cast("date").alias("_d")).distinct()
-    back = seen.select(*keys, "_k", F.date_sub("_d", 1).alias("_d"), F.lit(1).alias("_again"))
+    following = F.lead("_d").over(W.partitionBy(*keys, "_k").orderBy("_d"))
     return (
-        seen.join(back, [*keys, "_k", "_d"], "left")
+        seen.withColumn("_again", following == F.date_add("_d", 1))
         .groupBy(*keys, F.col("_d").alias("day"))
-        .agg(F.count("*").alias("n_keys"), F.count("_again").alias("n_again"))
+        .agg(F.count("*").alias("n_keys"), F.count_if("_again").alias("n_again"))
         .withColumn("persistence", F.col("n_again") / F.col("n_keys"))
     )
 
