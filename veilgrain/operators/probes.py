@@ -10,17 +10,20 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilgrain.functions.noise import keyed_uniform
 from veilgrain.operators.bounding import balanced_sample
 
 
 def logistic_probe(spark: SparkSession, df: DataFrame, inputs: Sequence[str], label: str, id_col: str,
                    feature_id: str, attr: str, per_class: int, max_iter: int = 20) -> DataFrame:
-    """Train on a balanced keyed sample of at most ``per_class`` rows per class and report its AUC."""
-    sample = balanced_sample(df.select(id_col, label, *inputs), label, id_col, per_class, f"{feature_id}|{attr}")
-    vectors = VectorAssembler(inputCols=list(inputs), outputCol="features").transform(sample).persist()
+    """Train on a balanced keyed sample of at most ``per_class`` rows per class; AUC of the rows held out from it."""
+    seed = f"{feature_id}|{attr}"
+    sample = balanced_sample(df.select(id_col, label, *inputs), label, id_col, per_class, seed)
+    split = sample.withColumn("_train", keyed_uniform(seed, "split", F.col(id_col)) < 0.7)
+    vectors = VectorAssembler(inputCols=list(inputs), outputCol="features").transform(split).persist()
     try:
-        model = LogisticRegression(labelCol=label, featuresCol="features", maxIter=max_iter).fit(vectors)
-        auc = BinaryClassificationEvaluator(labelCol=label).evaluate(model.transform(vectors))
+        model = LogisticRegression(labelCol=label, featuresCol="features", maxIter=max_iter).fit(vectors.filter("_train"))
+        auc = BinaryClassificationEvaluator(labelCol=label).evaluate(model.transform(vectors.filter("NOT _train")))
     finally:
         vectors.unpersist()
     return spark.range(1).select(F.lit(feature_id).alias("feature_id"), F.lit(attr).alias("attr"), F.lit(auc).alias("auc"))

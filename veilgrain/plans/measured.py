@@ -84,6 +84,26 @@ def policy_score(tags: Column, p: ScorePolicy) -> tuple[Column, Column]:
     return F.when(tagged, F.lit(p.soft_penalty)).otherwise(0.0), reasons
 
 
+def apply_policy_rules(features: DataFrame, rules: DataFrame) -> DataFrame:
+    """Penalty and constraints that declared rules put on a feature.
+
+    ``rules`` has one row per tag: penalty, and optionally deny_boundary, min_granularity, deny_join. The highest penalty
+    counts, denials add up, the coarsest minimum holds. Features without a matching rule score 0.
+    """
+    tagged = features.select("feature_id", F.explode_outer(F.array_distinct("sensitivity_tags")).alias("tag"))
+    hit = tagged.join(rules, "tag", "left")
+    rank = granularity_rank(F.col("min_granularity"))
+    return hit.groupBy("feature_id").agg(
+        F.coalesce(F.max("penalty"), F.lit(0.0)).alias("s_policy"),
+        F.array_sort(F.collect_set("deny_boundary")).alias("denied_boundaries"),
+        F.max_by("min_granularity", rank).alias("min_granularity"),
+        F.coalesce(F.bool_or("deny_join"), F.lit(False)).alias("deny_join"),
+        F.array_sort(F.collect_set(F.when(F.col("penalty").isNotNull(), F.concat(F.lit("POLICY_RULE:"), F.col("tag"))))).alias(
+            "policy_reasons"
+        ),
+    )
+
+
 def hard_policy_score(hard: Column, sensitive: Column, p: ScorePolicy) -> Column:
     """1 for hard-restricted features, the soft penalty for sensitive ones, 0 otherwise."""
     return F.when(hard, F.lit(1.0)).when(sensitive, F.lit(p.soft_penalty)).otherwise(0.0)

@@ -197,6 +197,27 @@ def s_policy(spark, sf):
     return defs.select("feature_id", r(soft).alias("s_policy"), hard.cast("double").alias("s_policy_hard"))
 
 
+@query(
+    "policy_rules",
+    f"""WITH {DEFS}, rules AS (SELECT * FROM (VALUES ('precise_location', 1.0, 'CENTRAL', 'CLUSTER', true), ('demographics', 0.5, NULL, 'AGGREGATE', false)) r(tag, penalty, db, mg, dj)),
+ t AS (SELECT feature_id, unnest(tags) AS tag FROM defs), h AS (SELECT * FROM t JOIN rules USING (tag))
+SELECT d.feature_id, coalesce(max(penalty), 0.0)::DOUBLE AS s_policy, coalesce(string_agg(DISTINCT db, ','), '') AS denied,
+  CASE WHEN bool_or(mg = 'AGGREGATE') THEN 'AGGREGATE' WHEN bool_or(mg = 'CLUSTER') THEN 'CLUSTER' END AS min_granularity, coalesce(bool_or(dj), false) AS deny_join,
+  coalesce(string_agg('POLICY_RULE:' || tag, ',' ORDER BY tag), '') AS reasons FROM defs d LEFT JOIN h ON d.feature_id = h.feature_id GROUP BY 1""",
+)
+def policy_rules(spark, sf):
+    # declared rules, a fixed handful of rows
+    rules = spark.createDataFrame(
+        [("precise_location", 1.0, "CENTRAL", "CLUSTER", True), ("demographics", 0.5, None, "AGGREGATE", False)],
+        "tag string, penalty double, deny_boundary string, min_granularity string, deny_join boolean",
+    )
+    out = ms.apply_policy_rules(feature_defs(spark, sf), F.broadcast(rules))
+    return out.select(
+        "feature_id", "s_policy", F.array_join("denied_boundaries", ",").alias("denied"), "min_granularity", "deny_join",
+        F.array_join("policy_reasons", ",").alias("reasons"),
+    )
+
+
 @query(
     "lps_total",
     f"WITH {SUBSCORES} SELECT feature_id, {R('s_link')} AS s_link, {R('s_uniq')} AS s_uniq, {R('s_infer')} AS s_infer, {R('s_policy')} AS s_policy, {R('lps_total')} AS lps_total, reason_codes FROM lps",

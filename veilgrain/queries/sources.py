@@ -211,8 +211,10 @@ def append_scorecards(spark, sf):
   {R('epsilon_spend')} AS epsilon_spend, {R('delta_spend', 9)} AS delta_spend, 'COMMITTED' AS status, 0::BIGINT AS duplicate_keys FROM ledger""",
 )
 def ledger_table(spark, sf):
-    """Ledger rows with the number of primary-key violations found in the table."""
-    led = ledger(spark, sf)
+    """The ledger table, partitioned by day, with the number of primary-key violations found in it."""
+    rows = ledger(spark, sf)
+    path = sinks.append_partitioned(rows.hint("rebalance", "window_day"), run_folder(spark, "ledger"), ["window_day"])
+    led = sinks.read_partitioned(rows, path)
     dup = lg.duplicate_keys(led).select("feature_id", "contract_version", "window_day", F.col("n").alias("_n"))
     out = led.join(dup, ["feature_id", "contract_version", "window_day"], "left")
     return out.select(

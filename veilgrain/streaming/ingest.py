@@ -74,8 +74,9 @@ def dedupe_stream(stream: DataFrame, key: str, lateness: str) -> DataFrame:
     return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark([key])
 
 
-def _overwrite(df: DataFrame, path: str, partition: list[str]) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+def overwrite_partitions(df: DataFrame, path: str, partition: list[str]) -> None:
+    """Replace the partitions present in ``df``; rebalancing keeps files few and splits a partition that is too large."""
+    df.hint("rebalance", *partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
 
 
 def gated_ingest(stream: DataFrame, allowed: DataFrame, boundary: str) -> tuple[DataFrame, DataFrame]:
@@ -87,8 +88,8 @@ def gated_ingest(stream: DataFrame, allowed: DataFrame, boundary: str) -> tuple[
 
     def split(df: DataFrame, batch_id: int, path: str) -> None:
         df = df.withColumn("batch_id", F.lit(batch_id)).persist()
-        _overwrite(gates.passed(df), f"{path}/passed", ["batch_id"])
-        _overwrite(gates.rejected(df), f"{path}/rejected", ["batch_id"])
+        overwrite_partitions(gates.passed(df), f"{path}/passed", ["batch_id"])
+        overwrite_partitions(gates.rejected(df), f"{path}/rejected", ["batch_id"])
         df.unpersist()
 
     path = run_batches(gated, "gated-ingest", split)
@@ -109,7 +110,7 @@ def capped_ingest(stream: DataFrame, cap: int) -> DataFrame:
 
     def write(df: DataFrame, batch_id: int, path: str) -> None:
         capped = bounding.contribution_cap(df, cap).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        _overwrite(capped, path, ["window_id", "batch_id"])
+        overwrite_partitions(capped, path, ["window_id", "batch_id"])
 
     path = run_batches(stream, "capped-ingest", write)
     schema = stream.withColumn("batch_id", F.lit(0).cast("bigint")).schema

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veilgrain.operators import central
 from veilgrain.schema import ReleaseContract
-from veilgrain.streaming.ingest import _overwrite, run_batches
+from veilgrain.streaming.ingest import overwrite_partitions, run_batches
 
 
 def tumbling_staging(stream: DataFrame, length: str, dims: Sequence[str], value: Column, contributor: str = "contributor") -> DataFrame:
@@ -74,5 +74,5 @@ def release_stream(staging: DataFrame, c: ReleaseContract, release_ts_ms: int) -
         kept = central.k_gate(df, c.k_min).filter("passes")
         return central.with_provenance(central.dp_metrics(kept, c), c, release_ts_ms)
 
-    path = run_batches(staging, "stream-release", lambda df, _, out: _overwrite(released(df), out, ["window_id"]))
+    path = run_batches(staging, "stream-release", lambda df, _, out: overwrite_partitions(released(df), out, ["window_id"]))
     return staging.sparkSession.read.schema(released(staging).schema).parquet(path)
