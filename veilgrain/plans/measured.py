@@ -13,6 +13,22 @@ from veilgrain.schema import ScorePolicy
 # Which level's statistics stand for a feature, in order of preference.
 STATS_PREFERENCE = {"CLUSTER": 0, "ITEM": 1, "AGGREGATE": 2}
 STABLE_IDS = ("user_id", "device_id")
+# Score above which a normalised join degree or retention is worth a reason code.
+HIGH_SHARE = 0.7
+# Reason codes.
+STABLE_ID = "STABLE_ID_PRESENT"
+HIGH_DEGREE = "HIGH_JOIN_DEGREE"
+LONG_RETENTION = "LONG_RETENTION"
+LOW_SUPPORT = "LOW_MIN_SUPPORT"
+DISTINCT_DRIFT = "DISTINCT_DRIFT"
+HIGH_INFER = "HIGH_INFER:"
+MISSING_METADATA = "MISSING_METADATA_CONSERVATIVE_LINK"
+MISSING_STATS = "MISSING_STATS_CONSERVATIVE_UNIQ"
+ZERO_OBS = "ZERO_OBS_CONSERVATIVE_UNIQ"
+MISSING_PROBE = "MISSING_PROBE_CONSERVATIVE_INFER"
+DENY_CENTRAL = "POLICY_DENY:CENTRAL_FOR_PRECISE_LOCATION"
+MIN_CLUSTER = "POLICY_MIN_GRANULARITY:CLUSTER_FOR_DEMOGRAPHICS"
+SOFT_PENALTY = "POLICY_SOFT_PENALTY:SENSITIVE_TAG_PRESENT"
 
 
 def _reasons(*pairs: tuple[Column, str | Column]) -> Column:
@@ -25,11 +41,11 @@ def link_score(keys: Column, degree: Column, retention_days: Column, p: ScorePol
     n_join = F.least(F.lit(1.0), F.log1p(degree) / math.log(1 + max(1, p.deg_max)))
     n_ttl = F.least(F.lit(1.0), retention_days / float(max(1, p.retention_days_max)))
     score = clamp01(p.a_id * has_id.cast("int") + p.a_join * n_join + p.a_ttl * n_ttl)
-    reasons = _reasons((has_id, "STABLE_ID_PRESENT"), (n_join > 0.7, "HIGH_JOIN_DEGREE"), (n_ttl > 0.7, "LONG_RETENTION"))
+    reasons = _reasons((has_id, STABLE_ID), (n_join > HIGH_SHARE, HIGH_DEGREE), (n_ttl > HIGH_SHARE, LONG_RETENTION))
     missing = keys.isNull() | retention_days.isNull()
     return (
         F.when(missing, F.lit(1.0)).otherwise(score),
-        F.when(missing, F.array(F.lit("MISSING_METADATA_CONSERVATIVE_LINK"))).otherwise(reasons),
+        F.when(missing, F.array(F.lit(MISSING_METADATA))).otherwise(reasons),
     )
 
 
@@ -43,12 +59,12 @@ def uniq_score(w1: Column, w0: Column, p: ScorePolicy) -> tuple[Column, Column]:
     score = F.when(usable, uniq_min_support(w1["min_support_est"], w1["n_obs"])).otherwise(1.0)
     drift = F.abs(w1["n_distinct_est"] - w0["n_distinct_est"]) > p.distinct_drift_threshold
     reasons = (
-        F.when(w1.isNull(), F.array(F.lit("MISSING_STATS_CONSERVATIVE_UNIQ")))
-        .when(w1["n_obs"] <= 0, F.array(F.lit("ZERO_OBS_CONSERVATIVE_UNIQ")))
+        F.when(w1.isNull(), F.array(F.lit(MISSING_STATS)))
+        .when(w1["n_obs"] <= 0, F.array(F.lit(ZERO_OBS)))
         .otherwise(
             _reasons(
-                (w1["min_support_est"] < p.min_support_floor, "LOW_MIN_SUPPORT"),
-                (w0.isNotNull() & drift, "DISTINCT_DRIFT"),
+                (w1["min_support_est"] < p.min_support_floor, LOW_SUPPORT),
+                (w0.isNotNull() & drift, DISTINCT_DRIFT),
             )
         )
     )
@@ -67,7 +83,7 @@ def uniq_tail_mass(tail_mass: Column, tail_max: float) -> Column:
 def infer_by_feature(probes: DataFrame, p: ScorePolicy) -> DataFrame:
     """Worst probe per feature: (feature_id, s_infer, infer_reasons). One row per attribute enters."""
     scored = probes.withColumn("_r", auc_to_risk(F.col("auc")))
-    high = F.when(F.round("_r", 12) > p.infer_high, F.concat(F.lit("HIGH_INFER:"), F.col("attr")))
+    high = F.when(F.round("_r", 12) > p.infer_high, F.concat(F.lit(HIGH_INFER), F.col("attr")))
     return scored.groupBy("feature_id").agg(
         F.max("_r").alias("s_infer"), F.array_sort(F.collect_set(high)).alias("infer_reasons")
     )
@@ -77,9 +93,9 @@ def policy_score(tags: Column, p: ScorePolicy) -> tuple[Column, Column]:
     """(score, reasons): the soft penalty as soon as any sensitivity tag is present."""
     tagged = F.size(tags) > 0
     reasons = _reasons(
-        (F.array_contains(tags, "precise_location"), "POLICY_DENY:CENTRAL_FOR_PRECISE_LOCATION"),
-        (F.array_contains(tags, "demographics"), "POLICY_MIN_GRANULARITY:CLUSTER_FOR_DEMOGRAPHICS"),
-        (tagged, "POLICY_SOFT_PENALTY:SENSITIVE_TAG_PRESENT"),
+        (F.array_contains(tags, "precise_location"), DENY_CENTRAL),
+        (F.array_contains(tags, "demographics"), MIN_CLUSTER),
+        (tagged, SOFT_PENALTY),
     )
     return F.when(tagged, F.lit(p.soft_penalty)).otherwise(0.0), reasons
 
@@ -147,7 +163,7 @@ def score_features(defs: DataFrame, stats: DataFrame, probes: DataFrame, p: Scor
     s_uniq, why_uniq = uniq_score(F.col("w1"), F.col("w0"), p)
     s_policy, why_policy = policy_score(F.col("sensitivity_tags"), p)
     why_infer = F.when(
-        F.col("_infer").isNull(), F.array(F.lit("MISSING_PROBE_CONSERVATIVE_INFER"))
+        F.col("_infer").isNull(), F.array(F.lit(MISSING_PROBE))
     ).otherwise(F.col("infer_reasons"))
     scored = joined.withColumns(
         {

@@ -13,6 +13,14 @@ from pyspark.sql import functions as F
 from veilgrain.functions.scalar import clamp01, lookup, mean_over
 from veilgrain.schema import GRANULARITIES, OTHER_TAG_WEIGHT, TAG_WEIGHTS, Thresholds
 
+# Constants of the scorecard formulas.
+STABILITY_WEIGHT, NDV_WEIGHT, NDV_SCALE = 0.8, 0.2, 1000.0
+TTL_BASE, TTL_WEIGHT, TTL_DAYS = 0.7, 0.3, 90.0
+IDENTIFIER_PRESSURE, UNKNOWN_PRESSURE, PRESSURE_SCALE = 1.0, 0.15, 200.0
+NO_SENSITIVE_FIELD = 0.05
+SENSITIVE_BASE, SENSITIVE_STEP, SENSITIVE_MAX = 0.15, 0.12, 5
+DETAIL_WEIGHT, DETAIL_UNBUCKETED, DETAIL_BUCKETED, DETAIL_BUCKETS = 0.05, 0.25, 0.15, 500.0
+KEY_AMPLIFICATION = 0.15
 # How much of the cell pressure remains at each granularity.
 CELL_FACTOR = {"ITEM": 1.0, "CLUSTER": 0.6, "AGGREGATE": 0.25}
 # Boundaries and granularities in order of preference.
@@ -26,12 +34,12 @@ def _sum(array: Column, value) -> Column:
 
 def key_strength(k: Column) -> Column:
     """Strength of one join key: mostly its stability, a little its number of values."""
-    ndv = F.when(k["ndv_hint"] > 0, F.least(F.lit(1.0), F.sqrt(k["ndv_hint"]) / 1000.0)).otherwise(0.0)
-    return 0.8 * clamp01(k["stability"]) + 0.2 * ndv
+    ndv = F.when(k["ndv_hint"] > 0, F.least(F.lit(1.0), F.sqrt(k["ndv_hint"]) / NDV_SCALE)).otherwise(0.0)
+    return STABILITY_WEIGHT * clamp01(k["stability"]) + NDV_WEIGHT * ndv
 
 
 def linkability(keys: Column, ttl_days: Column) -> Column:
-    horizon = 0.7 + 0.3 * clamp01(ttl_days / 90.0)
+    horizon = TTL_BASE + TTL_WEIGHT * clamp01(ttl_days / TTL_DAYS)
     return F.when(F.size(keys) == 0, F.lit(0.0)).otherwise(clamp01(mean_over(keys, key_strength) * horizon))
 
 
@@ -39,10 +47,10 @@ def field_pressure(f: Column, buckets: Column) -> Column:
     """How much one field splits the cells: identifiers fully, others by bucket count or cardinality."""
     n = F.try_element_at(buckets, f["name"])
     return (
-        F.when(f["is_identifier"], F.lit(1.0))
-        .when(n.isNotNull(), clamp01(n / 200.0))
-        .when(f["cardinality_hint"].isNotNull(), clamp01(F.sqrt(f["cardinality_hint"]) / 200.0))
-        .otherwise(0.15)
+        F.when(f["is_identifier"], F.lit(IDENTIFIER_PRESSURE))
+        .when(n.isNotNull(), clamp01(n / PRESSURE_SCALE))
+        .when(f["cardinality_hint"].isNotNull(), clamp01(F.sqrt(f["cardinality_hint"]) / PRESSURE_SCALE))
+        .otherwise(UNKNOWN_PRESSURE)
     )
 
 
@@ -56,16 +64,17 @@ def uniqueness(fields: Column, buckets: Column, support: Column, granularity: st
 
 def sensitive_share(f: Column, buckets: Column) -> Column:
     n = F.try_element_at(buckets, f["name"])
-    return F.when(n.isNull(), F.lit(0.25)).otherwise(clamp01(0.15 + n / 500.0))
+    return F.when(n.isNull(), F.lit(DETAIL_UNBUCKETED)).otherwise(clamp01(DETAIL_BUCKETED + n / DETAIL_BUCKETS))
 
 
 def inferability(fields: Column, buckets: Column, keys: Column) -> Column:
     """Proxy leakage: number and resolution of sensitive fields, amplified by stable join keys."""
     sensitive = F.filter(fields, lambda f: f["is_sensitive"])
-    base = 0.15 + 0.12 * F.least(F.lit(5), F.size(sensitive))
-    detail = 0.05 * _sum(sensitive, lambda f: sensitive_share(f, buckets))
-    amplified = F.when(F.size(keys) > 0, 0.15 * clamp01(mean_over(keys, lambda k: k["stability"]))).otherwise(0.0)
-    return F.when(F.size(sensitive) == 0, F.lit(0.05)).otherwise(clamp01(base + detail + amplified))
+    base = SENSITIVE_BASE + SENSITIVE_STEP * F.least(F.lit(SENSITIVE_MAX), F.size(sensitive))
+    detail = DETAIL_WEIGHT * _sum(sensitive, lambda f: sensitive_share(f, buckets))
+    stability = clamp01(mean_over(keys, lambda k: k["stability"]))
+    amplified = F.when(F.size(keys) > 0, KEY_AMPLIFICATION * stability).otherwise(0.0)
+    return F.when(F.size(sensitive) == 0, F.lit(NO_SENSITIVE_FIELD)).otherwise(clamp01(base + detail + amplified))
 
 
 def policy_penalty(tags: Column) -> Column:
@@ -127,7 +136,7 @@ def contributors(features: DataFrame, granularity: str, th: Thresholds) -> DataF
         ),
         F.when(
             F.size(sensitive) == 0,
-            entries("I", one, lambda _: F.lit("no_sensitive_declared"), lambda _: F.lit(0.05)),
+            entries("I", one, lambda _: F.lit("no_sensitive_declared"), lambda _: F.lit(NO_SENSITIVE_FIELD)),
         ).otherwise(entries("I", sensitive, lambda f: f["name"], lambda f: sensitive_share(f, buckets))),
         entries("R", F.col("policy_tags"), lambda t: t, lambda t: lookup(TAG_WEIGHTS, t, OTHER_TAG_WEIGHT)),
     )

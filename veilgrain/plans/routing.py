@@ -10,6 +10,9 @@ from veilgrain.operators.shuffle_dp import planned_local_epsilon, planned_varian
 from veilgrain.schema import ScorePolicy
 
 EFFVAR_DIGITS = 15
+# Reason codes of a selection.
+SELECTED = ("MIN_EFFVAR_SELECTED", "TIEBREAK_FINEST_THEN_SAFEST")
+FALLBACK = "NO_FEASIBLE_STATS_FALLBACK_COARSE"
 
 
 def effective_variance(query_type: Column, n: Column, variance: Column, sigma: float) -> Column:
@@ -57,8 +60,8 @@ def select_min_effvar(scored: DataFrame, p: ScorePolicy, n_col: str = "n_obs", w
             "selected_granularity": F.when(found, F.col("_best.granularity")).otherwise(F.col("_fall.granularity")),
             "eff_var": F.col("_best.effvar"),
             "decision_reason_codes": F.when(
-                found, F.array(F.lit("MIN_EFFVAR_SELECTED"), F.lit("TIEBREAK_FINEST_THEN_SAFEST"))
-            ).otherwise(F.array(F.lit("NO_FEASIBLE_STATS_FALLBACK_COARSE"))),
+                found, F.array(*[F.lit(x) for x in SELECTED])
+            ).otherwise(F.array(F.lit(FALLBACK))),
         }
     ).drop("_best", "_fall")
 
