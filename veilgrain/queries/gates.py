@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilgrain.operators import bounding, gates
-from veilgrain.operators import transforms as tr
 from veilgrain.queries import common as cm
 from veilgrain.queries.registry import U, query
 from veilgrain.sources import tables
