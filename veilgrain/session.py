@@ -44,6 +44,13 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete ``path`` when the driver's JVM ends."""
+    jvm, jsc = spark._jvm, spark.sparkContext._jsc
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -52,6 +59,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """
     path = run_folder(df.sparkSession, name)
     df.write.parquet(path)
+    delete_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
