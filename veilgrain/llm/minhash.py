@@ -104,28 +104,48 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def short_list_pairs(group: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
-    """Pairs of different components whose union sketch allows a link."""
-    group = group.sort_values("cid")
-    cid, comp, n = (group[c].to_numpy() for c in ("cid", "comp", "n"))
-    sketches = [np.asarray(s, np.int64) for s in group["sketch"]]
-    shared = overlaps(sketches)
-    found = []
-    for i in range(len(cid)):
-        rest = np.arange(i + 1, len(cid))
-        big, small = np.maximum(n[i], n[rest]), np.minimum(n[i], n[rest])
-        rest = rest[(comp[i] != comp[rest]) & (100 * small >= percent * big)]
-        for j in rest:
-            larger = max(n[i], n[j])
-            need = least_shared(int(larger), k, percent)
-            if shared[i, j] < need:
-                continue
-            a, b = sketches[i], sketches[j]
-            union = np.union1d(a, b)[:k]  # the sketch of the union
-            both = np.isin(union, a, assume_unique=True) & np.isin(union, b, assume_unique=True)
-            if both.sum() >= need:
-                found.append((cid[i], cid[j]))
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def short_list_pairs(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components whose union sketch allows a link; rows (v, cid, comp, n, need, sketch) by v."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        table = pa.Table.from_batches([*held, batch]).combine_chunks()
+        if not table.num_rows:
+            continue
+        v = table.column(0).to_numpy()
+        cuts = np.flatnonzero(np.diff(v)) + 1
+        done = int(cuts[-1]) if len(cuts) else 0
+        held = table.slice(done).to_batches()
+        if done:
+            yield list_pairs(table.slice(0, done), np.concatenate([[0], cuts[:-1], [done]]), k, percent)
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield list_pairs(table, np.array([0, table.num_rows]), k, percent)
+
+
+def list_pairs(table: pa.Table, ends: np.ndarray, k: int, percent: int) -> pa.RecordBatch:
+    """Pairs of whole lists that lie between ``ends``; a pair that meets in several of them is returned once."""
+    cid, comp, n, need = (table.column(i).to_numpy() for i in range(1, 5))
+    lists = table.column(5).combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    offsets = lists.offsets.to_numpy()
+    values = lists.values.to_numpy(zero_copy_only=False)
+    found: dict[tuple[int, int], bool] = {}
+    for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        for i in range(start, end - 1):
+            rest = np.arange(i + 1, end)
+            big, small = np.maximum(n[i], n[rest]), np.minimum(n[i], n[rest])
+            for j in rest[(comp[rest] != comp[i]) & (100 * small >= percent * big)].tolist():
+                pair = (int(cid[i]), int(cid[j])) if cid[i] < cid[j] else (int(cid[j]), int(cid[i]))
+                if pair in found:
+                    continue
+                a, b = values[offsets[i] : offsets[i + 1]], values[offsets[j] : offsets[j + 1]]
+                both = np.sort(np.concatenate([a, b]))
+                twice = np.flatnonzero(both[1:] == both[:-1])
+                # the union's k smallest: a value's place among distinct ones is its place less the doubles before it
+                shared = int((twice - np.arange(len(twice)) < k).sum())
+                found[pair] = shared >= (need[i] if n[i] >= n[j] else need[j])
+    pairs = [p for p, ok in found.items() if ok]
+    return pa.record_batch([pa.array([p[x] for p in pairs], pa.int64()) for x in (0, 1)], names=["a", "b"])
 
 
 def block_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -233,9 +253,11 @@ def near_duplicates(
 
     short = (
         left_over.where(F.col("m") <= SHORT_LIST)
-        .join(classes.select("cid", "n", "sketch"), "cid")
-        .groupBy("v")
-        .applyInPandas(lambda g: short_list_pairs(g[["cid", "comp", "n", "sketch"]], k, percent), "a long, b long")
+        .join(classes.select("cid", "n", (1 - F.col("extra")).alias("need"), "sketch"), "cid")
+        .select("v", "cid", "comp", "n", "need", "sketch")
+        .repartition("v")
+        .sortWithinPartitions("v")
+        .mapInArrow(lambda it: short_list_pairs(it, k, percent), "a long, b long")
         .distinct()
     )
     blocks = F.ceil(F.col("m") / SHORT_LIST).cast("int")
