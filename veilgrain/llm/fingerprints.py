@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -135,7 +136,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            more = [pa.array([len(t) for t in texts], pa.int64()), pa.array([fingerprint(t) for t in texts], pa.string())]
+            prints = pa.array([fingerprint(t) for t in texts], pa.string())
+            more = [pa.array([len(t) for t in texts], pa.int64()), prints]
             yield pa.record_batch([batch.column(0), *more], names=["doc_id", "n_chars", "fingerprint"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -155,7 +157,7 @@ def compare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: tuple | None = None  # bucket, id, text, fingerprint, ahead
     for batch in slices(batches):
         out: list[tuple] = []
-        for bucket, _, doc_id, text, ahead in zip(*(c.to_pylist() for c in batch.columns)):
+        for bucket, doc_id, text, ahead in zip(*(c.to_pylist() for c in batch.columns)):
             text = text or ""
             now = (bucket, doc_id, text, fingerprint(text), ahead)
             if held is not None and not held[4] and held[0] == bucket:
@@ -180,10 +182,37 @@ def edit_robustness(docs: DataFrame, rows_per_bucket: int = 128, most_buckets: i
     Documents are cut into ranges of ids; each range is sorted in one task and gets a copy of the document that follows it,
     so that texts are shuffled once and no range waits for another.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     n = base.count()
     count = min(most_buckets, max(1, n // rows_per_bucket))
     cuts = base.approxQuantile("doc_id", [i / count for i in range(1, count)], 0.25 / count) if count > 1 else []
-    edges = sorted(set(map(int, cuts)))
-    bucket = F.when(F.col("doc_id").isNull(), len(edges)).otherwise(F.size(F.filter(F.array(*map(F.lit, edges)), lambda x: x <= F.col("doc_id"))))
-    return base, bucket
+    edges = np.array(sorted(set(map(int, cuts))), np.int64)
+
+    @F.pandas_udf("int")
+    def bucket(ids: pd.Series) -> pd.Series:
+        known = ids.notna().to_numpy()
+        at = np.full(len(ids), len(edges) + 1)
+        at[known] = np.searchsorted(edges, ids[known].astype("int64").to_numpy(), side="right")
+        return pd.Series(at)
+
+    placed = base.withColumn("bucket", bucket("doc_id")).withColumn("h", F.xxhash64("text"))
+    # the first row of each range, at most most_buckets of them
+    first = placed.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("x")).orderBy("bucket").collect()
+    before = [(r["x"]["doc_id"], r["x"]["h"], first[i - 1]["bucket"]) for i, r in enumerate(first)]
+    ahead = docs.sparkSession.createDataFrame(before, "id long, key long, to int")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("key"))
+    # the bound on ranges bounds this table; a repeated first row is wanted once
+    copies = (
+        base.withColumn("h", F.xxhash64("text")).join(F.broadcast(ahead), same).select("doc_id", "text", "to", "h")
+        .dropDuplicates(["to"])
+    )
+    rows = placed.select("bucket", "doc_id", "h", "text", F.lit(False).alias("ahead")).union(
+        copies.select("to", "doc_id", "h", "text", F.lit(True))
+    )
+    ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "ahead", "doc_id", "h")
+    schema = (
+        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+        "near_edited double, near_next double"
+    )
+    return ordered.select("bucket", "doc_id", "text", "ahead").mapInArrow(compare_rows, schema)

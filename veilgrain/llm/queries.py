@@ -26,18 +26,68 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilgrain.llm import licenses
+
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilgrain.llm import quality
 
     return quality.classified(table(spark, sf_dir, "documents"))
 
 
+# fixed values of the contract: verdict, host, path
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilgrain.llm import urlfilter
+
+    return urlfilter.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilgrain.llm import knn
+
+    return knn.top_k(table(spark, sf_dir, "embeddings"), k=5, query_every=50, scale=256)
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilgrain.llm import fingerprints
+
+    return fingerprints.edit_robustness(table(spark, sf_dir, "documents"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilgrain.llm import tokenfiles, tokens
+    from veilgrain.session import delete_at_exit, run_folder
+
+    folder = run_folder(spark, "tokens")
+    delete_at_exit(spark, folder)
+    tokenfiles.write(table(spark, sf_dir, "documents"), folder, tokens.default_path(), end_id=0)
+    return tokenfiles.documents(spark, folder)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilgrain.llm import mixing
 
     return mixing.mixed(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share_percent=150, cap=2)
 
 
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilgrain.llm import rollups, tokens
+
+    return rollups.corpus_rollup(table(spark, sf_dir, "documents"), tokens.default_path(), "byte_bpe_50k")
+
+
 OP9_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
@@ -82,7 +132,42 @@ counted AS (
 SELECT doc_id, source, size, source_size, target, copies, CAST(copies * size AS BIGINT) AS taken FROM counted
 """
 
-QUERIES: dict[str, QueryFn] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op4_quality_classifier, op9_source_mixing)
-}
-ORACLES: dict[str, str] = {"op9_source_mixing": OP9_SQL}
+OP6_SQL = """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM rows q JOIN rows c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id, score
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+_QUERIES = (
+    op1_best_fit_packing,
+    op2_minhash_near_dedup,
+    op3_license_scan,
+    op4_quality_classifier,
+    op5_url_filter,
+    op6_exact_top_k,
+    op7_document_fingerprints,
+    op8_token_files,
+    op9_source_mixing,
+    op10_token_rollup,
+)
+QUERIES: dict[str, QueryFn] = {f.__name__: f for f in _QUERIES}
+
+
+def _oracles() -> dict[str, str]:
+    from veilgrain.llm import licenses
+
+    return {"op3_license_scan": licenses.oracle(), "op6_exact_top_k": OP6_SQL, "op9_source_mixing": OP9_SQL}
+
+
+ORACLES = _oracles()

@@ -1,8 +1,8 @@
 """URL filter: host and path rules, and trust that spreads over links between hosts. DataFrame operations only.
 
-Pages that a rule judges are seeds. Trust starts at hosts of allowed pages and follows links; distrust starts at hosts of
-blocked pages and goes against them, as whoever links to bad hosts is suspect. Both are personalised PageRanks. A page
-without a rule gets its host's verdict.
+Hosts most of whose pages a rule allows, or blocks, are seeds, with the weight of those pages. Trust starts at allowed seeds
+and follows links; distrust starts at blocked seeds and goes against them, as whoever links to bad hosts is suspect.
+Both are personalised PageRanks. A page without a rule gets its host's verdict.
 """
 
 from __future__ import annotations
@@ -48,8 +48,8 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 def host_links(pages: DataFrame) -> DataFrame:
     """(src, dst, pages): how many pages of host src link to host dst; from (host, html). Relative links stay at home."""
-    found = F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))))
-    links = pages.where("host != ''").select(F.col("host").alias("src"), F.translate(found, UPPER, LOWER).alias("dst"))
+    low = F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda x: F.translate(x, UPPER, LOWER))
+    links = pages.where("host != ''").select(F.col("host").alias("src"), F.explode(F.array_distinct(low)).alias("dst"))
     return links.where("src != dst").groupBy("src", "dst").agg(F.count("*").alias("pages"))
 
 
@@ -58,19 +58,20 @@ def host_trust(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping
 
     Masses are whole units of 1 / MASS. A host without outgoing (for distrust: incoming) links passes nothing on.
     """
-    kinds = seeds.select(
-        "host", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("n")) for k, c in enumerate(("allowed", "blocked"))))).alias("x")
-    ).select("host", "x.kind", "x.n").where("n > 0")
+    counts = F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("allowed").alias("n")),
+        F.struct(F.lit(1).alias("kind"), F.col("blocked").alias("n")),
+    )
+    kinds = seeds.select("host", F.explode(counts).alias("x")).select("host", "x.kind", "x.n").where("n > 0")
     total = kinds.groupBy("kind").agg(F.sum("n").alias("total"))  # two rows
-    start = store(
-        kinds.join(F.broadcast(total), "kind").select("host", "kind", F.floor(F.col("n") * F.lit(float(MASS)) / F.col("total")).alias("seed")),
-        "seeds",
-    )
+    seed = F.floor(F.col("n") * F.lit(float(MASS)) / F.col("total")).alias("seed")
+    start = store(kinds.join(F.broadcast(total), "kind").select("host", "kind", seed), "seeds")
     both = links.select(F.col("src").alias("host"), F.lit(0).alias("kind"), F.col("dst").alias("to"), "pages").union(
         links.select(F.col("dst").alias("host"), F.lit(1).alias("kind"), F.col("src").alias("to"), "pages")
     )
     out = both.groupBy("host", "kind").agg(F.sum("pages").alias("all"))
-    edges = store(both.join(out, ["host", "kind"]).select("host", "kind", "to", (F.col("pages") / F.col("all")).alias("share")), "edges")
+    share = (F.col("pages") / F.col("all")).alias("share")
+    edges = store(both.join(out, ["host", "kind"]).select("host", "kind", "to", share), "edges")
     mass = start.select("host", "kind", F.col("seed").alias("mass"))
     if not edges.isEmpty():
         again = start.select("host", "kind", F.floor(F.col("seed") * F.lit(1 - damping)).alias("mass"))
@@ -80,8 +81,8 @@ def host_trust(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping
             mass = moved.union(again).groupBy("host", "kind").agg(F.sum("mass").alias("mass"))
             if (i + 1) % STORE_EVERY == 0:
                 mass = store(mass, "mass")
-    sums = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("mass"))), F.lit(0)).alias(c) for k, c in enumerate(("trust", "distrust"))]
-    return mass.groupBy("host").agg(*sums)
+    trust, distrust = (F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("mass"))), F.lit(0)) for k in (0, 1))
+    return mass.groupBy("host").agg(trust.alias("trust"), distrust.alias("distrust"))
 
 
 def judged(pages: DataFrame, rules: Sequence[Rule], tolerance: float = 1.0, rounds: int = ROUNDS) -> DataFrame:
@@ -100,8 +101,10 @@ def judged(pages: DataFrame, rules: Sequence[Rule], tolerance: float = 1.0, roun
     rows = parts.select(
         "page_id", "host", "path", F.get(names, F.col("i")).alias("rule"), F.get(verdicts, F.col("i")).alias("ruled")
     )
-    counts = (F.count(F.when(F.col("ruled") == v, 1)).alias(c) for v, c in (("allow", "allowed"), ("block", "blocked")))
-    seeds = rows.where("host != ''").groupBy("host").agg(*counts)
+    judged_as = [F.count(F.when(F.col("ruled") == v, 1)).alias(v) for v in ("allow", "block")]
+    counts = rows.where("host != ''").groupBy("host").agg(F.count("*").alias("n"), *judged_as)
+    most = [F.when(F.col(v) * 2 > F.col("n"), F.col(v)).otherwise(0) for v in ("allow", "block")]
+    seeds = counts.select("host", most[0].alias("allowed"), most[1].alias("blocked"))
     links = store(host_links(parts), "links")
     trust = host_trust(seeds, links, rounds)
     known = trust.select(F.col("host").alias("h"), "trust", "distrust")
