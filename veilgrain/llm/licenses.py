@@ -27,7 +27,9 @@ SPELLINGS = (
     ("version 3 0", "version 3"),
     ("copyright owner", "copyright holder"),
 )
-COPYRIGHT_LINE = r"(?m)^[\s/*#;-]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = (
+    r"(?m)^[\s/*#;-]*(?:copyright\s*(?:\(c\)|©|[0-9]|by\b|:)|\(c\)\s*[0-9]|©|all rights reserved)[^\n]*$"
+)
 NO_WORD = r"[^a-z0-9\x{80}-\x{10ffff}]+"
 
 # fixed values: licence notices and short licences by SPDX identifier

@@ -49,10 +49,13 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 def least_shared(n: int, k: int, percent: int) -> int:
     """Values that the union sketch of two sets, the larger of ``n``, shares at the threshold, less five deviations.
 
-    Sets of at most ``k`` values are their own sketch, so the bound is exact for them.
+    Where the union of linked sets cannot exceed ``k`` values, sketches are whole sets and the bound is exact.
     """
-    t, k = percent / 100, min(n, k)
+    t = percent / 100
     union = n / t
+    if union <= k:
+        return max(1, -(-percent * n // 100))
+    k = min(n, k)
     spread = math.sqrt(k * t * (1 - t) * max(0.0, union - k) / max(1.0, union - 1))
     return max(1, math.ceil(t * k - 5 * spread - 1e-9))
 
