@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,7 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
+@lru_cache(maxsize=1 << 16)
 def bucket(feature: str) -> int:
     return xxhash.xxh32_intdigest(feature) & ((1 << BITS) - 1)
 
@@ -79,13 +81,13 @@ class WordCache(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_ENTRIES:
             raise OverflowError
-        number = self[word] = len(self.rows)
-        self.rows.append((word_flags(word), bucket("s" + shape(word)), ending(word)))
+        number = self[word] = len(self)
+        self.rows[number] = word_flags(word), bucket("s" + shape(word)), ending(word)
         return number
 
     def reset(self) -> None:
         self.clear()
-        self.rows: list[tuple[int, int, int]] = []
+        self.rows = np.zeros((CACHE_ENTRIES, 3), np.int64)
 
 
 WORDS = WordCache()
@@ -105,7 +107,7 @@ def numbered(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             return np.array([index[w] for w in words]), np.array(rows, np.int64)
         n = np.fromiter(map(WORDS.__getitem__, words), np.int64, len(words))
     kinds, n = np.unique(n, return_inverse=True)
-    return n, np.array([WORDS.rows[i] for i in kinds.tolist()], np.int64).reshape(-1, 3)
+    return n, WORDS.rows[kinds]
 
 
 def look(text: str | None) -> tuple[dict[str, float], np.ndarray]:
@@ -133,8 +135,9 @@ def look(text: str | None) -> tuple[dict[str, float], np.ndarray]:
     features = [bucket(f"{k}:{math.floor(v * 10)}") for k, v in share.items()]
     # shapes and odd endings that occur, and those that make up much of the text
     for column, mark in ((1, 1), (2, 2)):
-        kinds, which = np.unique(table[:, column], return_inverse=True)
-        part = np.bincount(which, weights=count) / total
+        part = np.bincount(table[:, column] + 1, weights=count)
+        kinds = np.flatnonzero(part) - 1
+        part = part[kinds + 1] / total
         for level, least in enumerate((0.0, 0.1, 0.4)):
             here = kinds[(part > least) & (kinds >= 0)]
             features.extend(((here * 2654435761 + level * 40503 + mark * 97) % (1 << BITS)).tolist())
