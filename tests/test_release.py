@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilgrain.functions import noise
-from veilgrain.operators import bounding, central, gates, joins, lineage, shuffle_dp, stats
+from veilgrain.operators import history, bounding, central, gates, joins, lineage, shuffle_dp, stats
 from veilgrain.operators import local_dp as ld
 from veilgrain.operators import transforms as tr
 from veilgrain.operators.prefix import running_totals
@@ -217,10 +217,43 @@ def test_randomized_response_estimate(spark):
 
 
 def test_mixing_keeps_messages_and_drops_keys(spark, events):
-    out = shuffle_dp.shuffle_mix(events, ["event_id"], "window_id", 50, 1, "s", ["item"])
-    assert out.columns == ["window_id", "batch_id", "item"] and out.count() == 900
-    few = shuffle_dp.shuffle_mix(events, ["event_id"], "window_id", 50, 50, "s", ["item"])
-    assert few.groupBy("window_id", "batch_id").count().agg(F.min("count")).first()[0] >= 50
+    out, held = shuffle_dp.shuffle_mix(events, ["event_id"], "window_id", 50, 1, "s", ["item"])
+    assert out.columns == ["window_id", "batch_id", "item"] and out.count() == 900 and held.count() == 0
+    even, held = shuffle_dp.shuffle_mix(events, ["event_id"], "window_id", 50, 50, "s", ["item"])
+    assert even.groupBy("window_id", "batch_id").count().agg(F.min("count")).first()[0] >= 50
+    assert even.count() + sum(r["n"] for r in held.collect()) == 900
+
+
+def test_noise_differs_between_features_and_contracts(spark):
+    cells = spark.createDataFrame([("w", "AGGREGATE", "all", 100)], "window_id string, level string, cell string, event_count long")
+
+    def drawn(**names):
+        c = ReleaseContract(**names)
+        key = [F.col(x) for x in ("window_id", "level", "cell")]
+        return cells.select(central.add_noise(F.col("event_count"), "GAUSSIAN", "COUNT", c, key)).first()[0]
+
+    same = drawn(contract_id="a", feature_id="f")
+    assert same == drawn(contract_id="a", feature_id="f")
+    assert len({same, drawn(contract_id="b", feature_id="f"), drawn(contract_id="a", feature_id="g")}) == 3
+
+
+def test_updates_replace_rows_of_equal_version(spark):
+    old = spark.createDataFrame([(1, 1, "old"), (2, 3, "newer")], "id int, version int, x string")
+    new = spark.createDataFrame([(1, 1, "new"), (2, 2, "older")], "id int, version int, x string")
+    assert {r.id: r.x for r in history.upsert(old, new, ["id"], "version").collect()} == {1: "new", 2: "newer"}
+
+
+def test_floors_of_deep_and_cyclic_lineage(spark):
+    own = spark.createDataFrame([(str(i), float(i == 0)) for i in range(70)], "feature_id string, risk double")
+    edges = spark.createDataFrame([(str(i + 1), str(i)) for i in range(69)] + [("0", "69")], "child string, parent string")
+    assert {r.floor for r in lineage.inherit_floor(own, edges).collect()} == {1.0}
+
+
+def test_rounding_of_large_numbers(spark):
+    from veilgrain.functions.scalar import stable_round
+
+    row = spark.range(1).select(stable_round(F.lit(1e14), 6), stable_round(F.lit(1.2345678), 6)).first()
+    assert row[0] == pytest.approx(1e14) and row[1] == 1.234568
 
 
 @pytest.mark.parametrize("k,slices", [(7, 4), (50, 16), (1000, 16), (300, 1)])

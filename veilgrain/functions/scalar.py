@@ -52,7 +52,9 @@ def stable_round(c: Column, digits: int = 6) -> Column:
     A nudge of 1e-4 of the last digit keeps short decimals such as 0.0000005 off the rounding edge.
     """
     scale = float(10**digits)
-    return F.floor(c * F.lit(scale) + F.lit(0.5001)) / F.lit(scale)
+    shifted = c * F.lit(scale) + F.lit(0.5001)
+    # beyond 2 ** 53 a double has no fraction left, and floor() would saturate at the largest long
+    return F.when(F.abs(shifted) < 2.0**53, F.floor(shifted).cast("double")).otherwise(shifted) / F.lit(scale)
 
 
 def canonical_json(columns: Mapping[str, Column]) -> Column:

@@ -29,7 +29,9 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
 
 
 def dedupe(df: DataFrame, key: str = "event_id", order: Sequence[Column | str] = ("ts",)) -> DataFrame:
-    return keep_first(df, [key], list(order), 1)
+    """First row per key; rows that agree in ``order`` are told apart by a hash of all columns that can be hashed."""
+    rest = F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])
+    return keep_first(df, [key], [*order, rest], 1)
 
 
 def contribution_cap(

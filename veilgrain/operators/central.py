@@ -111,7 +111,7 @@ def multiplier(c: ReleaseContract) -> float:
 def add_noise(value: Column, mechanism: str, metric: str, c: ReleaseContract, key: Sequence[Column]) -> Column:
     """Noised value under the contract; the key fixes the draw for this release."""
     l1, l2 = sensitivity(metric, c.cap, c.max_cells, c.lo, c.hi)
-    parts = [c.secret, c.contract_version, *key, metric]
+    parts = [c.secret, c.contract_id, c.feature_id, c.contract_version, *key, metric]
     if mechanism == "GAUSSIAN":
         return value + F.lit(multiplier(c) * l2) * gaussian(*parts)
     if mechanism == "LAPLACE":
@@ -227,7 +227,8 @@ def materialize_active(cells: DataFrame, contracts: DataFrame, boundary: str, k_
     pick = ok.groupBy("feature_id", "window_id").agg(F.min("lvl").alias("lvl"))
     chosen = joined.join(pick, ["feature_id", "window_id", "lvl"], "left_semi")
     n = F.greatest(F.lit(1), F.col("impressions"))
-    noise = gaussian(secret, F.col("contract_version"), F.col("window_id"), F.col("cell"), "ctr")
+    names = [F.col(x) for x in ("feature_id", "contract_version", "window_id", "level", "cell")]
+    noise = gaussian(secret, *names, "ctr")
     value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("clicks") / n + F.col("sigma") / n * noise))
     return chosen.select("feature_id", "contract_version", "window_id", "level", "cell", value.alias("ctr"))
 

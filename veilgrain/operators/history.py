@@ -17,8 +17,9 @@ def latest(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def upsert(existing: DataFrame, updates: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
-    """Insert or replace by key: the row of the highest version wins."""
-    return latest(existing.unionByName(updates), keys, version)
+    """Insert or replace by key: the row of the highest version wins, an update before a row on record."""
+    both = existing.withColumn("_update", F.lit(0)).unionByName(updates.withColumn("_update", F.lit(1)))
+    return keep_first(both, keys, [F.col(version).desc(), F.col("_update").desc()], 1).drop("_update")
 
 
 def with_active_flag(contracts: DataFrame, keys: Sequence[str] = ("feature_id",), version: str = "contract_version") -> DataFrame:

@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from veilgrain.session import ensure_checkpoint_dir
 
 
-def inherit_floor(own: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def inherit_floor(own: DataFrame, edges: DataFrame) -> DataFrame:
     """Highest risk among a feature and all its ancestors.
 
     ``own`` is (feature_id, risk), ``edges`` (child, parent). Rounds follow the depth of the lineage, not the number
     of features: only features whose floor rose in the last round pass it on. Each round is checkpointed, so its
-    plan stays short and a lost executor costs one round.
+    plan stays short and a lost executor costs one round. A floor only rises, to one of the given risks, so the rounds
+    end for any depth and for cycles, too.
     """
     ensure_checkpoint_dir(own.sparkSession)
     links = edges.select(F.col("child"), F.col("parent")).distinct()
     state = own.select("feature_id", F.col("risk").alias("floor")).checkpoint()
     frontier = state
-    for _ in range(max_depth):
+    while True:
         offered = (
             links.join(frontier.select(F.col("feature_id").alias("parent"), F.col("floor").alias("_f")), "parent")
             .groupBy(F.col("child").alias("feature_id"))
@@ -34,7 +35,6 @@ def inherit_floor(own: DataFrame, edges: DataFrame, max_depth: int = 64) -> Data
         frontier = step.filter("_rose").drop("_rose")
         if frontier.isEmpty():
             return state
-    raise ValueError(f"lineage is deeper than {max_depth} or cyclic")
 
 
 def family_penalty(scores: DataFrame, family: str, per_member: float) -> DataFrame:

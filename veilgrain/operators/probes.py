@@ -16,14 +16,17 @@ from veilgrain.operators.bounding import balanced_sample
 
 def logistic_probe(spark: SparkSession, df: DataFrame, inputs: Sequence[str], label: str, id_col: str,
                    feature_id: str, attr: str, per_class: int, max_iter: int = 20) -> DataFrame:
-    """Train on a balanced keyed sample of at most ``per_class`` rows per class; AUC of the rows held out from it."""
+    """Train on 70% of a balanced keyed sample of at most ``per_class`` rows per class; exact AUC of all other rows."""
     seed = f"{feature_id}|{attr}"
-    sample = balanced_sample(df.select(id_col, label, *inputs), label, id_col, per_class, seed)
-    split = sample.withColumn("_train", keyed_uniform(seed, "split", F.col(id_col)) < 0.7)
+    rows = df.select(id_col, label, *inputs)
+    sample = balanced_sample(rows, label, id_col, per_class, seed)
+    train = sample.filter(keyed_uniform(seed, "split", F.col(id_col)) < 0.7).select(id_col, F.lit(True).alias("_train"))
+    split = rows.join(train, id_col, "left").withColumn("_train", F.coalesce("_train", F.lit(False)))
     vectors = VectorAssembler(inputCols=list(inputs), outputCol="features").transform(split).persist()
     try:
         model = LogisticRegression(labelCol=label, featuresCol="features", maxIter=max_iter).fit(vectors.filter("_train"))
-        auc = BinaryClassificationEvaluator(labelCol=label).evaluate(model.transform(vectors.filter("NOT _train")))
+        exact = BinaryClassificationEvaluator(labelCol=label, numBins=0)
+        auc = exact.evaluate(model.transform(vectors.filter("NOT _train")))
     finally:
         vectors.unpersist()
     return spark.range(1).select(F.lit(feature_id).alias("feature_id"), F.lit(attr).alias("attr"), F.lit(auc).alias("auc"))

@@ -9,11 +9,13 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilgrain.functions.noise import gaussian, keyed_uniform
 from veilgrain.operators.local_dp import keep_probability
 
+SLICE_ROWS = 4096  # messages of a window that are ranked in one task, about
 MESSAGE_COLUMNS = ("window_id", "cell", "protocol_type", "format", "data", "epsilon_local", "sample_rate")
 
 
@@ -34,26 +36,40 @@ def shufflable_messages(df: DataFrame, protocol: Column, fmt: Column, data: Colu
 
 
 def shuffle_mix(df: DataFrame, row_key: Sequence[str], window: str, batch_size: int, min_batch: int, secret: str,
-                payload: Sequence[str]) -> DataFrame:
-    """Random batches of about ``batch_size`` per window in a secret order; batches below ``min_batch`` are dropped.
+                payload: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Messages of each window in even batches of at least ``batch_size`` in a secret order, and the windows held back.
 
-    The message key decides batch and order and is then removed together with every other linkable column.
-    Dropping short batches is the mixing rule itself.
+    A window of fewer than ``min_batch`` messages is held back as a whole and reported as (window, n); one of fewer than
+    ``batch_size`` is a single batch. The message key decides the place and is then removed together with every other
+    linkable column. Places are counted in slices of the hash range, so no window is ranked in one task.
     """
     key = [F.col(k) for k in row_key]
-    sizes = df.groupBy(window).agg(F.ceil(F.count("*") / batch_size).alias("_batches"))
-    batched = (
-        df.join(sizes, window)
-        .withColumn("batch_id", F.floor(keyed_uniform(secret, *key, "batch") * F.col("_batches")))
+    sizes = df.groupBy(window).agg(F.count("*").alias("_size"))
+    held = sizes.filter(F.col("_size") < min_batch).select(window, F.col("_size").alias("n"))
+    drawn = (
+        df.join(sizes.filter(F.col("_size") >= min_batch), window)
+        .withColumn("_u", keyed_uniform(secret, *key, "batch"))
+        .withColumn("_slice", F.floor(F.col("_u") * F.ceil(F.col("_size") / SLICE_ROWS)))
         .withColumn("_order", keyed_uniform(secret, *key, "order"))
     )
-    full = batched.groupBy(window, "batch_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_batch)
-    mixed = batched.join(full.drop("_n"), [window, "batch_id"], "left_semi")
-    return (
-        mixed.repartition(window, "batch_id", F.floor(F.col("_order") * 16))
+    earlier = W.partitionBy(window).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    starts = drawn.groupBy(window, "_slice").agg(F.count("*").alias("_n")).select(
+        window, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    )
+    here = F.row_number().over(W.partitionBy(window, "_slice").orderBy("_u", *row_key))
+    batches = F.greatest(F.lit(1), F.floor(F.col("_size") / batch_size))
+    place = F.col("_before") + F.col("_place") - 1
+    batched = (
+        drawn.withColumn("_place", here)
+        .join(starts, [window, "_slice"])
+        .withColumn("batch_id", F.floor(place * batches / F.col("_size")))
+    )
+    mixed = (
+        batched.repartition(window, "batch_id", F.floor(F.col("_order") * 16))
         .sortWithinPartitions(window, "batch_id", "_order")
         .select(window, "batch_id", *payload)
     )
+    return mixed, held
 
 
 def aggregate_messages(df: DataFrame, keys: Sequence[str]) -> DataFrame:

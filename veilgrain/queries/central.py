@@ -17,7 +17,8 @@ from veilgrain.schema import ReleaseContract
 
 C = cm.CONTRACT
 SECRET = f"'{C.secret}'"
-KEY = (SECRET, "'v1'", "window_id", "level", "cell")
+NAMED = (SECRET, f"'{C.contract_id}'", f"'{C.feature_id}'", "'v1'")
+KEY = (*NAMED, "window_id", "level", "cell")
 LEVELS = STAGED + """, pick AS (SELECT window_id, min(lvl) AS lvl FROM (SELECT window_id, lvl, min(contributors_count) AS m FROM staged GROUP BY ALL) WHERE m >= 20 GROUP BY 1),
  chosen AS (SELECT staged.* FROM staged JOIN pick USING (window_id, lvl))"""
 
@@ -181,7 +182,7 @@ def dp_mean_bounded01(spark, sf):
     f"""WITH {cm.EV}, n AS (SELECT day_id AS window_id, event_type, CAST(least(7, floor(value / 50)) AS INT)::VARCHAR AS cell, count(*) AS c FROM ev GROUP BY ALL),
  d AS (SELECT window_id, event_type, unnest(['0', '1', '2', '3', '4', '5', '6', '7']) AS cell FROM (SELECT DISTINCT window_id, event_type FROM n)),
  h AS (SELECT d.*, coalesce(c, 0) AS event_count FROM d LEFT JOIN n USING (window_id, event_type, cell))
-SELECT window_id, event_type, cell, {R(f"greatest(0.0, event_count + {LAPLACE('16.0', SECRET, repr('v1'), 'window_id', 'event_type', 'cell', repr('HIST'))})")} AS dp_event_count FROM h""",
+SELECT window_id, event_type, cell, {R(f"greatest(0.0, event_count + {LAPLACE('16.0', *NAMED, 'window_id', 'event_type', 'cell', repr('HIST'))})")} AS dp_event_count FROM h""",
 )
 def dp_hist(spark, sf):
     """Daily histogram of the value in eight public bins; empty bins are noised as well."""
@@ -277,7 +278,7 @@ def release_provenance(spark, sf):
  j AS (SELECT c.*, contract_version, pref FROM c JOIN act USING (feature_id) WHERE boundary = 'CENTRAL' AND lvl >= pref),
  p AS (SELECT feature_id, window_id, min(lvl) AS lvl FROM (SELECT feature_id, window_id, lvl FROM j GROUP BY ALL HAVING min(cc) >= 20) GROUP BY ALL)
 SELECT feature_id, contract_version, window_id, level, cell,
-  {R('greatest(0.0, least(1.0, clicks / greatest(1, impressions) + 4.0 / greatest(1, impressions) * ' + GAUSS(SECRET, 'contract_version', 'window_id', 'cell', "'ctr'") + '))')} AS ctr
+  {R('greatest(0.0, least(1.0, clicks / greatest(1, impressions) + 4.0 / greatest(1, impressions) * ' + GAUSS(SECRET, 'feature_id', 'contract_version', 'window_id', 'level', 'cell', "'ctr'") + '))')} AS ctr
 FROM j JOIN p USING (feature_id, window_id, lvl)""",
 )
 def materialize_active(spark, sf):
@@ -330,8 +331,9 @@ SHIP_STAGED = f"""{cm.SHIP}, lad AS (SELECT ship.*, level, lvl, CASE lvl WHEN 0
     ORDER BY {U(SECRET, 'contributor', 'window_id', 'level', 'cell')}, cell) AS c0 FROM per) WHERE c0 <= 8),
  staged AS (SELECT window_id, level, lvl, cell, sum(n)::BIGINT AS event_count, sum(s) AS value_sum, count(*) AS contributors_count FROM l0 GROUP BY ALL),
  pick AS (SELECT window_id, min(lvl) AS lvl FROM (SELECT window_id, lvl, min(contributors_count) AS m FROM staged GROUP BY ALL) WHERE m >= 25 GROUP BY 1)"""
-SHIP_COUNT = R(f"greatest(0.0, event_count + {SIG} * {L2} * {GAUSS(*KEY, repr('COUNT'))})")
-SHIP_SUM = R(f"value_sum + {SIG} * {L2} * 50000.0 * {GAUSS(*KEY, repr('SUM'))}", 2)
+SHIP_KEY = (SECRET, f"'{SHIP_C.contract_id}'", f"'{SHIP_C.feature_id}'", "'v1'", "window_id", "level", "cell")
+SHIP_COUNT = R(f"greatest(0.0, event_count + {SIG} * {L2} * {GAUSS(*SHIP_KEY, repr('COUNT'))})")
+SHIP_SUM = R(f"value_sum + {SIG} * {L2} * 50000.0 * {GAUSS(*SHIP_KEY, repr('SUM'))}", 2)
 
 
 def _ship_cells():

@@ -11,13 +11,12 @@ from veilgrain.sources import tables
 LEDGER = """ledger AS (
   SELECT event_type AS feature_id, 'v1' AS contract_version, CAST(ts AS DATE) AS window_day,
          sum(0.001 * (1 + event_id % 10)) / 10 AS epsilon_spend, count(*) * 1e-9 AS delta_spend
-  FROM events WHERE value < 100 OR event_type <> 'signup' GROUP BY ALL)"""
+  FROM events GROUP BY ALL)"""
 
 
 def ledger(spark, sf):
     raw = (
         tables.table(spark, sf, "events")
-        .filter("value < 100 OR event_type <> 'signup'")
         .groupBy(F.col("event_type").alias("feature_id"), F.to_date("ts").alias("window_day"))
         .agg((F.sum(0.001 * (1 + F.col("event_id") % 10)) / 10).alias("epsilon_spend"),
              (F.count("*") * 1e-9).alias("delta_spend"))

@@ -221,15 +221,15 @@ def shufflable_message(spark, sf):
 
 @query(
     "shuffle_mix",
-    f"""WITH {LIGHT}, s AS (SELECT window_id, ceil(count(*) / 200) AS b FROM msg GROUP BY 1),
- m AS (SELECT msg.*, CAST(floor({U(SECRET, 'event_id', "'batch'")} * b) AS BIGINT) AS batch_id FROM msg JOIN s USING (window_id)),
- f AS (SELECT window_id, batch_id FROM m GROUP BY ALL HAVING count(*) >= 190)
-SELECT window_id, batch_id, cell, bit FROM m JOIN f USING (window_id, batch_id)""",
+    f"""WITH {LIGHT}, m AS (SELECT *, count(*) OVER (PARTITION BY window_id) AS n,
+   row_number() OVER (PARTITION BY window_id ORDER BY {U(SECRET, 'event_id', "'batch'")}, event_id) - 1 AS place FROM msg)
+SELECT window_id, place * greatest(1, n // 200) // n AS batch_id, cell, bit FROM m WHERE n >= 190""",
 )
 def shuffle_mix(spark, sf):
-    return sh.shuffle_mix(
+    mixed, _ = sh.shuffle_mix(
         bounded_bits(spark, sf), ["event_id"], "window_id", 200, 190, cm.CONTRACT.secret, ["cell", "bit"]
     )
+    return mixed
 
 
 SUMS = f"{LIGHT}, a AS (SELECT window_id, cell, count(*) AS n, sum(bit)::BIGINT AS y FROM msg GROUP BY ALL)"
@@ -261,12 +261,12 @@ def shuffle_central_noise(spark, sf):
     "shuffle_release",
     f"""WITH {SUMS} SELECT 'c_shuffle' AS contract_id, 'v1' AS contract_version, 'events_high_value' AS feature_id, window_id, cell AS cluster_id, {R(HARD)} AS estimate_value,
   {R(VAR + ' + 9.0')} AS variance, {R(f'{HARD} - 1.959964 * sqrt({VAR} + 9.0)')} AS ci_lower, {R(f'{HARD} + 1.959964 * sqrt({VAR} + 9.0)')} AS ci_upper,
-  'SHUFFLE_COUNT' AS protocol_type, true AS local_randomization_enabled, 2.0::DOUBLE AS epsilon_local, 1.0::DOUBLE AS sample_rate FROM a WHERE n >= 100""",
+  'SHUFFLE_COUNT' AS protocol_type, true AS local_randomization_enabled, 2.0::DOUBLE AS epsilon_local, 1.0::DOUBLE AS sample_rate FROM a""",
 )
 def shuffle_release(spark, sf):
-    """Messages to released rows; cells of fewer than 100 messages stay out."""
+    """Messages to released rows."""
     valid = gates.passed(gates.payload_gate(messages(spark, sf), cap=1, categories=2, width=1, depth=1, max_update=1))
-    sums = sh.aggregate_messages(valid, ["window_id", "cell"]).drop("format", "row", "pos").filter("n >= 100")
+    sums = sh.aggregate_messages(valid, ["window_id", "cell"]).drop("format", "row", "pos")
     hard = sh.harden(sh.estimate(sums, EPS_LIGHT), 3.0, cm.CONTRACT.secret, ["window_id", "cell"])
     out = sh.with_interval(hard, "estimate_value")
     return out.select(

@@ -143,7 +143,7 @@ STREAM_C = dataclasses.replace(cm.CONTRACT, contract_id="c_stream", feature_id="
 @query(
     "stream_release",
     f"""WITH {CLOSED}, c AS (SELECT day_id AS window_id, 'CLUSTER' AS level, event_type AS cell, count(*) AS n, count(DISTINCT contributor) AS cc FROM cl GROUP BY ALL)
-SELECT window_id, cell, {R(f"greatest(0.0, n + sqrt(2 * ln(1.25 / 1e-6)) * (2*sqrt(8)) * {GAUSS(SECRET, repr('v1'), 'window_id', 'level', 'cell', repr('COUNT'))})")} AS dp_event_count, 'v1' AS contract_version FROM c WHERE cc >= 30""",
+SELECT window_id, cell, {R(f"greatest(0.0, n + sqrt(2 * ln(1.25 / 1e-6)) * (2*sqrt(8)) * {GAUSS(SECRET, repr(cm.CONTRACT.contract_id), repr(cm.CONTRACT.feature_id), repr('v1'), 'window_id', 'level', 'cell', repr('COUNT'))})")} AS dp_event_count, 'v1' AS contract_version FROM c WHERE cc >= 30""",
 )
 def stream_release(spark, sf):
     staged = windows.tumbling_staging(marked(spark, sf), "1 day", ["event_type"], tr.clip_numeric(F.col("value"), 0, 200))
