@@ -95,7 +95,7 @@ WORDS.reset()
 
 
 def numbered(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers and the table (flags, shape, ending) of the distinct words of one text, in order of number."""
+    """Number and (flags, shape, ending) of every word of one text."""
     try:
         n = np.fromiter(map(WORDS.__getitem__, words), np.int64, len(words))
     except OverflowError:
@@ -104,38 +104,41 @@ def numbered(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(distinct) > CACHE_ENTRIES:  # one text with more distinct words than the cache holds
             rows = [(word_flags(w), bucket("s" + shape(w)), ending(w)) for w in distinct]
             index = {w: i for i, w in enumerate(distinct)}
-            return np.array([index[w] for w in words]), np.array(rows, np.int64)
+            n = np.array([index[w] for w in words])
+            return n, np.array(rows, np.int64)[n]
         n = np.fromiter(map(WORDS.__getitem__, words), np.int64, len(words))
-    kinds, n = np.unique(n, return_inverse=True)
-    return n, WORDS.rows[kinds]
+    return n, WORDS.rows[n]
 
 
-def look(text: str | None) -> tuple[dict[str, float], np.ndarray]:
+def look(text: str | None, features_too: bool = True) -> tuple[dict[str, float], np.ndarray]:
     """Labeller shares and sorted distinct feature buckets of a whole text; a text without words has no shares."""
     words = (text or "").split()
     if not words:
         return {}, np.array([bucket("empty")], np.int64)
     n, table = numbered(words)
-    count = np.bincount(n, minlength=len(table))
     total = len(n)
     flags = table[:, 0]
     share = {
-        "plain_words": count[flags & 16 > 0].sum() / total,
-        "small_letters": count[flags & 32 > 0].sum() / total,
-        "symbol_words": count[flags & 1 > 0].sum() / total,
-        "upper_words": count[flags & 2 > 0].sum() / total,
-        "bars": count[flags & 4 > 0].sum() / total,
+        "plain_words": (flags & 16 > 0).sum() / total,
+        "small_letters": (flags & 32 > 0).sum() / total,
+        "symbol_words": (flags & 1 > 0).sum() / total,
+        "upper_words": (flags & 2 > 0).sum() / total,
+        "bars": (flags & 4 > 0).sum() / total,
         "repeats": (n[1:] == n[:-1]).sum() / total,
-        "no_letters": count[flags & 8 > 0].sum() / total,
+        "no_letters": (flags & 8 > 0).sum() / total,
     }
     if total >= 30:
-        share["top_word"] = count.max() / total
+        ordered = np.sort(n)
+        ends = np.append(np.flatnonzero(ordered[1:] != ordered[:-1]), total - 1)
+        share["top_word"] = np.diff(ends, prepend=-1).max() / total
         # long natural texts repeat words, too: count kinds against the kinds a text of this length should have
-        share["few_kinds"] = 1 - min(1.0, len(table) / total * max(1.0, (total / 100) ** 0.35))
+        share["few_kinds"] = 1 - min(1.0, len(ends) / total * max(1.0, (total / 100) ** 0.35))
+    if not features_too:
+        return share, np.zeros(0, np.int64)
     features = [bucket(f"{k}:{math.floor(v * 10)}") for k, v in share.items()]
     # shapes and odd endings that occur, and those that make up much of the text
     for column, mark in ((1, 1), (2, 2)):
-        part = np.bincount(table[:, column] + 1, weights=count)
+        part = np.bincount(table[:, column] + 1)
         kinds = np.flatnonzero(part) - 1
         part = part[kinds + 1] / total
         for level, least in enumerate((0.0, 0.1, 0.4)):
@@ -221,7 +224,7 @@ def score_of(features: np.ndarray, weights: np.ndarray) -> float:
 
 def vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        found = [pattern(look(t)[0]) for t in batch.column(0).to_pylist()]
+        found = [pattern(look(t, False)[0]) for t in batch.column(0).to_pylist()]
         yield pa.record_batch([pa.array(found, pa.int32())], names=["pattern"])
 
 
