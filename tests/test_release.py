@@ -55,14 +55,14 @@ def brute_cells(rows, cap, lo, hi):
 
 
 def test_staging_equals_brute_force(spark, rows, events):
-    c = ReleaseContract(cap=3)
+    c = ReleaseContract(secret="s", cap=3)
     staged = central.bounded_staging(events, *cells(), c, cap_cells=False)
     got = {(r.window_id, r.level, r.cell): (r.event_count, r.value_sum, r.contributors_count) for r in staged.collect()}
     assert got == brute_cells(rows, 3, c.lo, c.hi)
 
 
 def test_count_only_staging_equals_ranked_staging(events):
-    c = ReleaseContract(cap=3, max_cells=4)
+    c = ReleaseContract(secret="s", cap=3, max_cells=4)
     keys = ("window_id", "level", "cell", "event_count", "contributors_count")
     ranked = central.bounded_staging(events, *cells(), c)
     counted = central.bounded_staging(events, *cells(), dataclasses.replace(c, metrics=("COUNT",)))
@@ -70,7 +70,7 @@ def test_count_only_staging_equals_ranked_staging(events):
 
 
 def test_nobody_exceeds_the_sensitivity(events):
-    c = ReleaseContract(cap=3, max_cells=4)
+    c = ReleaseContract(secret="s", cap=3, max_cells=4)
     partials = bounding.l0_cell_cap(bounding.count_partials(events, *cells(), c.cap), c.max_cells, c.secret)
     worst = partials.groupBy("contributor", "window_id", "level").agg(F.sum("n").alias("n"), F.count("*").alias("cells"))
     top = worst.agg(F.max("n"), F.max("cells")).first()
@@ -94,7 +94,7 @@ def test_cap_of_capped_parts_is_the_cap_of_all(events):
 
 
 def test_feature_downgrade_takes_the_finest_level_that_fits(events):
-    staged = central.bounded_staging(events, *cells(), ReleaseContract(cap=3), cap_cells=False)
+    staged = central.bounded_staging(events, *cells(), ReleaseContract(secret="s", cap=3), cap_cells=False)
     for k in (1, 10, 30, 41):
         out = central.downgrade_feature(staged, ["window_id"], k).collect()
         assert all(r.contributors_count >= k for r in out)
@@ -120,7 +120,7 @@ def test_cell_downgrade_conserves_rows(spark, rows, events):
 
 
 def test_release_is_reproducible_and_leaks_nothing(events):
-    c = ReleaseContract(k_min=5)
+    c = ReleaseContract(secret="s", k_min=5)
     staged = central.bounded_staging(events, *cells(), c)
     one, two = (sorted(map(tuple, central.release(staged, c, 1).collect())) for _ in range(2))
     assert one == two
@@ -131,9 +131,9 @@ def test_release_is_reproducible_and_leaks_nothing(events):
 
 def test_sigma_must_support_epsilon():
     with pytest.raises(ValueError):
-        central.multiplier(ReleaseContract(sigma=4.0, epsilon=1.0, delta=1e-6))
-    assert central.multiplier(ReleaseContract(sigma=6.0)) == 6.0
-    assert central.multiplier(ReleaseContract()) == pytest.approx(math.sqrt(2 * math.log(1.25e6)))
+        central.multiplier(ReleaseContract(secret="s", sigma=4.0, epsilon=1.0, delta=1e-6))
+    assert central.multiplier(ReleaseContract(secret="s", sigma=6.0)) == 6.0
+    assert central.multiplier(ReleaseContract(secret="s")) == pytest.approx(math.sqrt(2 * math.log(1.25e6)))
     with pytest.raises(ValueError):
         noise.classic_sigma(2.0, 1e-6)
 
@@ -224,11 +224,25 @@ def test_mixing_keeps_messages_and_drops_keys(spark, events):
     assert even.count() + sum(r["n"] for r in held.collect()) == 900
 
 
+def test_contracts_need_a_secret():
+    with pytest.raises(TypeError):
+        ReleaseContract(cap=3)
+
+
+def test_means_move_by_at_most_the_cap(events):
+    per = events.withColumn("y", (F.col("value") > 50).cast("double")).groupBy("contributor", "window_id", "item").agg(
+        F.count("*").alias("n"), F.sum("y").alias("y")
+    )
+    assert per.agg(F.max("n")).first()[0] > 2
+    worst = bounding.scaled_to_cap(per, 2, "n", ["y"]).agg(F.max("n"), F.max("y"), F.min("n")).first()
+    assert worst[0] == 2 and worst[1] <= 2 and worst[2] == 1
+
+
 def test_noise_differs_between_features_and_contracts(spark):
     cells = spark.createDataFrame([("w", "AGGREGATE", "all", 100)], "window_id string, level string, cell string, event_count long")
 
     def drawn(**names):
-        c = ReleaseContract(**names)
+        c = ReleaseContract(secret="s", **names)
         key = [F.col(x) for x in ("window_id", "level", "cell")]
         return cells.select(central.add_noise(F.col("event_count"), "GAUSSIAN", "COUNT", c, key)).first()[0]
 
@@ -298,6 +312,13 @@ def test_join_degree_equals_pair_search(spark):
     assert got == {i: sum(1 for j, t in sets if j != i and set(s) & set(t)) for i, s in sets}
 
 
+def test_join_degree_of_large_key_sets(spark):
+    rng = random.Random(10)
+    sets = [(i, rng.sample(range(400), 40 if i % 3 else rng.randrange(0, 4))) for i in range(60)]
+    got = {r.id: r.degree for r in joins.join_degree(spark.createDataFrame(sets, "id int, keys array<int>"), "id", "keys").collect()}
+    assert got == {i: sum(1 for j, t in sets if j != i and set(s) & set(t)) for i, s in sets}
+
+
 def test_inherited_floor_follows_all_ancestors(spark):
     own = spark.createDataFrame([(i, r) for i, r in enumerate([0.9, 0.1, 0.2, 0.05, 0.3])], "feature_id int, risk double")
     edges = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (3, 4)], "child int, parent int")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from veilgrain.operators import bounding
 from veilgrain.operators import transforms as tr
-from veilgrain.streaming import ingest
+from veilgrain.schema import ReleaseContract
+from veilgrain.streaming import ingest, windows
 
 START = dt.datetime(2024, 1, 1)
 
@@ -60,6 +61,19 @@ def test_cap_over_batches_equals_batch_cap(spark, folder):
     assert parts.select("batch_id").distinct().count() == 5
 
 
+def test_hourly_windows_keep_their_names_and_bounds(spark, folder):
+    c = ReleaseContract(secret="s", cap=1, max_cells=2, lo=0.0, hi=5.0)
+    stream = ingest.with_watermark(ingest.event_stream(spark, folder, files_per_trigger=1), "1 day")
+    with pytest.raises(ValueError):
+        windows.bounded_tumbling_staging(stream, "1 hour", F.col("event_type"), ["a", "b", "c"], c)
+    staged = windows.bounded_tumbling_staging(stream, "1 hour", F.col("event_type"), ["click", "view"], c)
+    table, _ = ingest.run_to_table(staged, "hourly")
+    rows = table.filter("window_id < '2024-01-02'").collect()
+    assert sorted(r.window_id for r in rows) == [f"2024-01-01T{h:02d}:00" for h in range(7)]
+    # six rows of three people an hour (four in the last), of which each counts once and for at most 5
+    assert all(r.event_count == r.contributors_count == 3 and r.value_sum <= 15 for r in rows)
+
+
 def test_dedupe_across_batches(spark, folder):
     write_day(spark, folder, "again", [(1, START + dt.timedelta(days=4), 1, "click", 1.0, '{"k": 1}')])
     stream = ingest.event_stream(spark, folder, files_per_trigger=1)

@@ -65,9 +65,20 @@ def count_partials(df: DataFrame, item: Column, cluster: Column, cap: int, keys:
     return roll_up(items, [*keys, "contributor"], ["n"]).withColumn("n", F.least(F.lit(cap), F.col("n")))
 
 
-def l0_cell_cap(partials: DataFrame, max_cells: int, secret: str, extra: Sequence[str] = ()) -> DataFrame:
+def scaled_to_cap(partials: DataFrame, cap: int, n: str, sums: Sequence[str]) -> DataFrame:
+    """Contributors with more than ``cap`` rows in a cell weigh ``cap`` rows; their sums shrink in proportion.
+
+    Bounds means without ranking rows: of outcomes in [0, 1], one contributor moves a sum by at most ``cap``.
+    """
+    kept = F.least(F.lit(cap), F.col(n))
+    scaled = {s: F.col(s) * kept / F.greatest(F.lit(1), F.col(n)) for s in sums}
+    return partials.withColumns({**scaled, n: kept})
+
+
+def l0_cell_cap(partials: DataFrame, max_cells: int, secret: str, extra: Sequence[str] = (), digest: str = "md5") -> DataFrame:
     """At most ``max_cells`` cells per contributor, window and level, chosen by a keyed hash."""
-    order = keyed_uniform(secret, F.col("contributor"), F.col("window_id"), F.col("level"), F.col("cell"))
+    names = [F.col(x) for x in ("contributor", "window_id", "level", "cell")]
+    order = keyed_uniform(secret, *names, digest=digest)
     return keep_first(partials, [*extra, "contributor", "window_id", "level"], [order, F.col("cell")], max_cells)
 
 

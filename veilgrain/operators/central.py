@@ -113,11 +113,11 @@ def add_noise(value: Column, mechanism: str, metric: str, c: ReleaseContract, ke
     l1, l2 = sensitivity(metric, c.cap, c.max_cells, c.lo, c.hi)
     parts = [c.secret, c.contract_id, c.feature_id, c.contract_version, *key, metric]
     if mechanism == "GAUSSIAN":
-        return value + F.lit(multiplier(c) * l2) * gaussian(*parts)
+        return value + F.lit(multiplier(c) * l2) * gaussian(*parts, digest=c.digest)
     if mechanism == "LAPLACE":
-        return value + laplace(F.lit(l1 / c.epsilon), *parts)
+        return value + laplace(F.lit(l1 / c.epsilon), *parts, digest=c.digest)
     if mechanism == "DISCRETE":
-        return value + two_sided_geometric(math.exp(-c.epsilon / l1), *parts)
+        return value + two_sided_geometric(math.exp(-c.epsilon / l1), *parts, digest=c.digest)
     raise ValueError(f"unknown mechanism {mechanism}")
 
 
@@ -143,10 +143,18 @@ def dp_metrics(cells: DataFrame, c: ReleaseContract, key: Sequence[str] = ("wind
     return out.drop("event_count", "value_sum", "value_sumsq", "contributors_count", "passes")
 
 
-def dp_mean_bounded01(mean: Column, n: Column, sigma: float, *key) -> Column:
-    """Mean of values in [0, 1] with noise of standard deviation sigma / n, clamped back."""
+def mean_sensitivity(cap: int, max_cells: int) -> float:
+    """L2 sensitivity, times n, of means of values in [0, 1] to one contributor of ``cap`` rows in ``max_cells`` cells."""
+    return cap * math.sqrt(max_cells)
+
+
+def dp_mean_bounded01(mean: Column, n: Column, sigma: float, *key, digest: str = "md5") -> Column:
+    """Mean of values in [0, 1] with noise of standard deviation sigma / n, clamped back.
+
+    ``sigma`` is a noise multiplier times ``mean_sensitivity``; contributors must be bounded to match.
+    """
     n = F.greatest(F.lit(1), n)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean + (F.lit(float(sigma)) / n) * gaussian(*key)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean + (F.lit(float(sigma)) / n) * gaussian(*key, digest=digest)))
 
 
 def full_domain(counts: DataFrame, keys: Sequence[str], bin_col: str, bins: Sequence[str]) -> DataFrame:
@@ -201,7 +209,7 @@ def bounded_staging(events: DataFrame, item: Column, cluster: Column, c: Release
     else:
         partials = bounding.count_partials(events, item, cluster, c.cap)
     if cap_cells:
-        partials = bounding.l0_cell_cap(partials, c.max_cells, c.secret)
+        partials = bounding.l0_cell_cap(partials, c.max_cells, c.secret, digest=c.digest)
     return store(bounding.stage(partials), "staging")
 
 
@@ -213,10 +221,12 @@ def release(staged: DataFrame, c: ReleaseContract, release_ts_ms: Column | int)
     return with_provenance(noised, c, release_ts_ms)
 
 
-def materialize_active(cells: DataFrame, contracts: DataFrame, boundary: str, k_min: int, secret: str) -> DataFrame:
+def materialize_active(cells: DataFrame, contracts: DataFrame, boundary: str, k_min: int, secret: str, cap: int,
+                       max_cells: int, digest: str = "sha2") -> DataFrame:
     """Click-through rates of all active contracts of a boundary in one job.
 
-    ``cells`` has feature_id, window_id, level, lvl, cell, clicks, impressions, contributors for every level. Each
+    ``cells`` has feature_id, window_id, level, lvl, cell, clicks, impressions, contributors for every level, from
+    contributors of at most ``cap`` rows in each of ``max_cells`` cells; the noise is scaled to that. Each
     feature starts at its contract's level and moves to the next coarser one its contract permits.
     """
     active = contracts.filter((F.col("boundary") == boundary) & F.col("active")).select(
@@ -228,7 +238,7 @@ def materialize_active(cells: DataFrame, contracts: DataFrame, boundary: str, k_
     chosen = joined.join(pick, ["feature_id", "window_id", "lvl"], "left_semi")
     n = F.greatest(F.lit(1), F.col("impressions"))
     names = [F.col(x) for x in ("feature_id", "contract_version", "window_id", "level", "cell")]
-    noise = gaussian(secret, *names, "ctr")
+    noise = mean_sensitivity(cap, max_cells) * gaussian(secret, *names, "ctr", digest=digest)
     value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("clicks") / n + F.col("sigma") / n * noise))
     return chosen.select("feature_id", "contract_version", "window_id", "level", "cell", value.alias("ctr"))
 

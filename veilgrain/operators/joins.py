@@ -84,24 +84,30 @@ def deny_pairs(pairs: DataFrame, denied: DataFrame) -> DataFrame:
     return pairs.join(denied.select("feature_id", "boundary").distinct(), ["feature_id", "boundary"], "left_anti")
 
 
-def join_degree(datasets: DataFrame, id_col: str, keys: str) -> DataFrame:
+def join_degree(datasets: DataFrame, id_col: str, keys: str, few: int = 12) -> DataFrame:
     """How many other datasets share at least one join key with each dataset.
 
-    Datasets are reduced to their distinct key sets. By inclusion-exclusion, the number of datasets that meet a
-    key set is the signed sum of the counts of datasets containing each of its subsets, so no pair of datasets
-    is ever formed. Meant for key sets of up to a dozen keys.
+    Datasets are reduced to their distinct key sets. Among sets of at most ``few`` keys, the number of datasets that
+    meet one is, by inclusion-exclusion, the signed sum of the counts of datasets containing each of its subsets, so
+    no pair is formed. Larger sets meet the others through lists of the sets that hold each key. Null keys count as
+    absent; a dataset without keys has degree 0.
     """
-    tagged = datasets.withColumn("_keys", F.array_sort(F.array_distinct(keys)))
-    sets = tagged.groupBy("_keys").agg(F.count("*").alias("n"))
+    tagged = datasets.withColumn("_keys", F.array_sort(F.array_distinct(F.array_compact(keys))))
+    sets = tagged.groupBy("_keys").agg(F.count("*").alias("n")).filter(F.size("_keys") > 0)
     masks = F.expr("sequence(1, shiftleft(1, size(_keys)) - 1)")
-    subsets = sets.filter(F.size("_keys") > 0).withColumn("_mask", F.explode(masks)).withColumn(
+    subsets = sets.filter(F.size("_keys") <= few).withColumn("_mask", F.explode(masks)).withColumn(
         "_subset", F.expr("filter(_keys, (k, i) -> (shiftright(_mask, i) & 1) = 1)")
     )
     containing = subsets.groupBy("_subset").agg(F.sum("n").alias("c"))
     signed = F.when(F.size("_subset") % 2 == 1, F.col("c")).otherwise(-F.col("c"))
-    degree = subsets.select("_keys", "_subset").join(containing, "_subset").groupBy("_keys").agg(
-        (F.sum(signed) - 1).alias("degree")
-    )
+    among = subsets.select("_keys", "_subset").join(containing, "_subset").groupBy("_keys").agg(F.sum(signed).alias("d"))
+    lists = sets.withColumn("_key", F.explode("_keys"))
+    large = lists.filter(F.size("_keys") > few).select(F.col("_keys").alias("_large"), F.col("n").alias("_m"), "_key")
+    met = large.join(lists, "_key").select("_large", "_m", "_keys", "n").distinct()
+    of_large = met.groupBy(F.col("_large").alias("_keys")).agg(F.sum("n").alias("d"))
+    of_few = met.filter(F.size("_keys") <= few).groupBy("_keys").agg(F.sum("_m").alias("d"))
+    # every set was counted with its own datasets, of which one is the dataset itself
+    degree = among.union(of_large).union(of_few).groupBy("_keys").agg((F.sum("d") - 1).alias("degree"))
     return tagged.join(degree, "_keys", "left").select(id_col, F.coalesce("degree", F.lit(0)).alias("degree"))
 
 

@@ -35,17 +35,28 @@ def feature_stats(spark, sf):
     return st
 
 
-@query("n_distinct_hll")
+@query(
+    "n_distinct_hll",
+    f"""WITH {cm.EV} SELECT window_id, event_type, count(DISTINCT contributor) AS n_distinct, true AS within_error FROM ev GROUP BY ALL""",
+)
 def n_distinct_hll(spark, sf):
-    """Daily sketches of contributors, merged to weeks without touching events again."""
+    """Daily sketches of contributors, merged to weeks without touching events again; off by at most three standard errors."""
     daily = (
         cm.weekly_events(spark, sf)
         .groupBy("window_id", "day_id", "event_type")
         .agg(F.hll_sketch_agg("contributor", F.lit(12)).alias("sketch"))
     )
-    return daily.groupBy("window_id", "event_type").agg(
+    weekly = daily.groupBy("window_id", "event_type").agg(
         F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct_est")
     )
+    exact = cm.weekly_events(spark, sf).groupBy("window_id", "event_type").agg(
+        F.count_distinct("contributor").alias("n_distinct")
+    )
+    error = F.abs(F.col("n_distinct_est") - F.col("n_distinct"))
+    allowed = F.greatest(F.lit(1.0), F.col("n_distinct") * (3 * 1.04 / 64))  # 64 is the root of the 4096 registers
+    return exact.join(weekly, ["window_id", "event_type"]).select(
+        "window_id", "event_type", "n_distinct", (error <= allowed).alias("within_error")
+    )
 
 
 @query("min_support", f"WITH {CELLS} SELECT feature_id, window_id, level, min_support_est AS min_support FROM tot")

@@ -37,6 +37,8 @@ BOUNDED = (
 L2 = "(2*sqrt(8))"
 SIG = "sqrt(2 * ln(1.25 / 1e-6))"  # classic multiplier at epsilon 1, delta 1e-6
 CTR_SIGMA = 4.0
+MEAN_CAP = 1  # a contributor weighs one row in a cell's mean
+CTR_SD = "(4.0 * sqrt(8))"  # noise multiplier times the sensitivity of means
 
 
 def bounded(spark, sf):
@@ -160,26 +162,37 @@ def dp_mean(spark, sf):
     )
 
 
-CTR = f"""{cm.EV}, ctr AS (SELECT window_id, k AS cell, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS c,
-  sum(CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END) AS n FROM ev GROUP BY ALL)"""
+CTR = f"""{cm.EV}, per AS (SELECT window_id, 'ITEM' AS level, k AS cell, contributor, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS c,
+  sum(CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END) AS n FROM ev GROUP BY ALL),
+ l0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contributor, window_id, level
+    ORDER BY {U(SECRET, 'contributor', 'window_id', 'level', 'cell')}, cell) AS c0 FROM per) WHERE c0 <= 8),
+ ctr AS (SELECT window_id, cell, sum(c * least(1, n) / greatest(1, n)::DOUBLE) AS c, sum(least(1, n)) AS n FROM l0 GROUP BY ALL)"""
 
 
 @query(
     "dp_mean_bounded01",
-    f"""WITH {CTR} SELECT window_id, cell, {R('greatest(0.0, least(1.0, c / greatest(1, n) + 4.0 / greatest(1, n) * ' + GAUSS(SECRET, "'v1'", 'window_id', 'cell', "'ctr'") + '))')} AS dp_ctr FROM ctr""",
+    f"""WITH {CTR} SELECT window_id, cell, {R('greatest(0.0, least(1.0, c / greatest(1, n) + ' + CTR_SD + ' / greatest(1, n) * ' + GAUSS(*NAMED, 'window_id', 'cell', "'ctr'") + '))')} AS dp_ctr FROM ctr""",
 )
 def dp_mean_bounded01(spark, sf):
-    cells = click_cells(cm.weekly_events(spark, sf), ["window_id", F.col("k").alias("cell")])
+    """Click rate per week and item; a contributor weighs one impression in each of at most ``max_cells`` items."""
+    per = click_cells(cm.weekly_events(spark, sf), ["window_id", F.lit("ITEM").alias("level"), F.col("k").alias("cell"), "contributor"])
+    per = bounding.scaled_to_cap(per, MEAN_CAP, "impressions", ["clicks"])
+    per = bounding.l0_cell_cap(per, C.max_cells, C.secret, digest=C.digest)
+    cells = per.groupBy("window_id", "cell").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
     mean = F.col("clicks") / F.greatest(F.lit(1), F.col("impressions"))
-    value = central.dp_mean_bounded01(
-        mean, F.col("impressions"), CTR_SIGMA, C.secret, C.contract_version, F.col("window_id"), F.col("cell"), "ctr"
-    )
+    sd = CTR_SIGMA * central.mean_sensitivity(MEAN_CAP, C.max_cells)
+    key = (C.secret, C.contract_id, C.feature_id, C.contract_version, F.col("window_id"), F.col("cell"), "ctr")
+    value = central.dp_mean_bounded01(mean, F.col("impressions"), sd, *key, digest=C.digest)
     return cells.select("window_id", "cell", r(value).alias("dp_ctr"))
 
 
 @query(
     "dp_hist",
-    f"""WITH {cm.EV}, n AS (SELECT day_id AS window_id, event_type, CAST(least(7, floor(value / 50)) AS INT)::VARCHAR AS cell, count(*) AS c FROM ev GROUP BY ALL),
+    f"""WITH {cm.EV}, per AS (SELECT day_id AS window_id, event_type, CAST(least(7, floor(value / 50)) AS INT)::VARCHAR AS bin, contributor, least(2, count(*)) AS m FROM ev GROUP BY ALL),
+ named AS (SELECT *, 'BIN' AS level, event_type || '|' || bin AS cell FROM per),
+ l0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contributor, window_id, level
+    ORDER BY {U(SECRET, 'contributor', 'window_id', 'level', 'cell')}, cell) AS c0 FROM named) WHERE c0 <= 8),
+ n AS (SELECT window_id, event_type, bin AS cell, sum(m)::BIGINT AS c FROM l0 GROUP BY ALL),
  d AS (SELECT window_id, event_type, unnest(['0', '1', '2', '3', '4', '5', '6', '7']) AS cell FROM (SELECT DISTINCT window_id, event_type FROM n)),
  h AS (SELECT d.*, coalesce(c, 0) AS event_count FROM d LEFT JOIN n USING (window_id, event_type, cell))
 SELECT window_id, event_type, cell, {R(f"greatest(0.0, event_count + {LAPLACE('16.0', *NAMED, 'window_id', 'event_type', 'cell', repr('HIST'))})")} AS dp_event_count FROM h""",
@@ -187,11 +200,14 @@ SELECT window_id, event_type, cell, {R(f"greatest(0.0, event_count + {LAPLACE('1
 def dp_hist(spark, sf):
     """Daily histogram of the value in eight public bins; empty bins are noised as well."""
     bucket = tr.numeric_bucket(F.col("value"), 0, 400, 8).cast("string")
-    counts = (
+    per = (
         cm.weekly_events(spark, sf)
-        .groupBy(F.col("day_id").alias("window_id"), "event_type", bucket.alias("cell"))
-        .agg(F.count("*").alias("event_count"))
+        .groupBy(F.col("day_id").alias("window_id"), "event_type", bucket.alias("bin"), "contributor")
+        .agg(F.least(F.lit(C.cap), F.count("*")).alias("n"))
+        .withColumns({"level": F.lit("BIN"), "cell": F.concat_ws("|", "event_type", "bin")})
     )
+    bounded_bins = bounding.l0_cell_cap(per, C.max_cells, C.secret, digest=C.digest)
+    counts = bounded_bins.groupBy("window_id", "event_type", F.col("bin").alias("cell")).agg(F.sum("n").alias("event_count"))
     keys = ["window_id", "event_type"]
     grid = central.full_domain(counts, keys, "cell", [str(i) for i in range(8)])
     noised = central.add_noise(F.col("event_count"), "LAPLACE", "HIST", C, [F.col(c) for c in (*keys, "cell")])
@@ -273,12 +289,14 @@ def release_provenance(spark, sf):
     CASE max_by(granularity, contract_version) WHEN 'ITEM' THEN 0 WHEN 'CLUSTER' THEN 1 ELSE 2 END AS pref FROM contracts GROUP BY 1),
  lad AS (SELECT ev.*, l.level, l.lvl, CASE lvl WHEN 0 THEN event_type || '|' || k WHEN 1 THEN event_type || '|' || (k // 10) ELSE 'all' END AS cell
    FROM ev, (VALUES ('ITEM', 0), ('CLUSTER', 1), ('AGGREGATE', 2)) l(level, lvl)),
- c AS (SELECT event_type AS feature_id, window_id, level, lvl, cell, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS clicks, count(*) AS impressions,
-    count(DISTINCT contributor) AS cc FROM lad GROUP BY ALL),
+ per AS (SELECT event_type AS feature_id, window_id, level, lvl, cell, contributor, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) / count(*)::DOUBLE AS y FROM lad GROUP BY ALL),
+ l0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature_id, contributor, window_id, level
+    ORDER BY {U(SECRET, 'contributor', 'window_id', 'level', 'cell')}, cell) AS c0 FROM per) WHERE c0 <= 8),
+ c AS (SELECT feature_id, window_id, level, lvl, cell, sum(y) AS clicks, count(*) AS impressions, count(*) AS cc FROM l0 GROUP BY ALL),
  j AS (SELECT c.*, contract_version, pref FROM c JOIN act USING (feature_id) WHERE boundary = 'CENTRAL' AND lvl >= pref),
  p AS (SELECT feature_id, window_id, min(lvl) AS lvl FROM (SELECT feature_id, window_id, lvl FROM j GROUP BY ALL HAVING min(cc) >= 20) GROUP BY ALL)
 SELECT feature_id, contract_version, window_id, level, cell,
-  {R('greatest(0.0, least(1.0, clicks / greatest(1, impressions) + 4.0 / greatest(1, impressions) * ' + GAUSS(SECRET, 'feature_id', 'contract_version', 'window_id', 'level', 'cell', "'ctr'") + '))')} AS ctr
+  {R('greatest(0.0, least(1.0, clicks / greatest(1, impressions) + ' + CTR_SD + ' / greatest(1, impressions) * ' + GAUSS(SECRET, 'feature_id', 'contract_version', 'window_id', 'level', 'cell', "'ctr'") + '))')} AS ctr
 FROM j JOIN p USING (feature_id, window_id, lvl)""",
 )
 def materialize_active(spark, sf):
@@ -288,7 +306,9 @@ def materialize_active(spark, sf):
     items = ev.groupBy(*keys, cm.item_cell().alias("_item"), cm.cluster_cell().alias("_cluster"), "contributor").agg(
         F.count("*").alias("n"), F.sum(cm.high_value()).alias("y")
     )
-    cells = tr.roll_up(items, [*keys, "contributor"], ["n", "y"]).groupBy(*keys, "level", "lvl", "cell").agg(
+    per = bounding.scaled_to_cap(tr.roll_up(items, [*keys, "contributor"], ["n", "y"]), MEAN_CAP, "n", ["y"])
+    per = bounding.l0_cell_cap(per, C.max_cells, C.secret, ["feature_id"], C.digest)
+    cells = per.groupBy(*keys, "level", "lvl", "cell").agg(
         F.sum("y").alias("clicks"), F.sum("n").alias("impressions"), F.count("*").alias("contributors")
     )
     latest = cm.contracts(spark, sf).groupBy("feature_id").agg(
@@ -301,7 +321,7 @@ def materialize_active(spark, sf):
             "lvl_preferred": F.when(F.col("granularity") == "ITEM", 0).when(F.col("granularity") == "CLUSTER", 1).otherwise(2),
         }
     )
-    out = central.materialize_active(cells, contracts, "CENTRAL", C.k_min, C.secret)
+    out = central.materialize_active(cells, contracts, "CENTRAL", C.k_min, C.secret, MEAN_CAP, C.max_cells, C.digest)
     return out.withColumn("ctr", r(F.col("ctr")))
 
 
@@ -320,7 +340,8 @@ def commit_spend(spark, sf):
 
 # ---- the same release over shipments, the larger table ----------------------------------------------------------
 SHIP_C = ReleaseContract(
-    contract_id="c_shipments", feature_id="shipments_monthly", cap=2, max_cells=8, lo=0.0, hi=50000.0, k_min=25
+    secret=C.secret, digest=C.digest, contract_id="c_shipments", feature_id="shipments_monthly", cap=2, max_cells=8,
+    lo=0.0, hi=50000.0, k_min=25,
 )
 SHIP_STAGED = f"""{cm.SHIP}, lad AS (SELECT ship.*, level, lvl, CASE lvl WHEN 0 THEN l_partkey::VARCHAR WHEN 1 THEN p_brand ELSE 'all' END AS cell
    FROM ship, (VALUES ('ITEM', 0), ('CLUSTER', 1), ('AGGREGATE', 2)) l(level, lvl)),

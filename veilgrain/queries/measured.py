@@ -16,7 +16,7 @@ from veilgrain.queries.catalog import CAT, CAT_FIELDS, catalog, supported_catalo
 from veilgrain.queries.ledger import LEDGER, ledger
 from veilgrain.queries.registry import R, query, r
 from veilgrain.queries.scoring import BASE, TH
-from veilgrain.schema import ReleaseContract, ScorePolicy
+from veilgrain.schema import ScorePolicy
 from veilgrain.sources import tables
 
 POLICY = ScorePolicy(distinct_drift_threshold=12, min_support_floor=2, min_support_threshold=3, central_sigma=0.5)
@@ -344,7 +344,7 @@ SELECT feature_id, required, staging, CASE selected_granularity WHEN 'ITEM' THEN
 )
 def compile_contract_bundle(spark, sf):
     issued = pc.issue_contracts(routing.routing_decision(selected(spark, sf), POLICY), "1706745600")
-    bundles = pc.contract_bundles(issued.drop("join_keys"), catalog(spark, sf).select("feature_id", "fields", "bucketizations"), ReleaseContract())
+    bundles = pc.contract_bundles(issued.drop("join_keys"), catalog(spark, sf).select("feature_id", "fields", "bucketizations"), cm.CONTRACT)
     return bundles.select(
         "feature_id",
         F.array_join("rfc.required_fields", ",").alias("required"),

@@ -142,16 +142,13 @@ STREAM_C = dataclasses.replace(cm.CONTRACT, contract_id="c_stream", feature_id="
 
 @query(
     "stream_release",
-    f"""WITH {CLOSED}, c AS (SELECT day_id AS window_id, 'CLUSTER' AS level, event_type AS cell, count(*) AS n, count(DISTINCT contributor) AS cc FROM cl GROUP BY ALL)
-SELECT window_id, cell, {R(f"greatest(0.0, n + sqrt(2 * ln(1.25 / 1e-6)) * (2*sqrt(8)) * {GAUSS(SECRET, repr(cm.CONTRACT.contract_id), repr(cm.CONTRACT.feature_id), repr('v1'), 'window_id', 'level', 'cell', repr('COUNT'))})")} AS dp_event_count, 'v1' AS contract_version FROM c WHERE cc >= 30""",
+    f"""WITH {CLOSED}, p AS (SELECT day_id AS window_id, event_type AS cell, contributor, least(2, count(*)) AS m FROM cl GROUP BY ALL),
+ c AS (SELECT window_id, 'CLUSTER' AS level, cell, sum(m)::BIGINT AS n, count(*) AS cc FROM p GROUP BY ALL)
+SELECT window_id, cell, {R(f"greatest(0.0, n + sqrt(2 * ln(1.25 / 1e-6)) * (2*sqrt(8)) * {GAUSS(SECRET, repr(STREAM_C.contract_id), repr(STREAM_C.feature_id), repr('v1'), 'window_id', 'level', 'cell', repr('COUNT'))})")} AS dp_event_count, 'v1' AS contract_version FROM c WHERE cc >= 30""",
 )
 def stream_release(spark, sf):
-    staged = windows.tumbling_staging(marked(spark, sf), "1 day", ["event_type"], tr.clip_numeric(F.col("value"), 0, 200))
-    cells = staged.select(
-        "window_id", F.lit("CLUSTER").alias("level"), F.col("event_type").alias("cell"), "event_count", "value_sum",
-        "contributors_count",
-    )
-    return windows.release_stream(cells, STREAM_C, 1706745600000).select(
+    staged = windows.bounded_tumbling_staging(marked(spark, sf), "1 day", F.col("event_type"), cm.EVENT_TYPES, STREAM_C)
+    return windows.release_stream(staged.withColumn("level", F.lit("CLUSTER")), STREAM_C, 1706745600000).select(
         "window_id", "cell",
         r(F.col("dp_event_count")).alias("dp_event_count"), "contract_version",
     )

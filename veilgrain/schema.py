@@ -166,10 +166,12 @@ class ScorePolicy:
     soft_penalty: float = 0.5
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, kw_only=True)
 class ReleaseContract:
     """What a central release may do: bounding, small-cell rule and noise parameters."""
 
+    secret: str  # whoever knows it can subtract the noise
+    digest: str = "sha2"  # of the noise keys; "md5" lets any SQL engine check a result
     contract_id: str = "c_events"
     contract_version: str = "v1"
     feature_id: str = "events_weekly"
@@ -183,4 +185,3 @@ class ReleaseContract:
     delta: float = 1e-6
     mechanism: str = "GAUSSIAN"
     metrics: tuple[str, ...] = ("COUNT", "SUM")
-    secret: str = "rotate-me"

@@ -11,11 +11,42 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilgrain.functions.scalar import clamp
 from veilgrain.operators import central
 from veilgrain.schema import ReleaseContract
 from veilgrain.streaming.ingest import overwrite_partitions, run_batches
 
 
+def window_name() -> Column:
+    """The day a window starts, with hour and minute where windows are shorter than a day."""
+    day = F.to_date("window.start").cast("string")
+    short = F.date_format("window.start", "yyyy-MM-dd'T'HH:mm")
+    return F.when(F.expr("window.end - window.start >= INTERVAL '1' DAY"), day).otherwise(short)
+
+
+def bounded_tumbling_staging(stream: DataFrame, length: str, cell: Column, domain: Sequence[str], c: ReleaseContract,
+                             contributor: str = "contributor") -> DataFrame:
+    """Per closed window and cell of a public domain, every contributor within the contract's bounds. Append mode.
+
+    A contributor counts for at most ``cap`` rows of a cell, and its clipped values for at most ``cap`` times the
+    largest one. The domain may hold at most ``max_cells`` cells, so nobody can touch more; rows outside it belong to
+    no cell that the contract releases.
+    """
+    if len(set(domain)) > c.max_cells:
+        raise ValueError(f"{len(set(domain))} cells, but the contract bounds contributors to {c.max_cells}")
+    most = c.cap * max(abs(c.lo), abs(c.hi))
+    value = clamp(F.col("value"), c.lo, c.hi)
+    named = stream.withColumn("cell", cell).filter(F.col("cell").isin(*domain))
+    per_person = named.groupBy(F.window("ts", length), "cell", contributor).agg(
+        F.least(F.lit(c.cap), F.count("*")).alias("n"), clamp(F.sum(value), -most, most).alias("v")
+    )
+    return (
+        per_person.groupBy("window", "cell")
+        .agg(F.sum("n").alias("event_count"), F.sum("v").alias("value_sum"), F.count("*").alias("contributors_count"))
+        .select(window_name().alias("window_id"), "cell", "event_count", "value_sum", "contributors_count")
+    )
+
+
 def tumbling_staging(stream: DataFrame, length: str, dims: Sequence[str], value: Column, contributor: str = "contributor") -> DataFrame:
     """Per closed window and cell: rows, value sum and distinct contributors. Append mode."""
     per_person = stream.groupBy(F.window("ts", length), *dims, contributor).agg(
@@ -24,7 +55,7 @@ def tumbling_staging(stream: DataFrame, length: str, dims: Sequence[str], value:
     return (
         per_person.groupBy("window", *dims)
         .agg(F.sum("n").alias("event_count"), F.sum("v").alias("value_sum"), F.count("*").alias("contributors_count"))
-        .select(F.to_date("window.start").cast("string").alias("window_id"), *dims, "event_count", "value_sum", "contributors_count")
+        .select(window_name().alias("window_id"), *dims, "event_count", "value_sum", "contributors_count")
     )
 
 
@@ -60,12 +91,12 @@ def sketch_stats(stream: DataFrame, length: str, dims: Sequence[str], contributo
             F.hll_sketch_agg(contributor, F.lit(12)).alias("contributors_sketch"),
             F.kll_sketch_agg_double(value).alias("value_sketch"),
         )
-        .select(F.to_date("window.start").cast("string").alias("window_id"), *dims, "n_obs", "contributors_sketch", "value_sketch")
+        .select(window_name().alias("window_id"), *dims, "n_obs", "contributors_sketch", "value_sketch")
     )
 
 
 def release_stream(staging: DataFrame, c: ReleaseContract, release_ts_ms: int) -> DataFrame:
-    """Closed windows through k gate and noise into the released table, one partition per window.
+    """Closed windows of a bounded staging stream through k gate and noise into the released table, one partition per window.
 
     A replayed batch overwrites its windows with the same rows: the noise is keyed, not drawn anew.
     """
