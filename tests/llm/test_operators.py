@@ -10,6 +10,7 @@ import numpy as np
 import oracle
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veilgrain.llm import (
@@ -376,6 +377,16 @@ def test_quality_on_labels(spark):
     good = [r["keep"] for r in rows if r["quality"] == 1]
     bad = [r["keep"] for r in rows if r["quality"] == 0]
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.05
+    # thousands of copies of one text do not crowd the others out of the sample
+    copies = spark.range(3 * docs.count()).select(
+        (-F.col("id") - 1).alias("doc_id"), F.lit("A clean sentence of plain words, over and over.").alias("text")
+    )
+    mixed = docs.select("doc_id", "text").unionByName(copies)
+    fitted = quality.fit(mixed, 2000)
+    again = quality.classified(mixed, model=fitted).join(labels.where("quality = 0"), "doc_id").agg(F.avg(F.col("keep").cast("int")))
+    assert again.first()[0] < 0.5
+    rows = quality.sample_rows(mixed.select("text", F.xxhash64("doc_id", "text").alias("h")), 2000)
+    assert len(rows) == min(2000, mixed.count()) and rows["pattern"].nunique() > 1
     odd = quality.classified(odd_docs(spark)).collect()
     assert len(odd) == len(ODD) and quality.classified(no_docs(spark)).count() == 0
     kept = quality.keep_good(odd_docs(spark))

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -253,11 +254,18 @@ def score_rows(
         yield pa.record_batch([*batch.columns[:-1], *more], names=names)
 
 
+def sample_rows(keyed: DataFrame, rows: int) -> pd.DataFrame:
+    """Votes and features of the ``rows`` texts with the smallest ``h``."""
+    chosen = keyed.orderBy("h").limit(rows)
+    return chosen.select("text").mapInArrow(feature_rows, "pattern int, features array<int>").toPandas()
+
+
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, dict[int, float]]:
     """Weights of the scorer and P(bad) by vote pattern.
 
     Pattern counts cover all documents. The sample for the scorer is the ``train_rows`` documents with the smallest hash of
-    their text; both results that reach the driver have a fixed bound.
+    id and text, so copies of a text under many ids count as often as they occur and no more; both results that reach the
+    driver have a fixed bound.
     """
     counted = (
         docs.select("text").mapInArrow(vote_rows, "pattern int").groupBy("pattern").agg(F.count("*").alias("n")).toPandas()
@@ -265,12 +273,13 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, dict
     counted = counted.sort_values("pattern")
     model = fit_labellers(counted["pattern"].to_numpy(), counted["n"].to_numpy())
     posterior = dict(zip(counted["pattern"].tolist(), model["posterior_bad"].tolist()))
-    keyed = docs.select("text", F.xxhash64("text").alias("h"))
+    keyed = docs.select("text", F.xxhash64("doc_id", "text").alias("h"))
     total = int(counted["n"].sum())
-    if total > 2 * train_rows:  # narrow to about twice the sample first, so that few texts are sorted
-        keyed = keyed.where(F.pmod("h", F.lit(total // train_rows)) < 2)
-    chosen = keyed.orderBy("h").limit(train_rows)
-    rows = chosen.select("text").mapInArrow(feature_rows, "pattern int, features array<int>").toPandas()
+    least = -(1 << 63) + (1 << 64) * 2 * train_rows // max(total, 1)
+    narrow = keyed.where(F.col("h") < least) if total > 2 * train_rows else keyed  # few texts are sorted
+    rows = sample_rows(narrow, train_rows)
+    if narrow is not keyed and len(rows) < train_rows:  # hashes far from even: many rows equal in id and text
+        rows = sample_rows(keyed, train_rows)
     bad = np.array([posterior[p] for p in rows["pattern"]])
     return fit_scorer(list(rows["features"]), bad), posterior
 
