@@ -15,6 +15,7 @@ MODULES = (
     "history",
     "ledger",
     "scoring",
+    "lifecycle",
     "measured",
     "central",
     "local_shuffle",
