@@ -331,3 +331,17 @@ def test_asof_contract_picks_the_newest_issued(spark):
     con = spark.sql("SELECT * FROM VALUES ('f', 'a', timestamp'2024-01-01 06:00:00'), ('f', 'b', timestamp'2024-01-03 12:00:00') t(feature_id, contract_version, issued_at)")
     got = {r.event_id: r.contract_version for r in joins.asof_contract(ev, con).collect()}
     assert got == {2: "b", 3: "b"}
+
+
+def test_requests_without_contract_are_rejected(spark):
+    req = spark.createDataFrame([(1, "f", "CENTRAL"), (2, "f", "SHUFFLE"), (3, "g", "CENTRAL"), (4, None, "CENTRAL")], "id int, feature_id string, boundary string")
+    con = spark.createDataFrame([("f", "CENTRAL")], "feature_id string, boundary string")
+    got = {r.id: r.reject_reason for r in gates.boundary_mismatch_gate(req, con).collect()}
+    assert got == {1: None, 2: "BOUNDARY_MISMATCH", 3: "NO_CONTRACT", 4: "NO_CONTRACT"}
+
+
+def test_asof_contract_gate_returns_every_event(spark):
+    ev = spark.sql("SELECT * FROM VALUES (1, 'f', timestamp'2024-01-01 05:00:00'), (2, 'f', timestamp'2024-01-05 01:00:00'), (3, 'f', timestamp'2024-01-03 12:00:00'), (4, 'g', timestamp'2024-01-03 12:00:00'), (5, NULL, timestamp'2024-01-03 12:00:00') t(event_id, feature_id, ts)")
+    con = spark.sql("SELECT * FROM VALUES ('f', 'a', timestamp'2024-01-01 06:00:00'), ('f', 'b', timestamp'2024-01-03 12:00:00') t(feature_id, contract_version, issued_at)")
+    got = {r.event_id: (r.contract_version, r.reject_reason) for r in joins.asof_contract_gate(ev, con).collect()}
+    assert got == {1: (None, "NO_CONTRACT"), 2: ("b", None), 3: ("b", None), 4: (None, "NO_CONTRACT"), 5: (None, "NO_CONTRACT")}

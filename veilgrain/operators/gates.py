@@ -186,9 +186,19 @@ def event_sanity_gate(df: DataFrame) -> DataFrame:
 
 
 def boundary_mismatch_gate(requests: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Reads or writes whose boundary is not the contract's; the reject doubles as a security event."""
-    joined = requests.join(contracts.select("feature_id", F.col("boundary").alias("contract_boundary")), "feature_id")
-    return label(joined, [("BOUNDARY_MISMATCH", F.col("boundary") == F.col("contract_boundary"))])
+    """Reads or writes whose boundary is not the contract's; the reject doubles as a security event.
+
+    Every request comes back: one for a feature without a contract is rejected as NO_CONTRACT.
+    """
+    known = contracts.select("feature_id", F.col("boundary").alias("contract_boundary"), F.lit(True).alias("_known"))
+    joined = requests.join(known, "feature_id", "left")
+    return label(
+        joined,
+        [
+            ("NO_CONTRACT", F.col("_known")),
+            ("BOUNDARY_MISMATCH", F.col("boundary") == F.col("contract_boundary")),
+        ],
+    ).drop("_known")
 
 
 def shuffle_ops_gate(requests: DataFrame, max_window_hours: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veilgrain.operators import gates
 from veilgrain.schema import BOUNDARIES, GRANULARITIES
 
 
@@ -40,10 +41,10 @@ def ledger_range_join(asof: DataFrame, ledger: DataFrame, window_days: int) -> D
     )
 
 
-def asof_contract(events: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Contract in force at event time: the newest one issued no later than the event.
+def asof_contract_gate(events: DataFrame, contracts: DataFrame) -> DataFrame:
+    """Every event with the contract in force at its time: the newest one issued no later than the event.
 
-    Contract validity is laid out per day, so an event only meets contracts valid on its own day. The window runs
+    An event of a feature without contracts, or before the first one, is rejected as NO_CONTRACT. Contract validity is laid out per day, so an event only meets contracts valid on its own day. The window runs
     over contract versions, not over events; an open-ended contract is laid out to its feature's last event day.
     """
     w = W.partitionBy("feature_id").orderBy("issued_at")
@@ -54,10 +55,18 @@ def asof_contract(events: DataFrame, contracts: DataFrame) -> DataFrame:
         .withColumn("_end", F.coalesce(F.to_date("valid_to"), F.greatest("_last", F.to_date("issued_at"))))
         .withColumn("day", F.explode(F.sequence(F.to_date("issued_at"), F.col("_end"))))
         .drop("_last", "_end")
+        .withColumnsRenamed({"feature_id": "_feature", "day": "_day"})
+        .withColumn("_known", F.lit(True))
     )
-    keyed = events.withColumn("day", F.to_date("ts"))
+    same = (F.col("feature_id") == F.col("_feature")) & (F.to_date("ts") == F.col("_day"))
     cond = (F.col("ts") >= F.col("issued_at")) & (F.col("valid_to").isNull() | (F.col("ts") < F.col("valid_to")))
-    return keyed.join(spans, ["feature_id", "day"]).filter(cond).drop("day")
+    joined = events.join(spans, same & cond, "left")
+    return gates.label(joined, [("NO_CONTRACT", F.col("_known"))]).drop("_feature", "_day", "_known")
+
+
+def asof_contract(events: DataFrame, contracts: DataFrame) -> DataFrame:
+    """The events that pass :func:`asof_contract_gate`, with their contracts."""
+    return gates.passed(asof_contract_gate(events, contracts))
 
 
 def with_options(features: DataFrame) -> DataFrame:

@@ -220,7 +220,9 @@ def boundary_mismatch_gate(spark, sf):
     active = (
         cm.contracts(spark, sf).groupBy("feature_id").agg(F.max_by("boundary", "contract_version").alias("boundary"))
     )
-    return gates.boundary_mismatch_gate(requests, active).select("event_id", "reject_reason")
+    judged = gates.boundary_mismatch_gate(requests, active)
+    # the SQL joins the contracts and so leaves out the requests without one; the operator returns them
+    return judged.filter("reject_reason IS DISTINCT FROM 'NO_CONTRACT'").select("event_id", "reject_reason")
 
 
 @query(
