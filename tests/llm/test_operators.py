@@ -434,6 +434,21 @@ def test_corpus_rollup_like_brute_force(spark):
     rollups.corpus_rollup(odd_docs(spark), tokens.default_path(), "t").collect()
 
 
+def test_rollup_counts_every_row(spark):
+    docs = documents(spark)
+    again = docs.where("doc_id < 20")
+    other = again.withColumn("text", F.lit("another text under the same id"))
+    no_id = again.withColumn("doc_id", F.lit(None).cast("long"))
+    rows = docs.unionByName(again).unionByName(other).unionByName(no_id)
+    got = {tuple(r)[:2]: tuple(r)[3:] for r in rollups.corpus_rollup(rows, tokens.default_path(), "t", restore=True).collect()}
+    want = collections.defaultdict(lambda: [0, 0])
+    for r in rows.collect():
+        cell = want[r["source"], r["lang"]]
+        cell[0] += 1
+        cell[1] += len(tokens.encoder(tokens.default_path()).encode([r["text"]])[0])
+    assert got == {k: tuple(v) for k, v in want.items()}
+
+
 def test_pipeline_like_brute_force(spark):
     docs = documents(spark)
     stages = dict(corpus_pipeline.STAGES)

@@ -85,7 +85,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilgrain.llm import rollups, tokens
 
-    return rollups.corpus_rollup(table(spark, sf_dir, "documents"), tokens.default_path(), "byte_bpe_50k")
+    return rollups.corpus_rollup(table(spark, sf_dir, "documents"), tokens.default_path(), "byte_bpe_50k", restore=True)
 
 
 OP9_SQL = r"""

@@ -96,22 +96,30 @@ def counted(docs: DataFrame, path: str) -> DataFrame:
     return source.mapInArrow(rows, schema)
 
 
-def corpus_rollup(docs: DataFrame, path: str, version: str) -> DataFrame:
+def corpus_rollup(docs: DataFrame, path: str, version: str, restore: bool = False) -> DataFrame:
     """Totals of a corpus after its life so far: estimates come in, exact counts replace them, copies go.
 
+    Every row is a document under a row key of its own, so that rows with a null id and rows that share an id count.
     Batch 1 inserts every document with its number of words as an estimate; batch 2 revises all counts to those of the
-    tokenizer; batch 3 deletes documents whose text an earlier id has, too. Batch 2 is then committed a second
-    time, as after a lost acknowledgement.
+    tokenizer; batch 3 deletes documents whose text an earlier id has, too. With ``restore``, batch 4 inserts them
+    again, and the totals are those of all rows. Batch 2 is then committed a second time, as after a lost
+    acknowledgement.
     """
     spark = docs.sparkSession
     root = run_folder(spark, "rollup")
     delete_at_exit(spark, root)
-    all_ = store(counted(docs, path), "counted").withColumn("version", F.lit(version))
-    columns = ["op", "doc_id", "source", "lang", "version", "n_tokens"]
-    estimates = all_.select(F.lit("insert").alias("op"), "doc_id", *KEYS, F.col("n_words").alias("n_tokens")).select(columns)
+    # the keys are stored with the counts, so that all batches see the same ones
+    keyed = counted(docs, path).withColumn("row", F.monotonically_increasing_id())
+    all_ = store(keyed, "counted").withColumn("version", F.lit(version))
+    columns = ["op", F.col("row").alias("doc_id"), "source", "lang", "version", "n_tokens"]
+    estimates = all_.withColumn("op", F.lit("insert")).withColumn("n_tokens", F.col("n_words")).select(columns)
     exact = all_.withColumn("op", F.lit("revise")).select(columns)
-    first = all_.groupBy("digest").agg(F.min("doc_id").alias("kept"))
-    copies = all_.join(first, "digest").where("doc_id != kept").withColumn("op", F.lit("delete")).select(columns)
-    for batch, changes in ((1, estimates), (2, exact), (3, copies), (2, exact)):
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    first = all_.groupBy("digest").agg(F.min(order).alias("kept"))
+    copies = all_.join(first, "digest").where("row != kept.row")
+    batches = [(1, estimates), (2, exact), (3, copies.withColumn("op", F.lit("delete")).select(columns))]
+    if restore:
+        batches.append((4, copies.withColumn("op", F.lit("insert")).select(columns)))
+    for batch, changes in (*batches, (2, exact)):
         commit(spark, root, batch, changes)
     return totals(spark, root)
