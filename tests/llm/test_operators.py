@@ -434,6 +434,25 @@ def test_corpus_rollup_like_brute_force(spark):
     rollups.corpus_rollup(odd_docs(spark), tokens.default_path(), "t").collect()
 
 
+def test_licenses_in_longer_documents(spark):
+    whole = dict(licenses._files()[::2])
+    commented = "".join(f" * {line}\n" for line in licenses.APACHE_HEADER.format("https").splitlines())
+    gpl = licenses.GNU_HEADER.format(":", "General Public License", ",", "either ", "3", ", or\n# (at your option) any later version")
+    bsd = licenses.BSD_START.format("1. ", "2. ") + licenses.BSD_END.format("COPYRIGHT OWNER", "COPYRIGHT OWNER")
+    texts = [
+        (whole["Apache-2.0"], "Apache-2.0"), ("intro\n\n" + whole["GPL-2.0"] + "\nend", "GPL-2.0"),
+        ("/*\n" + commented + " */\nint x;", "Apache-2.0"), ("# This program " + gpl + ".\nx = 1", "GPL-3.0"),
+        ("intro\n" + licenses.MIT.replace(" ", "\n", 30) + "\noutro", "MIT"), ("Copyright (c) 2020 A\n\n" + bsd, "BSD-2-Clause"),
+        ("a\n\nLicensed under the\nApache License, Version 2.0.\n\nb", "Apache-2.0"),
+        ("x\nSPDX-License-Identifier: LGPL-2.1-or-later\ny", "LGPL-2.1"), ("a license, a permission", ""),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["whole_license"], r["licenses"]) for r in licenses.scanned(docs).collect()}
+    assert [got[i][1] for i in range(len(texts))] == [want for _, want in texts]
+    assert got[0][0] == "Apache-2.0" and got[1][0] is None
+    assert {k for k, _ in licenses._files()} == set(licenses.BODIES)
+
+
 def test_rollup_counts_every_row(spark):
     docs = documents(spark)
     again = docs.where("doc_id < 20")
