@@ -207,3 +207,15 @@ def test_amplification_bound_only_where_it_holds(spark):
     assert big == pytest.approx(
         math.log(1 + (math.e - 1) / (math.e + 1) * (8 * math.sqrt(math.e * math.log(4e6)) / 1000 + 8 * math.e / 1e6))
     )
+
+
+def test_auc_scores_every_segment_of_the_table(spark, tmp_path):
+    from veilgrain.queries import aggregates
+
+    names = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "SIXTH"]
+    customers = spark.createDataFrame([(i, names[i % 6]) for i in range(30)], "c_custkey long, c_mktsegment string")
+    orders = spark.createDataFrame([(i % 30, float(i * 7 % 50)) for i in range(120)], "o_custkey long, o_totalprice double")
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.attr: (r.n_pos, r.n_neg) for r in aggregates.probe_auc(spark, str(tmp_path)).collect()}
+    assert got == {name: (20, 100) for name in names}

@@ -150,7 +150,6 @@ def worst_mutual_information(spark, sf, penalty_above: float = 0.0, penalty: flo
     )
 
 
-AUC_ATTRS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 AUC = """o AS (SELECT CAST(round(o_totalprice * 100) AS BIGINT) AS v, c_mktsegment AS seg FROM orders JOIN customer ON o_custkey = c_custkey),
  lab AS (SELECT a.attr, v, seg = a.attr AS pos FROM o, (SELECT DISTINCT c_mktsegment AS attr FROM customer) a),
  rk AS (SELECT attr, pos, (rank() OVER (PARTITION BY attr ORDER BY v)) + (count(*) OVER (PARTITION BY attr, v) - 1) / 2.0 AS rnk FROM lab)"""
@@ -169,6 +168,7 @@ def probe_auc(spark, sf):
 def order_value_auc(spark, sf):
     """AUC of the order total (in cents) for membership in each market segment."""
     customer = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    segments = customer.select(F.col("c_mktsegment").alias("attr")).distinct()
     rows = (
         tables.table(spark, sf, "orders")
         .select("o_custkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("v"))
@@ -176,7 +176,7 @@ def order_value_auc(spark, sf):
         .groupBy("v", "c_mktsegment")
         .agg(F.count("*").alias("n"))
     )
-    per_attr = rows.withColumn("attr", F.explode(F.array(*[F.lit(a) for a in AUC_ATTRS])))
+    per_attr = rows.crossJoin(segments)
     hit = F.col("c_mktsegment") == F.col("attr")
     labelled = per_attr.select(
         "attr", "v", F.when(hit, F.col("n")).otherwise(0).alias("pos"), F.when(~hit, F.col("n")).otherwise(0).alias("neg")
