@@ -159,6 +159,17 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5, 6, 8, 10]
 
 
+def test_texts_under_one_id_stay(spark):
+    def words(tag):
+        return " ".join(f"{tag}{i}" for i in range(40))
+
+    rows = [(1, words("a")), (1, words("b")), (1, words("b") + " b99"), (1, words("a")), (2, words("c")), (3, words("c")),
+            (3, words("d")), (None, words("a")), (None, words("e")), (None, words("e"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["text"][0]) for r in minhash.deduplicate(docs, shingle_words=5, percent=80).collect())
+    assert got == collections.Counter([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e")])
+
+
 def check_packing(rows, texts, limit=1024):
     encode = tokens.encoder(tokens.default_path()).encode
     want = collections.Counter()

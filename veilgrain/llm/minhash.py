@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgrain.llm.graph import components
@@ -73,8 +73,9 @@ def sketch_rows(batches: Iterator[pa.RecordBatch], words: int, k: int, percent:
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([-least_shared(len(s), k, percent) + 1 for s in sets], pa.int32()),
                 pa.array(low, pa.list_(pa.int64())),
+                batch.column(2),
             ],
-            names=["doc_id", "cid", "n", "extra", "sketch"],
+            names=["doc_id", "cid", "n", "extra", "sketch", "text_hash"],
         )
 
 
@@ -189,12 +190,24 @@ def near_duplicates(
     never a component's id; a component of nulls alone has the id null, and such rows count as kept. Repeated rows of one id are
     all returned. Other columns of ``docs`` are not read. Shingles and classes are told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return judged(docs, shingle_words, percent, k, id_col, text_col).drop("text_hash", "label")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def judged(
+    docs: DataFrame, shingle_words: int = 5, percent: int = 80, k: int = 128, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """:func:`near_duplicates` with the hash of the text and a label of the component, as components may share an id."""
+    source = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("text_hash")
+    )
     rows = store(
         source.mapInArrow(
             lambda it: sketch_rows(it, shingle_words, k, percent),
-            "doc_id long, cid long, n long, extra int, sketch array<long>",
+            "doc_id long, cid long, n long, extra int, sketch array<long>, text_hash long",
         ),
         "sketches",
     )
@@ -282,10 +295,11 @@ def near_duplicates(
     label = components(found).withColumnRenamed("node", "cid")
     reps = classes.select("cid", "rep").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     smallest = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = store(reps.join(smallest, "label").select("cid", "component_id"), "named")
-    ids = rows.select("doc_id", "cid", F.col("n").alias("n_shingles"))
-    out = ids.where("n_shingles > 0").join(named, "cid").select("doc_id", "n_shingles", "component_id")
-    alone = ids.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    named = store(reps.join(smallest, "label").select("cid", "component_id", "label"), "named")
+    ids = rows.select("doc_id", "cid", F.col("n").alias("n_shingles"), "text_hash")
+    columns = ["doc_id", "n_shingles", "component_id", "text_hash", "label"]
+    out = ids.where("n_shingles > 0").join(named, "cid").select(columns)
+    alone = ids.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("label", F.col("cid")).select(columns)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return out.union(alone).withColumn("kept", kept)
 
@@ -293,12 +307,15 @@ def near_duplicates(
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that stand for their component, with all their columns.
 
-    Repeated rows of one id give one row. Rows without an id stay, exact repeats of their text once.
+    Rows of one id give one row for each component that the id stands for, of texts that differ the one with the least
+    hash. Rows without an id stay, exact repeats of their text once.
     """
-    verdicts = store(near_duplicates(docs, **options).select("doc_id", "kept"), "verdicts")
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    if verdicts.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out  # ids are unique, so nothing is left to drop
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce("text", F.lit(""))))
-    return out.withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).select(docs.columns)
+    verdicts = store(judged(docs, **options).select("doc_id", "text_hash", "label", "kept"), "verdicts").where("kept")
+    group = F.when(F.col("doc_id").isNull(), F.col("text_hash")).otherwise(F.col("label"))
+    kept = verdicts.groupBy(F.col("doc_id").alias("__kept"), group.alias("__group")).agg(F.min("text_hash").alias("__of"))
+    rows = docs.withColumn("__hash", text_hash(F.col("text")))
+    same = rows["doc_id"].eqNullSafe(F.col("__kept")) & (F.col("__hash") == F.col("__of"))
+    out = rows.join(kept, same, "left_semi")
+    if verdicts.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        return out.select(docs.columns)  # no row is repeated, so nothing is left to drop
+    return out.dropDuplicates(["doc_id", "__hash"]).select(docs.columns)
