@@ -88,6 +88,12 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.corpus_rollup(table(spark, sf_dir, "documents"), tokens.default_path(), "byte_bpe_50k", restore=True)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilgrain.llm import resampling
+
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP9_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
@@ -160,14 +166,20 @@ _QUERIES = (
     op8_token_files,
     op9_source_mixing,
     op10_token_rollup,
+    op11_importance_resampling,
 )
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in _QUERIES}
 
 
 def _oracles() -> dict[str, str]:
-    from veilgrain.llm import licenses
-
-    return {"op3_license_scan": licenses.oracle(), "op6_exact_top_k": OP6_SQL, "op9_source_mixing": OP9_SQL}
+    from veilgrain.llm import licenses, resampling
+
+    return {
+        "op3_license_scan": licenses.oracle(),
+        "op6_exact_top_k": OP6_SQL,
+        "op9_source_mixing": OP9_SQL,
+        "op11_importance_resampling": resampling.oracle(),
+    }
 
 
 ORACLES = _oracles()
