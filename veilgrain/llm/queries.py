@@ -94,6 +94,18 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilgrain.llm import vectorcodes
+
+    return vectorcodes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilgrain.llm import outliers
+
+    return outliers.judged(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
@@ -167,18 +179,21 @@ _QUERIES = (
     op9_source_mixing,
     op10_token_rollup,
     op11_importance_resampling,
+    op12_vector_codes,
+    op13_quality_rules,
 )
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in _QUERIES}
 
 
 def _oracles() -> dict[str, str]:
-    from veilgrain.llm import licenses, resampling
+    from veilgrain.llm import licenses, resampling, vectorcodes
 
     return {
         "op3_license_scan": licenses.oracle(),
         "op6_exact_top_k": OP6_SQL,
         "op9_source_mixing": OP9_SQL,
         "op11_importance_resampling": resampling.oracle(),
+        "op12_vector_codes": vectorcodes.oracle(),
     }
 
 
