@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilgrain.operators import central, gates, probes, stats
+from veilgrain.operators import central, gates, probes, sketches, stats
 from veilgrain.operators import shuffle_dp as sh
 from veilgrain.queries import common as cm
 from veilgrain.queries.registry import R, query, r
@@ -76,13 +76,43 @@ def tail_mass(spark, sf):
     return masses.withColumn("tail_mass", r(F.col("tail_mass"))).withColumn("bottom_mass", r(F.col("bottom_mass")))
 
 
+COUNT_MIN, FREQUENT = sketches.CountMin(256, 4), sketches.FrequentItems(384)
+
+
 @query(
     "heavy_hitters_sketch",
-    f"""WITH {CELLS} SELECT feature_id, window_id, level, cell, cnt, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY feature_id, window_id, level ORDER BY cnt DESC, cell) AS rank FROM cells) WHERE rank <= 3""",
+    f"""WITH {CELLS}, top AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY feature_id, window_id, level ORDER BY cnt DESC, cell) AS rank FROM cells) WHERE rank <= 3),
+ h AS (SELECT *, unnest(range(4)) AS row FROM cells),
+ c AS (SELECT *, ('0x' || substr(md5(cell), 1 + 7 * row, 7))::BIGINT % 256 AS bucket FROM h),
+ counters AS (SELECT feature_id, window_id, level, row, bucket, sum(cnt)::BIGINT AS n FROM c GROUP BY ALL),
+ est AS (SELECT feature_id, window_id, level, cell, min(n) AS estimate FROM c JOIN counters USING (feature_id, window_id, level, row, bucket) GROUP BY ALL)
+SELECT feature_id, window_id, level, cell, cnt, rank, estimate,
+  estimate BETWEEN cnt AND cnt + {COUNT_MIN.error!r}::DOUBLE * n_obs AS within_bound, true AS in_frequent_items
+FROM top JOIN est USING (feature_id, window_id, level, cell) JOIN tot USING (feature_id, window_id, level)""",
 )
 def heavy_hitters_sketch(spark, sf):
-    return stats.heavy_hitters(cm.feature_cells(spark, sf), KEYS, 3).withColumn("rank", F.col("rank").cast("bigint"))
+    """The three most frequent cells, exact, and what daily summaries merged to weeks say about them.
+
+    ``in_frequent_items`` is false only where the frequent-items summary breaks its promise.
+    """
+    events = cm.laddered_events(spark, sf).withColumn("feature_id", F.col("event_type"))
+    daily = [*KEYS, "day_id"]
+    counters = COUNT_MIN.merged(COUNT_MIN.summary(events, daily, F.col("cell")), KEYS)
+    frequent = FREQUENT.items(FREQUENT.merged(FREQUENT.summary(events, daily, F.col("cell")), KEYS), KEYS, 384)
+    top = stats.heavy_hitters(cm.feature_cells(spark, sf), KEYS, 3).withColumn("rank", F.col("rank").cast("bigint"))
+    met = COUNT_MIN.estimates(top, counters, KEYS, F.col("cell")).join(
+        frequent.withColumnRenamed("item", "cell").drop("n_obs"), [*KEYS, "cell"], "left"
+    )
+    rows = counters.filter("row = 0").groupBy(*KEYS).agg(F.sum("n").alias("n_obs"))  # every event is in each row once
+    over = F.col("estimate") - F.col("cnt")
+    off = F.abs(F.col("summary_count") - F.col("cnt"))
+    bound = FREQUENT.error * F.col("n_obs")
+    return met.join(rows, KEYS).select(
+        *KEYS, "cell", "cnt", "rank", "estimate",
+        ((over >= 0) & (over <= COUNT_MIN.error * F.col("n_obs"))).alias("within_bound"),
+        F.coalesce(off <= bound, F.col("cnt") <= bound).alias("in_frequent_items"),
+    )
 
 
 @query(

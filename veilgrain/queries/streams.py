@@ -6,11 +6,13 @@ import dataclasses
 
 from pyspark.sql import functions as F
 
-from veilgrain.operators import gates
+from veilgrain.operators import gates, sketches
 from veilgrain.operators import transforms as tr
 from veilgrain.queries import common as cm
 from veilgrain.queries.registry import GAUSS, R, query, r
-from veilgrain.streaming import ingest, windows
+from veilgrain.session import delete_at_exit, run_folder
+from veilgrain.sources import tables
+from veilgrain.streaming import ingest, lateness, windows
 
 SECRET = f"'{cm.CONTRACT.secret}'"
 # windows that end no later than the watermark, one day behind the newest event
@@ -31,16 +33,45 @@ def stream_events(spark, sf):
     return table.drop("ts")
 
 
+# events reach the stream in batches of five days; those of every eighth value of k come ten days later
+ARRIVAL = "CAST((date_part('day', ts) - 1) // 5 + CASE WHEN k % 8 = 0 THEN 2 ELSE 0 END AS BIGINT)"
+
+
 @query(
     "stream_watermark_lateness",
-    f"WITH {CLOSED} SELECT day_id AS window_id, event_type, count(*) AS n FROM cl GROUP BY ALL",
+    f"""WITH {cm.EV}, arr AS (SELECT *, {ARRIVAL} AS b FROM ev), newest AS (SELECT b, max(ts) AS t FROM arr GROUP BY b),
+ marks AS (SELECT b, max(t) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY AS wm FROM newest),
+ marked AS (SELECT arr.*, coalesce(CAST(ts AS DATE) + 1 <= wm, false) AS late FROM arr JOIN marks USING (b))
+SELECT day_id AS window_id, event_type, count(*) FILTER (NOT late) AS n, count(*) FILTER (late) AS n_late,
+  CAST(day_id AS DATE) + 1 <= (SELECT max(ts) - INTERVAL 1 DAY FROM ev) AS closed FROM marked GROUP BY ALL""",
 )
 def stream_watermark_lateness(spark, sf):
-    """Daily counts with one day of allowed lateness; windows still open at the end are not emitted."""
-    daily = marked(spark, sf).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
-    table, _ = ingest.run_to_table(daily, "lateness")
-    return table.select(
-        F.to_date("window.start").cast("string").alias("window_id"), "event_type", "n"
+    """Daily counts with one day of allowed lateness beside the late rows of each day, which are kept and not dropped."""
+    k, day = F.col("k"), F.dayofmonth("ts")
+    arriving = tables.events(spark, sf).select(
+        "event_id", "ts", "event_type", (F.floor((day - 1) / 5) + F.when(k % 8 == 0, 2).otherwise(0)).alias("arrival")
+    )
+    folder = run_folder(spark, "arrivals")
+    delete_at_exit(spark, folder)
+    held = arriving.persist()
+    for (arrival,) in held.select("arrival").distinct().orderBy("arrival").collect():  # at most nine
+        held.filter(F.col("arrival") == arrival).coalesce(1).write.mode("append").parquet(folder)
+    held.unpersist()
+    schema = "event_id bigint, ts timestamp_ntz, event_type string"
+    came = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    came = came.withColumn("ts", F.col("ts").cast("timestamp"))
+    span = F.window("ts", "1 day")
+
+    def daily(df):
+        return df.groupBy(F.to_date("ts").cast("string").alias("window_id"), "event_type").agg(F.count("*").alias("n"))
+
+    found = lateness.split_late(came, 86400, span.end, daily)
+    on_time = found.parts.groupBy("window_id", "event_type").agg(F.sum("n").alias("n"))
+    late = daily(found.late).withColumnRenamed("n", "n_late")
+    closes = F.to_timestamp(F.date_add(F.to_date("window_id"), 1))
+    return on_time.join(late, ["window_id", "event_type"], "full").select(
+        "window_id", "event_type", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_late", F.lit(0)).alias("n_late"),
+        (closes <= F.lit(found.watermark)).alias("closed"),
     )
 
 
@@ -154,13 +185,48 @@ def stream_release(spark, sf):
     )
 
 
-@query("stream_sketch_stats")
+@query(
+    "stream_sketch_stats",
+    f"""WITH {CLOSED}, smp AS (SELECT event_type, event_id, md5('sample|' || event_id) AS h FROM ev
+   QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY h, event_id) <= 5)
+SELECT event_type, (SELECT count(*) FROM cl WHERE cl.event_type = smp.event_type) AS n_obs, true AS contributors_within_error,
+  true AS quantiles_within_error, string_agg(event_id, ',' ORDER BY h, event_id) AS sample FROM smp GROUP BY event_type""",
+)
 def stream_sketch_stats(spark, sf):
-    """Daily sketches from the stream, merged afterwards into estimates over the whole period."""
-    sketches = windows.sketch_stats(marked(spark, sf), "1 day", ["event_type"], "contributor", "value")
-    table, _ = ingest.run_to_table(sketches, "sketches")
-    return table.groupBy("event_type").agg(
-        F.sum("n_obs").alias("n_obs"),
-        F.hll_sketch_estimate(F.hll_union_agg("contributors_sketch")).alias("contributors_est"),
-        F.count("value_sketch").alias("n_value_sketches"),
+    """Daily sketches from the stream merged into estimates over the whole period, and a sample of each event type.
+
+    Contributors are within three standard errors, and the ranks of the quartiles within ``RANK_ERROR`` of what they should be,
+    both compared with the events themselves.
+    """
+    daily = windows.sketch_stats(marked(spark, sf), "1 day", ["event_type"], "contributor", "value")
+    table, _ = ingest.run_to_table(daily, "sketches")
+    ranks = (0.25, 0.5, 0.75)
+    merged = windows.merged_sketches(table, ["event_type"], ranks)
+    closed = cm.weekly_events(spark, sf).join(
+        table.select("event_type", F.col("window_id").alias("day_id")), ["event_type", "day_id"], "left_semi"
+    )
+    value, q = F.col("value"), F.col("quantiles")
+    exact = (
+        closed.join(merged, "event_type")
+        .groupBy("event_type", "n_obs", "contributors_est", "quantiles")
+        .agg(
+            F.count_distinct("contributor").alias("people"),
+            *[F.count_if(value < q[i]).alias(f"below{i}") for i in range(3)],
+            *[F.count_if(value <= q[i]).alias(f"upto{i}") for i in range(3)],
+        )
+    )
+    slack = windows.RANK_ERROR * F.col("n_obs")
+    right = F.lit(True)
+    for i, rank in enumerate(ranks):
+        right &= (F.col(f"below{i}") - slack <= rank * F.col("n_obs")) & (rank * F.col("n_obs") <= F.col(f"upto{i}") + slack)
+    error = F.abs(F.col("contributors_est") - F.col("people"))
+    parts = ingest.sampled_ingest(stream(spark, sf).select("event_id", "event_type"), ["event_type"], "event_id", 5)
+    chosen = sketches.bottom_k(parts, ["event_type"], F.col("event_id"), 5)
+    place = F.struct(F.md5(F.concat_ws("|", F.lit("sample"), F.col("event_id").cast("string"))), "event_id")
+    ids = F.transform(F.sort_array(F.collect_list(place)), lambda x: x["event_id"].cast("string"))
+    sample = chosen.groupBy("event_type").agg(F.array_join(ids, ",").alias("sample"))
+    return sample.join(exact, "event_type").select(
+        "event_type", "n_obs",
+        (error <= F.greatest(F.lit(1.0), F.col("people") * (3 * 1.04 / 64))).alias("contributors_within_error"),
+        right.alias("quantiles_within_error"), "sample",
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from veilgrain.operators import bounding, gates
+from veilgrain.operators import bounding, gates, sketches
 from veilgrain.session import run_folder
 from veilgrain.sources.tables import shape_events
 
@@ -30,7 +30,10 @@ def with_watermark(stream: DataFrame, lateness: str, ts: str = "ts") -> DataFram
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped as late so far, from the progress reports Spark still keeps."""
+    """Rows dropped as late, from the progress reports Spark still keeps: of a long stream only the last batches.
+
+    ``lateness.split_late`` keeps the rows themselves, of any number of batches.
+    """
     return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
 
 
@@ -117,5 +120,20 @@ def capped_ingest(stream: DataFrame, cap: int) -> DataFrame:
     return stream.sparkSession.read.schema(schema).parquet(path)
 
 
+def sampled_ingest(stream: DataFrame, keys: list[str], identity: str, k: int) -> DataFrame:
+    """Bottom-k sample at ingest: the samples of all batches, to be merged by ``sketches.bottom_k`` with the same keys.
+
+    A batch leaves at most ``k`` rows per key under its batch id; a replayed batch replaces them.
+    """
+
+    def write(df: DataFrame, batch_id: int, path: str) -> None:
+        sample = sketches.bottom_k(df, keys, F.col(identity), k).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        overwrite_partitions(sample, path, ["batch_id"])
+
+    path = run_batches(stream, "sampled-ingest", write)
+    schema = stream.withColumn("batch_id", F.lit(0).cast("bigint")).schema
+    return stream.sparkSession.read.schema(schema).parquet(path)
+
+
 def merge_capped(parts: DataFrame, cap: int) -> DataFrame:
     return bounding.contribution_cap(parts.drop("batch_id"), cap)

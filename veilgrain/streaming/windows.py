@@ -82,6 +82,10 @@ def session_counts(stream: DataFrame, gap: str, contributor: str = "contributor"
     )
 
 
+KLL_K = 800  # size of the value sketches
+RANK_ERROR = 0.0133  # of a quantile; a sketch of this size stays within a third of it in 99 of 100 cases
+
+
 def sketch_stats(stream: DataFrame, length: str, dims: Sequence[str], contributor: str, value: str) -> DataFrame:
     """Mergeable sketches per window: distinct contributors (HLL) and the value distribution (KLL)."""
     return (
@@ -89,12 +93,25 @@ def sketch_stats(stream: DataFrame, length: str, dims: Sequence[str], contributo
         .agg(
             F.count("*").alias("n_obs"),
             F.hll_sketch_agg(contributor, F.lit(12)).alias("contributors_sketch"),
-            F.kll_sketch_agg_double(value).alias("value_sketch"),
+            F.kll_sketch_agg_double(value, F.lit(KLL_K)).alias("value_sketch"),
         )
         .select(window_name().alias("window_id"), *dims, "n_obs", "contributors_sketch", "value_sketch")
     )
 
 
+def merged_sketches(sketches: DataFrame, dims: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
+    """Estimates over all windows of ``sketch_stats``: n_obs, contributors_est and quantile values in the given order."""
+    merged = sketches.groupBy(*dims).agg(
+        F.sum("n_obs").alias("n_obs"),
+        F.hll_sketch_estimate(F.hll_union_agg("contributors_sketch")).alias("contributors_est"),
+        F.kll_merge_agg_double("value_sketch", F.lit(KLL_K)).alias("_values"),
+    )
+    ranks = F.array(*[F.lit(float(q)) for q in quantiles])
+    return merged.select(
+        *dims, "n_obs", "contributors_est", F.kll_sketch_get_quantile_double("_values", ranks).alias("quantiles")
+    )
+
+
 def release_stream(staging: DataFrame, c: ReleaseContract, release_ts_ms: int) -> DataFrame:
     """Closed windows of a bounded staging stream through k gate and noise into the released table, one partition per window.
 
