@@ -7,13 +7,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veilgrain.functions.noise import gaussian, keyed_uniform
 from veilgrain.operators.local_dp import keep_probability
+from veilgrain.session import overwrite_partitions
 
 SLICE_ROWS = 4096  # messages of a window that are ranked in one task, about
 MESSAGE_COLUMNS = ("window_id", "cell", "protocol_type", "format", "data", "epsilon_local", "sample_rate")
@@ -43,20 +46,26 @@ def shuffle_mix(df: DataFrame, row_key: Sequence[str], window: str, batch_size:
     ``batch_size`` is a single batch. The message key decides the place and is then removed together with every other
     linkable column. Places are counted in slices of the hash range, so no window is ranked in one task.
     """
-    key = [F.col(k) for k in row_key]
     sizes = df.groupBy(window).agg(F.count("*").alias("_size"))
     held = sizes.filter(F.col("_size") < min_batch).select(window, F.col("_size").alias("n"))
-    drawn = (
-        df.join(sizes.filter(F.col("_size") >= min_batch), window)
-        .withColumn("_u", keyed_uniform(secret, *key, "batch"))
-        .withColumn("_slice", F.floor(F.col("_u") * F.ceil(F.col("_size") / SLICE_ROWS)))
-        .withColumn("_order", keyed_uniform(secret, *key, "order"))
-    )
+    kept = with_draws(df, row_key, secret).join(sizes.filter(F.col("_size") >= min_batch), window)
+    return _in_batches(kept, window, batch_size, row_key, payload), held
+
+
+def with_draws(df: DataFrame, row_key: Sequence[str], secret: str) -> DataFrame:
+    """Add the secret draws that place a message: ``_u`` for its batch, ``_order`` for its place in it."""
+    key = [F.col(k) for k in row_key]
+    return df.withColumn("_u", keyed_uniform(secret, *key, "batch")).withColumn("_order", keyed_uniform(secret, *key, "order"))
+
+
+def _in_batches(drawn: DataFrame, window: str, batch_size: int, ties: Sequence[str], payload: Sequence[str]) -> DataFrame:
+    """(window, batch_id, payload) of messages with draws and ``_size``, the number of messages of their window."""
+    drawn = drawn.withColumn("_slice", F.floor(F.col("_u") * F.ceil(F.col("_size") / SLICE_ROWS)))
     earlier = W.partitionBy(window).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     starts = drawn.groupBy(window, "_slice").agg(F.count("*").alias("_n")).select(
         window, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
-    here = F.row_number().over(W.partitionBy(window, "_slice").orderBy("_u", *row_key))
+    here = F.row_number().over(W.partitionBy(window, "_slice").orderBy("_u", *ties))
     batches = F.greatest(F.lit(1), F.floor(F.col("_size") / batch_size))
     place = F.col("_before") + F.col("_place") - 1
     batched = (
@@ -64,12 +73,63 @@ def shuffle_mix(df: DataFrame, row_key: Sequence[str], window: str, batch_size:
         .join(starts, [window, "_slice"])
         .withColumn("batch_id", F.floor(place * batches / F.col("_size")))
     )
-    mixed = (
+    return (
         batched.repartition(window, "batch_id", F.floor(F.col("_order") * 16))
         .sortWithinPartitions(window, "batch_id", "_order")
         .select(window, "batch_id", *payload)
     )
-    return mixed, held
+
+
+@dataclass(frozen=True)
+class Mixer:
+    """Mixing over many runs: what is too little for a batch waits in a stored hold table and joins a later run.
+
+    A run takes its own messages and those held by the run before. At ``min_batch`` messages all of them go out in even batches of
+    at least ``batch_size`` (one batch if fewer). Otherwise they wait; once the oldest has waited ``max_wait`` runs, ``timed_batch``
+    messages are enough. The hold table keeps payload and secret draws, never the message key, and holds fewer than ``min_batch``
+    messages. Tables are kept per run below ``path``: repeating a run replaces what it wrote.
+    """
+
+    path: str
+    batch_size: int
+    min_batch: int
+    secret: str
+    payload: tuple[str, ...]
+    max_wait: int | None = None
+    timed_batch: int = 1
+
+    def _state(self, spark: SparkSession, name: str, fields: StructType, more: str) -> DataFrame:
+        schema = StructType(fields.fields)
+        for part in more.split(", "):
+            schema = schema.add(*part.split(" "))
+        return spark.read.schema(schema.add("run", "long")).parquet(f"{self.path}/{name}")
+
+    def run(self, messages: DataFrame, run: int, row_key: Sequence[str]) -> None:
+        """Mix or hold the messages of run ``run`` = 0, 1, 2, ...; ``messages`` holds the payload columns and the key."""
+        spark = messages.sparkSession
+        arrived = with_draws(messages, row_key, self.secret).select(*self.payload, "_u", "_order", F.lit(run).cast("bigint").alias("since"))
+        pool = arrived
+        if run:
+            before = self.held(spark, messages.select(*self.payload).schema).filter(F.col("run") == run - 1).drop("run")
+            pool = arrived.unionByName(before)
+        pool = pool.persist()
+        n, oldest = pool.agg(F.count("*"), F.min("since")).first()
+        waited = self.max_wait is not None and n >= self.timed_batch and run - (run if oldest is None else oldest) >= self.max_wait
+        go = n >= self.min_batch or waited
+        sized = pool.withColumn("_size", F.lit(n)).withColumn("run", F.lit(run).cast("bigint"))
+        out = _in_batches(sized if go else sized.limit(0), "run", self.batch_size, ["_order"], self.payload)
+        overwrite_partitions(out, f"{self.path}/mixed", ["run"])
+        keep = (sized.limit(0) if go else sized).drop("_size")
+        overwrite_partitions(keep, f"{self.path}/hold", ["run"])
+        pool.unpersist()
+
+    def mixed(self, spark: SparkSession, fields: StructType) -> DataFrame:
+        """(payload, batch_id, run) of all runs so far."""
+        return self._state(spark, "mixed", fields, "batch_id long")
+
+    def held(self, spark: SparkSession, fields: StructType) -> DataFrame:
+        """(payload, draws, since, run): the hold table after each run."""
+        return self._state(spark, "hold", fields, "_u double, _order double, since long")
 
 
 def aggregate_messages(df: DataFrame, keys: Sequence[str]) -> DataFrame:

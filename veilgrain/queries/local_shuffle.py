@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from veilgrain.operators import bounding, gates
 from veilgrain.operators import local_dp as ld
 from veilgrain.operators import shuffle_dp as sh
+from veilgrain.operators import shuffle_path as path
 from veilgrain.operators import transforms as tr
 from veilgrain.queries import common as cm
 from veilgrain.queries.registry import GAUSS, R, U, W, query, r
 from veilgrain.schema import RANDOMIZED_REPORT
-from veilgrain.sources import sinks
+from veilgrain.session import delete_at_exit, run_folder, store
+from veilgrain.sources import sinks, tables
 
 SECRET = f"'{cm.CONTRACT.secret}'"
 EPS = 1.0
@@ -178,8 +180,8 @@ def randomized_report(spark, sf):
 )
 def sink_reports_json(spark, sf):
     """Reports written as JSON lines, read back with the fixed schema, then summed per row."""
-    path = sinks.write_json_lines(reports(spark, sf), "reports")
-    back = sinks.read_json_lines(spark, path, RANDOMIZED_REPORT)
+    folder = sinks.write_json_lines(reports(spark, sf), "reports")
+    back = sinks.read_json_lines(spark, folder, RANDOMIZED_REPORT)
     data = F.col("payload.data")
     return back.groupBy("window_id", F.col("cell_key.cluster_id").alias("cluster_id"), data[0].alias("row")).agg(
         F.sum(data[1]).alias("s"), F.count("*").alias("n")
@@ -219,17 +221,38 @@ def shufflable_message(spark, sf):
     return messages(spark, sf).withColumn("data", F.col("data")[0])
 
 
+def run_segments(size: int) -> str:
+    """SQL: the run (window) in which the messages of each window of ``msg`` go out, null while they wait."""
+    return f"""w AS (SELECT window_id, count(*) AS n, row_number() OVER (ORDER BY window_id) AS i FROM msg GROUP BY 1),
+ pools AS (SELECT i, n AS pool, i AS since FROM w WHERE i = 1 UNION ALL
+   SELECT w.i, CASE WHEN pool >= {size} THEN w.n ELSE pool + w.n END, CASE WHEN pool >= {size} THEN w.i ELSE since END FROM pools JOIN w ON w.i = pools.i + 1),
+ runs AS (SELECT w.window_id, min(p.i) - 1 AS run FROM w LEFT JOIN pools p ON p.pool >= {size} AND w.i BETWEEN p.since AND p.i GROUP BY 1)"""
+
+
+MIX = 2500
+
+
 @query(
     "shuffle_mix",
-    f"""WITH {LIGHT}, m AS (SELECT *, count(*) OVER (PARTITION BY window_id) AS n,
-   row_number() OVER (PARTITION BY window_id ORDER BY {U(SECRET, 'event_id', "'batch'")}, event_id) - 1 AS place FROM msg)
-SELECT window_id, place * greatest(1, n // 200) // n AS batch_id, cell, bit FROM m WHERE n >= 190""",
+    f"""WITH RECURSIVE {LIGHT}, {run_segments(MIX)},
+ m AS (SELECT msg.*, run, count(*) OVER (PARTITION BY run) AS n,
+   row_number() OVER (PARTITION BY run ORDER BY {U(SECRET, 'event_id', "'batch'")}, event_id) - 1 AS place FROM msg JOIN runs USING (window_id))
+SELECT window_id, run, CASE WHEN run IS NOT NULL THEN place * greatest(1, n // {MIX}) // n END AS batch_id, cell, bit FROM m""",
 )
 def shuffle_mix(spark, sf):
-    mixed, _ = sh.shuffle_mix(
-        bounded_bits(spark, sf), ["event_id"], "window_id", 200, 190, cm.CONTRACT.secret, ["cell", "bit"]
-    )
-    return mixed
+    """A run a week: messages of weeks that are too short wait and join a later run; what still waits has no batch."""
+    bits = bounded_bits(spark, sf).select("event_id", "window_id", "cell", "bit")
+    folder = run_folder(spark, "mixing")
+    delete_at_exit(spark, folder)
+    mixer = sh.Mixer(folder, MIX, MIX, cm.CONTRACT.secret, ("window_id", "cell", "bit"))
+    weeks = [w for (w,) in bits.select("window_id").distinct().orderBy("window_id").collect()]  # a row per run
+    for number, week in enumerate(weeks):
+        mixer.run(bits.filter(F.col("window_id") == week), number, ["event_id"])
+    fields = bits.select("window_id", "cell", "bit").schema
+    out = mixer.mixed(spark, fields).select("window_id", "run", "batch_id", "cell", "bit")
+    none = F.lit(None).cast("bigint")
+    waiting = mixer.held(spark, fields).filter(F.col("run") == len(weeks) - 1)
+    return out.unionByName(waiting.select("window_id", none.alias("run"), none.alias("batch_id"), "cell", "bit"))
 
 
 SUMS = f"{LIGHT}, a AS (SELECT window_id, cell, count(*) AS n, sum(bit)::BIGINT AS y FROM msg GROUP BY ALL)"
@@ -257,22 +280,86 @@ def shuffle_central_noise(spark, sf):
     return h.select("window_id", "cell", r(F.col("estimate_value")).alias("estimate_value"), r(F.col("variance")).alias("variance"))
 
 
+# ---- the whole path ---------------------------------------------------------------------------------------------
+RATE, PATH_MIN, RELEASE_TS = 0.5, 300, 1706745600000
+PATH = path.ShuffleConfig("c_shuffle", "v1", "events_high_value", cm.CONTRACT.secret, EPS_LIGHT, RATE, noise_sd=3.0)
+# dimensions: region of the contributor, kind of event; customers of one segment have not consented, and error events
+# belong to a deprecated policy in one region
+CLIENT = f"""{cm.EV}, geo AS (SELECT ev.*, coalesce(r_name, 'UNKNOWN') AS geo_bucket, c_mktsegment,
+   CASE WHEN r_name IS NULL THEN 'POLICY_DISABLED' WHEN r_name = 'ASIA' THEN 'POLICY_DEPRECATED'
+        WHEN c_mktsegment IS NULL OR c_mktsegment = 'MACHINERY' THEN 'POLICY_NO_CONSENT' END AS reason
+   FROM ev LEFT JOIN customer ON contributor = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey),
+ smp AS (SELECT * FROM geo WHERE reason IS NULL AND {U(SECRET, 'event_id')} < {RATE}),
+ c1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contributor, window_id, geo_bucket, event_type ORDER BY ts, event_id) AS a FROM smp) WHERE a <= 3),
+ c2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contributor, window_id ORDER BY ts, event_id) AS b FROM c1) WHERE b <= 5),
+ msg AS (SELECT event_id, window_id, geo_bucket, event_type AS cluster_id, CASE WHEN {U(SECRET, 'event_id', "'rr'")} < {PL!r} THEN (value > 50)::INT ELSE 1 - (value > 50)::INT END AS bit FROM c2)"""
+
+
+def shuffled(spark, sf):
+    """(mixed, held, rejects) of the client and shuffler stages over all weeks, a run a week."""
+    people = (
+        tables.table(spark, sf, "customer")
+        .join(tables.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        .join(tables.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+        .select(F.col("c_custkey").alias("contributor"), F.col("r_name").alias("region"), "c_mktsegment")
+    )
+    events = cm.weekly_events(spark, sf).join(people.drop("c_mktsegment"), "contributor", "left").select(
+        "event_id", "contributor", "ts", "window_id", "value", F.coalesce("region", F.lit("UNKNOWN")).alias("region"),
+        F.col("region").alias("geo_bucket"), F.col("event_type").alias("cluster_id"), F.lit(None).cast("string").alias("age_bucket"),
+    )
+    policies = tables.table(spark, sf, "region").select(
+        F.lit(PATH.feature_id).alias("feature_id"), F.col("r_name").alias("region"), F.lit(True).alias("enabled"),
+        (F.col("r_name") == "ASIA").alias("deprecated"),
+    )
+    consent = people.filter("c_mktsegment <> 'MACHINERY'").select("contributor")
+    messages, rejects = path.client(events, policies, consent, PATH, F.col("value") > 50)
+    messages = store(messages, "messages")  # counted per run and checked; the runs then read it
+    folder = run_folder(spark, "mixing")
+    delete_at_exit(spark, folder)
+    mixer = sh.Mixer(folder, PATH_MIN, PATH_MIN, PATH.secret, path.PAYLOAD)
+    weeks = [w for (w,) in messages.select("window_id").distinct().orderBy("window_id").collect()]  # a row per run
+    mixed, held, bad = path.shuffler(messages, shuffle_contracts(spark), mixer, PATH, weeks)
+    return mixed, held, rejects.unionByName(bad)
+
+
+def shuffle_contracts(spark):
+    row = (PATH.feature_id, "SHUFFLE", PATH.contract_version)
+    contract = spark.createDataFrame([row], "feature_id string, boundary string, contract_version string")
+    return gates.allowed_contracts(contract, 3)
+
+
+HARD_PATH = f"({EST} / {RATE} + 3.0 * {GAUSS(SECRET, 'window_id', 'geo_bucket', 'cluster_id', repr('UNKNOWN'), repr('harden'))})"
+VAR_PATH = f"({VAR} / {RATE * RATE} + 9.0)"
+
+
 @query(
     "shuffle_release",
-    f"""WITH {SUMS} SELECT 'c_shuffle' AS contract_id, 'v1' AS contract_version, 'events_high_value' AS feature_id, window_id, cell AS cluster_id, {R(HARD)} AS estimate_value,
-  {R(VAR + ' + 9.0')} AS variance, {R(f'{HARD} - 1.959964 * sqrt({VAR} + 9.0)')} AS ci_lower, {R(f'{HARD} + 1.959964 * sqrt({VAR} + 9.0)')} AS ci_upper,
-  'SHUFFLE_COUNT' AS protocol_type, true AS local_randomization_enabled, 2.0::DOUBLE AS epsilon_local, 1.0::DOUBLE AS sample_rate FROM a""",
+    f"""WITH RECURSIVE {CLIENT}, {run_segments(PATH_MIN)},
+ a AS (SELECT window_id, geo_bucket, cluster_id, count(*) AS n, sum(bit)::BIGINT AS y FROM msg JOIN runs USING (window_id) WHERE run IS NOT NULL GROUP BY ALL)
+SELECT 'c_shuffle' AS contract_id, 'v1' AS contract_version, 'events_high_value' AS feature_id, window_id, geo_bucket, cluster_id, 'UNKNOWN' AS age_bucket,
+  {R(HARD_PATH)} AS estimate_value, {R(VAR_PATH)} AS variance, {R(f'{HARD_PATH} - 1.959964 * sqrt({VAR_PATH})')} AS ci_lower, {R(f'{HARD_PATH} + 1.959964 * sqrt({VAR_PATH})')} AS ci_upper,
+  'SHUFFLE_COUNT' AS protocol_type, true AS local_randomization_enabled, 2.0::DOUBLE AS epsilon_local, {RATE}::DOUBLE AS sample_rate, {RELEASE_TS} AS release_ts_ms FROM a""",
 )
 def shuffle_release(spark, sf):
-    """Messages to released rows."""
-    valid = gates.passed(gates.payload_gate(messages(spark, sf), cap=1, categories=2, width=1, depth=1, max_update=1))
-    sums = sh.aggregate_messages(valid, ["window_id", "cell"]).drop("format", "row", "pos")
-    hard = sh.harden(sh.estimate(sums, EPS_LIGHT), 3.0, cm.CONTRACT.secret, ["window_id", "cell"])
-    out = sh.with_interval(hard, "estimate_value")
-    return out.select(
-        F.lit("c_shuffle").alias("contract_id"), F.lit("v1").alias("contract_version"),
-        F.lit("events_high_value").alias("feature_id"), "window_id", F.col("cell").alias("cluster_id"),
-        *[r(F.col(c)).alias(c) for c in ("estimate_value", "variance", "ci_lower", "ci_upper")],
-        F.lit("SHUFFLE_COUNT").alias("protocol_type"), F.lit(True).alias("local_randomization_enabled"),
-        F.lit(EPS_LIGHT).alias("epsilon_local"), F.lit(1.0).alias("sample_rate"),
-    )
+    """From events to released rows: client gates, sampling, caps, randomized bits, mixing over weeks, server checks, noise."""
+    mixed, _, _ = shuffled(spark, sf)
+    out = path.server(mixed, shuffle_contracts(spark), PATH, RELEASE_TS)
+    return out.withColumns({c: r(F.col(c)) for c in ("estimate_value", "variance", "ci_lower", "ci_upper")})
+
+
+@query(
+    "shuffle_audit",
+    f"""WITH RECURSIVE {CLIENT}, {run_segments(PATH_MIN)}
+SELECT 'client' AS stage, reason, count(*) AS n FROM geo WHERE reason IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'shuffler', CASE WHEN run IS NULL THEN 'HELD' ELSE 'MIXED' END, count(*) FROM msg JOIN runs USING (window_id) GROUP BY ALL""",
+)
+def shuffle_audit(spark, sf):
+    """What became of events that were not left out by sampling and caps: rejected with a reason, mixed, or still held."""
+    mixed, held, rejects = shuffled(spark, sf)
+
+    def at_shuffler(df, reason):
+        return df.select(F.lit("shuffler").alias("stage"), F.lit(reason).alias("reason"))
+
+    rows = rejects.select("stage", F.col(gates.REASON).alias("reason"))
+    rows = rows.unionByName(at_shuffler(mixed, "MIXED")).unionByName(at_shuffler(held, "HELD"))
+    return rows.groupBy("stage", "reason").agg(F.count("*").alias("n"))

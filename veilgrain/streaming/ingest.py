@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from veilgrain.operators import bounding, gates, sketches
-from veilgrain.session import run_folder
+from veilgrain.session import overwrite_partitions, run_folder
 from veilgrain.sources.tables import shape_events
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -77,11 +77,6 @@ def dedupe_stream(stream: DataFrame, key: str, lateness: str) -> DataFrame:
     return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark([key])
 
 
-def overwrite_partitions(df: DataFrame, path: str, partition: list[str]) -> None:
-    """Replace the partitions present in ``df``; rebalancing keeps files few and splits a partition that is too large."""
-    df.hint("rebalance", *partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
-
-
 def gated_ingest(stream: DataFrame, allowed: DataFrame, boundary: str) -> tuple[DataFrame, DataFrame]:
     """Contract gate on a stream: (passed, rejected) rows, each in a table of its own.
 

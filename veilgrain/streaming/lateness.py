@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrain.streaming.ingest import overwrite_partitions, run_batches
+from veilgrain.session import overwrite_partitions
+from veilgrain.streaming.ingest import run_batches
 
 MARKS = "newest timestamp, batch_id bigint"
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from veilgrain.functions.scalar import clamp
 from veilgrain.operators import central
 from veilgrain.schema import ReleaseContract
-from veilgrain.streaming.ingest import overwrite_partitions, run_batches
+from veilgrain.session import overwrite_partitions
+from veilgrain.streaming.ingest import run_batches
 
 
 def window_name() -> Column:
