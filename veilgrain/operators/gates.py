@@ -261,3 +261,32 @@ def leaked_values(df: DataFrame, text_columns: Sequence[str], identifiers: DataF
         df = df.join(known, F.col(c).cast("string") == F.col(f"_id{i}"), "left")
         hit = hit | F.col(f"_id{i}").isNotNull()
     return df.filter(hit).drop(*[f"_id{i}" for i in range(len(text_columns))])
+
+
+TOKEN = r"[\p{L}\p{N}_.@#+-]+"
+
+
+def identifier_hashes(identifiers: DataFrame, id_col: str, salt: str) -> DataFrame:
+    """(id_hash) of known identifiers; the list itself need not be at hand where tables are scanned."""
+    return identifiers.select(F.sha2(F.concat_ws("|", F.lit(salt), F.col(id_col).cast("string")), 256).alias("id_hash")).distinct()
+
+
+def identifier_hits(df: DataFrame, key: Sequence[str], text_columns: Sequence[str], hashes: DataFrame, salt: str) -> DataFrame:
+    """(key, column, id_hash) of every known identifier that stands as a word anywhere in a text column, JSON included.
+
+    Distinct words of each text are hashed with the salt of ``identifier_hashes`` and joined with the hashes, so a word
+    that many rows share meets one row of the list. A full stop at the end of a word is not part of it.
+    """
+
+    def words_of(column: str) -> Column:
+        words = F.regexp_extract_all(F.coalesce(F.col(column).cast("string"), F.lit("")), F.lit(f"({TOKEN})"))
+
+        def hashed(word: Column) -> Column:
+            digest = F.sha2(F.concat_ws("|", F.lit(salt), F.regexp_replace(word, r"\.+$", "")), 256)
+            return F.struct(F.lit(column).alias("column"), digest.alias("id_hash"))
+
+        return F.transform(F.array_distinct(words), hashed)
+
+    words = [words_of(c) for c in text_columns]
+    found = df.select(*key, F.explode(F.flatten(F.array(*words))).alias("_w")).select(*key, "_w.*")
+    return found.join(hashes, "id_hash", "left_semi").select(*key, "column", "id_hash").distinct()

@@ -86,13 +86,18 @@ def emergency_downgrades(requests: DataFrame) -> DataFrame:
 
 
 def untraceable(releases: DataFrame, contracts: DataFrame) -> DataFrame:
-    """What each release lacks of boundary, contract, mechanism and granularity."""
-    c = contracts.select("contract_version", "boundary", "mechanism", "granularity").dropDuplicates(["contract_version"])
-    joined = releases.join(c, "contract_version", "left")
-    missing = F.array(
-        *[F.when(F.col(x).isNull(), F.lit(x)) for x in ("boundary", "mechanism", "granularity")]
+    """What each release lacks of boundary, mechanism and granularity; the contract is that of its feature and version.
+
+    A version with several contracts that differ is no answer either: ``contract`` is missing then.
+    """
+    terms = ("boundary", "mechanism", "granularity")
+    c = contracts.select("feature_id", "contract_version", *terms).distinct().groupBy("feature_id", "contract_version").agg(
+        *[F.min(t).alias(t) for t in terms], F.count("*").alias("_variants")
     )
-    return joined.withColumn("missing", F.array_compact(missing))
+    joined = releases.join(c, ["feature_id", "contract_version"], "left")
+    lacking = [F.when(F.col(x).isNull(), F.lit(x)) for x in terms]
+    missing = F.array(F.when(F.col("_variants") > 1, F.lit("contract")), *lacking)
+    return joined.withColumn("missing", F.array_compact(missing)).drop("_variants")
 
 
 def expired(df: DataFrame, day: str, asof: str, ttl_days: Column) -> DataFrame:
@@ -100,10 +105,12 @@ def expired(df: DataFrame, day: str, asof: str, ttl_days: Column) -> DataFrame:
 
 
 def audit_completeness(audit: DataFrame, required: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Rows and the share of them with every required field; a column ``leaked`` (boolean) is counted as ``n_leaks``."""
     complete = F.lit(True)
     for c in required:
         complete = complete & F.col(c).isNotNull()
-    return audit.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(complete.cast("double")).alias("completeness"))
+    leaks = [F.count_if("leaked").alias("n_leaks")] if "leaked" in audit.columns else []
+    return audit.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(complete.cast("double")).alias("completeness"), *leaks)
 
 
 def replay_diff(first: DataFrame, second: DataFrame, key: str, outcome: str) -> DataFrame:

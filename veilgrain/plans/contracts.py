@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +30,16 @@ def with_fingerprint(df: DataFrame, columns: Sequence[str], name: str) -> DataFr
     return df.withColumn(name, fingerprint(canonical))
 
 
+def policy_json(th: Thresholds) -> str:
+    """Canonical JSON of every threshold and weight that a decision depends on."""
+    return json.dumps(dataclasses.asdict(th), sort_keys=True, separators=(",", ":"))
+
+
+def policy_hash(th: Thresholds) -> str:
+    """SHA-256 of the policy; any change of a threshold or weight changes it."""
+    return hashlib.sha256(policy_json(th).encode()).hexdigest()
+
+
 def rejection_reasons(th: Thresholds) -> Column:
     """Why a decision was rejected, with the cap it missed."""
     reason = F.struct(
@@ -41,8 +54,12 @@ def rejection_reasons(th: Thresholds) -> Column:
 
 
 def plan_records(decided: DataFrame, input_columns: Sequence[str], th: Thresholds, created_at: Column) -> DataFrame:
-    """One plan row per decided feature. The plan hash leaves out ``created_at`` and itself."""
-    plan = with_fingerprint(decided, input_columns, "input_fingerprint").withColumns(
+    """One plan row per decided feature, with the hash of the policy it was decided under.
+
+    The plan hash leaves out ``created_at`` and itself.
+    """
+    hashed_policy = decided.withColumn("policy_hash", F.lit(policy_hash(th)))
+    plan = with_fingerprint(hashed_policy, input_columns, "input_fingerprint").withColumns(
         {
             "schema_version": F.lit(PLAN_SCHEMA_VERSION),
             "created_at": created_at,

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veilgrain.operators import gates, lineage, replay
 from veilgrain.operators import governance as gov
-from veilgrain.operators import lineage
+from veilgrain.plans import contracts as pc
 from veilgrain.queries import common as cm
 from veilgrain.queries.aggregates import STAGED, staged_events
 from veilgrain.queries.registry import R, query, r
-from veilgrain.queries.scoring import DECIDE, decisions
+from veilgrain.queries.scoring import DECIDE, TH, decisions
+from veilgrain.session import delete_at_exit, run_folder
 from veilgrain.sources import tables
 
 # One hop per order and line number: flag = boundary, quantity = granularity, discount = retention.
@@ -130,21 +132,19 @@ def emergency_downgrade_check(spark, sf):
 
 @query(
     "traceability",
-    f"""WITH {cm.CONTRACTS}, rel AS (SELECT DISTINCT event_type || '@' || window_id AS contract_version, day_id FROM ev),
- c AS (SELECT feature_id || '@' || contract_version AS contract_version, boundary, CASE WHEN boundary = 'CENTRAL' THEN 'GAUSSIAN' END AS mechanism FROM contracts)
-SELECT day_id, contract_version, CASE WHEN boundary IS NULL THEN 'boundary,mechanism,granularity' WHEN mechanism IS NULL THEN 'mechanism' ELSE '' END AS missing FROM rel LEFT JOIN c USING (contract_version)""",
+    f"""WITH {cm.CONTRACTS}, rel AS (SELECT DISTINCT event_type AS feature_id, window_id AS contract_version, day_id FROM ev),
+ c AS (SELECT feature_id, contract_version, boundary, CASE WHEN boundary = 'CENTRAL' THEN 'GAUSSIAN' END AS mechanism FROM contracts)
+SELECT day_id, feature_id, contract_version, CASE WHEN boundary IS NULL THEN 'boundary,mechanism,granularity' WHEN mechanism IS NULL THEN 'mechanism' ELSE '' END AS missing
+FROM rel LEFT JOIN c USING (feature_id, contract_version)""",
 )
 def traceability(spark, sf):
-    """Daily releases against the contracts they name; SHUFFLE contracts carry no mechanism here."""
+    """Daily releases against the contracts of their feature and version; SHUFFLE contracts carry no mechanism here."""
     releases = cm.weekly_events(spark, sf).select(
-        F.concat_ws("@", "event_type", "window_id").alias("contract_version"), "day_id"
+        F.col("event_type").alias("feature_id"), F.col("window_id").alias("contract_version"), "day_id"
     ).distinct()
-    contracts = cm.contracts(spark, sf).select(
-        F.concat_ws("@", "feature_id", "contract_version").alias("contract_version"), "boundary", "granularity",
-        F.when(F.col("boundary") == "CENTRAL", "GAUSSIAN").alias("mechanism"),
-    )
+    contracts = cm.contracts(spark, sf).withColumn("mechanism", F.when(F.col("boundary") == "CENTRAL", "GAUSSIAN"))
     return gov.untraceable(releases, contracts).select(
-        "day_id", "contract_version", F.array_join("missing", ",").alias("missing")
+        "day_id", "feature_id", "contract_version", F.array_join("missing", ",").alias("missing")
     )
 
 
@@ -161,34 +161,58 @@ def ttl_expiry(spark, sf):
 @query(
     "audit_completeness",
     f"""WITH {cm.MESSAGES}, a AS (SELECT event_type, CASE WHEN k < 50 THEN 'rule_' || (k // 10) END AS rule_id, CASE WHEN value < 150 THEN 120.0 END AS threshold,
-   CASE WHEN value > 120 THEN 'REJECT' ELSE 'ACCEPT' END AS outcome, CASE WHEN format <> 'sketch' THEN format END AS reason FROM msg)
-SELECT event_type, count(*) AS n, {R('avg(CASE WHEN rule_id IS NOT NULL AND threshold IS NOT NULL AND outcome IS NOT NULL AND reason IS NOT NULL THEN 1.0 ELSE 0.0 END)')} AS completeness FROM a GROUP BY 1""",
+   CASE WHEN value > 120 THEN 'REJECT' ELSE 'ACCEPT' END AS outcome, CASE WHEN format <> 'sketch' THEN format END AS reason,
+   value > 120 AND c_custkey IS NOT NULL AS leaked FROM msg LEFT JOIN customer ON contributor = c_custkey)
+SELECT event_type, count(*) AS n, {R('avg(CASE WHEN rule_id IS NOT NULL AND threshold IS NOT NULL AND outcome IS NOT NULL AND reason IS NOT NULL THEN 1.0 ELSE 0.0 END)')} AS completeness,
+  count(*) FILTER (leaked) AS n_leaks FROM a GROUP BY 1""",
 )
 def audit_completeness(spark, sf):
-    audit = cm.messages(spark, sf).select(
+    """Filled fields of audit records, and records whose JSON names a customer (rejected rows here name the actor)."""
+    people = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("contributor"), "c_name")
+    actor = F.when(F.col("value") > 120, F.col("c_name"))
+    audit = cm.messages(spark, sf).join(people, "contributor", "left").select(
+        "event_id",
         "event_type",
         F.when(F.col("k") < 50, F.concat(F.lit("rule_"), F.floor(F.col("k") / 10))).alias("rule_id"),
         F.when(F.col("value") < 150, 120.0).alias("threshold"),
         F.when(F.col("value") > 120, "REJECT").otherwise("ACCEPT").alias("outcome"),
         F.when(F.col("format") != "sketch", F.col("format")).alias("reason"),
+        F.to_json(F.struct(F.col("format").alias("protocol"), F.struct(actor.alias("actor")).alias("seen"))).alias("details_json"),
     )
-    done = gov.audit_completeness(audit, ["rule_id", "threshold", "outcome", "reason"], ["event_type"])
+    salt = cm.CONTRACT.secret
+    hits = gates.identifier_hits(audit, ["event_id"], ["rule_id", "reason", "details_json"], gates.identifier_hashes(people, "c_name", salt), salt)
+    flagged = audit.join(hits.select("event_id").distinct().withColumn("_hit", F.lit(True)), "event_id", "left")
+    marked = flagged.withColumn("leaked", F.coalesce("_hit", F.lit(False)))
+    done = gov.audit_completeness(marked, ["rule_id", "threshold", "outcome", "reason"], ["event_type"])
     return done.withColumn("completeness", r(F.col("completeness")))
 
 
 @query(
     "replay_check",
-    f"""WITH {DECIDE}, fa AS (SELECT feature_id, boundary || granularity AS o FROM dec WHERE p_type <> 'SMALL'), fb AS (SELECT feature_id, CASE WHEN p_size = 50 THEN 'LOCAL' ELSE boundary END || granularity AS o FROM dec WHERE p_type <> 'LARGE')
-SELECT CASE WHEN fa.o IS NULL THEN 'ONLY_SECOND' WHEN fb.o IS NULL THEN 'ONLY_FIRST' WHEN fa.o = fb.o THEN 'MATCH' ELSE 'MISMATCH' END AS verdict, count(*) AS n FROM fa FULL JOIN fb USING (feature_id) GROUP BY 1""",
+    f"""WITH {DECIDE} SELECT 'replay' AS comparison, 'MATCH' AS verdict, count(*) AS n, true AS same_plan FROM dec
+UNION ALL SELECT 'tampered', CASE WHEN p_size = 50 AND boundary <> 'LOCAL' THEN 'MISMATCH' ELSE 'MATCH' END, count(*), true FROM dec GROUP BY ALL""",
 )
 def replay_check(spark, sf):
-    """Two runs over the catalog: each misses one part type, and the second tampers with the largest parts."""
-    d = decisions(spark, sf)
-    outcome = F.concat("boundary", "granularity")
-    tampered = F.concat(F.when(F.col("p_size") == 50, "LOCAL").otherwise(F.col("boundary")), "granularity")
-    first = d.filter("p_type <> 'SMALL'").select("feature_id", outcome.alias("outcome"))
-    second = d.filter("p_type <> 'LARGE'").select("feature_id", tampered.alias("outcome"))
-    return gov.replay_diff(first, second, "feature_id", "outcome").groupBy("verdict").agg(F.count("*").alias("n"))
+    """The decision job run twice, stored twice and compared by fingerprint; then against a run with changed rows."""
+    folder = run_folder(spark, "replay")
+    delete_at_exit(spark, folder)
+    key, columns = ["feature_id"], ["feature_id", "boundary", "granularity", "feasible", "reason", "p_size"]
+    plan = pc.policy_hash(TH)
+    for run in ("first", "again"):
+        replay.record_run(decisions(spark, sf).select(*columns), folder, run, key, plan)
+    like = decisions(spark, sf).select(*columns)
+    stored = replay.rows_of(spark, folder, "again", like).drop("part")
+    changed = stored.withColumn("boundary", F.when(F.col("p_size") == 50, "LOCAL").otherwise(F.col("boundary")))
+    replay.record_run(changed, folder, "changed", key, plan)
+    out = None
+    for name, second in (("replay", "again"), ("tampered", "changed")):
+        parts = replay.compare_runs(spark, folder, "first", second).agg(F.sum("n_first").alias("n"), F.bool_and("same_plan").alias("same_plan"))
+        odd = replay.differing_rows(spark, folder, "first", second, key, like).groupBy("verdict").agg(F.count("*").alias("n"))
+        agreed = parts.select(F.lit("MATCH").alias("verdict"), (F.col("n") - F.coalesce(odd.agg(F.sum("n")).scalar(), F.lit(0))).alias("n"))
+        rows = agreed.unionByName(odd).crossJoin(parts.select("same_plan"))  # a row beside a handful of verdicts
+        rows = rows.select(F.lit(name).alias("comparison"), "verdict", "n", "same_plan").filter("n > 0")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query(

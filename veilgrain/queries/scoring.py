@@ -230,15 +230,14 @@ def fingerprints(spark, sf):
 
 @query(
     "plan_records",
-    f"""WITH {DECIDE}, f AS (SELECT *, sha256({FP_INPUT}) AS input_fingerprint, sha256('{{"k_min":100}}') AS policy_hash FROM dec)
+    f"""WITH {DECIDE}, f AS (SELECT *, sha256({FP_INPUT}) AS input_fingerprint, sha256('{pc.policy_json(TH)}') AS policy_hash FROM dec)
 SELECT feature_id, input_fingerprint, policy_hash, sha256({FP_PLAN}) AS plan_fingerprint,
   CASE WHEN feasible THEN 'accepted' ELSE 'rejected' END AS status,
   CAST(CASE WHEN feasible THEN 0 ELSE 1 END AS INT) AS n_reasons,
   CASE WHEN NOT feasible THEN 'NO_FEASIBLE_OPTION' END AS first_code FROM f""",
 )
 def plan_records(spark, sf):
-    d = decisions(spark, sf).withColumn("policy_hash", F.sha2(F.lit('{"k_min":100}'), 256))
-    records = pc.plan_records(d, ["feature_id", "p_size", "p_type"], TH, F.lit("2024-02-01T00:00:00Z"))
+    records = pc.plan_records(decisions(spark, sf), ["feature_id", "p_size", "p_type"], TH, F.lit("2024-02-01T00:00:00Z"))
     return records.select(
         "feature_id", "input_fingerprint", "policy_hash", "plan_fingerprint", "status",
         F.size("rejection_reasons").alias("n_reasons"), F.get("rejection_reasons", F.lit(0))["code"].alias("first_code"),

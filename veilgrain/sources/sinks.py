@@ -29,12 +29,14 @@ def read_partitioned(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def append_partitioned(df: DataFrame, path: str, partition: Sequence[str]) -> str:
+def append_partitioned(df: DataFrame, path: str, partition: Sequence[str], forbidden: Sequence[str] = FORBIDDEN) -> str:
+    leak_guard(df, forbidden)
     df.write.mode("append").partitionBy(*partition).parquet(path)
     return path
 
 
-def write_json_lines(df: DataFrame, name: str, path: str | None = None) -> str:
+def write_json_lines(df: DataFrame, name: str, path: str | None = None, forbidden: Sequence[str] = FORBIDDEN) -> str:
+    leak_guard(df, forbidden)
     path = path or run_folder(df.sparkSession, name)
     df.write.mode("overwrite").json(path)
     return path

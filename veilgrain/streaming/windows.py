@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from veilgrain.functions.scalar import clamp
 from veilgrain.operators import central
+from veilgrain.operators.gates import leak_guard
 from veilgrain.schema import ReleaseContract
 from veilgrain.session import overwrite_partitions
+from veilgrain.sources.sinks import FORBIDDEN
 from veilgrain.streaming.ingest import run_batches
 
 
@@ -121,7 +123,7 @@ def release_stream(staging: DataFrame, c: ReleaseContract, release_ts_ms: int) -
 
     def released(df: DataFrame) -> DataFrame:
         kept = central.k_gate(df, c.k_min).filter("passes")
-        return central.with_provenance(central.dp_metrics(kept, c), c, release_ts_ms)
+        return leak_guard(central.with_provenance(central.dp_metrics(kept, c), c, release_ts_ms), FORBIDDEN)
 
     path = run_batches(staging, "stream-release", lambda df, _, out: overwrite_partitions(released(df), out, ["window_id"]))
     return staging.sparkSession.read.schema(released(staging).schema).parquet(path)
