@@ -100,6 +100,12 @@ def untraceable(releases: DataFrame, contracts: DataFrame) -> DataFrame:
     return joined.withColumn("missing", F.array_compact(missing)).drop("_variants")
 
 
+def lineage_block(features: DataFrame, lineage: DataFrame) -> DataFrame:
+    """(feature_id, blocked) of every feature: true where ``lineage`` has no record of it."""
+    known = lineage.select("feature_id").distinct().withColumn("_known", F.lit(True))
+    return features.join(known, "feature_id", "left").select("feature_id", F.col("_known").isNull().alias("blocked"))
+
+
 def expired(df: DataFrame, day: str, asof: str, ttl_days: Column) -> DataFrame:
     return df.filter(F.date_diff(F.lit(asof).cast("date"), F.col(day)) > ttl_days)
 

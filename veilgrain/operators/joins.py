@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilgrain.operators import gates
+from veilgrain.operators.ranking import with_global_rank
 from veilgrain.schema import BOUNDARIES, GRANULARITIES
 
 
@@ -44,24 +45,29 @@ def ledger_range_join(asof: DataFrame, ledger: DataFrame, window_days: int) -> D
 def asof_contract_gate(events: DataFrame, contracts: DataFrame) -> DataFrame:
     """Every event with the contract in force at its time: the newest one issued no later than the event.
 
-    An event of a feature without contracts, or before the first one, is rejected as NO_CONTRACT. Contract validity is laid out per day, so an event only meets contracts valid on its own day. The window runs
-    over contract versions, not over events; an open-ended contract is laid out to its feature's last event day.
+    An event of a feature without contracts, before the first one, or without a time is rejected as NO_CONTRACT. Contracts are
+    gathered to one row per feature with its versions in order of issue; an event meets that row once and finds its version by
+    halving, in as many steps as the number of versions has bits. Of versions issued at once the greatest counts.
     """
-    w = W.partitionBy("feature_id").orderBy("issued_at")
-    horizon = events.groupBy("feature_id").agg(F.max(F.to_date("ts")).alias("_last"))
-    spans = (
-        contracts.withColumn("valid_to", F.lead("issued_at").over(w))
-        .join(horizon, "feature_id")
-        .withColumn("_end", F.coalesce(F.to_date("valid_to"), F.greatest("_last", F.to_date("issued_at"))))
-        .withColumn("day", F.explode(F.sequence(F.to_date("issued_at"), F.col("_end"))))
-        .drop("_last", "_end")
-        .withColumnsRenamed({"feature_id": "_feature", "day": "_day"})
-        .withColumn("_known", F.lit(True))
-    )
-    same = (F.col("feature_id") == F.col("_feature")) & (F.to_date("ts") == F.col("_day"))
-    cond = (F.col("ts") >= F.col("issued_at")) & (F.col("valid_to").isNull() | (F.col("ts") < F.col("valid_to")))
-    joined = events.join(spans, same & cond, "left")
-    return gates.label(joined, [("NO_CONTRACT", F.col("_known"))]).drop("_feature", "_day", "_known")
+    terms = [c for c in contracts.columns if c not in ("feature_id", "issued_at")]
+    timed = contracts.filter("issued_at IS NOT NULL")
+    versions = timed.groupBy("feature_id").agg(F.sort_array(F.collect_list(F.struct("issued_at", *terms))).alias("_versions"))
+    steps = F.expr("sequence(1, length(bin(size(_versions))))")
+    searched = versions.withColumn("_steps", steps)
+    start = F.struct(F.lit(0).alias("lo"), F.size("_versions").alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        early = F.get(F.col("_versions"), middle)["issued_at"] <= F.col("ts")
+        lo = F.when((acc["lo"] < acc["hi"]) & early, middle + 1).otherwise(acc["lo"])
+        hi = F.when((acc["lo"] < acc["hi"]) & ~early, middle).otherwise(acc["hi"])
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    joined = events.join(searched, "feature_id", "left")
+    place = F.when(F.col("ts").isNotNull(), F.aggregate("_steps", start, halve)["lo"] - 1)
+    found = joined.withColumn("_found", F.when(place >= 0, F.get(F.col("_versions"), place)))
+    named = found.select(*events.columns, F.col("_found.issued_at").alias("issued_at"), *[F.col(f"_found.{c}").alias(c) for c in terms])
+    return gates.label(named, [("NO_CONTRACT", F.col("issued_at").isNotNull())])
 
 
 def asof_contract(events: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -93,30 +99,25 @@ def deny_pairs(pairs: DataFrame, denied: DataFrame) -> DataFrame:
     return pairs.join(denied.select("feature_id", "boundary").distinct(), ["feature_id", "boundary"], "left_anti")
 
 
-def join_degree(datasets: DataFrame, id_col: str, keys: str, few: int = 12) -> DataFrame:
+def join_degree(datasets: DataFrame, id_col: str, keys: str) -> DataFrame:
     """How many other datasets share at least one join key with each dataset.
 
-    Datasets are reduced to their distinct key sets. Among sets of at most ``few`` keys, the number of datasets that
-    meet one is, by inclusion-exclusion, the signed sum of the counts of datasets containing each of its subsets, so
-    no pair is formed. Larger sets meet the others through lists of the sets that hold each key. Null keys count as
-    absent; a dataset without keys has degree 0.
+    Datasets are numbered without gaps, and every key has a bitmap of the datasets that hold it, cut into pieces of 32,768
+    numbers. The datasets that a key set meets are the union of its keys' bitmaps, so its degree is a count of bits, for few keys and for
+    many; each distinct key set is looked up once. Null keys count as absent; a dataset without keys has degree 0.
     """
     tagged = datasets.withColumn("_keys", F.array_sort(F.array_distinct(F.array_compact(keys))))
-    sets = tagged.groupBy("_keys").agg(F.count("*").alias("n")).filter(F.size("_keys") > 0)
-    masks = F.expr("sequence(1, shiftleft(1, size(_keys)) - 1)")
-    subsets = sets.filter(F.size("_keys") <= few).withColumn("_mask", F.explode(masks)).withColumn(
-        "_subset", F.expr("filter(_keys, (k, i) -> (shiftright(_mask, i) & 1) = 1)")
+    held = tagged.filter(F.size("_keys") > 0).select("_keys", F.xxhash64(id_col).alias("_h"))
+    numbered = with_global_rank(held, [F.col("_keys"), F.col("_h")], "_no")  # datasets of one key set are neighbours
+    number = F.col("_no") - 1
+    postings = (
+        numbered.select(F.explode("_keys").alias("_key"), F.bitmap_bucket_number(number).alias("_piece"), F.bitmap_bit_position(number).alias("_bit"))
+        .groupBy("_key", "_piece")
+        .agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     )
-    containing = subsets.groupBy("_subset").agg(F.sum("n").alias("c"))
-    signed = F.when(F.size("_subset") % 2 == 1, F.col("c")).otherwise(-F.col("c"))
-    among = subsets.select("_keys", "_subset").join(containing, "_subset").groupBy("_keys").agg(F.sum(signed).alias("d"))
-    lists = sets.withColumn("_key", F.explode("_keys"))
-    large = lists.filter(F.size("_keys") > few).select(F.col("_keys").alias("_large"), F.col("n").alias("_m"), "_key")
-    met = large.join(lists, "_key").select("_large", "_m", "_keys", "n").distinct()
-    of_large = met.groupBy(F.col("_large").alias("_keys")).agg(F.sum("n").alias("d"))
-    of_few = met.filter(F.size("_keys") <= few).groupBy("_keys").agg(F.sum("_m").alias("d"))
-    # every set was counted with its own datasets, of which one is the dataset itself
-    degree = among.union(of_large).union(of_few).groupBy("_keys").agg((F.sum("d") - 1).alias("degree"))
+    sets = numbered.select("_keys").distinct().withColumn("_key", F.explode("_keys"))
+    met = sets.join(postings, "_key").groupBy("_keys", "_piece").agg(F.bitmap_count(F.bitmap_or_agg("_bits")).alias("d"))
+    degree = met.groupBy("_keys").agg((F.sum("d") - 1).alias("degree"))  # without the dataset itself
     return tagged.join(degree, "_keys", "left").select(id_col, F.coalesce("degree", F.lit(0)).alias("degree"))
 
 

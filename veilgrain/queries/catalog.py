@@ -33,11 +33,10 @@ CAT_FIELDS = """fld AS (
 CAT_KEYS = """keys AS (
   SELECT feature_id, j.name AS name, j.stability AS stability, j.ndv_hint AS ndv_hint
   FROM (SELECT feature_id, unnest(join_keys) AS j FROM cat))"""
-# Support = distinct orders per part, per brand and overall; parts below size 5 are new and have no history.
+# Support = distinct orders per part, per brand and overall.
 CAT_SUPPORT = """sup AS (
   SELECT cat.feature_id,
-         CASE WHEN p_size >= 5 THEN si END AS s_item, CASE WHEN p_size >= 5 THEN sc END AS s_cluster,
-         CASE WHEN p_size >= 5 THEN sa END AS s_agg
+         si AS s_item, sc AS s_cluster, sa AS s_agg
   FROM cat LEFT JOIN (SELECT l_partkey, count(DISTINCT l_orderkey) AS si FROM lineitem GROUP BY 1) a ON a.l_partkey = p_partkey
   LEFT JOIN (SELECT p_brand, count(DISTINCT l_orderkey) AS sc FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) b USING (p_brand)
   CROSS JOIN (SELECT count(DISTINCT l_orderkey) AS sa FROM lineitem) c)"""
@@ -120,7 +119,6 @@ def with_support(spark: SparkSession, sf: str, specs: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("s_cluster"))
     )
     overall = pairs.select("l_orderkey").distinct().agg(F.count("*").alias("s_agg"))
-    known = F.col("p_size") >= 5
     return (
         specs.join(by_part, "p_partkey", "left")
         .join(by_brand, "p_brand", "left")
@@ -128,9 +126,9 @@ def with_support(spark: SparkSession, sf: str, specs: DataFrame) -> DataFrame:
         .withColumn(
             "support_hint",
             F.create_map(
-                F.lit("ITEM"), F.when(known, F.col("s_item")),
-                F.lit("CLUSTER"), F.when(known, F.col("s_cluster")),
-                F.lit("AGGREGATE"), F.when(known, F.col("s_agg")),
+                F.lit("ITEM"), F.col("s_item"),
+                F.lit("CLUSTER"), F.col("s_cluster"),
+                F.lit("AGGREGATE"), F.col("s_agg"),
             ),
         )
         .drop("s_item", "s_cluster", "s_agg")

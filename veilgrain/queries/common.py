@@ -79,7 +79,7 @@ def monthly_shipments(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# ---- contracts: one version per event type and week; 'error' never got one --------------------------------------
+# ---- contracts: one version per event type and week --------------------------------------------------------------
 CONTRACTS = (
     EV
     + """, contracts AS (
@@ -87,7 +87,7 @@ CONTRACTS = (
          CASE event_type WHEN 'signup' THEN 'SHUFFLE' ELSE 'CENTRAL' END AS boundary,
          CASE WHEN count(*) >= 420 THEN 'ITEM' WHEN count(*) >= 300 THEN 'CLUSTER' ELSE 'AGGREGATE' END AS granularity,
          min(ts) AS issued_at, count(*) AS n
-  FROM ev WHERE event_type <> 'error' GROUP BY event_type, window_id)"""
+  FROM ev GROUP BY event_type, window_id)"""
 )
 
 
@@ -95,7 +95,6 @@ def contracts(spark: SparkSession, sf: str) -> DataFrame:
     n = F.count("*")
     return (
         weekly_events(spark, sf)
-        .filter("event_type <> 'error'")
         .groupBy(F.col("event_type").alias("feature_id"), F.col("window_id").alias("contract_version"))
         .agg(
             F.when(n >= 420, "ITEM").when(n >= 300, "CLUSTER").otherwise("AGGREGATE").alias("granularity"),

@@ -207,9 +207,9 @@ def event_sanity_gate(spark, sf):
     "boundary_mismatch_gate",
     f"""WITH {cm.CONTRACTS}, act AS (
   SELECT feature_id, max_by(boundary, contract_version) AS boundary FROM contracts GROUP BY 1)
-SELECT event_id, CASE WHEN CASE WHEN value < 40 THEN 'CENTRAL' ELSE 'SHUFFLE' END <> boundary
-  THEN 'BOUNDARY_MISMATCH' END AS reject_reason
-FROM ev JOIN act ON event_type = feature_id""",
+SELECT event_id, CASE WHEN boundary IS NULL THEN 'NO_CONTRACT'
+  WHEN CASE WHEN value < 40 THEN 'CENTRAL' ELSE 'SHUFFLE' END <> boundary THEN 'BOUNDARY_MISMATCH' END AS reject_reason
+FROM ev LEFT JOIN act ON event_type = feature_id""",
 )
 def boundary_mismatch_gate(spark, sf):
     requests = cm.weekly_events(spark, sf).select(
@@ -220,9 +220,7 @@ def boundary_mismatch_gate(spark, sf):
     active = (
         cm.contracts(spark, sf).groupBy("feature_id").agg(F.max_by("boundary", "contract_version").alias("boundary"))
     )
-    judged = gates.boundary_mismatch_gate(requests, active)
-    # the SQL joins the contracts and so leaves out the requests without one; the operator returns them
-    return judged.filter("reject_reason IS DISTINCT FROM 'NO_CONTRACT'").select("event_id", "reject_reason")
+    return gates.boundary_mismatch_gate(requests, active).select("event_id", "reject_reason")
 
 
 @query(
@@ -256,7 +254,7 @@ def shuffle_ops_gate(spark, sf):
   JOIN region ON n_regionkey = r_regionkey),
 used AS (SELECT ev.*, region FROM ev JOIN geo ON contributor = c_custkey),
 pol AS (SELECT event_type, region, region <> 'ASIA' OR event_type <> 'signup' AS enabled,
-               max(value) > 450 AS deprecated FROM used WHERE event_type <> 'error' GROUP BY ALL)
+               max(value) > 450 AS deprecated FROM used GROUP BY ALL)
 SELECT event_id, CASE WHEN enabled IS NULL OR NOT enabled THEN 'POLICY_DISABLED' WHEN deprecated THEN 'POLICY_DEPRECATED'
   WHEN NOT EXISTS (SELECT 1 FROM geo WHERE c_custkey = contributor AND c_acctbal >= 0) THEN 'POLICY_NO_CONSENT' END AS reject_reason
 FROM used LEFT JOIN pol USING (event_type, region)""",
@@ -271,8 +269,7 @@ def policy_gate(spark, sf):
     )
     ev = cm.weekly_events(spark, sf).withColumnRenamed("event_type", "feature_id").join(geo, "contributor")
     policies = (
-        ev.filter("feature_id <> 'error'")
-        .groupBy("feature_id", "region")
+        ev.groupBy("feature_id", "region")
         .agg((F.max("value") > 450).alias("deprecated"))
         .withColumn("enabled", (F.col("region") != "ASIA") | (F.col("feature_id") != "signup"))
     )

@@ -109,12 +109,12 @@ def inv_join_safety(spark, sf):
 
 @query(
     "missing_lineage_block",
-    "SELECT o_orderkey AS feature_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag <> 'A')",
+    "SELECT o_orderkey AS feature_id, o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) AS blocked FROM orders",
 )
 def missing_lineage_block(spark, sf):
-    """Orders without a single lineage record outside CENTRAL may not be materialised."""
-    known = tables.table(spark, sf, "lineitem").filter("l_returnflag <> 'A'").select(F.col("l_orderkey").alias("feature_id"))
-    return tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("feature_id")).join(known, "feature_id", "left_anti")
+    """Orders without a single lineage record are blocked from being materialised."""
+    known = tables.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("feature_id"))
+    return gov.lineage_block(tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("feature_id")), known)
 
 
 @query(

@@ -171,13 +171,13 @@ def subscore_drift(spark, sf):
 
 @query(
     "needs_review",
-    f"""WITH {SUBDRIFT}, f AS (SELECT feature_id, max(computed_at) AS last_alert, count(*) AS n_alerts FROM al WHERE alerts <> '' AND computed_at >= '2001-01' GROUP BY 1)
+    f"""WITH {SUBDRIFT}, f AS (SELECT feature_id, max(computed_at) AS last_alert, count(*) AS n_alerts FROM al WHERE alerts <> '' GROUP BY 1)
 SELECT p_partkey, n_alerts IS NOT NULL AS needs_review, last_alert FROM part LEFT JOIN f ON p_brand = feature_id""",
 )
 def needs_review(spark, sf):
-    """Catalog rows whose brand drifted since 2001 go back to routing."""
+    """Catalog rows whose brand ever drifted go back to routing, with the month of the last alert."""
     d = history.subscore_drift(scorecards(spark, sf), TAUS, "lps_total", mid=0.6, high=0.75)
-    flags = d.filter("computed_at >= '2001-01'").groupBy(F.col("feature_id").alias("p_brand")).agg(
+    flags = d.groupBy(F.col("feature_id").alias("p_brand")).agg(
         F.max("computed_at").alias("last_alert")
     )
     parts = tables.table(spark, sf, "part").select("p_partkey", "p_brand")

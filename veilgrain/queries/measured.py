@@ -43,9 +43,9 @@ SNAP = f"""rowz AS (SELECT 'f_' || l_partkey AS feature_id, w.window_id, level,
  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature_id, window_id
     ORDER BY CASE level WHEN 'CLUSTER' THEN 0 WHEN 'ITEM' THEN 1 ELSE 2 END) AS rn FROM snap) WHERE rn = 1)"""
 PROBE = """probe AS (SELECT 'f_' || p_partkey AS feature_id, 'gender' AS attr, 0.5 + 5 * avg(l_discount) AS auc
-    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 45 GROUP BY p_partkey
+    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_partkey
   UNION ALL SELECT 'f_' || p_partkey, 'age_bucket', 0.5 + 5 * avg(l_tax) FROM lineitem JOIN part ON l_partkey = p_partkey
-    WHERE p_size <= 45 GROUP BY p_partkey)"""
+    GROUP BY p_partkey)"""
 SUBSCORES = f"""{DEFS}, {SNAP}, {PROBE},
  inf AS (SELECT feature_id, max(greatest(0.0, least(1.0, 2 * (auc - 0.5)))) AS s,
    string_agg(CASE WHEN round(greatest(0.0, least(1.0, 2 * (auc - 0.5))), 12) > 0.7 THEN 'HIGH_INFER:' || attr END, ',' ORDER BY attr) AS why FROM probe GROUP BY 1),
@@ -117,7 +117,7 @@ def snapshots(spark, sf):
 
 
 def probes(spark, sf):
-    parts = tables.table(spark, sf, "part").filter("p_size <= 45").select(F.col("p_partkey").alias("l_partkey"))
+    parts = tables.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"))
     means = (
         tables.table(spark, sf, "lineitem")
         .groupBy("l_partkey")

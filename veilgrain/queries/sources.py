@@ -79,12 +79,12 @@ def scan_policy(spark, sf):
 
 @query(
     "list_and_lookup",
-    f"""WITH {HIST} SELECT p_brand || '@' || p_size AS feature_id, count(*) AS n, max(n_obs) AS n_obs FROM part LEFT JOIN (SELECT feature_id, max_by(n_obs, computed_at) AS n_obs FROM hist WHERE feature_id <> 'Brand#7' GROUP BY 1) s
+    f"""WITH {HIST} SELECT p_brand || '@' || p_size AS feature_id, count(*) AS n, max(n_obs) AS n_obs FROM part LEFT JOIN (SELECT feature_id, max_by(n_obs, computed_at) AS n_obs FROM hist GROUP BY 1) s
   ON s.feature_id = p_brand GROUP BY 1""",
 )
 def list_and_lookup(spark, sf):
     """All feature ids with their newest statistics by key; absent statistics stay null."""
-    newest = history.latest(scorecards(spark, sf).filter("feature_id <> 'Brand#7'"), ["feature_id"], "computed_at")
+    newest = history.latest(scorecards(spark, sf), ["feature_id"], "computed_at")
     ids = tables.table(spark, sf, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("n"))
     found = ids.join(newest.select(F.col("feature_id").alias("p_brand"), "n_obs"), "p_brand", "left")
     return found.select(F.concat_ws("@", "p_brand", F.col("p_size").cast("string")).alias("feature_id"), "n", "n_obs")
