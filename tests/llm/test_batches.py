@@ -116,3 +116,45 @@ def test_quality_parts():
     assert model["posterior_bad"][0] < 0.1 and model["posterior_bad"][1] > 0.9 and model["posterior_bad"][2] < 0.5
     weights = quality.fit_scorer([quality.look(t)[1].tolist() for t in (clean, junk)] * 5, np.array([0.0, 1.0] * 5))
     assert quality.score_of(quality.look(clean)[1], weights) < 0.5 < quality.score_of(quality.look(junk)[1], weights)
+
+
+def test_labeller_estimates_like_a_plain_repetition():
+    # EM over single documents, written out, against the estimate from pattern counts
+    rng = np.random.default_rng(3)
+    many = rng.integers(0, 3, (400, len(quality.LABELLERS)))
+    many[rng.random((400, len(quality.LABELLERS))) < 0.6] = quality.NONE
+    codes = [int("".join(map(str, row)), 3) for row in many.tolist()]
+    p = [0.9 if quality.BAD in row else 0.02 for row in many.tolist()]
+    for _ in range(100):
+        weight = [[1 - b for b in p], p]
+        prior = [(sum(w) + 1) / (len(p) + 2) for w in weight]
+        chance = []
+        for w in weight:
+            rows = []
+            for j in range(many.shape[1]):
+                seen = [1 + sum(x for x, row in zip(w, many.tolist()) if row[j] == v) for v in (quality.NONE, quality.BAD, quality.GOOD)]
+                rows.append([x / sum(seen) for x in seen])
+            chance.append(rows)
+        for j in range(many.shape[1]):
+            chance[1][j][1] = max(chance[1][j][1], chance[0][j][1])
+            chance[0][j][2] = max(chance[0][j][2], chance[1][j][2])
+        new = []
+        for row in many.tolist():
+            score = [np.log(prior[c]) for c in (0, 1)]
+            for j, v in enumerate(row):
+                for c in (0, 1):
+                    score[c] += np.log(chance[c][j][v == quality.GOOD and 2 or 1]) if v != quality.NONE else 0.0
+            new.append(1 / (1 + np.exp(min(50, max(-50, score[0] - score[1])))))
+        done = max(abs(a - b) for a, b in zip(new, p)) < 1e-9
+        p = new
+        if done:
+            break
+    kinds, which, counts = np.unique(codes, return_inverse=True, return_counts=True)
+    model = quality.fit_labellers(kinds, counts)
+    assert np.allclose(model["posterior_bad"][which], p, atol=1e-4)
+
+
+def test_without_a_bad_vote_nothing_is_bad():
+    kinds = np.array([0, quality.GOOD])
+    model = quality.fit_labellers(kinds, np.array([6, 3]))
+    assert (model["posterior_bad"] < 0.05).all()

@@ -504,3 +504,12 @@ def test_nothing_else_imports_the_package():
     root = pathlib.Path(corpus_pipeline.__file__).parent
     users = [p for p in (root / "veilgrain").rglob("*.py") if "llm" not in p.parts and "veilgrain.llm" in p.read_text()]
     assert users == [] and "veilgrain.llm" in sys.modules
+
+
+def test_quality_keeps_rows_with_odd_column_names(spark):
+    kinds = "doc_id long, text string, `a.b` int, pattern string, features int, `row` int, h int"
+    rows = [(i, "Plain words make a clean sentence of the usual kind, and nothing more.", 1, "p", 2, 3, i) for i in range(3)]
+    rows += [(10 + i, None, 1, "p", 2, 3, i) for i in range(6)]
+    docs = spark.createDataFrame(rows, kinds)
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and kept.count() == 9  # silent documents are not junk

@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from veilgrain.llm.words import CACHE_ENTRIES, slices
+from veilgrain.session import store
 
 GOOD, BAD, NONE = 2, 1, 0  # votes; a pattern is their number in base 3
 BITS = 12  # features are hashed into 2 ** BITS weights
@@ -173,12 +175,15 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -
     """EM for a class prior and P(vote | class) of each labeller, from pattern counts.
 
     Starts from any bad vote, smooths each estimate by one pseudo vote, and keeps a
-    labeller's better-than-chance reading: a bad vote never counts in favour of a document.
+    labeller's better-than-chance reading: a bad vote never counts in favour of a document. Without any bad vote nothing tells
+    the classes apart, and every document keeps the starting value.
     """
     v, counts = votes(patterns), counts.astype(float)
     bad = (v == BAD).sum(axis=1)
+    rounds = rounds if counts[bad > 0].sum() else 0
     p = np.where(bad > 0, 0.9, 0.02)  # P(bad)
     onehot = np.stack([v == k for k in (NONE, BAD, GOOD)], axis=2).astype(float)
+    prior, table = np.array([0.98, 0.02]), np.full((2, v.shape[1], 3), 1 / 3)
     for _ in range(rounds):
         w = np.stack([counts * (1 - p), counts * p])  # class (good, bad) x pattern
         prior = (w.sum(axis=1) + 1) / (counts.sum() + 2)
@@ -223,67 +228,69 @@ def score_of(features: np.ndarray, weights: np.ndarray) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def look_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All columns but the last, then pattern and features of the text in the last."""
     for batch in slices(batches):
-        found = [pattern(look(t, False)[0]) for t in batch.column(0).to_pylist()]
-        yield pa.record_batch([pa.array(found, pa.int32())], names=["pattern"])
+        seen = [look(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        more = [pa.array([pattern(s) for s, _ in seen], pa.int32()), pa.array([f for _, f in seen], pa.list_(pa.int32()))]
+        yield pa.record_batch([*batch.columns[:-1], *more], names=[*batch.schema.names[:-1], "pattern", "features"])
 
 
-def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        seen = [look(t) for t in batch.column(0).to_pylist()]
-        yield pa.record_batch(
-            [pa.array([pattern(s) for s, _ in seen], pa.int32()), pa.array([f for _, f in seen], pa.list_(pa.int32()))],
-            names=["pattern", "features"],
-        )
+def looked(docs: DataFrame, *keep: Column) -> DataFrame:
+    """Columns ``keep``, h (hash of id and text), pattern and features of every row of ``docs``; texts are read once."""
+    columns = [*keep, F.xxhash64("doc_id", "text").alias("h")]
+    narrow = docs.select(*columns, "text")
+    kinds = StructType(narrow.schema.fields[:-1]).add("pattern", IntegerType()).add("features", ArrayType(IntegerType()))
+    return narrow.mapInArrow(look_rows, kinds)
 
 
-def score_rows(
-    batches: Iterator[pa.RecordBatch], weights: np.ndarray, posterior: dict[int, float]
-) -> Iterator[pa.RecordBatch]:
-    """All columns, then pattern, posterior and score; the text is the last column that comes in."""
-    for batch in slices(batches):
-        seen = [look(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-        codes = [pattern(s) for s, _ in seen]
-        more = [
-            pa.array(codes, pa.int32()),
-            pa.array([1 - posterior[c] for c in codes], pa.float64()),
-            pa.array([1 - score_of(f, weights) for _, f in seen], pa.float64()),
-        ]
-        names = [*batch.schema.names[:-1], "pattern", "posterior", "score"]
-        yield pa.record_batch([*batch.columns[:-1], *more], names=names)
+def scorer(weights: np.ndarray) -> Callable[[str], Column]:
+    """P(good) of a column of features."""
+
+    @F.arrow_udf("double")
+    def good(features: pa.Array) -> pa.Array:
+        sizes = np.diff(features.offsets.to_numpy())
+        row = np.repeat(np.arange(len(features)), sizes)
+        total = np.bincount(row, weights=weights[features.flatten().to_numpy(zero_copy_only=False)], minlength=len(features))
+        z = total / np.sqrt(np.maximum(sizes, 1)) + weights[-1]
+        return pa.array(1 - 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+    return good
 
 
 def sample_rows(keyed: DataFrame, rows: int) -> pd.DataFrame:
-    """Votes and features of the ``rows`` texts with the smallest ``h``."""
+    """Votes and features of the ``rows`` rows with the smallest ``h``, looked at here if they have not been yet."""
     chosen = keyed.orderBy("h").limit(rows)
-    return chosen.select("text").mapInArrow(feature_rows, "pattern int, features array<int>").toPandas()
+    if "features" in keyed.columns:
+        return chosen.select("pattern", "features").toPandas()
+    return chosen.select("text").mapInArrow(look_rows, "pattern int, features array<int>").toPandas()
 
 
-def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, dict[int, float]]:
-    """Weights of the scorer and P(bad) by vote pattern.
+def fit_looked(seen: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, dict[int, float]]:
+    """Weights of the scorer and P(bad) by vote pattern, from a stored result of ``looked``.
 
     Pattern counts cover all documents. The sample for the scorer is the ``train_rows`` documents with the smallest hash of
     id and text, so copies of a text under many ids count as often as they occur and no more; both results that reach the
     driver have a fixed bound.
     """
-    counted = (
-        docs.select("text").mapInArrow(vote_rows, "pattern int").groupBy("pattern").agg(F.count("*").alias("n")).toPandas()
-    )  # at most 3 ** 9 rows
-    counted = counted.sort_values("pattern")
+    counted = seen.groupBy("pattern").agg(F.count("*").alias("n")).toPandas().sort_values("pattern")  # at most 3 ** 9 rows
     model = fit_labellers(counted["pattern"].to_numpy(), counted["n"].to_numpy())
     posterior = dict(zip(counted["pattern"].tolist(), model["posterior_bad"].tolist()))
-    keyed = docs.select("text", F.xxhash64("doc_id", "text").alias("h"))
     total = int(counted["n"].sum())
     least = -(1 << 63) + (1 << 64) * 2 * train_rows // max(total, 1)
-    narrow = keyed.where(F.col("h") < least) if total > 2 * train_rows else keyed  # few texts are sorted
+    narrow = seen.where(F.col("h") < least) if total > 2 * train_rows else seen  # few rows are sorted
     rows = sample_rows(narrow, train_rows)
-    if narrow is not keyed and len(rows) < train_rows:  # hashes far from even: many rows equal in id and text
-        rows = sample_rows(keyed, train_rows)
+    if narrow is not seen and len(rows) < train_rows:  # hashes far from even: many rows equal in id and text
+        rows = sample_rows(seen, train_rows)
     bad = np.array([posterior[p] for p in rows["pattern"]])
     return fit_scorer(list(rows["features"]), bad), posterior
 
 
+def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, dict[int, float]]:
+    """``fit_looked`` of every row of ``docs``."""
+    return fit_looked(store(looked(docs), "looked"), train_rows)
+
+
 def classified(
     docs: DataFrame,
     threshold: float = 0.5,
@@ -294,22 +301,22 @@ def classified(
 
     A document is kept when its score reaches the threshold. Null and empty texts get no votes and are judged by the
     class prior like any silent document, so they are kept unless most of the corpus is junk. Repeated rows get equal
-    results. With an empty table nothing is fitted and no row returned. Other columns are not read.
+    results. With an empty table nothing is fitted and no row returned. Other columns are not read. Votes and features are
+    stored once, some hundred bytes a document.
     """
-    weights, posterior = model or fit(docs, train_rows)
-    kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, pattern int, posterior double, score double"
-    out = docs.select("doc_id", "text").mapInArrow(lambda it: score_rows(it, weights, posterior), kinds)
-    return out.withColumn("keep", F.col("score") >= threshold)
+    seen = store(looked(docs, F.col("doc_id")), "looked")
+    weights, posterior = model or fit_looked(seen, train_rows)
+    table = [(int(p), float(1 - b)) for p, b in posterior.items()]
+    by_pattern = F.broadcast(docs.sparkSession.createDataFrame(table, "pattern int, posterior double"))  # 3 ** 9 rows
+    scored = seen.join(by_pattern, "pattern", "left").withColumn("score", scorer(weights)("features"))
+    return scored.select("doc_id", "pattern", "posterior", "score", (F.col("score") >= threshold).alias("keep"))
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold, with the same columns."""
-    weights, _ = fit(docs, train_rows)
-    at = docs.columns.index("text")
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            good = [1 - score_of(look(t)[1], weights) >= threshold for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(good, pa.bool_()))
+    """The rows of ``docs`` whose score reaches the threshold, with the same columns, whatever their names.
 
-    return docs.mapInArrow(judged, docs.schema)
+    The rows are stored beside their features, so that a text is looked at once.
+    """
+    seen = store(looked(docs, F.struct("*").alias("row")), "looked")
+    weights, _ = fit_looked(seen, train_rows)
+    return seen.where(scorer(weights)("features") >= threshold).select("row.*")
