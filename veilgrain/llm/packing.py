@@ -215,36 +215,43 @@ def plan(counts: dict[int, int], limit: int, groups: int = GROUPS) -> list[tuple
 # --- pieces and their places -----------------------------------------------------------------------------------------
 
 
-def piece_rows(batches: Iterator[pa.RecordBatch], path: str, limit: int, end_id: int) -> Iterator[pa.RecordBatch]:
+def piece_rows(
+    batches: Iterator[pa.RecordBatch], path: str, limit: int, end_id: int, keep_ids: bool
+) -> Iterator[pa.RecordBatch]:
     """Pieces of every document with their rank among the pieces of that length in this task."""
     encode = tokens.encoder(path).encode
     task = TaskContext.get().partitionId()
-    met = [0] * (limit + 1)
+    met = np.zeros(limit + 1, np.int64)
     end = np.array([end_id], np.uint32)
     for batch in slices(batches):
-        row, piece, start, length, body, crc, rank = [], [], [], [], [], [], []
-        for i, ids in enumerate(encode(batch.column(1).to_pylist())):
-            ids = np.concatenate([ids, end]).astype("<u4")
-            first = (len(ids) - 1) % limit + 1
-            for k, at in enumerate([0, *range(first, len(ids), limit)]):
-                part = ids[at : first if not at else at + limit]
-                data = part.tobytes()
-                row.append(i), piece.append(k), start.append(at), length.append(len(part)), body.append(data)
-                crc.append(zlib.crc32(data)), rank.append(met[len(part)])
-                met[len(part)] += 1
-        yield pa.record_batch(
-            [
-                batch.column(0).take(pa.array(row, pa.int64())),
-                pa.array(piece, pa.int32()),
-                pa.array(start, pa.int64()),
-                pa.array(length, pa.int64()),
-                pa.array(body, pa.binary()),
-                pa.array(crc, pa.int64()),
-                pa.array([task] * len(row), pa.int32()),
-                pa.array(rank, pa.int64()),
-            ],
-            names=["doc_id", "piece", "start", "length", "ids", "ids_crc32", "task", "rank"],
-        )
+        found = encode(batch.column(1).to_pylist())
+        flat = np.concatenate([x for ids in found for x in (ids, end)]).astype("<u4")
+        size = np.array([len(ids) + 1 for ids in found], np.int64)
+        number = -(-size // limit)  # pieces of each document
+        row = np.repeat(np.arange(len(size)), number)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
+        first = (size - 1) % limit + 1
+        start = np.where(piece == 0, 0, first[row] + (piece - 1) * limit)
+        length = np.where(piece == 0, first[row], limit)
+        at = (np.repeat(np.cumsum(size) - size, number) + start) * 4
+        data = memoryview(flat.tobytes())
+        bodies = [data[x:y] for x, y in zip(at.tolist(), (at + 4 * length).tolist())]
+        order = np.argsort(length, kind="stable")
+        run = np.concatenate([[0], np.flatnonzero(np.diff(length[order])) + 1]) if len(row) else np.zeros(0, np.int64)
+        rank = np.zeros(len(row), np.int64)
+        rank[order] = np.arange(len(row)) - np.repeat(run, np.diff(run, append=len(row))) + met[length[order]]
+        met += np.bincount(length, minlength=limit + 1)
+        columns = {
+            "doc_id": batch.column(0).take(pa.array(row)),
+            "piece": pa.array(piece.astype(np.int32)),
+            "start": pa.array(start),
+            "length": pa.array(length),
+            "ids": pa.array(bodies, pa.binary()) if keep_ids else None,
+            "ids_crc32": pa.array(list(map(zlib.crc32, bodies)), pa.int64()),
+            "task": pa.array(np.full(len(row), task, np.int32)),
+            "rank": pa.array(rank),
+        }
+        yield pa.record_batch({k: v for k, v in columns.items() if v is not None})
 
 
 def places(runs: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -262,10 +269,13 @@ def places(runs: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
     return out
 
 
-def pack(docs: DataFrame, path: str, limit: int = 1024, end_id: int = 2, groups: int = GROUPS) -> DataFrame:
+def pack(
+    docs: DataFrame, path: str, limit: int = 1024, end_id: int = 2, groups: int = GROUPS, keep_ids: bool = True
+) -> DataFrame:
     """One row per piece of every row of ``docs``: doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset.
 
-    ``ids`` holds little-endian unsigned 32-bit ids of the tokenizer file ``path``, with ``end_id`` after each document.
+    ``ids`` holds little-endian unsigned 32-bit ids of the tokenizer file ``path``, with ``end_id`` after each document; without
+    ``keep_ids`` the column is left out and never stored.
     Documents of more than ``limit`` ids are cut into pieces of ``limit``; the first may be shorter. Sequences are
     filled without gaps from offset 0 and hold at most ``limit`` ids. A full piece is a sequence of its own, with a
     negative number. A null or empty text is the end id alone. Repeated rows are packed once each; rows with a null
@@ -273,10 +283,10 @@ def pack(docs: DataFrame, path: str, limit: int = 1024, end_id: int = 2, groups:
     """
     spark = docs.sparkSession
     kinds = (
-        f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids binary, ids_crc32 long, "
-        "task int, rank long"
+        f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, {'ids binary, ' if keep_ids else ''}"
+        "ids_crc32 long, task int, rank long"
     )
-    pieces = docs.select("doc_id", "text").mapInArrow(lambda it: piece_rows(it, path, limit, end_id), kinds)
+    pieces = docs.select("doc_id", "text").mapInArrow(lambda it: piece_rows(it, path, limit, end_id, keep_ids), kinds)
     pieces = store(pieces, "pieces")
     short = pieces.where(F.col("length") < limit)
     tally = store(short.groupBy("length", "task").agg(F.count("*").alias("n")), "tally")
@@ -288,7 +298,7 @@ def pack(docs: DataFrame, path: str, limit: int = 1024, end_id: int = 2, groups:
     spots = F.broadcast(spark.createDataFrame(table, schema))  # its size depends on limit and groups, not on the corpus
     place = F.col("before") + F.col("rank")
     nth = place - F.col("begin")
-    out = ["doc_id", "piece", "start", "length", "ids", "ids_crc32"]
+    out = ["doc_id", "piece", "start", "length", *["ids"] * keep_ids, "ids_crc32"]
     found = (F.col("length") == F.col("len")) & (place >= F.col("begin")) & (place < F.col("end"))
     packed = (
         short.join(before, ["length", "task"])

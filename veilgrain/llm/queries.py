@@ -16,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilgrain.llm import packing, tokens
 
-    packed = packing.pack(table(spark, sf_dir, "documents"), tokens.default_path(), limit=1024, end_id=2)
+    docs = table(spark, sf_dir, "documents")
+    packed = packing.pack(docs, tokens.default_path(), limit=1024, end_id=2, keep_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -14,6 +14,8 @@ import numpy as np
 
 CACHE_IDS = 1 << 21  # ids kept per worker
 CACHE_CHUNKS = 1 << 19
+CHUNKS_TOGETHER = 200  # new chunks that the library encodes as one text
+SPACE = "Ġ"  # fixed value: how byte-level vocabularies write a space
 ODD = "᠎​⁠﻿"  # white space for some libraries or versions only
 
 
@@ -56,6 +58,10 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.cuts = bool(byte_level) and spec.get("normalizer") is None and spec.get("post_processor") is None
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids whose text begins with a space
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
+        self.joins = self.cuts and not any(" " in t for t in self.special)
         self._hold(Chunks(), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32))
 
     def _hold(self, at: Chunks, start: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
@@ -128,17 +134,48 @@ class Encoder:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self) -> None:
+        """Take in the ids of the new chunks.
+
+        Most are encoded side by side in longer texts, which spares the library an object for each: a chunk without white
+        space at its end begins with the only space of its own, so its ids begin with the only one that holds a space.
+        """
         new, self.at.new = self.at.new, []
-        found = self._library([c[1:] if c.startswith(self.FIRST) else " " + c for c in new])
-        size = np.array([len(x) for x in found], np.int32)
-        self.start = np.concatenate([self.start, len(self.ids) + (np.cumsum(size) - size).astype(np.int32)])
-        self.size = np.concatenate([self.size, size])
+        odd = [self._odd(c) for c in new]
+        alone = [o or c.startswith(self.FIRST) or any(s in c for s in self.special) for c, o in zip(new, odd)]
+        together = [i for i, a in enumerate(alone) if not a] if self.joins else []
+        apart = [i for i, a in enumerate(alone) if a] if self.joins else list(range(len(new)))
+        found: list[np.ndarray] = []
+        size = np.zeros(len(new), np.int64)
+        order: list[int] = []
+        for at in range(0, len(together), CHUNKS_TOGETHER):
+            part = together[at : at + CHUNKS_TOGETHER]
+            ids = self._library([" " + " ".join([new[i] for i in part])])[0]
+            first = np.flatnonzero(self.spaced[ids])
+            if len(first) != len(part):
+                apart += part
+                continue
+            found.append(ids)
+            size[part] = np.diff(first, append=len(ids))
+            order += part
+        for i, ids in zip(apart, self._library([new[i][1:] if new[i].startswith(self.FIRST) else " " + new[i] for i in apart])):
+            found.append(ids)
+            size[i] = len(ids)
+            order.append(i)
+        start = np.zeros(len(new), np.int64)
+        start[order] = len(self.ids) + np.cumsum(size[order]) - size[order]
+        self.start = np.concatenate([self.start, start.astype(np.int32)])
+        self.size = np.concatenate([self.size, size.astype(np.int32)])
         self.ids = np.concatenate([self.ids, *found]).astype(np.uint32)
         self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int32)])
-        self.odd = np.concatenate([self.odd, np.array([self._odd(c) for c in new], bool)])
+        self.odd = np.concatenate([self.odd, np.array(odd, bool)])
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file."""
     return Encoder(path)
+
+
+def largest_id(path: str) -> int:
+    """The largest id that a tokenizer file can give."""
+    return len(encoder(path).spaced) - 1
