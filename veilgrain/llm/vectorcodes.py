@@ -28,6 +28,8 @@ PARTS = 4
 ENTRIES = 256
 ROUNDS = 4
 ROWS_AT_ONCE = 2048
+BLOCK_ROWS = 128  # rows whose sums are kept for all entries at once
+FEW = 16  # one pair in so many left: only these are carried on
 LARGEST = (1 << 63) - 1
 
 
@@ -75,24 +77,46 @@ def nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, list[int] |
     if not fits(largest, size):
         return _nearest_wide(x, entries)
     tx, te = walsh(x), walsh(entries)
-    first = max(1, size // 4)
-    total = np.zeros((len(x), len(entries)), np.int64)
-    for j in range(first):
-        total += (tx[:, j, None] - te[None, :, j]) ** 2
-    guess = total.argmin(axis=1)
-    limit = ((tx - te[guess]) ** 2).sum(axis=1)  # the whole distance of one candidate
-    row, entry = np.nonzero(total <= limit[:, None])
+    found = [_nearest_block(tx[at : at + BLOCK_ROWS], te) for at in range(0, len(x), BLOCK_ROWS)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([which for which, _ in found]), np.concatenate([far for _, far in found]) // size
+
+
+def _nearest_block(tx: np.ndarray, te: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest entry and scaled distance of transformed rows.
+
+    Sums are kept for all pairs of rows and entries until few are left, from then on for these alone.
+    """
+    size = tx.shape[1]
+    stops = sorted({max(1, size * q // 8) for q in range(1, 9)})
+    columns = np.ascontiguousarray(tx.T), np.ascontiguousarray(te.T)
+    total = np.zeros((len(tx), len(te)), np.int64)
+    apart = np.empty_like(total)
+    limit = np.full(len(tx), LARGEST)
+    done = 0
+    for stop in stops:
+        for j in range(done, stop):
+            np.subtract(columns[0][j][:, None], columns[1][j][None, :], out=apart)
+            np.multiply(apart, apart, out=apart)
+            total += apart
+        done = stop
+        guess = total.argmin(axis=1)  # a candidate; its whole distance bounds that of the nearest
+        limit = np.minimum(limit, ((tx - te[guess]) ** 2).sum(axis=1))
+        left = total <= limit[:, None]
+        if np.count_nonzero(left) * FEW <= left.size:
+            break
+    row, entry = np.nonzero(left)
     part = total[row, entry]
-    step = first
-    while step < size:
-        upto = min(size, 2 * step)
-        part = part + ((tx[row, step:upto] - te[entry, step:upto]) ** 2).sum(axis=1)
-        alive = part <= limit[row]
-        row, entry, part, step = row[alive], entry[alive], part[alive], upto
+    for stop in stops:
+        if stop > done:
+            part = part + ((tx[row, done:stop] - te[entry, done:stop]) ** 2).sum(axis=1)
+            alive = part <= limit[row]
+            row, entry, part, done = row[alive], entry[alive], part[alive], stop
     order = np.lexsort((entry, part, row))
     row, entry, part = row[order], entry[order], part[order]
     lead = np.flatnonzero(np.diff(row, prepend=-1))
-    return entry[lead], part[lead] // size
+    return entry[lead], part[lead]
 
 
 def _nearest_wide(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -155,13 +179,8 @@ def sum_rows(batches: Iterator[pa.RecordBatch], books: Codebooks) -> Iterator[pa
             np.add.at(high[p], which, x[:, p] >> 32)
             np.add.at(low[p], which, x[:, p] & 0xFFFFFFFF)
     part, entry = np.nonzero(n)
-    columns = [
-        pa.array(part.astype(np.int32)),
-        pa.array(entry.astype(np.int32)),
-        pa.array(n[part, entry]),
-        pa.array(list(high[part, entry]), pa.list_(pa.int64())),
-        pa.array(list(low[part, entry]), pa.list_(pa.int64())),
-    ]
+    sums = [pa.array(list(s), pa.list_(pa.int64())) for s in (high[part, entry], low[part, entry])]
+    columns = [pa.array(part.astype(np.int32)), pa.array(entry.astype(np.int32)), pa.array(n[part, entry]), *sums]
     yield pa.record_batch(columns, names=["part", "entry", "n", "high", "low"])
 
 
@@ -170,13 +189,13 @@ def moved(vectors: DataFrame, books: Codebooks) -> Codebooks:
     sums = vectors.select("v").mapInArrow(
         lambda it: sum_rows(it, books), "part int, entry int, n long, high array<long>, low array<long>"
     )
-    counts = sums.groupBy("part", "entry").agg(F.sum("n").alias("n")).collect()  # at most parts x ENTRIES rows
-    cells = sums.select("part", "entry", F.posexplode(F.arrays_zip("high", "low")).alias("place", "s"))
-    total = cells.groupBy("part", "entry", "place").agg(F.sum("s.high").alias("high"), F.sum("s.low").alias("low"))
-    n = {(r["part"], r["entry"]): r["n"] for r in counts}
+    cells = sums.select("part", "entry", "n", F.posexplode(F.arrays_zip("high", "low")).alias("place", "s"))
+    total = cells.groupBy("part", "entry", "place").agg(
+        F.sum("n").alias("n"), F.sum("s.high").alias("high"), F.sum("s.low").alias("low")
+    )
     entries = books.entries.copy()
-    for r in total.collect():  # ENTRIES x dimension rows
-        entries[r["part"], r["entry"], r["place"]] = ((r["high"] << 32) + r["low"]) // n[r["part"], r["entry"]]
+    for r in total.collect():  # at most entries x dimension rows
+        entries[r["part"], r["entry"], r["place"]] = ((r["high"] << 32) + r["low"]) // r["n"]
     return Codebooks(entries)
 
 
