@@ -92,13 +92,30 @@ def hadamard_report(index: Column, domain: int, epsilon: float, *key) -> tuple[C
 
 
 def hadamard_estimate(df: DataFrame, keys: Sequence[str], row: str, bit: str, domain: int, epsilon: float) -> DataFrame:
-    """Sums per row first (at most 2 x domain rows per cell), then one estimate per domain value."""
+    """(keys, v, n, estimate, variance) of every domain value, from sums per row (at most 2 x domain rows per cell).
+
+    The sign of row and value is the product of the signs of the two halves of their bits, so the transform is two grouped passes:
+    over the lower half, then over the upper half of the row's bits. Each repeats a row as often as the root of the domain, not as
+    often as the domain. The variance is that of a value nobody holds.
+    """
     p = keep_probability(epsilon)
-    per_row = df.groupBy(*keys, row).agg(F.sum(bit).alias("_s"), F.count("*").alias("_n"))
-    v = F.explode(F.sequence(F.lit(0), F.lit(domain - 1)))
-    spread = per_row.withColumn("v", v)
-    return spread.groupBy(*keys, "v").agg(
-        F.sum("_n").alias("n"), (F.sum(F.col("_s") * _sign(F.col(row), F.col("v"))) / (2 * p - 1)).alias("estimate")
+    order = hadamard_order(domain)
+    low = (order.bit_length() - 1) // 2
+    mask = (1 << low) - 1
+    per_row = df.groupBy(*keys, F.col(row).cast("int").alias("_row")).agg(F.sum(bit).alias("_s"), F.count("*").alias("_n"))
+
+    def spread(rows: DataFrame, kept: Sequence[str], half: Column, last: int, name: str) -> DataFrame:
+        wide = rows.withColumn("_half", half).withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(last))))
+        signed = F.col("_s") * _sign(F.col("_half"), F.col(name))
+        return wide.groupBy(*kept, name).agg(F.sum(signed).alias("_s"), F.sum("_n").alias("_n"))
+
+    halves = per_row.withColumn("_high", F.shiftright("_row", low))
+    first = spread(halves, [*keys, "_high"], F.col("_row").bitwiseAND(F.lit(mask)), mask, "_vlow")
+    second = spread(first, [*keys, "_vlow"], F.col("_high"), (domain - 1) >> low, "_vhigh")
+    v = (F.col("_vhigh") * (1 << low) + F.col("_vlow")).cast("int")
+    return second.withColumn("v", v).filter(F.col("v") < domain).select(
+        *keys, "v", F.col("_n").alias("n"), (F.col("_s") / (2 * p - 1)).alias("estimate"),
+        (F.col("_n") / (2 * p - 1) ** 2).alias("variance"),
     )
 
 
@@ -126,7 +143,11 @@ def sketch_sums(df: DataFrame, keys: Sequence[str], value: Column, depth: int, w
 
 def sketch_estimate(sums: DataFrame, keys: Sequence[str], domain: DataFrame, value: str, depth: int, width: int,
                     epsilon: float) -> DataFrame:
-    """Estimated count of every value of ``domain`` per cell."""
+    """Estimated count of every value of ``domain`` per cell, with the variance that the randomized bits add.
+
+    ``domain`` is public: a column of the reports themselves must not be passed in a release. Values are placed once per sketch
+    row; their few rows meet the sketch, never the reports.
+    """
     p = keep_probability(epsilon / 2)
     debiased = sums.withColumn("c", (F.col("y") - F.col("nj") * (1 - p)) / (2 * p - 1))
     rows = F.explode(F.sequence(F.lit(0), F.lit(depth - 1)))
@@ -136,8 +157,10 @@ def sketch_estimate(sums: DataFrame, keys: Sequence[str], domain: DataFrame, val
     )
     # a value meets every sketch row once, so the reports of its rows add up to those of the cell
     hits = debiased.join(probes, ["row", "col"]).groupBy(*keys, value).agg(F.sum("c").alias("t"), F.sum("nj").alias("n"))
+    scale = width / (width - 1.0)
     return hits.select(
-        *keys, value, "n", ((F.col("t") - F.col("n") / width) * (width / (width - 1.0))).alias("estimate")
+        *keys, value, "n", ((F.col("t") - F.col("n") / width) * scale).alias("estimate"),
+        (F.col("n") * (p * (1 - p) / (2 * p - 1) ** 2 * scale**2)).alias("variance"),
     )
 
 

@@ -16,7 +16,10 @@ from veilgrain.operators.bounding import balanced_sample
 
 def logistic_probe(spark: SparkSession, df: DataFrame, inputs: Sequence[str], label: str, id_col: str,
                    feature_id: str, attr: str, per_class: int, max_iter: int = 20) -> DataFrame:
-    """Train on 70% of a balanced keyed sample of at most ``per_class`` rows per class; exact AUC of all other rows."""
+    """Train on 70% of a balanced keyed sample of at most ``per_class`` rows per class; exact AUC of all other rows.
+
+    One row: feature_id, attr, auc, n_train, n_held_out.
+    """
     seed = f"{feature_id}|{attr}"
     rows = df.select(id_col, label, *inputs)
     sample = balanced_sample(rows, label, id_col, per_class, seed)
@@ -27,6 +30,10 @@ def logistic_probe(spark: SparkSession, df: DataFrame, inputs: Sequence[str], la
         model = LogisticRegression(labelCol=label, featuresCol="features", maxIter=max_iter).fit(vectors.filter("_train"))
         exact = BinaryClassificationEvaluator(labelCol=label, numBins=0)
         auc = exact.evaluate(model.transform(vectors.filter("NOT _train")))
+        n_train, n_held_out = vectors.agg(F.count_if("_train"), F.count_if(~F.col("_train"))).first()
     finally:
         vectors.unpersist()
-    return spark.range(1).select(F.lit(feature_id).alias("feature_id"), F.lit(attr).alias("attr"), F.lit(auc).alias("auc"))
+    return spark.range(1).select(
+        F.lit(feature_id).alias("feature_id"), F.lit(attr).alias("attr"), F.lit(auc).alias("auc"),
+        F.lit(n_train).cast("bigint").alias("n_train"), F.lit(n_held_out).cast("bigint").alias("n_held_out"),
+    )

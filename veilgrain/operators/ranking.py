@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from veilgrain.session import store
 
-ROWS_OF_BLOCK = (1 << 33) - 1  # monotonically_increasing_id keeps the row of a partition in its low 33 bits
+BLOCK_SHIFT = 33  # monotonically_increasing_id keeps the row of a partition in its low 33 bits
+ROWS_OF_BLOCK = (1 << BLOCK_SHIFT) - 1
 
 
 def with_global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
@@ -27,7 +28,7 @@ def with_global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank",
     placed = store(
         ranged.select(
             F.struct("*").alias("row"),
-            F.shiftright(place, 33).alias("block"),
+            F.shiftright(place, BLOCK_SHIFT).alias("block"),
             (place.bitwiseAND(F.lit(ROWS_OF_BLOCK)) + 1).alias("place"),
         ),
         "ranks",

@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilgrain.operators.prefix import running_totals
+from veilgrain.operators.prefix import range_totals
 from veilgrain.operators.transforms import roll_up
-from veilgrain.session import store
 
 
 def ladder_cells(df: DataFrame, keys: Sequence[str], item: Column, cluster: Column, outcome: Column | None = None) -> DataFrame:
@@ -169,7 +168,7 @@ def binary_auc(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     ``value`` is a bigint; ``pos`` and ``neg`` count the rows of each label.
     """
     hist = df.groupBy(*keys, value).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    ranked = running_totals(store(hist, "auc-histogram"), keys, value, ["neg"])
+    ranked = range_totals(hist, keys, value, ["neg"])
     wins = F.col("pos").cast("double") * (F.col("before_neg") + 0.5 * F.col("neg"))
     p, n = F.sum("pos").cast("double"), F.sum("neg").cast("double")
     return ranked.groupBy(*keys).agg(
@@ -179,6 +178,27 @@ def binary_auc(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
+def label_auc(df: DataFrame, label: str, value: str) -> DataFrame:
+    """(label, n_pos, n_neg, auc): how well ``value`` tells the rows of each label from all others, ties counting half.
+
+    Ranks depend on the rows of all labels together, so one histogram row per value with its counts by label is ranked once,
+    however many labels there are. A row without a label or value is left out.
+    """
+    known = df.filter(F.col(label).isNotNull() & F.col(value).isNotNull())
+    counts = known.groupBy(value, label).agg(F.count("*").alias("n"))
+    hist = counts.groupBy(value).agg(F.sum("n").alias("total"), F.collect_list(F.struct(F.col(label).alias("label"), "n")).alias("_by"))
+    ranked = range_totals(hist, [], value, ["total"])
+    twice = 2 * F.col("before_total") + F.col("total") + 1  # twice the middle rank, a whole number
+    rows = ranked.select(F.inline("_by"), twice.alias("_rank"))
+    sums = rows.groupBy(F.col("label").alias(label)).agg(
+        F.sum("n").alias("n_pos"), F.sum((F.col("n") * F.col("_rank")).cast("decimal(38,0)")).alias("_ranks")
+    )
+    every = sums.agg(F.sum("n_pos")).scalar()
+    p, n = F.col("n_pos"), every - F.col("n_pos")
+    wins = F.col("_ranks").cast("double") / 2 - p.cast("double") * (p + 1) / 2
+    return sums.select(label, "n_pos", n.alias("n_neg"), F.when(n > 0, wins / (p.cast("double") * n)).alias("auc"))
+
+
 def value_persistence(df: DataFrame, unit: str, value: str, day: str, order: Sequence[str]) -> DataFrame:
     """Per day, the share of units active on both this and the previous day whose last value is the same.
 

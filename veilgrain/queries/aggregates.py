@@ -197,26 +197,20 @@ def probe_auc(spark, sf):
 
 def order_value_auc(spark, sf):
     """AUC of the order total (in cents) for membership in each market segment."""
-    customer = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    segments = customer.select(F.col("c_mktsegment").alias("attr")).distinct()
-    rows = (
-        tables.table(spark, sf, "orders")
-        .select("o_custkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("v"))
-        .join(customer, "o_custkey")
-        .groupBy("v", "c_mktsegment")
-        .agg(F.count("*").alias("n"))
-    )
-    per_attr = rows.crossJoin(segments)
-    hit = F.col("c_mktsegment") == F.col("attr")
-    labelled = per_attr.select(
-        "attr", "v", F.when(hit, F.col("n")).otherwise(0).alias("pos"), F.when(~hit, F.col("n")).otherwise(0).alias("neg")
-    )
-    return stats.binary_auc(labelled, ["attr"], "v")
+    customer = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("attr"))
+    orders = tables.table(spark, sf, "orders").select("o_custkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("v"))
+    return stats.label_auc(orders.join(customer, "o_custkey"), "attr", "v")
 
 
-@query("probe_logreg")
+@query(
+    "probe_logreg",
+    """SELECT 'order_total' AS feature_id, 'segment' AS attr, count(*) AS n_rows, true AS as_good_as_chance FROM orders JOIN customer ON o_custkey = c_custkey""",
+)
 def probe_logreg(spark, sf):
-    """AUC of a logistic probe that predicts the BUILDING segment from order total and priority."""
+    """A logistic probe that predicts the BUILDING segment from order total and priority, which do not tell it.
+
+    Every order is either fitted on or held out; the AUC of those held out lies within a band of 0.1 around chance.
+    """
     customer = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     data = tables.table(spark, sf, "orders").join(customer, "o_custkey").select(
         "o_orderkey",
@@ -224,7 +218,11 @@ def probe_logreg(spark, sf):
         F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"),
         (F.col("c_mktsegment") == "BUILDING").cast("double").alias("label"),
     )
-    return probes.logistic_probe(spark, data, ["total", "priority"], "label", "o_orderkey", "order_total", "segment", 2000)
+    probe = probes.logistic_probe(spark, data, ["total", "priority"], "label", "o_orderkey", "order_total", "segment", 2000)
+    return probe.select(
+        "feature_id", "attr", (F.col("n_train") + F.col("n_held_out")).alias("n_rows"),
+        F.col("auc").between(0.4, 0.6).alias("as_good_as_chance"),
+    )
 
 
 @query(

@@ -90,11 +90,11 @@ def hr_k(spark, sf):
 @query(
     "hr_k_estimate",
     f"""WITH {HR}, s AS (SELECT window_id, rw, sum(bit) AS s, count(*) AS n FROM hr GROUP BY ALL)
-SELECT window_id, CAST(v AS INT) AS v, sum(n)::BIGINT AS n, {R(f'sum(s * (1 - 2 * (bit_count(rw & v) % 2))) / {2 * P - 1!r}')} AS estimate FROM s, range(0, 100) t(v) GROUP BY ALL""",
+SELECT window_id, CAST(v AS INT) AS v, sum(n)::BIGINT AS n, {R(f'sum(s * (1 - 2 * (bit_count(rw & v) % 2))) / {2 * P - 1!r}')} AS estimate, {R(f'sum(n) / {(2 * P - 1) ** 2!r}')} AS variance FROM s, range(0, 100) t(v) GROUP BY ALL""",
 )
 def hr_k_estimate(spark, sf):
     est = ld.hadamard_estimate(hadamard_reports(spark, sf), ["window_id"], "row", "bit", 100, EPS)
-    return est.withColumn("estimate", r(F.col("estimate")))
+    return est.withColumn("estimate", r(F.col("estimate"))).withColumn("variance", r(F.col("variance")))
 
 
 D, WID = 4, 16
@@ -122,14 +122,14 @@ def sketch_wxd(spark, sf):
 
 @query(
     "sketch_wxd_estimate",
-    f"""WITH {SK}, dom AS (SELECT DISTINCT k FROM ev), c AS (SELECT *, (y - nj * {1 - PS!r}) / {2 * PS - 1!r} AS c FROM ks),
+    f"""WITH {SK}, dom AS (SELECT unnest(range(100)) AS k), c AS (SELECT *, (y - nj * {1 - PS!r}) / {2 * PS - 1!r} AS c FROM ks),
  t AS (SELECT window_id, k, sum(c) AS t FROM dom, c WHERE {_col('rw', 'k')} = w GROUP BY ALL), nn AS (SELECT window_id, sum(nj)::BIGINT AS n FROM ks WHERE w = 0 GROUP BY 1)
-SELECT window_id, k, n, {R(f'(t - n / {WID}) * {WID / (WID - 1.0)!r}')} AS estimate FROM t JOIN nn USING (window_id)""",
+SELECT window_id, k, n, {R(f'(t - n / {WID}) * {WID / (WID - 1.0)!r}')} AS estimate, {R(f'n * {PS * (1 - PS) / (2 * PS - 1) ** 2 * (WID / (WID - 1.0)) ** 2!r}')} AS variance FROM t JOIN nn USING (window_id)""",
 )
 def sketch_wxd_estimate(spark, sf):
-    domain = cm.weekly_events(spark, sf).select("k")
+    domain = spark.range(100).select(F.col("id").alias("k"))  # public: the reports' own values would give them away
     est = ld.sketch_estimate(sketch_sums(spark, sf), ["window_id"], domain, "k", D, WID, EPS)
-    return est.withColumn("estimate", r(F.col("estimate")))
+    return est.withColumn("estimate", r(F.col("estimate"))).withColumn("variance", r(F.col("variance")))
 
 
 @query(
