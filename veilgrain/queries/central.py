@@ -270,9 +270,9 @@ def released(spark, sf):
     return central.release(bounded(spark, sf), C, 1706745600000)
 
 
-def published(df):
+def published(df, dims=()):
     return df.select(
-        "window_id", "level", "cell", r(F.col("dp_event_count")).alias("dp_event_count"),
+        "window_id", "level", "cell", *dims, r(F.col("dp_event_count")).alias("dp_event_count"),
         r(F.col("dp_value_sum"), 4).alias("dp_value_sum"), "contract_id", "contract_version", "feature_id",
         "mechanism_type", "epsilon", "delta", "sensitivity_l1", "release_ts_ms",
     )

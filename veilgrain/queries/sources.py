@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilgrain.operators import gates, history
+from veilgrain.operators import gates, history, staging
 from veilgrain.operators import ledger as lg
 from veilgrain.plans import risk
 from veilgrain.queries import central as qc
@@ -96,21 +96,31 @@ def _staging_table(spark, sf):
     staged = staged_events(spark, sf).select(
         F.lit("c_events").alias("contract_id"), F.lit("v1").alias("contract_version"),
         F.lit("events_weekly").alias("feature_id"), "window_id", "level", "lvl", "cell", "event_count", "value_sum",
-        "value_sumsq", "contributors_count",
+        "value_sumsq", "contributors_count", F.lit(STAGING_TS).cast("bigint").alias("staging_ts_ms"),
     )
+    staged = staging.with_dimensions(staged, DIMS)
     path = sinks.write_partitioned(staged, run_folder(spark, "staging"), ["window_id"])
     return path, sinks.read_partitioned(staged, path)
 
 
-@query("sink_staging", f"WITH {STAGED} SELECT window_id, level, cell, event_count, {R('value_sum', 2)} AS value_sum, contributors_count FROM staged")
+DIMS, STAGING_TS = ("event_bucket", "k_bucket"), 1706745000000
+DIM_SQL = "CASE WHEN cell = 'all' THEN 'UNKNOWN' ELSE split_part(cell, '|', 1) END AS event_bucket, CASE WHEN cell = 'all' THEN 'UNKNOWN' ELSE split_part(cell, '|', 2) END AS k_bucket"
+
+
+@query(
+    "sink_staging",
+    f"WITH {STAGED} SELECT window_id, level, {DIM_SQL}, event_count, {R('value_sum', 2)} AS value_sum, contributors_count, {STAGING_TS} AS staging_ts_ms FROM staged",
+)
 def sink_staging(spark, sf):
-    """Written twice, as a retried job would; the partitions are replaced, not duplicated."""
+    """Written twice, as a retried job would; the partitions are replaced, not duplicated. The table passes the release's checks."""
     path, table = _staging_table(spark, sf)
     ensure_checkpoint_dir(spark)
     last_week = table.filter("window_id = '2024-01-29'").checkpoint()
     sinks.write_partitioned(last_week, path, ["window_id"])
-    return sinks.read_partitioned(table, path).select(
-        "window_id", "level", "cell", "event_count", r(F.col("value_sum"), 2).alias("value_sum"), "contributors_count"
+    active = spark.createDataFrame([("c_events", "v1")], "contract_id string, contract_version string")
+    checked = staging.validate_staging(sinks.read_partitioned(table, path), active, DIMS, sinks.FORBIDDEN)
+    return checked.select(
+        "window_id", "level", *DIMS, "event_count", r(F.col("value_sum"), 2).alias("value_sum"), "contributors_count", "staging_ts_ms"
     )
 
 
@@ -125,11 +135,13 @@ def read_staged(spark, sf):
     return rows.select("cell", "event_count", r(F.col("value_sum"), 2).alias("value_sum"))
 
 
-@query("sink_release", f"WITH {qc.BOUNDED} {qc.RELEASE}")
+@query("sink_release", f"WITH {qc.BOUNDED}, rel AS ({qc.RELEASE}) SELECT * EXCLUDE (cell), {DIM_SQL} FROM rel")
 def sink_release(spark, sf):
-    released = qc.released(spark, sf)
+    """The released table with its bucketed dimensions as columns, written by window and read back."""
+    released = staging.with_dimensions(qc.released(spark, sf), DIMS)
     path = sinks.write_partitioned(released, run_folder(spark, "release"), ["window_id"])
-    return qc.published(sinks.read_partitioned(released, path))
+    back = sinks.read_partitioned(released, path)
+    return qc.published(back, DIMS).drop("cell")
 
 
 @query(
