@@ -513,3 +513,17 @@ def test_quality_keeps_rows_with_odd_column_names(spark):
     docs = spark.createDataFrame(rows, kinds)
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns and kept.count() == 9  # silent documents are not junk
+
+
+def test_top_k_keeps_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(i), [float(x) for x in rng.normal(0, 1, 4)]) for i in rng.integers(0, 130, 200)]
+    rows += [(50, rows[0][1]), (50, rows[0][1]), (1, rows[0][1]), (1, rows[0][1]), (1, rows[1][1]), (None, rows[0][1])]
+    got = collections.Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    kept = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None]
+    want = collections.Counter()
+    for n, (i, q) in enumerate(kept):
+        if i % 50 == 0:
+            near = sorted((-sum(a * b for a, b in zip(q, v)), j) for m, (j, v) in enumerate(kept) if m != n)[:5]
+            want.update((i, place, j, -s) for place, (s, j) in enumerate(near, 1))
+    assert got == want

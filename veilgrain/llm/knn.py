@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veilgrain.operators.ranking import with_global_rank
 from veilgrain.session import store
 
 PIVOTS = 256  # pivots, at most
@@ -58,7 +59,7 @@ def scattered(sample: np.ndarray, count: int) -> np.ndarray:
 
 
 def assign(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """vec_id, v, cell and distance to its pivot."""
+    """All columns (the second is the vector), then cell and distance to its pivot."""
     square = (pivots**2).sum(axis=1)
     for batch in batches:
         if not batch.num_rows:
@@ -68,7 +69,7 @@ def assign(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa
         dist = np.sqrt(((v - pivots[near]) ** 2).sum(axis=1))
         yield pa.record_batch(
             [*batch.columns, pa.array(near, pa.int32()), pa.array(dist, pa.float64())],
-            names=["vec_id", "v", "cell", "dist"],
+            names=[*batch.schema.names, "cell", "dist"],
         )
 
 
@@ -137,39 +138,42 @@ def top_k(
 
     Components are turned into ``floor(scale * x)``; the score is their inner product; ties go to the smaller id and a
     query's own row is no candidate. Rows with a null id, a null vector or a null, NaN or infinite component take no part.
-    Vectors only meet vectors of their own length; all lengths that occur are searched one after the other. An id that
-    occurs more than once counts once, with the greatest vector. Fewer candidates than k give fewer rows, an empty
-    table none. Inner products must fit in 64 bits. Other columns are not read.
+    Vectors only meet vectors of their own length; all lengths that occur are searched one after the other. Of rows that share
+    an id each is a query and a candidate of its own, equal ones too, so that such an id has k rows for each of its rows. Fewer
+    candidates than k give fewer rows, an empty table none. Inner products must fit in 64 bits. Other columns are not read.
     """
-    rows = (
-        table.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
-        .select(F.col(id_col).cast("long").alias("vec_id"), whole_components(F.col(vector_col), scale).alias("v"))
-        .groupBy("vec_id")
-        .agg(F.max("v").alias("v"))
-    )
-    rows = store(rows, "vectors")
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(
-        F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % query_every == 0, 1)).alias("asked")
+    rows = table.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(
+        F.col(id_col).cast("long").alias("id"), whole_components(F.col(vector_col), scale).alias("v")
     )
+    # rows are searched by their place in the order of ids: unique, and smaller for smaller ids
+    rows = with_global_rank(rows, [F.col("id")], "vec_id")
+    rows = store(rows.select("vec_id", "v", (F.col("id") % query_every == 0).alias("asked"), "id"), "vectors")
+    ids = rows.select("vec_id", "id")
+    rows = rows.drop("id")
+    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.count_if("asked").alias("asked"))
     out = None
     for dim, n, asked in sorted((r["dim"], r["n"], r["asked"]) for r in sizes.collect()):  # a row per vector length
-        part = _top_k(rows.where(F.size("v") == dim), dim, n, asked, k, query_every) if asked else None
+        part = _top_k(rows.where(F.size("v") == dim), dim, n, k) if asked else None
         out = part if out is None else out if part is None else out.union(part)
     if out is None:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    asked = ids.select(F.col("vec_id").alias("query_id"), F.col("id").alias("asked_id"))
+    return ranked.join(ids, "vec_id").join(asked, "query_id").select(
+        F.col("asked_id").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score"
+    )
 
 
-def _top_k(rows: DataFrame, dim: int, n: int, asked: int, k: int, query_every: int) -> DataFrame:
+def _top_k(rows: DataFrame, dim: int, n: int, k: int) -> DataFrame:
     wanted = min(PIVOTS, max(1, n // CELL_ROWS))
     # a bounded sample by hash; equal vectors count once
     sample = rows.orderBy(F.xxhash64("vec_id")).limit(8 * wanted).toPandas()
     pivots = scattered(np.unique(matrix(sample["v"], dim), axis=0).astype(float), wanted)
     placed = store(
-        rows.mapInArrow(lambda it: assign(it, pivots), "vec_id long, v array<long>, cell int, dist double"), "cells"
+        rows.mapInArrow(lambda it: assign(it, pivots), "vec_id long, v array<long>, asked boolean, cell int, dist double"), "cells"
     )
-    is_query = F.col("vec_id") % query_every == 0
+    is_query = F.col("asked")
     near = W.partitionBy("cell", "part").orderBy("dist")
     # nearest distances: first within parts of a cell, so that a large cell does not meet in one task
     nearest = (
