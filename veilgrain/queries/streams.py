@@ -173,7 +173,7 @@ STREAM_C = dataclasses.replace(cm.CONTRACT, contract_id="c_stream", feature_id="
 
 @query(
     "stream_release",
-    f"""WITH {CLOSED}, p AS (SELECT day_id AS window_id, event_type AS cell, contributor, least(2, count(*)) AS m FROM cl GROUP BY ALL),
+    f"""WITH {CLOSED}, p AS (SELECT day_id AS window_id, event_type AS cell, contributor, least(2, count(*)) AS m FROM cl WHERE event_type IN {cm.EVENT_TYPES} GROUP BY ALL),
  c AS (SELECT window_id, 'CLUSTER' AS level, cell, sum(m)::BIGINT AS n, count(*) AS cc FROM p GROUP BY ALL)
 SELECT window_id, cell, {R(f"greatest(0.0, n + sqrt(2 * ln(1.25 / 1e-6)) * (2*sqrt(8)) * {GAUSS(SECRET, repr(STREAM_C.contract_id), repr(STREAM_C.feature_id), repr('v1'), 'window_id', 'level', 'cell', repr('COUNT'))})")} AS dp_event_count, 'v1' AS contract_version FROM c WHERE cc >= 30""",
 )
@@ -185,6 +185,21 @@ def stream_release(spark, sf):
     )
 
 
+DOMAIN = ("click", "purchase", "signup", "view")
+
+
+@query(
+    "stream_domain_gate",
+    f"""WITH {cm.EV} SELECT event_type, CASE WHEN event_type NOT IN {DOMAIN} OR event_type IS NULL THEN 'REJECT_DOMAIN' ELSE 'PASSED' END AS outcome, count(*) AS n FROM ev GROUP BY ALL""",
+)
+def stream_domain_gate(spark, sf):
+    """Stream rows outside a public domain of four event types are kept as rejects, not lost."""
+    passed, rejected = ingest.domain_ingest(stream(spark, sf).select("event_id", "event_type"), F.col("event_type"), DOMAIN)
+    rows = passed.select("event_type", F.lit("PASSED").alias("outcome"))
+    rows = rows.unionByName(rejected.select("event_type", F.col(gates.REASON).alias("outcome")))
+    return rows.groupBy("event_type", "outcome").agg(F.count("*").alias("n"))
+
+
 @query(
     "stream_sketch_stats",
     f"""WITH {CLOSED}, smp AS (SELECT event_type, event_id, md5('sample|' || event_id) AS h FROM ev

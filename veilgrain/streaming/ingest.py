@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -77,12 +77,11 @@ def dedupe_stream(stream: DataFrame, key: str, lateness: str) -> DataFrame:
     return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark([key])
 
 
-def gated_ingest(stream: DataFrame, allowed: DataFrame, boundary: str) -> tuple[DataFrame, DataFrame]:
-    """Contract gate on a stream: (passed, rejected) rows, each in a table of its own.
+def split_ingest(gated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A stream labelled by a gate as (passed, rejected) rows, each in a table of its own.
 
     Partitions carry the batch id, so a replayed batch replaces what it wrote before.
     """
-    gated = gates.contract_gate(stream, allowed, boundary)
 
     def split(df: DataFrame, batch_id: int, path: str) -> None:
         df = df.withColumn("batch_id", F.lit(batch_id)).persist()
@@ -91,13 +90,23 @@ def gated_ingest(stream: DataFrame, allowed: DataFrame, boundary: str) -> tuple[
         df.unpersist()
 
     path = run_batches(gated, "gated-ingest", split)
-    reader = stream.sparkSession.read
+    reader = gated.sparkSession.read
     return (
         reader.schema(gates.passed(gated).schema).parquet(f"{path}/passed"),
         reader.schema(gates.rejected(gated).schema).parquet(f"{path}/rejected"),
     )
 
 
+def gated_ingest(stream: DataFrame, allowed: DataFrame, boundary: str) -> tuple[DataFrame, DataFrame]:
+    """Contract gate on a stream: (passed, rejected) rows."""
+    return split_ingest(gates.contract_gate(stream, allowed, boundary))
+
+
+def domain_ingest(stream: DataFrame, cell: Column, domain: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(passed, rejected) rows of a stream by whether their cell is in a public domain; a null cell is outside."""
+    return split_ingest(gates.label(stream, [("REJECT_DOMAIN", cell.isin(*domain))]))
+
+
 def capped_ingest(stream: DataFrame, cap: int) -> DataFrame:
     """Contribution cap at ingest: the stored parts of all batches, to be merged by ``merge_capped``.
 

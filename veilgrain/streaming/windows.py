@@ -33,7 +33,7 @@ def bounded_tumbling_staging(stream: DataFrame, length: str, cell: Column, domai
 
     A contributor counts for at most ``cap`` rows of a cell, and its clipped values for at most ``cap`` times the
     largest one. The domain may hold at most ``max_cells`` cells, so nobody can touch more; rows outside it belong to
-    no cell that the contract releases.
+    no cell that the contract releases. ``ingest.domain_ingest`` keeps them as rejects.
     """
     if len(set(domain)) > c.max_cells:
         raise ValueError(f"{len(set(domain))} cells, but the contract bounds contributors to {c.max_cells}")
