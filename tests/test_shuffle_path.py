@@ -95,3 +95,9 @@ def test_estimates_cover_the_truth(spark, allowed, tmp_path):
     sampling = (16_000 * 0.4 * 0.5 / 0.5) ** 0.5  # the interval covers the randomized bits; sampling comes on top
     assert abs(row["estimate_value"] - 16_000 * 0.4) < 4 * (row["variance"] ** 0.5 + sampling)
     assert row["age_bucket"] == "UNKNOWN" and row["release_ts_ms"] == 7 and row["ci_lower"] < row["estimate_value"] < row["ci_upper"]
+
+
+def test_nothing_mixed_yet(spark, tmp_path):
+    mixer = sh.Mixer(str(tmp_path), 50, 50, "s", ("run_no", "cell"))
+    mixed, held = run_all(spark, mixer, [3, 4])
+    assert mixed.count() == 0 and held.filter("run = 1").count() == 7

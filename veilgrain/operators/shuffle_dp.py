@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from veilgrain.functions.noise import gaussian, keyed_uniform
 from veilgrain.operators.local_dp import keep_probability
-from veilgrain.session import overwrite_partitions
+from veilgrain.session import overwrite_partitions, read_or_empty
 
 SLICE_ROWS = 4096  # messages of a window that are ranked in one task, about
 MESSAGE_COLUMNS = ("window_id", "cell", "protocol_type", "format", "data", "epsilon_local", "sample_rate")
@@ -99,10 +99,10 @@ class Mixer:
     timed_batch: int = 1
 
     def _state(self, spark: SparkSession, name: str, fields: StructType, more: str) -> DataFrame:
-        schema = StructType(fields.fields)
+        schema = StructType(list(fields.fields))  # add() changes its list
         for part in more.split(", "):
             schema = schema.add(*part.split(" "))
-        return spark.read.schema(schema.add("run", "long")).parquet(f"{self.path}/{name}")
+        return read_or_empty(spark, schema.add("run", "long"), f"{self.path}/{name}")
 
     def run(self, messages: DataFrame, run: int, row_key: Sequence[str]) -> None:
         """Mix or hold the messages of run ``run`` = 0, 1, 2, ...; ``messages`` holds the payload columns and the key."""

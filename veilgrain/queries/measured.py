@@ -17,6 +17,7 @@ from veilgrain.queries.ledger import LEDGER, ledger
 from veilgrain.queries.registry import R, query, r
 from veilgrain.queries.scoring import BASE, TH
 from veilgrain.schema import ScorePolicy
+from veilgrain.session import store
 from veilgrain.sources import tables
 
 POLICY = ScorePolicy(distinct_drift_threshold=12, min_support_floor=2, min_support_threshold=3, central_sigma=0.5)
@@ -466,24 +467,23 @@ def lps_six_component(spark, sf):
     stab = joins.key_persistence(ev, "contributor", "day_id", ["feature_id"]).groupBy("feature_id").agg(
         F.avg("persistence").alias("s_stab")
     )
+    # three passes over the events: keys of days, values of k, and a stored histogram of values by segment
     ratio = ms.uniq_distinct_ratio(F.col("d"), F.col("n"), 0.01, 0.10)
     uniq = (
-        ev.groupBy("feature_id", "k").agg(F.count("*").alias("c")).groupBy("feature_id")
-        .agg(F.sum("c").alias("n"), F.count("*").alias("d")).select("feature_id", ratio.alias("s_uniq"))
+        ev.groupBy("feature_id", "k").agg(F.count("*").alias("c"), F.max("value").alias("most")).groupBy("feature_id")
+        .agg(F.sum("c").alias("n"), F.count("*").alias("d"), F.max("most").alias("most"))
+        .select("feature_id", ratio.alias("s_uniq"), F.when(F.col("most") > 400, 0.8).otherwise(0.3).alias("s_sem"))
     )
-    tagged = ev.join(who, "contributor")
+    cents = F.round(F.col("value") * 100).cast("bigint").alias("v")
+    hist = store(ev.join(who, "contributor").groupBy("feature_id", cents, "c_mktsegment").agg(F.count("*").alias("n")), "value-histogram")
     link, _ = ms.link_score(F.array(F.lit("user_id")), F.col("deg"), F.lit(30), ScorePolicy())
-    links = tagged.groupBy("feature_id").agg(F.count_distinct("c_mktsegment").alias("deg")).select("feature_id", link.alias("s_link"))
-    hit = F.col("c_mktsegment") == "BUILDING"
-    labelled = tagged.select(
-        "feature_id", F.round(F.col("value") * 100).cast("bigint").alias("v"),
-        hit.cast("int").alias("pos"), (~hit).cast("int").alias("neg"),
-    )
+    links = hist.groupBy("feature_id").agg(F.count_distinct("c_mktsegment").alias("deg")).select("feature_id", link.alias("s_link"))
+    hit = F.coalesce(F.col("c_mktsegment") == "BUILDING", F.lit(False))
+    labelled = hist.select("feature_id", "v", F.when(hit, F.col("n")).otherwise(0).alias("pos"), F.when(~hit, F.col("n")).otherwise(0).alias("neg"))
     inf = stats.binary_auc(labelled, ["feature_id"], "v").select("feature_id", auc_to_risk(F.col("auc")).alias("s_inf"))
-    sem = ev.groupBy("feature_id").agg(F.when(F.max("value") > 400, 0.8).otherwise(0.3).alias("s_sem"))
     eps = lg.exposure(ledger(spark, sf), 1.5).select("feature_id", "s_eps")
-    parts = sem
-    for other in (uniq, links, inf, eps, stab):
+    parts = uniq
+    for other in (links, inf, eps, stab):
         parts = parts.join(other, "feature_id")
     weights = {"s_sem": 0.2, "s_uniq": 0.2, "s_link": 0.2, "s_inf": 0.2, "s_eps": 0.1, "s_stab": 0.1}
     return parts.select(

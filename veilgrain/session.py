@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -69,6 +71,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))
 
 
+def read_or_empty(spark: SparkSession, schema: StructType | str, path: str) -> DataFrame:
+    """The Parquet table at ``path``, without rows if nothing has been written there: empty partitions leave no folder."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def overwrite_partitions(df: DataFrame, path: str, partition: list[str]) -> None:
     """Replace the partitions present in ``df``; rebalancing keeps files few and splits a partition that is too large."""
     df.hint("rebalance", *partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from veilgrain.operators import bounding, gates, sketches
-from veilgrain.session import overwrite_partitions, run_folder
+from veilgrain.session import overwrite_partitions, read_or_empty, run_folder
 from veilgrain.sources.tables import shape_events
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -90,10 +90,10 @@ def split_ingest(gated: DataFrame) -> tuple[DataFrame, DataFrame]:
         df.unpersist()
 
     path = run_batches(gated, "gated-ingest", split)
-    reader = gated.sparkSession.read
+    spark, number = gated.sparkSession, F.lit(0).alias("batch_id")
     return (
-        reader.schema(gates.passed(gated).schema).parquet(f"{path}/passed"),
-        reader.schema(gates.rejected(gated).schema).parquet(f"{path}/rejected"),
+        read_or_empty(spark, gates.passed(gated).withColumn("batch_id", number).schema, f"{path}/passed").drop("batch_id"),
+        read_or_empty(spark, gates.rejected(gated).withColumn("batch_id", number).schema, f"{path}/rejected").drop("batch_id"),
     )
 
 
@@ -121,7 +121,7 @@ def capped_ingest(stream: DataFrame, cap: int) -> DataFrame:
 
     path = run_batches(stream, "capped-ingest", write)
     schema = stream.withColumn("batch_id", F.lit(0).cast("bigint")).schema
-    return stream.sparkSession.read.schema(schema).parquet(path)
+    return read_or_empty(stream.sparkSession, schema, path)
 
 
 def sampled_ingest(stream: DataFrame, keys: list[str], identity: str, k: int) -> DataFrame:
@@ -136,7 +136,7 @@ def sampled_ingest(stream: DataFrame, keys: list[str], identity: str, k: int) ->
 
     path = run_batches(stream, "sampled-ingest", write)
     schema = stream.withColumn("batch_id", F.lit(0).cast("bigint")).schema
-    return stream.sparkSession.read.schema(schema).parquet(path)
+    return read_or_empty(stream.sparkSession, schema, path)
 
 
 def merge_capped(parts: DataFrame, cap: int) -> DataFrame:

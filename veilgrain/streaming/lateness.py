@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrain.session import overwrite_partitions
+from veilgrain.session import overwrite_partitions, read_or_empty
 from veilgrain.streaming.ingest import run_batches
 
 MARKS = "newest timestamp, batch_id bigint"
@@ -36,7 +36,7 @@ def newest_before(spark: SparkSession, path: str, batch_id: int):
     """
     if batch_id == 0:
         return None
-    marks = spark.read.schema(MARKS).parquet(f"{path}/marks")
+    marks = read_or_empty(spark, MARKS, f"{path}/marks")
     row = marks.filter(F.col("batch_id") == batch_id - 1).agg(F.max("newest").alias("t")).first()
     if row["t"] is None:  # no mark of that batch: look through all of them
         row = marks.filter(F.col("batch_id") < batch_id).agg(F.max("newest").alias("t")).first()
@@ -84,10 +84,10 @@ def split_late(
 
     path = run_batches(stream, "lateness", handle)
     number = F.lit(0).cast("bigint").alias("batch_id")
-    parts = spark.read.schema(aggregate(stream).select("*", number).schema).parquet(f"{path}/parts")
+    parts = read_or_empty(spark, aggregate(stream).select("*", number).schema, f"{path}/parts")
     rejected = stream.select("*", F.lit("").alias("reject_reason"), number)
-    late = spark.read.schema(rejected.schema).parquet(f"{path}/late")
-    end = spark.read.schema(MARKS).parquet(f"{path}/marks").agg(
+    late = read_or_empty(spark, rejected.schema, f"{path}/late")
+    end = read_or_empty(spark, MARKS, f"{path}/marks").agg(
         F.max("newest") - F.make_dt_interval(secs=F.lit(lateness_seconds))
     ).first()[0]
     return Split(parts, late, end)

@@ -15,7 +15,7 @@ from veilgrain.functions.scalar import clamp
 from veilgrain.operators import central
 from veilgrain.operators.gates import leak_guard
 from veilgrain.schema import ReleaseContract
-from veilgrain.session import overwrite_partitions
+from veilgrain.session import overwrite_partitions, read_or_empty
 from veilgrain.sources.sinks import FORBIDDEN
 from veilgrain.streaming.ingest import run_batches
 
@@ -126,4 +126,4 @@ def release_stream(staging: DataFrame, c: ReleaseContract, release_ts_ms: int) -
         return leak_guard(central.with_provenance(central.dp_metrics(kept, c), c, release_ts_ms), FORBIDDEN)
 
     path = run_batches(staging, "stream-release", lambda df, _, out: overwrite_partitions(released(df), out, ["window_id"]))
-    return staging.sparkSession.read.schema(released(staging).schema).parquet(path)
+    return read_or_empty(staging.sparkSession, released(staging).schema, path)
