@@ -315,8 +315,16 @@ def classified(
 def keep_good(docs: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold, with the same columns, whatever their names.
 
-    The rows are stored beside their features, so that a text is looked at once.
+    Texts are looked at once for the fit and once more for the filter: a row kept beside its features would take the disk of the
+    whole corpus.
     """
-    seen = store(looked(docs, F.struct("*").alias("row")), "looked")
-    weights, _ = fit_looked(seen, train_rows)
-    return seen.where(scorer(weights)("features") >= threshold).select("row.*")
+    weights, _ = fit(docs, train_rows)
+    at = docs.columns.index("text")
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            good = [1 - score_of(look(t)[1], weights) >= threshold for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with a dot cannot be passed on
+    return plain.mapInArrow(judged, plain.schema).toDF(*docs.columns)
