@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from veilgrain.session import ensure_checkpoint_dir
 
 
+def raised(state: DataFrame, frontier: DataFrame, links: DataFrame) -> DataFrame:
+    """Floors after one round and whether they rose.
+
+    The joins are merges: a broadcast would send links, frontier or offers through the driver again in every round.
+    """
+    offered = (
+        links.hint("merge")
+        .join(frontier.select(F.col("feature_id").alias("parent"), F.col("floor").alias("_f")), "parent")
+        .groupBy(F.col("child").alias("feature_id"))
+        .agg(F.max("_f").alias("_f"))
+    )
+    return state.hint("merge").join(offered, "feature_id", "left").select(
+        "feature_id",
+        F.greatest("floor", "_f").alias("floor"),
+        F.coalesce(F.col("_f") > F.col("floor"), F.lit(False)).alias("_rose"),
+    )
+
+
 def inherit_floor(own: DataFrame, edges: DataFrame) -> DataFrame:
     """Highest risk among a feature and all its ancestors.
 
@@ -17,20 +35,11 @@ def inherit_floor(own: DataFrame, edges: DataFrame) -> DataFrame:
     end for any depth and for cycles, too.
     """
     ensure_checkpoint_dir(own.sparkSession)
-    links = edges.select(F.col("child"), F.col("parent")).distinct()
+    links = edges.select(F.col("child"), F.col("parent")).distinct().checkpoint()
     state = own.select("feature_id", F.col("risk").alias("floor")).checkpoint()
     frontier = state
     while True:
-        offered = (
-            links.join(frontier.select(F.col("feature_id").alias("parent"), F.col("floor").alias("_f")), "parent")
-            .groupBy(F.col("child").alias("feature_id"))
-            .agg(F.max("_f").alias("_f"))
-        )
-        step = state.join(offered, "feature_id", "left").select(
-            "feature_id",
-            F.greatest("floor", "_f").alias("floor"),
-            F.coalesce(F.col("_f") > F.col("floor"), F.lit(False)).alias("_rose"),
-        ).checkpoint()
+        step = raised(state, frontier, links).checkpoint()
         state = step.drop("_rose")
         frontier = step.filter("_rose").drop("_rose")
         if frontier.isEmpty():
