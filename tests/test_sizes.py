@@ -1,12 +1,44 @@
 """Tasks of a bounded size whatever the size of the tables; nothing large through the driver; inputs read once."""
 
+from conftest import SMALL
+
 from veilgrain.operators import lineage
+from veilgrain.queries import load
+from veilgrain.session import TASK_BYTES, sized_session
+
+QUERIES, _ = load()
+ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sized_session_grows_tasks_and_leaves_the_caller_alone(spark):
+    before = spark.conf.get(PARTITIONS), spark.conf.get(ADVISORY)
+    small, large = (sized_session(spark, n) for n in (10, 36_000_000))
+    assert small.conf.get(PARTITIONS) == before[0]
+    assert int(large.conf.get(PARTITIONS)) == 360
+    assert int(large.conf.get(ADVISORY)) == int(large.conf.get("spark.sql.files.maxPartitionBytes")) == TASK_BYTES
+    assert large.conf.get("spark.sql.session.timeZone") == "UTC"
+    assert (spark.conf.get(PARTITIONS), spark.conf.get(ADVISORY)) == before
+
+
+def test_sized_session_keeps_finer_settings(spark):
+    before = spark.conf.get(ADVISORY)
+    spark.conf.set(ADVISORY, "64k")
+    try:
+        assert sized_session(spark, 10).conf.get(ADVISORY) == "64k"
+    finally:
+        spark.conf.set(ADVISORY, before)
+
+
+def test_line_item_queries_run_sized(spark):
+    for name in ("lifecycle_ledger", "s_uniq_min_support", "best_stats", "admissible_set", "release_shipment_value"):
+        assert int(QUERIES[name](spark, SMALL).sparkSession.conf.get(ADVISORY)) == TASK_BYTES, name
+
+
 def test_lineage_rounds_broadcast_nothing(spark):
     state = spark.createDataFrame([(1, 0.5), (2, 0.1)], "feature_id long, floor double").checkpoint()
     links = spark.createDataFrame([(2, 1)], "child long, parent long").checkpoint()

@@ -87,7 +87,9 @@ def catalog(spark: SparkSession, sf: str) -> DataFrame:
     buckets = F.when(
         size >= 15, F.create_map(F.lit("age"), size * 4, F.lit("zip"), size * 12)
     ).otherwise(F.create_map(F.lit("age"), size * 4))
-    return tables.table(spark, sf, "part").select(
+    # dealt out while rows are narrow: the specs are many times as wide, and a file of one row group is read by one task
+    parts = tables.table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", "p_type").repartition("p_partkey")
+    return parts.select(
         F.concat(F.lit("f_"), key).alias("feature_id"),
         "p_partkey",
         "p_brand",

@@ -12,7 +12,7 @@ from veilgrain.operators import ledger as lg
 from veilgrain.operators import transforms as tr
 from veilgrain.queries import common as cm
 from veilgrain.queries.aggregates import STAGED, click_cells, staged_events
-from veilgrain.queries.registry import GAUSS, GEOM, LAPLACE, R, U, query, r
+from veilgrain.queries.registry import GAUSS, GEOM, LAPLACE, R, U, query, r, sized
 from veilgrain.schema import ReleaseContract
 
 C = cm.CONTRACT
@@ -365,6 +365,7 @@ def _ship_cells():
     "release_shipments",
     f"WITH {SHIP_STAGED} SELECT window_id, level, cell, {SHIP_COUNT} AS dp_event_count FROM staged JOIN pick USING (window_id, lvl)",
 )
+@sized
 def release_shipments(spark, sf):
     """Monthly shipment counts. Only counts are released, so nothing is ranked."""
     counts_only = dataclasses.replace(SHIP_C, metrics=("COUNT",))
@@ -377,6 +378,7 @@ def release_shipments(spark, sf):
     "release_shipment_value",
     f"WITH {SHIP_STAGED} SELECT window_id, level, cell, {SHIP_COUNT} AS dp_event_count, {SHIP_SUM} AS dp_value_sum FROM staged JOIN pick USING (window_id, lvl)",
 )
+@sized
 def release_shipment_value(spark, sf):
     """Counts and clipped values: the first two rows of a customer per cell decide, so rows are ranked."""
     order = ("l_shipdate", "l_orderkey", "l_linenumber", "value", "l_partkey")

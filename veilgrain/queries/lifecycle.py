@@ -11,7 +11,7 @@ from veilgrain.operators import lifecycle as lc
 from veilgrain.plans import contracts as pc
 from veilgrain.queries import common as cm
 from veilgrain.queries.catalog import catalog
-from veilgrain.queries.registry import GAUSS, R, U, query, r
+from veilgrain.queries.registry import GAUSS, R, U, query, r, sized
 from veilgrain.queries.scoring import DECIDE, decisions
 from veilgrain.session import store
 from veilgrain.sources import tables
@@ -93,6 +93,7 @@ NOISED = f"greatest(0.0, event_count + {SD} * {GAUSS(SECRET, 'feature_id', 'cont
     f"""WITH {PATH} SELECT feature_id, contract_version, window_id, level, cell, {R(NOISED)} AS dp_event_count, {R(f'{SD} * {SD}')} AS variance,
   1.0::DOUBLE AS epsilon FROM staged JOIN (SELECT feature_id, window_id, lvl FROM res WHERE outcome <> 'BLOCK') USING (feature_id, window_id, lvl)""",
 )
+@sized
 def lifecycle_release(spark, sf):
     _, staged, decided = path(spark, sf)
     out = lc.released(staged, decided, POLICY)
@@ -107,6 +108,7 @@ def lifecycle_release(spark, sf):
     f"""WITH {PATH} SELECT DISTINCT 'REJECT' AS event_type, feature_id, contract_version, window_id, reason FROM chk WHERE reason IS NOT NULL
 UNION ALL SELECT outcome, feature_id, contract_version, window_id, reason FROM res""",
 )
+@sized
 def lifecycle_audit(spark, sf):
     checked, _, decided = path(spark, sf)
     return lc.audit(checked, decided)
@@ -117,6 +119,7 @@ def lifecycle_audit(spark, sf):
     f"""WITH {PATH} SELECT feature_id, contract_version, CASE lvl WHEN 0 THEN 'ITEM' WHEN 1 THEN 'CLUSTER' ELSE 'AGGREGATE' END AS granularity,
   make_date(window_id::BIGINT, 12, 31) AS window_day, 1.0::DOUBLE AS epsilon_spend, 1e-6::DOUBLE AS delta_spend FROM res WHERE outcome <> 'BLOCK'""",
 )
+@sized
 def lifecycle_ledger(spark, sf):
     _, _, decided = path(spark, sf)
     day = F.make_date(F.col("window_id").cast("int"), F.lit(12), F.lit(31))
