@@ -1,9 +1,11 @@
 """Tasks of a bounded size whatever the size of the tables; nothing large through the driver; inputs read once."""
 
 from conftest import SMALL
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from veilgrain.operators import lineage
-from veilgrain.queries import load
+from veilgrain.queries import load, local_shuffle
 from veilgrain.session import TASK_BYTES, sized_session
 
 QUERIES, _ = load()
@@ -45,3 +47,18 @@ def test_lineage_rounds_broadcast_nothing(spark):
     step = lineage.raised(state, state, links)
     assert "Broadcast" not in plan(step)
     assert sorted(map(tuple, step.collect())) == [(1, 0.5, False), (2, 0.5, True)]
+
+
+def test_mixing_reads_its_messages_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf(LongType())
+    def bit(i):
+        seen.add(1)
+        return i % 2
+
+    rows = [(i, f"w{i % 3}", "x") for i in range(30)]
+    events = spark.createDataFrame(rows, "event_id long, window_id string, cell string")
+    monkeypatch.setattr(local_shuffle, "bounded_bits", lambda *_: events.withColumn("bit", bit("event_id")))
+    assert QUERIES["shuffle_mix"](spark, SMALL).count() == 30
+    assert seen.value == 30

@@ -241,13 +241,14 @@ SELECT window_id, run, CASE WHEN run IS NOT NULL THEN place * greatest(1, n // {
 )
 def shuffle_mix(spark, sf):
     """A run a week: messages of weeks that are too short wait and join a later run; what still waits has no batch."""
-    bits = bounded_bits(spark, sf).select("event_id", "window_id", "cell", "bit")
+    bits = bounded_bits(spark, sf).select("event_id", "window_id", "cell", "bit").persist()  # every week reads it
     folder = run_folder(spark, "mixing")
     delete_at_exit(spark, folder)
     mixer = sh.Mixer(folder, MIX, MIX, cm.CONTRACT.secret, ("window_id", "cell", "bit"))
     weeks = [w for (w,) in bits.select("window_id").distinct().orderBy("window_id").collect()]  # a row per run
     for number, week in enumerate(weeks):
         mixer.run(bits.filter(F.col("window_id") == week), number, ["event_id"])
+    bits.unpersist()
     fields = bits.select("window_id", "cell", "bit").schema
     out = mixer.mixed(spark, fields).select("window_id", "run", "batch_id", "cell", "bit")
     none = F.lit(None).cast("bigint")
