@@ -4,8 +4,9 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from veilgrain.operators import lineage
+from veilgrain.operators import central, lineage
 from veilgrain.queries import load, local_shuffle
+from veilgrain.schema import ReleaseContract
 from veilgrain.session import TASK_BYTES, sized_session
 
 QUERIES, _ = load()
@@ -49,6 +50,17 @@ def test_lineage_rounds_broadcast_nothing(spark):
     assert sorted(map(tuple, step.collect())) == [(1, 0.5, False), (2, 0.5, True)]
 
 
+def test_ranked_rows_travel_without_the_name_of_their_level(spark):
+    events = spark.createDataFrame(
+        [("a", "w", i, i, 1.0, "x") for i in range(3)], "contributor string, window_id string, ts long, event_id long, value double, k string"
+    )
+    c = ReleaseContract(secret="s", cap=2, max_cells=8, lo=0, hi=10)
+    out = central.ranked_partials(events, F.col("k"), F.col("k"), c, ("ts", "event_id"))
+    exchange = next(line for line in plan(out).splitlines() if "hashpartitioning(contributor" in line)
+    assert "lvl" in exchange and "level" not in exchange
+    assert sorted((r.level, r.lvl, r.cell, r.n) for r in out.collect()) == [("AGGREGATE", 2, "all", 2), ("CLUSTER", 1, "x", 2), ("ITEM", 0, "x", 2)]
+
+
 def test_mixing_reads_its_messages_once(spark, monkeypatch):
     seen = spark.sparkContext.accumulator(0)
 

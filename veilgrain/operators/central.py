@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from veilgrain.functions.noise import classic_sigma, gaussian, laplace, two_sided_geometric
 from veilgrain.operators import bounding
 from veilgrain.operators.transforms import ladder
-from veilgrain.schema import ReleaseContract
+from veilgrain.schema import GRANULARITY_RANK, ReleaseContract
 from veilgrain.session import store
 
 Z95 = 1.959964
@@ -197,6 +197,17 @@ def with_provenance(df: DataFrame, c: ReleaseContract, release_ts_ms: Column | i
 
 
 # ---- whole path -------------------------------------------------------------------------------------------------
+def ranked_partials(events: DataFrame, item: Column, cluster: Column, c: ReleaseContract, order: Sequence[str]) -> DataFrame:
+    """Clipped sums per contributor and cell at every level over the contributor's first ``cap`` rows.
+
+    Every row is shuffled once per level, so the level travels as its number and is named again afterwards.
+    """
+    rows = ladder(events, item, cluster).drop("level")
+    capped = bounding.contribution_cap(rows, c.cap, ("contributor", "window_id", "lvl", "cell"), order)
+    names = F.array(*[F.lit(g) for g in GRANULARITY_RANK])
+    return bounding.contributor_partials(capped.withColumn("level", names[F.col("lvl")]), c.lo, c.hi)
+
+
 def bounded_staging(events: DataFrame, item: Column, cluster: Column, c: ReleaseContract,
                     order: Sequence[str] = ("ts", "event_id"), cap_cells: bool = True) -> DataFrame:
     """Events to a stored staging table: cap rows per cell, clip, cap cells per contributor, aggregate.
@@ -204,8 +215,7 @@ def bounded_staging(events: DataFrame, item: Column, cluster: Column, c: Release
     A contract that releases only counts needs no ranking of rows; its capped counts come from plain aggregation.
     """
     if "SUM" in c.metrics:
-        capped = bounding.contribution_cap(ladder(events, item, cluster), c.cap, order=order)
-        partials = bounding.contributor_partials(capped, c.lo, c.hi)
+        partials = ranked_partials(events, item, cluster, c, order)
     else:
         partials = bounding.count_partials(events, item, cluster, c.cap)
     if cap_cells:
