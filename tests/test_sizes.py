@@ -4,7 +4,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from veilgrain.operators import central, lineage
+from veilgrain.operators import bounding, central, lineage
 from veilgrain.queries import load, local_shuffle
 from veilgrain.schema import ReleaseContract
 from veilgrain.session import TASK_BYTES, sized_session
@@ -61,6 +61,22 @@ def test_ranked_rows_travel_without_the_name_of_their_level(spark):
     assert sorted((r.level, r.lvl, r.cell, r.n) for r in out.collect()) == [("AGGREGATE", 2, "all", 2), ("CLUSTER", 1, "x", 2), ("ITEM", 0, "x", 2)]
 
 
+def test_the_single_cell_of_the_coarsest_level_is_not_ranked(spark):
+    rows = [(f"c{i % 5}", "w", level, lvl, cell, 1, 1.0, 1.0) for i in range(5)
+            for level, lvl, cells in (("ITEM", 0, "abcd"), ("CLUSTER", 1, "xy"), ("AGGREGATE", 2, ["all"])) for cell in cells]
+    partials = spark.createDataFrame(
+        rows, "contributor string, window_id string, level string, lvl int, cell string, n long, s double, ss double"
+    )
+    for max_cells in (1, 3):
+        c = ReleaseContract(secret="s", max_cells=max_cells, digest="md5")
+        want = bounding.l0_cell_cap(partials, max_cells, "s").collect()
+        out = central.cell_capped(partials, c)
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want))
+        ranked = central.cell_capped(partials.filter("lvl = 2"), c)
+        assert ranked.count() == 5
+        assert "lvl" in plan(out).split("Window", 1)[1] and "Union" in plan(out)
+
+
 def test_mixing_reads_its_messages_once(spark, monkeypatch):
     seen = spark.sparkContext.accumulator(0)
 

@@ -208,6 +208,19 @@ def ranked_partials(events: DataFrame, item: Column, cluster: Column, c: Release
     return bounding.contributor_partials(capped.withColumn("level", names[F.col("lvl")]), c.lo, c.hi)
 
 
+def cell_capped(partials: DataFrame, c: ReleaseContract) -> DataFrame:
+    """At most ``max_cells`` cells per contributor, window and level, as ``bounding.l0_cell_cap``.
+
+    The coarsest level has one cell, in which nothing is left to choose, so its rows are neither shuffled nor ranked.
+    """
+    if c.max_cells < 1:
+        return bounding.l0_cell_cap(partials, c.max_cells, c.secret, digest=c.digest)
+    coarsest = GRANULARITY_RANK["AGGREGATE"]
+    finer = partials.filter(F.col("lvl") < coarsest)
+    capped = bounding.l0_cell_cap(finer, c.max_cells, c.secret, digest=c.digest)
+    return capped.unionByName(partials.filter(F.col("lvl") == coarsest))
+
+
 def bounded_staging(events: DataFrame, item: Column, cluster: Column, c: ReleaseContract,
                     order: Sequence[str] = ("ts", "event_id"), cap_cells: bool = True) -> DataFrame:
     """Events to a stored staging table: cap rows per cell, clip, cap cells per contributor, aggregate.
@@ -219,7 +232,7 @@ def bounded_staging(events: DataFrame, item: Column, cluster: Column, c: Release
     else:
         partials = bounding.count_partials(events, item, cluster, c.cap)
     if cap_cells:
-        partials = bounding.l0_cell_cap(partials, c.max_cells, c.secret, digest=c.digest)
+        partials = cell_capped(partials, c)
     return store(bounding.stage(partials), "staging")
 
 
