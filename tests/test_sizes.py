@@ -42,6 +42,14 @@ def test_line_item_queries_run_sized(spark):
         assert int(QUERIES[name](spark, SMALL).sparkSession.conf.get(ADVISORY)) == TASK_BYTES, name
 
 
+def test_all_scored_and_audit_queries_run_sized(spark):
+    for name in (
+        "lifecycle_audit", "conservative_defaults", "issue_contracts", "lps_total", "select_min_effvar", "probe_schedule",
+        "routing_decision", "routing_tiers", "release_shipments", "s_uniq_distinct_ratio",
+    ):
+        assert int(QUERIES[name](spark, SMALL).sparkSession.conf.get(ADVISORY)) == TASK_BYTES, name
+
+
 def test_lineage_rounds_broadcast_nothing(spark):
     state = spark.createDataFrame([(1, 0.5), (2, 0.1)], "feature_id long, floor double").checkpoint()
     links = spark.createDataFrame([(2, 1)], "child long, parent long").checkpoint()
