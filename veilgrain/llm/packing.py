@@ -28,8 +28,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilgrain.llm import tokens
-from veilgrain.llm.words import slices
-from veilgrain.session import store
+from veilgrain.llm.words import ROWS_AT_ONCE, forget, slices
+from veilgrain.session import record_batches, store
 
 GROUPS = 48  # rounded sizes of the large lengths
 SMALL = 1 / 3  # lengths up to this share of the limit are small
@@ -219,6 +219,7 @@ def piece_rows(
     batches: Iterator[pa.RecordBatch], path: str, limit: int, end_id: int, keep_ids: bool
 ) -> Iterator[pa.RecordBatch]:
     """Pieces of every document with their rank among the pieces of that length in this task."""
+    forget()  # tokenizing needs no words; earlier stages' caches would lie beside the encoder's
     encode = tokens.encoder(path).encode
     task = TaskContext.get().partitionId()
     met = np.zeros(limit + 1, np.int64)
@@ -287,7 +288,8 @@ def pack(
         "ids_crc32 long, task int, rank long"
     )
     pieces = docs.select("doc_id", "text").mapInArrow(lambda it: piece_rows(it, path, limit, end_id, keep_ids), kinds)
-    pieces = store(pieces, "pieces")
+    with record_batches(spark, ROWS_AT_ONCE):
+        pieces = store(pieces, "pieces")
     short = pieces.where(F.col("length") < limit)
     tally = store(short.groupBy("length", "task").agg(F.count("*").alias("n")), "tally")
     counts = {r["length"]: r["n"] for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # < limit rows

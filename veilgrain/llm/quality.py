@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from veilgrain.llm.words import CACHE_ENTRIES, slices
+from veilgrain.llm.words import CACHE_ENTRIES, CACHES, slices
 from veilgrain.session import store
 
 GOOD, BAD, NONE = 2, 1, 0  # votes; a pattern is their number in base 3
@@ -95,6 +95,7 @@ class WordCache(dict):
 
 WORDS = WordCache()
 WORDS.reset()
+CACHES.extend([WORDS.reset, bucket.cache_clear])
 
 
 def numbered(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
