@@ -98,3 +98,40 @@ def test_mixing_reads_its_messages_once(spark, monkeypatch):
     monkeypatch.setattr(local_shuffle, "bounded_bits", lambda *_: events.withColumn("bit", bit("event_id")))
     assert QUERIES["shuffle_mix"](spark, SMALL).count() == 30
     assert seen.value == 30
+
+
+def test_rows_of_a_ranked_release_move_before_they_are_repeated_per_level(spark, monkeypatch):
+    rows = [(f"c{i % 7}" if i % 7 else None, f"w{i % 2}" if i % 11 else None, i % 5, i, float(i), i % 13 or None, f"b{i % 3}" if i % 4 else None)
+            for i in range(600)]
+    events = spark.createDataFrame(
+        rows, "contributor string, window_id string, ts int, event_id int, value double, item int, brand string"
+    ).repartition(3)
+    cells = F.col("item").cast("string"), F.col("brand")
+    c = ReleaseContract(secret="s", cap=2, max_cells=4, lo=0, hi=300)
+    staged = []
+    monkeypatch.setattr(central, "store", lambda df, name: staged.append(df) or df)
+    got = central.bounded_staging(events, *cells, c, ("ts", "event_id"))
+    moved = [line for line in plan(staged[0]).splitlines() if "Exchange" in line and "contributor" in line]
+    assert moved and not any("lvl" in line or "level" in line for line in moved)
+    assert "WindowGroupLimit" in plan(staged[0]).split("hashpartitioning(contributor")[-1]  # trimmed before the first shuffle
+    want = bounding.stage(central.cell_capped(central.ranked_partials(events, *cells, c, ("ts", "event_id")), c))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+
+
+def test_a_release_does_not_shuffle_its_staging(spark):
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    schema = "window_id string, level string, lvl int, cell string, event_count long, contributors_count long, value_sum double, value_sumsq double"
+    rows = [(f"w{i % 4}" if i % 5 else None, ("ITEM", "CLUSTER", "AGGREGATE")[i % 3], i % 3, f"c{i}", i, 20 + i * 7919 % 400 * (i % 3), i * 0.37, i * 0.73)
+            for i in range(20000)]
+    staged = central.store(spark.createDataFrame(rows, schema), "staging")
+    c = ReleaseContract(secret="s", k_min=20)
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "16k")
+    try:
+        out = central.release(staged, c, 1)
+        assert "Exchange hashpartitioning(window_id" not in plan(out) and "SortMergeJoin" not in plan(out)
+        got = sorted(map(tuple, out.select("window_id", "level", "cell").collect()))
+    finally:
+        spark.conf.set(threshold, before)
+    want = central.downgrade_feature(staged, ["window_id"], 20).select("window_id", "level", "cell").collect()
+    assert got and got == sorted(map(tuple, want))

@@ -18,7 +18,7 @@ from veilgrain.functions.scalar import clamp
 from veilgrain.operators.transforms import roll_up
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int = 1) -> DataFrame:
+def keep_first(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column | str], n: int = 1) -> DataFrame:
     """At most ``n`` rows per key group, in a deterministic order.
 
     Spark infers the group limit for ``n`` up to ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000); raise that
@@ -37,7 +37,7 @@ def dedupe(df: DataFrame, key: str = "event_id", order: Sequence[Column | str] =
 def contribution_cap(
     df: DataFrame,
     cap: int,
-    keys: Sequence[str] = ("contributor", "window_id", "level", "cell"),
+    keys: Sequence[Column | str] = ("contributor", "window_id", "level", "cell"),
     order: Sequence[str] = ("ts", "event_id"),
 ) -> DataFrame:
     """At most ``cap`` rows per contributor, window and cell; the overflow is truncated."""

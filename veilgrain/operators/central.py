@@ -49,7 +49,12 @@ def downgrade_feature(staged: DataFrame, keys: Sequence[str], k_min: int, finest
 
     It is read twice, for the choice and for the cells, so it should be a stored staging table.
     """
-    return staged.join(choose_level(staged, keys, k_min, finest, coarsest), [*keys, "lvl"], "left_semi")
+    return at_level(staged, choose_level(staged, keys, k_min, finest, coarsest), keys)
+
+
+def at_level(staged: DataFrame, levels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cells of the level that ``levels`` names for their keys."""
+    return staged.join(levels, [*keys, "lvl"], "left_semi")
 
 
 def blocked(staged: DataFrame, keys: Sequence[str], k_min: int, finest: int = 0, coarsest: int = 2) -> DataFrame:
@@ -197,10 +202,21 @@ def with_provenance(df: DataFrame, c: ReleaseContract, release_ts_ms: Column | i
 
 
 # ---- whole path -------------------------------------------------------------------------------------------------
+def gathered(events: DataFrame, item: Column, cluster: Column, c: ReleaseContract, order: Sequence[str]) -> DataFrame:
+    """The rows that some level can keep, those of a contributor and window in one partition.
+
+    A row among the first ``cap`` of a cell is among the first ``cap`` of its item and cluster as well, since these are part of
+    the cell at every level. Ranking there bounds what a large contributor sends on.
+    """
+    capped = bounding.contribution_cap(events, c.cap, ("contributor", "window_id", item, cluster), order)
+    return capped.repartition("contributor", "window_id")
+
+
 def ranked_partials(events: DataFrame, item: Column, cluster: Column, c: ReleaseContract, order: Sequence[str]) -> DataFrame:
     """Clipped sums per contributor and cell at every level over the contributor's first ``cap`` rows.
 
-    Every row is shuffled once per level, so the level travels as its number and is named again afterwards.
+    Rows that are ``gathered`` stay where they are. Others are shuffled once per level, so the level travels as its number and
+    is named again afterwards.
     """
     rows = ladder(events, item, cluster).drop("level")
     capped = bounding.contribution_cap(rows, c.cap, ("contributor", "window_id", "lvl", "cell"), order)
@@ -225,10 +241,11 @@ def bounded_staging(events: DataFrame, item: Column, cluster: Column, c: Release
                     order: Sequence[str] = ("ts", "event_id"), cap_cells: bool = True) -> DataFrame:
     """Events to a stored staging table: cap rows per cell, clip, cap cells per contributor, aggregate.
 
-    A contract that releases only counts needs no ranking of rows; its capped counts come from plain aggregation.
+    A contract that releases only counts needs no ranking of rows; its capped counts come from plain aggregation. Other rows are
+    gathered before they are repeated per level, so that every cap and sum of a contributor needs one shuffle of them.
     """
     if "SUM" in c.metrics:
-        partials = ranked_partials(events, item, cluster, c, order)
+        partials = ranked_partials(gathered(events, item, cluster, c, order), item, cluster, c, order)
     else:
         partials = bounding.count_partials(events, item, cluster, c.cap)
     if cap_cells:
@@ -237,8 +254,12 @@ def bounded_staging(events: DataFrame, item: Column, cluster: Column, c: Release
 
 
 def release(staged: DataFrame, c: ReleaseContract, release_ts_ms: Column | int) -> DataFrame:
-    """Staging to the released table: level choice, noise, interval, provenance."""
-    cells = downgrade_feature(staged, ["window_id"], c.k_min)
+    """Staging to the released table: level choice, noise, interval, provenance.
+
+    The chosen levels are stored, so that their size is known and the cells need not be shuffled to meet them.
+    """
+    levels = store(choose_level(staged, ["window_id"], c.k_min), "levels")
+    cells = at_level(staged, levels, ["window_id"])
     noised = dp_metrics(cells, c)
     noised = with_uncertainty(noised, "dp_event_count", noise_sd(c.mechanism, "COUNT", c))
     return with_provenance(noised, c, release_ts_ms)
